@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from proofbase.llm.decontaminate import op2_decontamination
+from proofbase.llm.jaccard import op8_ngram_jaccard
 from proofbase.llm.quality import op9_quality_rules
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
 }
 
