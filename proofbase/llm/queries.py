@@ -6,8 +6,10 @@ from proofbase.llm.decontaminate import op2_decontamination
 from proofbase.llm.jaccard import op8_ngram_jaccard
 from proofbase.llm.quality import op9_quality_rules
 from proofbase.llm.substrings import op3_suffix_array_dedup
+from proofbase.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
