@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from proofbase.llm import lines, sharding
 from proofbase.llm.decontaminate import op2_decontamination
 from proofbase.llm.jaccard import op8_ngram_jaccard
 from proofbase.llm.quality import op9_quality_rules
@@ -12,8 +13,13 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op6_sharding": sharding.op6_sharding,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": lines.ORACLE,
+    "op6_sharding": sharding.ORACLE,
+}
