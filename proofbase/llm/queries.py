@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofbase.llm import lines, sharding
+from proofbase.llm import backoff, lines, sharding
 from proofbase.llm.decontaminate import op2_decontamination
 from proofbase.llm.jaccard import op8_ngram_jaccard
 from proofbase.llm.quality import op9_quality_rules
@@ -17,9 +17,11 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_scoring": backoff.op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": lines.ORACLE,
+    "op10_lm_scoring": backoff.ORACLE,
     "op6_sharding": sharding.ORACLE,
 }
