@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofbase.llm import backoff, lines, sharding
+from proofbase.llm import backoff, chat, lines, sharding
 from proofbase.llm.decontaminate import op2_decontamination
 from proofbase.llm.jaccard import op8_ngram_jaccard
 from proofbase.llm.quality import op9_quality_rules
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_sharding": sharding.op6_sharding,
+    "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scoring": backoff.op10_lm_scoring,
@@ -22,6 +23,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": lines.ORACLE,
+    "op7_chat_formatting": chat.ORACLE,
     "op10_lm_scoring": backoff.ORACLE,
     "op6_sharding": sharding.ORACLE,
 }
