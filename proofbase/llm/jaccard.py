@@ -310,7 +310,8 @@ def similar_classes(docs: DataFrame, found: DataFrame, common: np.ndarray) -> Da
     count = c.stored(groups.groupBy("root").agg(F.count("*").alias("sets")))
     members = c.stored(groups.join(count, "root").select("node", F.col("root").alias("grp"), "sets"))
     wanted = c.stored(members.join(leads, F.col("node") == F.col("key")).select("lead", "grp", "key", "sets"))
-    once = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("lead"))
+    # the same join at every size: the members grow with the corpus, so they are no broadcast
+    once = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("lead"))
     sets = c.stored(once.select("grp", "key", "sets", "text").mapInArrow(_set_batches, "grp long, key long, sets long, tokens array<long>"))
     first = _block_edges(sets.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), _blocks())), parts)
     large = sets.where(F.col("sets") > BLOCK_SETS)
