@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofbase.llm import backoff, chat, lines, sharding
+from proofbase.llm import backoff, chat, lines, mixing, sharding
 from proofbase.llm.decontaminate import op2_decontamination
 from proofbase.llm.jaccard import op8_ngram_jaccard
 from proofbase.llm.quality import op9_quality_rules
@@ -13,6 +13,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_source_mixing": mixing.op4_source_mixing,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_chat_formatting": chat.op7_chat_formatting,
