@@ -13,9 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15 | 1)
@@ -175,6 +176,18 @@ def whole_windows(w: Words, n: int) -> np.ndarray:
     return w.row[: len(w.row) - n + 1] == w.row[n - 1 :]
 
 
+def with_columns(t: Texts, found: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The chunk's rows with found columns after their own."""
+    names = [n for n in t.rows.schema.names if n not in found]
+    return pa.RecordBatch.from_arrays([*(t.rows.column(t.rows.schema.get_field_index(n)) for n in names), *found.values()], names=[*names, *found])
+
+
+def extended(schema: T.StructType, found: str) -> T.StructType:
+    """schema without the columns named in found, and then those."""
+    more = T.StructType.fromDDL(found)
+    return T.StructType([f for f in schema.fields if f.name not in more.names] + more.fields)
+
+
 def run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values over [first[i], first[i + 1])."""
     total = np.concatenate(([0], np.cumsum(values)))

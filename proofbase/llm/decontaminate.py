@@ -138,7 +138,7 @@ RAW = "n_words long, spans array<long>, items array<long>"
 
 
 def hits(docs: DataFrame, items: list[tuple[int, str]], window: int = WINDOW) -> DataFrame:
-    """doc_id and _row with n_words, the hit word spans (start * 2**32 + end) and the numbers of the occurring items."""
+    """docs with n_words, the hit word spans (start * 2**32 + end) and the numbers of the occurring items."""
     spark = docs.sparkSession
     block = spark.sparkContext.broadcast(items)
     known: list[Suffixes] = []
@@ -164,14 +164,10 @@ def hits(docs: DataFrame, items: list[tuple[int, str]], window: int = WINDOW) ->
                 x, y = cut[i], cut[i + 1]
                 spans.append(_merged(at[x:y] - w.first[i], at[x:y] + size[x:y] - w.first[i]) if y > x else [])
                 ids.append([b.ids[k] for k in np.unique(item[x:y])] if y > x else [])
-            cols = [t.rows.column(t.rows.schema.get_field_index(n)) for n in ("doc_id", "_row")]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(np.diff(w.first), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int64()))],
-                names=["doc_id", "_row", "n_words", "spans", "items"],
-            )
+            longs = pa.list_(pa.int64())
+            yield c.with_columns(t, {"n_words": pa.array(np.diff(w.first), pa.int64()), "spans": pa.array(spans, longs), "items": pa.array(ids, longs)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, {RAW}")
+    return docs.mapInArrow(run, c.extended(docs.schema, RAW))
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> list[int]:
@@ -198,9 +194,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """Per row of docs: doc_id, n_words, spans (hit word ranges), items (sorted ids of occurring items)."""
     parts = list(blocks(benchmark, block_bytes))
     if len(parts) == 1:
-        return hits(docs.select("doc_id", F.lit(0).cast("long").alias("_row"), "text"), parts[0], window).drop("_row")
+        return hits(docs.select("doc_id", "text"), parts[0], window).drop("text")
     numbered = c.stored(docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text"))
-    found = reduce(DataFrame.unionByName, [hits(numbered, p, window) for p in parts])
+    found = reduce(DataFrame.unionByName, [hits(numbered, p, window).drop("text") for p in parts])
     start = lambda x: F.shiftright(x, 32)
     end = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
     joined = F.aggregate(
@@ -230,10 +226,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window, with all their columns."""
-    found = decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit_id"))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left_anti")
+    """Documents without any benchmark window, with all their columns. Each block of the benchmark filters what is left."""
+    own = docs.columns
+    for part in blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+        docs = hits(docs, part).where(F.size("spans") == 0).select(*own)
+    return docs
 
 
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:

@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes | list[float]:
 
 
 def memberships(docs: DataFrame, model: bytes | list[float]) -> DataFrame:
-    """doc_id, tokens and p, the posteriors in the order of DOMAINS."""
+    """docs with tokens and p, the posteriors in the order of DOMAINS."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     known: list[Classifier] = []
 
@@ -157,10 +157,9 @@ def memberships(docs: DataFrame, model: bytes | list[float]) -> DataFrame:
             p = known[0].posteriors(t) if known else np.tile(np.array(sent.value), (len(t), 1))
             n = np.diff(c.words(t, c.SPACE_WORDS, lower=True).first)
             cut = np.arange(0, p.size + 1, len(DOMAINS), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([t.rows.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(cut, pa.array(np.round(p, 9).ravel()))], names=["doc_id", "tokens", "p"])
+            yield c.with_columns(t, {"tokens": pa.array(n, pa.int64()), "p": pa.ListArray.from_arrays(cut, pa.array(np.round(p, 9).ravel()))})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens long, p array<double>")
+    return docs.mapInArrow(run, c.extended(docs.schema, "tokens long, p array<double>"))
 
 
 def _rate(steps: list[np.ndarray]) -> F.Column:
@@ -177,8 +176,8 @@ def _sums(members: DataFrame, value: F.Column) -> np.ndarray:
     return np.array(list(row))
 
 
-def rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, growth: float = GROWTH) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """members with rate; the targets; and the expected domain tokens reached."""
+def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, growth: float = GROWTH) -> tuple[F.Column, np.ndarray, np.ndarray]:
+    """The rate as an expression over p; the targets; and the expected domain tokens reached."""
     k = len(DOMAINS)
     cells = [(i, j) for i in range(k) for j in range(i, k)]
     row = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}{j}") for i, j in cells]).first()
@@ -196,12 +195,13 @@ def rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, growth: float
             break
         steps.append(solve @ rest)
         now = _sums(members, _rate(steps))
-    return members.withColumn("rate", F.round(_rate(steps), 6)), target, now
+    return F.round(_rate(steps), 6), target, now
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, growth: float = GROWTH) -> DataFrame:
     """Per row of docs: doc_id, tokens, p, rate."""
-    return rates(c.stored(memberships(docs, train(docs, labels))), weights, growth)[0]
+    members = c.stored(memberships(docs.select("doc_id", "text"), train(docs, labels)).drop("text"))
+    return members.withColumn("rate", fit_rates(members, weights, growth)[0])
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +212,9 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as their rates say: the whole part, and once more by a hash of the id for the rest."""
-    found = mix(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rate = fit_rates(c.stored(memberships(docs.select("text"), model).drop("text")))[0]
     luck = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / F.lit(1e6)
-    times = found.select(F.col("doc_id").alias("_id"), F.floor(F.col("rate") + luck).cast("int").alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times"))
-    joined = docs.join(c.stored(times.where("_times > 0")), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # posteriors again where the texts are read: a rate depends on nothing else, so no text is shuffled
+    timed = memberships(docs, model).withColumn("_times", F.floor(rate + luck).cast("int")).where("_times > 0")
+    return timed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

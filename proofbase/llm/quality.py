@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from proofbase.llm import common as c
 
@@ -38,7 +37,6 @@ MEASURES = {
     "repeat_rate": (None, 0.75, 0.3),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_BASE_TYPES = [T.StructField(n, T.LongType()) for n in BASE]
 
 _symbol = np.zeros(256, bool)
 _symbol[list(SYMBOLS)] = True
@@ -98,14 +96,12 @@ def measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             "n_dup_lines": _line_repeats(t),
             "n_repeat_words": _repeat_words(w, len(t)),
         }
-        names = [n for n in t.rows.schema.names if n != "text"]
-        cols = [t.rows.column(t.rows.schema.get_field_index(n)) for n in names]
-        yield pa.RecordBatch.from_arrays(cols + [pa.array(found[n], pa.int64()) for n in BASE], names=[*names, *BASE])
+        yield c.with_columns(t, {n: pa.array(x, pa.int64()) for n, x in found.items()})
 
 
-def base_measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    schema = T.StructType([docs.schema[n] for n in keep] + _BASE_TYPES)
-    return docs.select(*keep, "text").mapInArrow(measure_batches, schema)
+def base_measures(docs: DataFrame) -> DataFrame:
+    """docs with the base measures."""
+    return docs.mapInArrow(measure_batches, c.extended(docs.schema, ", ".join(f"{n} long" for n in BASE)))
 
 
 def with_rates(measured: DataFrame) -> DataFrame:
@@ -149,7 +145,7 @@ def judge(rated: DataFrame, limits: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """`keep` columns, the base measures, base_failed and kept, one row per row of docs."""
     # the measures are small beside the texts: kept once, read by the sketches and by the filter
-    rated = with_rates(c.stored(base_measures(docs, keep)))
+    rated = with_rates(c.stored(base_measures(docs.select(*keep, "text")).drop("text")))
     return judge(rated, c.stored(fences(rated)))
 
 
@@ -159,6 +155,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with all their columns."""
-    verdicts = quality(docs.select("doc_id", "lang", "source", "text")).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(verdicts.distinct(), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    """Documents that the rules keep, with all their columns: measured again where they are read, so no text is shuffled."""
+    limits = c.stored(fences(with_rates(base_measures(docs.select("lang", "source", "text")).drop("text"))))
+    return judge(with_rates(base_measures(docs)), limits).where("kept").select(*docs.columns)
