@@ -126,7 +126,7 @@ def f16(t: Tables) -> DataFrame:
     r"""SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)$', 1) AS number, 'ISO' AS scheme, '1' AS part, regexp_extract(p_brand, '([0-9]+)$', 1) = '23' AS hit FROM part""",
 )
 def f20(t: Tables) -> DataFrame:
-    named = t.part.withColumn("refs", codes.standard_refs(F.concat(F.lit("see iso/iec "), F.regexp_extract("p_brand", "([0-9]+)$", 1), F.lit("-1:2013 and EPEN 77"))))
+    named = t.part.withColumn("refs", codes.standard_refs(F.concat(F.lit("see iso/iec 0"), F.regexp_extract("p_brand", "([0-9]+)$", 1), F.lit("-1:2013 and EPEN 77"))))
     wanted = F.array(F.struct(F.lit("ISO").alias("scheme"), F.lit("23").alias("number"), F.lit("").alias("part")))
     first = F.col("refs")[0]
     return named.select("p_partkey", first["number"].alias("number"), first["scheme"].alias("scheme"), first["part"].alias("part"), codes.standard_matches(F.col("refs"), wanted).alias("hit"))
