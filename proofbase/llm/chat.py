@@ -105,9 +105,10 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     state = c.stored(state)
     jumps = [c.stored(state.where("up is not null").select("node", "up"))]
     while not jumps[-1].isEmpty():
-        # each round doubles how far up a message sees
+        # each round doubles how far up a message sees; those that see their root are done
         above = state.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("score").alias("_s"), F.col("n").alias("_d"))
-        state = c.stored(state.join(above, F.col("up") == F.col("_n"), "left").select("tree", "node", F.col("_u").alias("up"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("_d", F.lit(0))).alias("n")))
+        step = state.where("up is not null").join(above, F.col("up") == F.col("_n")).select("tree", "node", F.col("_u").alias("up"), (F.col("score") + F.col("_s")).alias("score"), (F.col("n") + F.col("_d")).alias("n"))
+        state = c.stored(state.where("up is null").unionByName(step))
         jumps.append(c.stored(state.where("up is not null").select("node", "up")))
     parents = messages.select(F.col("parent").alias("_q")).where("_q is not null").distinct()
     leaves = c.stored(state.join(parents, F.col("node") == F.col("_q"), "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("n")).alias("mean"), "n"))
