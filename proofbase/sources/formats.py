@@ -274,5 +274,5 @@ def read_files(spark: SparkSession, path: str, kind: Column) -> DataFrame:
 def document_status(pages: Column) -> Column:
     """Complete if every page has text, or if only a single first or last page is empty; else partial."""
     empty = F.filter(F.sequence(F.lit(1), F.size(pages)), lambda i: F.trim(F.element_at(pages, i)) == "")
-    benign = (F.size(empty) == 1) & ((empty[0] == 1) | (empty[0] == F.size(pages))) & (F.size(pages) > 1)
+    benign = (F.size(empty) == 1) & ((F.get(empty, 0) == 1) | (F.get(empty, 0) == F.size(pages))) & (F.size(pages) > 1)
     return F.when((F.size(pages) > 0) & ((F.size(empty) == 0) | benign), "complete").otherwise("partial")
