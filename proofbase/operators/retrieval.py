@@ -124,8 +124,8 @@ def search(
     if form["refs"]:
         wanted = F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("scheme", "number", "part")]) for r in form["refs"]])
         numbers = sorted({r["number"] for r in form["refs"]})
-        candidates = text_candidates(postings(rows, rid, text), numbers)
-        named = rows.join(candidates, F.col(rid) == F.col("rid"), "left_semi")  # J06: filter, then verify
+        candidates = text_candidates(postings(rows, rid, text), numbers).select(F.col("rid").alias("_c"))
+        named = rows.join(candidates, F.col(rid) == F.col("_c"), "left_semi")  # J06: filter, then verify
         own = F.concat_ws(" ; ", *[F.col(n).cast("string") for n in fields])
         hits.append(named.where(codes.standard_matches(codes.standard_refs(own), wanted)).select(F.col(rid).alias("rid"), F.lit("exact_standard").alias("match"), F.lit(0.0).alias("rank"), F.lit(0).alias("seq"), F.lit("direct").alias("relevance")))
     else:
@@ -137,8 +137,8 @@ def search(
             terms = [form["code"].lstrip("-")]
         if terms:
             wanted = F.array(*[F.lit(t) for t in terms])
-            candidates = text_candidates(postings(rows, rid, text), terms)
-            body = records.field_terms(rows.join(candidates, F.col(rid) == F.col("rid"), "left_semi"), wanted, fields, identifiers)
+            candidates = text_candidates(postings(rows, rid, text), terms).select(F.col("rid").alias("_c"))
+            body = records.field_terms(rows.join(candidates, F.col(rid) == F.col("_c"), "left_semi"), wanted, fields, identifiers)
             judged = body.where((F.size("got") > 0) | (F.size("id_only") > 0)).withColumn("relevance", records.relevance(F.col("got"), F.col("id_only"), wanted))
             share = tx.coverage(F.col("got"), wanted)
             label = F.when(share == 1, "all_terms").otherwise(F.concat(F.lit("terms "), F.array_join(F.array_sort("got"), ",")))
@@ -147,12 +147,12 @@ def search(
         hits.append(rows.select(F.col(rid).alias("rid"), F.lit("filter").alias("match"), F.lit(5.0).alias("rank"), F.lit(4).alias("seq"), F.lit("direct").alias("relevance")))
     if not hits:
         hits.append(spark.createDataFrame([], "rid long, match string, rank double, seq int, relevance string"))
-    best = best_hits([h.select(*shape) for h in hits])
+    best = best_hits([h.select(*shape) for h in hits]).withColumnRenamed("rid", "_rid")
     passes = reduce(lambda a, b: a & b, [records._equals(k, v) for k, v in (filters or {}).items()], F.lit(True))
     none = F.lit(None).cast("string")
     in_scope = records.scope_allowed(none if direction is None else direction, none if jurisdiction is None else jurisdiction, want_direction, want_jurisdiction)
     outcome = F.when(~passes, "filtered").when(~in_scope, "out_of_scope").when((F.col("relevance") == "unrelated") & F.lit(not include_unrelated), "unrelated").otherwise("ranked")
-    return rows.join(best, F.col(rid) == F.col("rid")).withColumn("outcome", outcome)
+    return rows.join(best, F.col(rid) == F.col("_rid")).withColumn("rid", F.col("_rid")).drop("_rid").withColumn("outcome", outcome)
 
 
 def page(found: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:

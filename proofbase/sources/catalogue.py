@@ -116,6 +116,7 @@ class CatalogueTable(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CatalogueTable)
 
 
