@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbase.functions import text as tx
-from proofbase.operators import messages, passages, records, sequences
+from proofbase.operators import messages, records, sequences
 from proofbase.plans.registry import Tables, query
 from proofbase.streaming import events as streams
 
@@ -157,11 +156,6 @@ def v03(t: Tables) -> DataFrame:
     return relevant.select("page_id", F.size("got").alias("score")).orderBy(F.desc("score"), "page_id").limit(20)
 
 
-@query("V02_S03_freshness_listing", "SELECT c_nationkey, count(*) AS row_count, max(c_acctbal) AS most FROM customer GROUP BY 1")
-def v02(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_nationkey").agg(F.count("*").alias("row_count"), F.max("c_acctbal").alias("most"))
-
-
 @query("V07_finding_assessment", """SELECT doc_id, contains(lower(text), 'the') AS negative, CASE WHEN contains(lower(text), 'the') AND coalesce(toxic, 0) = 0 THEN 'unverified' WHEN quality = 1 THEN 'verified' ELSE 'unverified' END AS legal_status FROM documents LEFT JOIN labels USING (doc_id)""")
 def v07(t: Tables) -> DataFrame:
     """A negative claim needs its own legal proof; others take their check's."""
@@ -169,15 +163,3 @@ def v07(t: Tables) -> DataFrame:
     negative = records.is_negative([F.when(F.contains(F.lower("text"), F.lit("the")), "not required").otherwise("")])
     proof = F.when(negative & (F.coalesce("toxic", F.lit(0)) == 0), "unverified").when(F.col("quality") == 1, "verified").otherwise("unverified")
     return judged.select("doc_id", negative.alias("negative"), proof.alias("legal_status"))
-
-
-@query("T06_passage_count", r"SELECT doc_id, len(string_split(text, chr(10))) AS lines, greatest(1, ceil((len(string_split(text, chr(10))) - 2) / 2))::BIGINT AS windows FROM documents")
-def t06(t: Tables) -> DataFrame:
-    cut = passages.windows(t.documents.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("windows"))
-    lines = t.documents.select("doc_id", F.size(F.split("text", "\n")).alias("lines"))
-    return lines.join(cut, "doc_id")
-
-
-@query("T09_cached_terms", "SELECT lang, count(*) AS docs FROM documents GROUP BY 1")
-def t09(t: Tables) -> DataFrame:
-    return t.documents.select("lang", tx.short(F.col("text")).alias("s")).groupBy("lang").agg(F.count("s").alias("docs"))

@@ -53,7 +53,7 @@ HITS_SQL = f"hits AS (SELECT doc_id, list_filter({TERMS_SQL}, lambda q: len(list
 
 
 @query(
-    "J05_term_search",
+    "J05_L02_term_search",
     f"""WITH {HITS_SQL}, c AS (SELECT doc_id, len(got) / 4 AS coverage FROM (SELECT * FROM hits WHERE len(got) > 0 ORDER BY doc_id LIMIT 2000))
     SELECT doc_id, coverage, CASE WHEN coverage < 0.5 THEN 'unrelated' WHEN coverage < 1 THEN 'weak' ELSE 'direct' END AS relevance, 3 + (1 - coverage) + CASE WHEN coverage < 0.5 THEN 5 ELSE 0 END AS rank FROM c ORDER BY rank, doc_id LIMIT 25""",
 )
@@ -121,7 +121,7 @@ def j10(t: Tables) -> DataFrame:
     return verification.inherited_legal(t.documents.select("doc_id"), legal, "doc_id", "id")
 
 
-@query("J11_unanswered", "SELECT conv_id, turn FROM conversations u WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant')")
+@query("J11_T04_unanswered", "SELECT conv_id, turn FROM conversations u WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant')")
 def j11(t: Tables) -> DataFrame:
     return sequences.unanswered(t.conversations, "conv_id", "turn").select("conv_id", "turn")
 
