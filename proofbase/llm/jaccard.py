@@ -361,7 +361,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each component with the smallest doc_id, with all its columns."""
     kept = jaccard(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(kept.distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def brute(docs: list[tuple[int, str | None]]) -> list[tuple]:
