@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
@@ -45,6 +46,11 @@ def _accent_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: the body of a lambda is computed for every element, with all it refers to."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_controls(c: Column) -> Column:
     """F01. NULL becomes the empty string; tab, line feed and carriage return stay."""
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), CONTROLS, "")
@@ -57,6 +63,14 @@ def normalized(c: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.translate(F.lower(x), FINAL_LETTERS, REGULAR_LETTERS), F.lit(WORD), F.lit(0)), " ")
 
 
+def normalized_lines(c: Column) -> Column:
+    """F02 of every line, line breaks kept."""
+    accented, bare = _accent_table()
+    x = F.regexp_replace(F.translate(strip_controls(c), accented, bare), "\\p{Mn}+", "")
+    x = F.regexp_replace(F.translate(F.lower(x), FINAL_LETTERS, REGULAR_LETTERS), "[^\\n\\p{L}\\p{N}_\\u0590-\\u05FF]+", " ")
+    return F.regexp_replace(x, "(?m)^ | $", "")
+
+
 def normalize_python(text: str | None) -> str:
     """F02, the definition: compatibility decomposition, combining marks dropped."""
     x = unicodedata.normalize("NFKD", re.sub(CONTROLS.encode().decode("unicode_escape"), "", text or ""))
@@ -131,12 +145,12 @@ def term_matches(term: Column, token: Column) -> Column:
 
 def matched_terms(terms: Column, vocabulary: Column) -> Column:
     """the terms that occur, as they are or inflected."""
-    return F.filter(terms, lambda t: F.array_contains(vocabulary, t) | F.exists(vocabulary, lambda w: term_matches(t, w)))
+    return let(vocabulary, lambda v: F.filter(terms, lambda t: F.array_contains(v, t) | F.exists(v, lambda w: term_matches(t, w))))
 
 
 def document_hits(terms: Column, vocabulary: Column) -> Column:
     """as F08, but numbers match whole words only."""
-    return F.filter(terms, lambda t: F.array_contains(vocabulary, t) | (~is_digits(t) & F.exists(vocabulary, lambda w: term_matches(t, w))))
+    return let(vocabulary, lambda v: F.filter(terms, lambda t: F.array_contains(v, t) | (~is_digits(t) & F.exists(v, lambda w: term_matches(t, w)))))
 
 
 def token_variants(token: Column) -> Column:
@@ -173,7 +187,7 @@ def short(c: Column, n: int = 240) -> Column:
 def window_share(words: Column, body: Column, size: int = 6, step: int = 3) -> Column:
     """The share of windows of `size` words, each `step`, that occur in the body; NULL for fewer words."""
     starts = F.sequence(F.lit(0), F.size(words) - size, F.lit(step))
-    found = F.filter(starts, lambda i: F.contains(body, F.array_join(F.slice(words, i + 1, size), " ")))
+    found = let(words, lambda w: F.filter(starts, lambda i: F.contains(body, F.array_join(F.slice(w, i + 1, size), " "))))
     return F.when(F.size(words) >= size, F.size(found) / F.size(starts))
 
 

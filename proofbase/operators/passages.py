@@ -32,8 +32,14 @@ def passage_hits(pages: DataFrame, terms: Column, phrase: Column, text: str = "t
     """Windows with enough terms, their score; pages that can't have them are left out first."""
     whole = F.array_distinct(tx.tokens(tx.normalized(F.col(text))))
     likely = pages.where(F.size(tx.document_hits(terms, whole)) >= needed(terms))
-    norm = tx.normalized(F.array_join("lines", "\n"))
-    cut = windows(likely, text).withColumn("_n", norm).withColumn("got", tx.document_hits(terms, F.array_distinct(tx.tokens(F.col("_n")))))
+    # lines are normalised once and every window puts its own together
+    lined = likely.withColumns({"_l": F.split(F.col(text), "\n"), "_x": F.split(tx.normalized_lines(F.col(text)), "\n")})
+    n = F.size("_l")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(1), n - WINDOW + STEP) - 1, F.lit(STEP))
+    cut = lined.withColumn("_i", F.explode(starts)).withColumns({
+        "first_line": F.col("_i") + 1, "last_line": F.least(n, F.col("_i") + WINDOW), "lines": F.slice("_l", F.col("_i") + 1, WINDOW), "_n": F.array_join(F.filter(F.slice("_x", F.col("_i") + 1, WINDOW), lambda x: x != ""), " "),
+    }).drop("_i", "_l", "_x")
+    cut = cut.withColumn("got", tx.document_hits(terms, F.array_distinct(tx.tokens(F.col("_n")))))
     exact = (F.size(F.split(phrase, " ")) > 1) & F.contains(F.col("_n"), phrase)
     scored = cut.where(F.size("got") >= needed(terms)).withColumns({"exact_phrase": exact, "score": web.passage_score(F.size("got"), F.size(terms), exact)})
     return scored.withColumn("snippet", F.substring(F.trim(F.array_join("lines", "\n")), 1, SNIPPET)).drop("_n", "lines")
