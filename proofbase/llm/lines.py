@@ -55,7 +55,8 @@ def line_dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     used = keyed.select("_row", F.explode(F.array_distinct(_hashes(F.col("text")))).alias("line")).where("line is not null")
     gone = used.join(common, F.col("line") == F.col("_c"), "left_semi").distinct().groupBy(F.col("_row").alias("_r")).agg(F.collect_set("line").alias("_gone"))
-    joined = keyed.join(c.stored(gone), F.col("_row") == F.col("_r"), "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<bigint>")))
+    # the same join at every size: what is removed grows with the corpus, so it is no broadcast
+    joined = keyed.join(c.stored(gone).hint("merge"), F.col("_row") == F.col("_r"), "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<bigint>")))
     line = lambda x: F.xxhash64(_trimmed(x), F.lit(7))
     goes = lambda x: (_trimmed(x) != "") & F.array_contains(F.col("_gone"), line(x))
     parts = F.split("text", "\n")
