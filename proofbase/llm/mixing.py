@@ -2,10 +2,14 @@
 
 A classifier fitted on the labelled table gives each document posteriors over the domains.
 Document rates r >= 0 are fitted by projected gradient so that the expected tokens of each
-domain, sum over documents of r * tokens * posterior, match the targets in least squares.
-The residual has one number per domain; the step is preconditioned by the domains' Gram matrix,
-so a few rounds suffice. A round is one aggregation over all documents: a document's rate is
-folded from its posteriors and the rounds' residuals, so no state is kept between rounds.
+domain, sum over documents of r * tokens * posterior, match the targets in least squares, with
+a small ridge that holds rates near 1: without it, faint posteriors of a scarce domain drove
+most rates to 0. The gradient is one number per domain, preconditioned by the domains' Gram
+matrix; a rate is 1 less the posteriors' product with the summed steps, cut at 0. So a round is
+one aggregation over all documents, a few rounds suffice, and no state is kept between them.
+
+Targets: the first domain has GROWTH times its expected tokens; the others their share beside
+it, but at most REACH times what they have.
 
 The classifier is fitted on a bounded sample: at most SAMPLE_ROWS labelled documents a domain,
 in hash order, until SAMPLE_BYTES each. Posteriors, sums and rates cover every whole text.
@@ -34,10 +38,12 @@ DOMAINS = ("good", "junk", "toxic")
 #: Target token shares of the mixture.
 WEIGHTS = {"good": 0.90, "junk": 0.07, "toxic": 0.03}
 #: The mixture has this many tokens per expected token of the first domain, before its share.
-GROWTH = 1.05
+GROWTH, REACH = 1.05, 1.0
+#: The weight of (rate - 1) squared, per token, beside the squared misses of the domains' token shares.
+RIDGE = 1e-3
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
 BUCKETS = 1 << 18
-ROUNDS, TOLERANCE = 40, 1e-6
+ROUNDS, TOLERANCE = 40, 1e-7
 
 
 def _bins(t: c.Texts) -> tuple[c.Words, np.ndarray]:
@@ -109,7 +115,8 @@ def fit(rows: list[tuple[str, int]], shares: np.ndarray) -> Classifier:
     model.weights = w / scale[:, None]
     # the sample has about as many of each domain
     own = np.bincount(label[curve], minlength=len(DOMAINS)) / max(1, curve.sum())
-    model.weights[0] += np.log(np.maximum(shares, 1e-9)) - np.log(np.maximum(own, 1e-9))
+    shift = np.log(np.maximum(shares, 1e-9)) - np.log(np.maximum(own, 1e-9))
+    model.weights[0] += np.where(own > 0, shift, -30.0)  # a domain without a text is no domain of these documents
     return model
 
 
@@ -117,6 +124,8 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes | list[float]:
     """A pickled Classifier, or plain shares where there is nothing to tell apart."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & F.col("quality").isNotNull()).select("doc_id", domain.alias("domain")).groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    # only labels of these documents: an earlier stage may have removed a domain
+    known = known.join(docs.select(F.col("doc_id").alias("_d")), F.col("doc_id") == F.col("_d"), "left_semi")
     counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     shares = [counts.get(k, 0) / total if total else float(k == 0) for k in range(len(DOMAINS))]
@@ -162,13 +171,12 @@ def memberships(docs: DataFrame, model: bytes | list[float]) -> DataFrame:
     return docs.mapInArrow(run, c.extended(docs.schema, "tokens long, p array<double>"))
 
 
-def _rate(steps: list[np.ndarray]) -> F.Column:
-    """The rate after these rounds: from 1, each round steps along the posteriors and is cut at 0."""
-    if not steps:
-        return F.lit(1.0)
-    rounds = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-    dot = lambda v: F.aggregate(F.zip_with("p", v, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(rounds, F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), r - dot(v)))
+def _rate(u: np.ndarray) -> F.Column:
+    """The rate for the summed steps u: 1 less their product with the posteriors, cut at 0."""
+    dot = F.lit(0.0)
+    for k, v in enumerate(u):
+        dot = dot + F.col("p")[k] * F.lit(float(v))
+    return F.greatest(F.lit(0.0), F.lit(1.0) - dot)
 
 
 def _sums(members: DataFrame, value: F.Column) -> np.ndarray:
@@ -176,26 +184,28 @@ def _sums(members: DataFrame, value: F.Column) -> np.ndarray:
     return np.array(list(row))
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, growth: float = GROWTH) -> tuple[F.Column, np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, growth: float = GROWTH, reach: float = REACH, ridge: float = RIDGE) -> tuple[F.Column, np.ndarray, np.ndarray]:
     """The rate as an expression over p; the targets; and the expected domain tokens reached."""
     k = len(DOMAINS)
     cells = [(i, j) for i in range(k) for j in range(i, k)]
-    row = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}{j}") for i, j in cells]).first()
+    row = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i, j in cells]).first()
+    total = max(float(row[0]), 1.0)
     gram = np.zeros((k, k))
-    for (i, j), v in zip(cells, row, strict=True):
-        gram[i, j] = gram[j, i] = v
+    for (i, j), v in zip(cells, row[1:], strict=True):
+        gram[i, j] = gram[j, i] = v / total
     share = np.array([weights[d] for d in DOMAINS]) / sum(weights.values())
     now = _sums(members, F.lit(1.0))
     target = share * growth * now[0] / share[0]
-    solve = np.linalg.pinv(gram, rcond=1e-12)
-    steps: list[np.ndarray] = []
+    target[1:] = np.minimum(target[1:], reach * now[1:])
+    solve = np.linalg.inv(gram + ridge * np.eye(k))
+    u = np.zeros(k)
     for _ in range(ROUNDS):
-        rest = now - target
-        if np.abs(rest).max() <= TOLERANCE * max(1.0, np.abs(target).max()):
+        slope = (now - target) / total - ridge * u  # zero where the fit is optimal
+        if np.abs(slope).max() <= TOLERANCE:
             break
-        steps.append(solve @ rest)
-        now = _sums(members, _rate(steps))
-    return F.round(_rate(steps), 6), target, now
+        u = u + solve @ slope
+        now = _sums(members, _rate(u))
+    return F.round(_rate(u), 6), target, now
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, growth: float = GROWTH) -> DataFrame:

@@ -204,12 +204,39 @@ def test_rates_meet_the_targets(spark):
         p = np.array([rng.random() ** 3, rng.random() ** 3, rng.random() ** 3])
         rows.append((i, rng.randint(1, 500), (p / p.sum()).tolist()))
     members = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
-    rate, target, reached = mixing.fit_rates(members, {"good": 0.5, "junk": 0.3, "toxic": 0.2}, 1.0)
-    assert np.allclose(reached, target, rtol=1e-4)
+    weights = {"good": 0.5, "junk": 0.3, "toxic": 0.2}
+    rate, target, reached = mixing.fit_rates(members, weights, 1.0, reach=10.0, ridge=1e-5)
+    assert np.allclose(reached, target, rtol=0.01)
     rates = {r["doc_id"]: r["rate"] for r in members.withColumn("rate", rate).collect()}
     assert min(rates.values()) >= 0
     sums = sum(np.array(p) * n * rates[i] for i, n, p in rows)
-    assert np.allclose(sums, target, rtol=1e-3)
+    assert np.allclose(sums, reached, rtol=1e-3)
+    # optimal: no other nonnegative rates of this form do better, found by plain projected gradient
+    a = np.array([np.array(p) * n for i, n, p in rows])
+    n = a.sum(axis=1)
+    cost = lambda r: (((r @ a - target) / n.sum()) ** 2).sum() + 1e-5 * (n / n.sum() * (r - 1) ** 2).sum()
+    mine, r = np.array([rates[i] for i, *_ in rows]), np.ones(len(rows))
+    for _ in range(5000):
+        r = np.maximum(0, r - ((a / n[:, None]) @ ((r @ a - target) / n.sum()) + 1e-5 * (r - 1)))
+    assert cost(mine) <= cost(r) * 1.01 + 1e-12
+
+
+def test_a_scarce_domain_does_not_cost_the_others(spark):
+    rng = random.Random(6)
+    rows = [(i, 100, [0.99 - e, 0.01 * e + 0.0001, 0.01 - 0.01 * e + 0.99 * e * 0 + e - 0.0001]) for i, e in enumerate(rng.random() * 0.01 for _ in range(300))]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    rate = mixing.fit_rates(members)[0]
+    low = members.select(F.min(rate)).first()[0]
+    assert low >= 0.95
+
+
+def test_a_domain_that_an_earlier_stage_removed(spark):
+    rows, labels = labelled(200)
+    docs = spark.createDataFrame(rows, DDL)
+    gone = [(10_000 + i, 0, 0) for i in range(200)]
+    found = mixing.mix(docs, spark.createDataFrame(labels + gone, "doc_id long, quality int, toxic int")).collect()
+    good = [r["rate"] for r in found if r["doc_id"] % 4]
+    assert sum(x >= 0.9 for x in good) > 0.9 * len(good)
 
 
 def test_mixing_awkward_rows(spark, docs):
