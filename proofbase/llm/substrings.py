@@ -6,8 +6,10 @@ Equal strings must meet, so the suffixes are dealt out by content, in three step
 1. Units. Texts are cut at content-defined points; a unit with its next LENGTH - 1 bytes holds
    all windows that start in it. A unit that an earlier document has needs no more work: all
    its windows are hits, and whoever repeats them repeats the earlier document's.
-2. Anchors. In each remaining window the GRAM-byte string with the least hash is its anchor.
-   Equal windows have equal anchors, so only anchors found in two documents matter.
+2. Anchors. In each remaining window the GRAM-byte string with the least hash is its anchor;
+   the most frequent strings, a bounded list, come last in that order, so a window that is only
+   partly in common text has an anchor of its own. Equal windows have equal anchors whatever
+   the list, so only anchors found in two documents matter.
 3. Suffixes. The windows of a shared anchor are sorted as suffixes. In that order the running
    minima of the document numbers, forwards and backwards within stretches of a common prefix
    of LENGTH bytes, tell whether a previous or a next smaller document exists, that is whether
@@ -36,6 +38,10 @@ from proofbase.llm import common as c
 LENGTH, GRAM = 50, 24
 #: One in so many positions ends a unit.
 UNIT = 256
+#: The list of frequent strings: most entries, the count from which one is kept, and the share of hashes looked at (anchors have small ones).
+FREQUENT, FREQUENT_FROM, LOW = 1 << 18, 64, 1 << 61
+#: Strings counted at once.
+BLOCK_GRAMS = 1 << 20
 #: Windows runs of one anchor that are sorted in one block.
 BLOCK_RUNS = 128
 #: Bytes of windows sorted at once.
@@ -75,6 +81,17 @@ def _unit_keys(t: c.Texts, start: np.ndarray, end: np.ndarray) -> list[bytes]:
 
 
 def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, document) of units and (null, null, string hash, count) of strings frequent in a block."""
+    names = ["unit", "doc", "gram", "count"]
+    held: list[np.ndarray] = []
+
+    def frequent() -> pa.RecordBatch:
+        code, count = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        keep = np.flatnonzero(count > 2)
+        keep = keep[np.argsort(-count[keep], kind="stable")[: FREQUENT // 4]]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.int64()), c.signed(code[keep]), pa.array(count[keep], pa.int64())], names=names)
+
     for t in c.texts(batches):
         code, whole = gram_hashes(t)
         row, start, end = units(t, code, whole)
@@ -85,7 +102,22 @@ def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             doc = ids[i]
             if doc is not None and (key not in least or doc < least[key]):
                 least[key] = doc
-        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.binary()), pa.array(list(least.values()), pa.int64())], names=["unit", "doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.binary()), pa.array(list(least.values()), pa.int64()), pa.nulls(len(least), pa.int64()), pa.nulls(len(least), pa.int64())], names=names)
+        held.append(code[whole & (code < c.U64(LOW))])
+        if sum(map(len, held)) > BLOCK_GRAMS:
+            yield frequent()
+    if held:
+        yield frequent()
+
+
+def ranked(code: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The order in which strings become anchors: by hash, frequent ones last."""
+    rank = code >> c.U64(1)
+    low = np.flatnonzero(code < c.U64(LOW))
+    if len(common) and len(low):
+        spot = np.minimum(np.searchsorted(common, code[low]), len(common) - 1)
+        rank[low[common[spot] == code[low]]] |= c.U64(1 << 63)
+    return rank
 
 
 def _own_windows(t: c.Texts, code: np.ndarray, whole: np.ndarray, firsts: list) -> np.ndarray:
@@ -105,8 +137,8 @@ def _anchors(code: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The position of the least gram hash in each window, the leftmost of equal ones. Works in stretches of bounded size."""
     span = LENGTH - GRAM + 1
     out = np.empty(len(start), np.int64)
-    for i in range(0, len(start), 1 << 20):
-        s = start[i : i + (1 << 20)]
+    for i in range(0, len(start), 1 << 18):
+        s = start[i : i + (1 << 18)]
         lo, hi = int(s[0]), int(s[-1]) + span
         part = code[lo:hi]
         best, at = part.copy(), np.arange(lo, hi)
@@ -131,7 +163,7 @@ def _from_planes(b: bytes, n: int, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, n).T).view(dtype).ravel()
 
 
-def _anchor_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _anchor_batches(batches: Iterator[pa.RecordBatch], buckets: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The anchors of windows to look up, packed per bucket of hashes: (bucket, n, hash planes, doc planes, position planes)."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -151,12 +183,13 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
         start = np.flatnonzero(kind == 2)
         if not len(start):
             continue
-        at = _anchors(code, start)
+        at = _anchors(ranked(code, common), start)
         at = at[np.append(True, at[1:] != at[:-1])]
         row = np.searchsorted(t.at, at, "right") - 1
         ids = docs.fill_null(0).to_numpy()
-        held.append((code[at], ids[row], (at - t.at[row]).astype(np.uint32)))
-        if sum(len(x[0]) for x in held) > 1 << 21:
+        # mixed again, as least hashes are small and buckets are ranges
+        held.append((c.mix(code[at]), ids[row], (at - t.at[row]).astype(np.uint32)))
+        if sum(len(x[0]) for x in held) > 1 << 20:
             yield packed()
     if held:
         yield packed()
@@ -184,17 +217,18 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     now = None
     for batch in batches:
-        for bucket, n, *planes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for i, (bucket, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             if bucket != now and held:
                 yield from found(held)
                 held = []
             now = bucket
+            planes = [batch.column(k)[i].as_buffer() for k in (2, 3, 4)]  # not copied
             held.append((_from_planes(planes[0], n, np.uint64), _from_planes(planes[1], n, np.int64), _from_planes(planes[2], n, np.uint32)))
     if held:
         yield from found(held)
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run_batches(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The runs of windows of shared anchors: (code, block, blocks, doc, print, at, bytes)."""
     names = ["code", "block", "blocks", "doc", "print", "at", "bytes"]
     for t in c.texts(batches):
@@ -212,7 +246,7 @@ def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(kind == 2)
         if not len(start):
             continue
-        at = _anchors(code, start)
+        at = _anchors(ranked(code, common), start)
         keep = many[at] > 0
         start, at = start[keep], at[keep]
         if not len(start):
@@ -348,16 +382,21 @@ def substring_dedup(docs: DataFrame, kept_bytes: bool = False) -> DataFrame:
     spark = docs.sparkSession
     parts = c.shuffle_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    least = docs.mapInArrow(_unit_batches, "unit binary, doc long").groupBy("unit").agg(F.min("doc").alias("doc"))
+    found = c.stored(docs.mapInArrow(_unit_batches, "unit binary, doc long, gram long, count long"))
+    many = found.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM)
+    top = many.orderBy(F.desc("count"), "gram").limit(FREQUENT).select("gram").toArrow().column("gram").to_numpy()
+    common = spark.sparkContext.broadcast(np.sort(top.view(c.U64)))  # at most 2 MB
+    least = found.where("unit is not null").groupBy("unit").agg(F.min("doc").alias("doc"))
     firsts = c.stored(least.groupBy(F.col("doc").alias("u_doc")).agg(F.collect_list("unit").alias("units")))
     # the texts are shuffled once, by doc_id; the three uses below share that exchange
     dealt = docs.repartition(parts, "doc_id").withColumn("print", F.xxhash64("text"))
     own = dealt.join(firsts.hint("merge"), F.col("doc_id") == F.col("u_doc"), "left")
-    packed = own.select("doc_id", "units", "text").mapInArrow(lambda it: _anchor_batches(it, parts), "bucket long, n long, code binary, doc binary, at binary")
+    packed = own.select("doc_id", "units", "text").mapInArrow(lambda it: _anchor_batches(it, 4 * parts, common.value), "bucket long, n long, code binary, doc binary, at binary")
     met = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_batches, "s_doc long, at array<long>, blocks array<long>")
     per_doc = met.groupBy("s_doc").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("blocks")).alias("blocks"))
-    runs = own.join(per_doc.hint("merge"), F.col("doc_id") == F.col("s_doc")).select("doc_id", "print", "units", "at", "blocks", "text")
-    runs = runs.mapInArrow(_run_batches, "code long, block long, blocks long, doc long, print long, at long, bytes binary")
+    # a left join, as an inner one would push a filter below the exchange and make it another
+    runs = own.join(per_doc.hint("merge"), F.col("doc_id") == F.col("s_doc"), "left").select("doc_id", "print", "units", "at", "blocks", "text")
+    runs = runs.mapInArrow(lambda it: _run_batches(it, common.value), "code long, block long, blocks long, doc long, print long, at long, bytes binary")
     key = F.xxhash64("code", "block")
     first = runs.select(key.alias("key"), "doc", "print", "at", "bytes", "blocks").repartition(parts, "key").sortWithinPartitions("key")
     first = first.mapInArrow(lambda it: _sorted_batches(it, again=False), "doc long, print long, at long, until long, bytes binary")
