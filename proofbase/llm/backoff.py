@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from proofbase.llm import common as c
 
 ORDER, BACKOFF = 3, 0.4
 #: Words of a block whose n-grams are combined at once.
-BLOCK_WORDS = 3 << 20
+BLOCK_WORDS = 3 << 19
 
 
 class Block:
@@ -59,13 +60,14 @@ class Block:
         return ok + n - 1, c.grams(self.code, n)[ok]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, compressed: sorted hashes as differences have few high bytes, counts are mostly 1."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes(), 3)
 
 
-def _from_planes(b: bytes, n: int, dtype: type) -> np.ndarray:
+def _unpacked(b: bytes, n: int, dtype: type) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, n).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(width, n).T).view(dtype).ravel() if n else np.zeros(0, dtype)
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -90,47 +92,43 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]
         yield now, pa.Table.from_batches(held)
 
 
+SENT = "bucket long, block long, sizes array<long>, keys array<binary>, counts array<binary>"
+ANSWERED = "block long, bucket long, sizes array<long>, counts array<binary>"
+_LONGS, _BLOBS = pa.list_(pa.int64()), pa.list_(pa.binary())
+
+
 def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Per (bucket, block): the block's distinct n-grams of each order in that hash range."""
     for block, rows in _grouped(batches):
         b = Block(rows)
+        sizes, keys, counts = ([[] for _ in range(buckets)] for _ in range(3))
         for n in range(1, ORDER + 1):
-            keys, count = np.unique(b.grams(n)[1], return_counts=True)
-            cut = _cuts(keys, buckets)
-            out = []
+            code, many = np.unique(b.grams(n)[1], return_counts=True)
+            cut = _cuts(code, buckets)
             for k in range(buckets):
                 x, y = int(cut[k]), int(cut[k + 1])
-                if y > x:
-                    # sorted hashes as differences: high bytes are mostly zero
-                    out.append((n, k, block, y - x, _planes(np.diff(keys[x:y], prepend=c.U64(0))), _planes(count[x:y].astype(np.uint32))))
-            if out:
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["n", "bucket", "block", "size", "keys", "counts"])
+                sizes[k].append(y - x)
+                keys[k].append(_packed(np.diff(code[x:y], prepend=c.U64(0))))
+                counts[k].append(_packed(many[x:y].astype(np.uint32)))
+        ids = np.arange(buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(buckets, block)), pa.array(sizes, _LONGS), pa.array(keys, _BLOBS), pa.array(counts, _BLOBS)], names=["bucket", "block", "sizes", "keys", "counts"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each (n, bucket): the blocks' counts summed, and sent back in each block's order."""
-    held: list[tuple] = []
-    now = None
-
-    def answers() -> pa.RecordBatch:
-        keys = [np.cumsum(_from_planes(x[4], x[3], np.uint64), dtype=c.U64) for x in held]
-        counts = np.concatenate([_from_planes(x[5], x[3], np.uint32) for x in held])
-        _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, counts).astype(np.uint64)[where].astype(np.uint32)
-        cut = np.cumsum([0, *map(len, keys)])
-        out = [(x[2], x[0], x[1], x[3], _planes(total[cut[i] : cut[i + 1]])) for i, x in enumerate(held)]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "n", "bucket", "size", "counts"])
-
-    for batch in batches:
-        for x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if held and x[:2] != now:
-                yield answers()
-                held = []
-            now = x[:2]
-            held.append(x)
-    if held:
-        yield answers()
+    """For each bucket: the blocks' counts summed, and sent back in each block's order."""
+    for bucket, rows in _grouped(batches):
+        blocks, sizes = rows.column("block").to_pylist(), rows.column("sizes").to_pylist()
+        keys, counts = rows.column("keys").to_pylist(), rows.column("counts").to_pylist()
+        out: list[list[bytes]] = [[] for _ in blocks]
+        for n in range(ORDER):
+            code = [np.cumsum(_unpacked(k[n], m[n], np.uint64), dtype=c.U64) for k, m in zip(keys, sizes, strict=True)]
+            many = np.concatenate([_unpacked(k[n], m[n], np.uint32) for k, m in zip(counts, sizes, strict=True)])
+            _, where = np.unique(np.concatenate(code), return_inverse=True)
+            total = np.bincount(where, many)[where].astype(np.uint32) if len(many) else many
+            cut = np.cumsum([0, *map(len, code)])
+            for i in range(len(blocks)):
+                out[i].append(_packed(total[cut[i] : cut[i + 1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([bucket] * len(blocks), pa.int64()), pa.array(sizes, _LONGS), pa.array(out, _BLOBS)], names=["block", "bucket", "sizes", "counts"])
 
 
 def _log_scores(b: Block, tables: dict[int, np.ndarray], tokens: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,12 +165,12 @@ def _log_scores(b: Block, tables: dict[int, np.ndarray], tokens: int) -> tuple[n
 def _scored(docs: pa.Table, answers: pa.Table, tokens: int) -> pa.Table:
     """A block's documents and its answers -> its documents' scores."""
     b = Block(docs)
-    answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
+    answers = answers.sort_by("bucket")
+    sizes, counts = answers.column("sizes").to_pylist(), answers.column("counts").to_pylist()
     tables: dict[int, np.ndarray] = {}
-    for n in range(1, ORDER + 1):
-        own = answers.filter(pa.compute.equal(answers.column("n"), n))
-        parts = [_from_planes(x, size, np.uint32) for x, size in zip(own.column("counts").to_pylist(), own.column("size").to_pylist(), strict=True)]
-        tables[n] = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
+    for n in range(ORDER):
+        parts = [_unpacked(x[n], m[n], np.uint32) for x, m in zip(counts, sizes, strict=True)]
+        tables[n + 1] = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
     n_words, total = _log_scores(b, tables, tokens)
     none = n_words == 0
     return pa.table({
@@ -193,8 +191,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     tokens = docs.select("text").mapInArrow(_word_counts, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = max(-(-tokens // BLOCK_WORDS), 2 * parts)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).select("block", "doc_id", "text").repartition(parts, "block")
-    sent = dealt.sortWithinPartitions("block").mapInArrow(lambda it: _sent(it, parts), "n int, bucket long, block long, size long, keys binary, counts binary")
-    back = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "n").mapInArrow(_counted, "block long, n int, bucket long, size long, counts binary")
+    sent = dealt.sortWithinPartitions("block").mapInArrow(lambda it: _sent(it, parts), SENT)
+    back = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted, ANSWERED)
     # the block's texts are where they were dealt for counting: that exchange serves twice
     both = dealt.groupBy("block").cogroup(back.groupBy("block"))
     return both.applyInArrow(lambda x, y: _scored(x, y, tokens), "doc_id long, n_words long, log_score double, mean_log_score double")
@@ -206,7 +204,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 t AS (SELECT doc_id, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i-1] || ' ' || w[i] END AS w2, CASE WHEN i > 2 THEN w[i-2] || ' ' || w[i-1] || ' ' || w[i] END AS w3, len(w) AS n
       FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 s AS (SELECT *, count(*) OVER () AS total,
