@@ -4,10 +4,10 @@
    64-bit class key; equal sets are one class and share all answers. The same pass counts
    shingles, and the most frequent ones (a bounded list; it steers the order only, never the
    answers) are ranked last.
-2. Candidates. Order the union of two linked sets by hash, as a circle. At most 15 of 100 of it
-   is unmatched, so some 6 neighbours on the circle are matched, and are neighbours in both
-   sets. Each set indexes, of every 5 neighbouring pairs, the least (rare ones first): linked
-   sets share an entry. The index is combined in blocks before the shuffle, one entry per key
+2. Candidates. Order the union of two linked sets by hash, as a circle. At a threshold of 0.85 at
+   most 15 of 100 of it is unmatched, so some 6 neighbours on the circle are matched (4 at 0.8;
+   see neighbours()), and are neighbours in both sets. Each set indexes, of every 5 neighbouring
+   pairs (3 at 0.8), the least (rare ones first): linked sets share an entry. The index is combined in blocks before the shuffle, one entry per key
    and block, so a key has at most one row per block however many sets hold it.
 3. Sets that share entries, directly or through others, form a candidate group; a group holds
    all of its members' links. Groups are joined in blocks of bounded size. Within one, lists
@@ -34,7 +34,10 @@ from pyspark.sql import functions as F
 from proofbase.llm import common as c
 from proofbase.llm.graph import components
 
+#: Words of a shingle and the least similarity, NUM of DEN, by the contract of op8.
 SIZE, NUM, DEN = 4, 85, 100
+#: The same for the corpus pipeline's stage.
+STAGE = (5, 80, 100)
 #: Shingles handled at once when counting, and index entries combined at once before the shuffle.
 BLOCK_TOKENS = 2 << 20
 #: The list of frequent shingles: the most entries kept, and the count from which one is kept.
@@ -43,6 +46,13 @@ FREQUENT, FREQUENT_FROM = 1 << 18, 16
 BLOCK_SETS = 128
 
 
+def neighbours(num: int, den: int) -> int:
+    """How many neighbours on the circle two different linked sets share at least: of u unmatched tokens in the union, each is followed by num / (den - num) matched ones on average."""
+    if not den < 2 * num < 2 * den:
+        raise ValueError("the index needs a threshold above a half and below 1")
+    return -(-num // (den - num))
+
+
 def shingles(t: c.Texts, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each row, sorted by both."""
     w = c.words(t, c.SPACE_WORDS, lower=True)
@@ -69,7 +79,7 @@ def class_keys(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, n
     return size, c.mix(mixed[first[1:]] - mixed[first[:-1]] + size.astype(c.U64)), first
 
 
-def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_batches(batches: Iterator[pa.RecordBatch], words: int = SIZE) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, n, key, null) of documents and (null, null, shingle, count) of shingles frequent in a block."""
     names = ["doc_id", "n", "key", "count"]
     held: list[np.ndarray] = []
@@ -86,7 +96,7 @@ def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([blank, blank, c.signed(values[keep]), pa.array(count[keep], pa.int64())], names=names)
 
     for t in c.texts(batches):
-        row, code = shingles(t)
+        row, code = shingles(t, words)
         size, key, _ = class_keys(row, code, len(t))
         docs = t.rows.column(t.rows.schema.get_field_index("doc_id")).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([docs, pa.array(size, pa.int64()), c.signed(key), pa.nulls(len(t), pa.int64())], names=names)
@@ -97,9 +107,11 @@ def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield frequent()
 
 
-def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray, words: int = SIZE, num: int = NUM, den: int = DEN) -> Iterator[pa.RecordBatch]:
     """Rows (entry, key, null) of the index, one per entry and block, and (null, key, smaller key) of sets that share one within a block."""
     names = ["entry", "a", "b"]
+    run = neighbours(num, den)
+    window = run - 1  # pairs
     held: list[tuple[np.ndarray, np.ndarray]] = []
     seen: set[int] = set()
 
@@ -121,18 +133,18 @@ def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[
         ], names=names)
 
     for t in c.texts(batches):
-        row, code = shingles(t)
+        row, code = shingles(t, words)
         size, key, first = class_keys(row, code, len(t))
         key = key.view(np.int64)
-        # one of equal sets stands for all of them; under six shingles only equal sets are linked
+        # one of equal sets stands for all of them; a set of fewer shingles than neighbours is linked with equal ones only
         _, lead = np.unique(key, return_index=True)
-        chosen = [int(i) for i in lead if size[i] >= 6 and int(key[i]) not in seen]
+        chosen = [int(i) for i in lead if size[i] >= run and int(key[i]) not in seen]
         if not chosen:
             continue
         chosen = np.array(chosen)
         seen.update(key[chosen].tolist())
         n, at = size[chosen], first[chosen]
-        width = n + 5
+        width = n + window
         base = np.cumsum(width) - width
         place = np.arange(width.sum()) - np.repeat(base, width)
         token = code[np.repeat(at, width) + place % np.repeat(n, width)]
@@ -142,9 +154,9 @@ def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[
             rare = common[spot] != token
         pair = c.mix(token[:-1] * c.U64(c._GRAM[1]) + c.mix(token[1:])) >> c.U64(1)
         pair |= (~(rare[:-1] | rare[1:])).astype(c.U64) << c.U64(63)
-        low = pair[: len(pair) - 4].copy()
-        for k in range(1, 5):
-            np.minimum(low, pair[k : len(pair) - 4 + k], out=low)
+        low = pair[: len(pair) - window + 1].copy()
+        for k in range(1, window):
+            np.minimum(low, pair[k : len(pair) - window + 1 + k], out=low)
         inside = place[: len(low)] < np.repeat(n, width)[: len(low)]
         entry = low[inside]
         owner = np.repeat(key[chosen], n)
@@ -230,7 +242,7 @@ def links(sets: list[np.ndarray], keys: np.ndarray, num: int = NUM, den: int = D
     return edges
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], num: int = NUM, den: int = DEN) -> Iterator[pa.RecordBatch]:
     """Rows (grp, block, key, tokens) in order of (grp, block) -> edges of each block."""
     part: list[tuple[int, np.ndarray]] = []
     now = None
@@ -242,46 +254,46 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, where in enumerate(zip(grp, block, strict=True)):
             if where != now:
                 if len(part) > 1:
-                    out += links([s for _, s in part], np.array([k for k, _ in part], np.int64))
+                    out += links([s for _, s in part], np.array([k for k, _ in part], np.int64), num, den)
                 part, now = [], where
             part.append((key[i], flat[at[i] : at[i + 1]].copy()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
             out = []
-    if len(part) > 1 and (out := links([s for _, s in part], np.array([k for k, _ in part], np.int64))):
+    if len(part) > 1 and (out := links([s for _, s in part], np.array([k for k, _ in part], np.int64), num, den)):
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_batches(batches: Iterator[pa.RecordBatch], words: int = SIZE) -> Iterator[pa.RecordBatch]:
     for t in c.texts(batches):
-        row, code = shingles(t)
+        row, code = shingles(t, words)
         first = np.searchsorted(row, np.arange(len(t) + 1)).astype(np.int32)
         sets = pa.ListArray.from_arrays(pa.array(first), c.signed(code))
         cols = [t.rows.column(t.rows.schema.get_field_index(x)) for x in ("grp", "key", "sets")]
         yield pa.RecordBatch.from_arrays([*cols, sets], names=["grp", "key", "sets", "tokens"])
 
 
-def _block_edges(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.select("grp", "block", "key", "tokens").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block").mapInArrow(_joined, "a long, b long")
+def _block_edges(rows: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    return rows.select("grp", "block", "key", "tokens").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block").mapInArrow(lambda it: _joined(it, num, den), "a long, b long")
 
 
 def _blocks(n: str = "sets") -> F.Column:
     return F.ceil(F.col(n) / F.lit(BLOCK_SETS))
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def classes(docs: DataFrame, words: int = SIZE) -> tuple[DataFrame, np.ndarray]:
     """Per row doc_id, n (set size), key; and the frequent shingles, sorted."""
-    found = c.stored(docs.select("doc_id", "text").mapInArrow(_class_batches, "doc_id long, n long, key long, count long"))
+    found = c.stored(docs.select("doc_id", "text").mapInArrow(lambda it: _class_batches(it, words), "doc_id long, n long, key long, count long"))
     many = found.where("count is not null").groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM)
     top = many.orderBy(F.desc("count"), "key").limit(FREQUENT).select("key").toArrow().column("key").to_numpy()
     return found.where("n is not null").drop("count"), np.sort(top.view(c.U64))
 
 
-def candidate_edges(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def candidate_edges(docs: DataFrame, common: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     parts = c.shuffle_partitions(spark)
     sent = spark.sparkContext.broadcast(common)
-    found = docs.select("text").mapInArrow(lambda it: _entries(it, sent.value), "entry long, a long, b long")
+    found = docs.select("text").mapInArrow(lambda it: _entries(it, sent.value, words, num, den), "entry long, a long, b long")
     # both kinds of rows travel in one shuffle, so the texts are read once
     dealt = found.repartition(parts, F.coalesce("entry", "a")).sortWithinPartitions("entry", "a")
 
@@ -301,29 +313,29 @@ def candidate_edges(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar_classes(docs: DataFrame, found: DataFrame, common: np.ndarray) -> DataFrame:
+def similar_classes(docs: DataFrame, found: DataFrame, common: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     """(node, root): the components of class keys under links between different sets."""
     spark = docs.sparkSession
     parts = c.shuffle_partitions(spark)
-    groups = components(candidate_edges(docs, common))
+    groups = components(candidate_edges(docs, common, words, num, den))
     leads = c.stored(found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("lead")))
     count = c.stored(groups.groupBy("root").agg(F.count("*").alias("sets")))
     members = c.stored(groups.join(count, "root").select("node", F.col("root").alias("grp"), "sets"))
     wanted = c.stored(members.join(leads, F.col("node") == F.col("key")).select("lead", "grp", "key", "sets"))
     # the same join at every size: the members grow with the corpus, so they are no broadcast
     once = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("lead"))
-    sets = c.stored(once.select("grp", "key", "sets", "text").mapInArrow(_set_batches, "grp long, key long, sets long, tokens array<long>"))
-    first = _block_edges(sets.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), _blocks())), parts)
+    sets = c.stored(once.select("grp", "key", "sets", "text").mapInArrow(lambda it: _set_batches(it, words), "grp long, key long, sets long, tokens array<long>"))
+    first = _block_edges(sets.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), _blocks())), parts, num, den)
     large = sets.where(F.col("sets") > BLOCK_SETS)
-    second = _block_edges(large.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), _blocks())), parts)
+    second = _block_edges(large.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), _blocks())), parts, num, den)
     edges = c.stored(first.unionByName(second))
     if large.isEmpty():
         return components(edges)
-    rest = _rest(large, components(edges), parts)
+    rest = _rest(large, components(edges), parts, num, den)
     return components(edges.unionByName(rest))
 
 
-def _rest(large: DataFrame, joined: DataFrame, parts: int) -> DataFrame:
+def _rest(large: DataFrame, joined: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     """Edges between sets outside their group's main component and any other, block by block: what the two cuts can have missed."""
     label = c.stored(large.select("grp", "key", "sets").join(joined, F.col("key") == F.col("node"), "left").select("grp", "key", "sets", F.coalesce("root", "key").alias("label")))
     sizes = label.groupBy("grp", "label").agg(F.count("*").alias("n"))
@@ -338,13 +350,14 @@ def _rest(large: DataFrame, joined: DataFrame, parts: int) -> DataFrame:
     two = large.join(outs, "grp").select("grp", "key", "tokens", F.pmod(F.xxhash64("key", F.lit(1)), _blocks()).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("j"))
     # a set may be in both halves of a block: once is enough
     both = one.select("grp", "i", "j", "key", "tokens").unionByName(two.select("grp", "i", "j", "key", "tokens"))
-    return _block_edges(both.withColumn("block", F.xxhash64("i", "j")), parts)
+    return _block_edges(both.withColumn("block", F.xxhash64("i", "j")), parts, num, den)
 
 
-def jaccard(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    found, common = classes(docs)
-    linked = similar_classes(docs, found, common)
+def jaccard(docs: DataFrame, words: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links between sets of `words`-word shingles that are num of den alike)."""
+    neighbours(num, den)
+    found, common = classes(docs, words)
+    linked = similar_classes(docs, found, common, words, num, den)
     leads = c.stored(found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("lead")))
     rooted = c.stored(leads.join(linked, F.col("key") == F.col("node"), "left").select("key", "lead", F.coalesce("root", "key").alias("label")))
     least = c.stored(rooted.groupBy("label").agg(F.min("lead").alias("component_id")))
@@ -360,18 +373,18 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each component with the smallest doc_id, with all its columns."""
-    kept = jaccard(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
+    kept = jaccard(docs.select("doc_id", "text"), *STAGE).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
     return docs.join(kept.distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
-def brute(docs: list[tuple[int, str | None]]) -> list[tuple]:
+def brute(docs: list[tuple[int, str | None]], size: int = SIZE, num: int = NUM, den: int = DEN) -> list[tuple]:
     """The contract by comparing all pairs that share a shingle, for tests."""
     import re
 
     sets = {}
     for d, x in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
-        sets[d] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
     where: dict[tuple, list[int]] = {}
     for d, s in sets.items():
         for g in s:
@@ -386,7 +399,7 @@ def brute(docs: list[tuple[int, str | None]]) -> list[tuple]:
     for a in sorted(sets):
         for b in {b for g in sets[a] for b in where[g] if b > a}:
             both = len(sets[a] & sets[b])
-            if 100 * both >= 85 * len(sets[a] | sets[b]):
+            if den * both >= num * len(sets[a] | sets[b]):
                 x, y = top(a), top(b)
                 up[max(x, y)] = min(x, y)
     return sorted((d, len(s), top(d)) for d, s in sets.items())

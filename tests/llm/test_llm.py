@@ -154,6 +154,41 @@ def test_linked_sets_always_share_an_index_entry():
             assert out.column("b").null_count < len(out)
 
 
+@pytest.mark.parametrize("sets", [128, 5])
+def test_jaccard_components_at_the_stage_threshold(docs, monkeypatch, sets):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+    rows = [(i, x) for i, x, *_ in corpus()]
+    assert jaccard.brute(rows, *jaccard.STAGE) != jaccard.brute(rows)
+    assert plain(jaccard.jaccard(docs, *jaccard.STAGE)) == jaccard.brute(rows, *jaccard.STAGE)
+
+
+def test_sets_linked_at_the_stage_threshold_share_an_index_entry():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    linked = 0
+    for n in [*range(4, 60), *range(60, 400, 5)]:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+        # dropped first words leave the sets at the threshold or just above it
+        b = a[n // 5 :]
+        sa, sb = (set(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (a, b))
+        if sa != sb and 100 * len(sa & sb) >= 80 * len(sa | sb):
+            batch = pa.RecordBatch.from_pydict({"text": pa.array([" ".join(a), " ".join(b)])})
+            out = pa.Table.from_batches(list(jaccard._entries(iter([batch]), np.zeros(0, np.uint64), *jaccard.STAGE)))
+            assert out.column("b").null_count < len(out)
+            linked += 1
+    assert linked > 50
+
+
+def test_the_stage_drops_copies_with_one_changed_word(spark):
+    rng = random.Random(8)
+    base = words(rng, 50, 10_000).split()
+    near = [*base[:25], "changed", *base[26:]]  # 41 of 51 alike by 5 words, 43 of 51 by 4
+    rows = [(1, " ".join(base), "en", "s", 0), (2, " ".join(near), "en", "s", 0)]
+    assert [c for *_, c in jaccard.brute([(i, x) for i, x, *_ in rows])] == [1, 2]
+    assert [r["doc_id"] for r in jaccard.pipeline_stage(spark, spark.createDataFrame(rows, DDL), SF).collect()] == [1]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 90), (7, 7)], "a long, b long")
     roots = {r["node"]: r["root"] for r in graph.components(edges).collect()}
