@@ -3,7 +3,9 @@
 One pass over the texts gives each document's base measures. Mergeable quantile sketches
 (Spark's approx_percentile summaries, merged map-side first) per (lang, source) give fences
 around the bulk of each group; a document outside its group's fences, or failing the base
-rule, is rejected. Groups are joined back by key, null keys included.
+rule, is rejected. The outer quantiles alone set how far a fence lies from the median. A group
+of under POOL documents has too few for them and takes the fences of its language. Groups are
+joined back by key, null keys included.
 
 Defined cases: a null or empty text has no words and fails the base rule; null lang or source
 form groups of their own; repeated rows are judged row by row; an empty table gives no rows;
@@ -27,14 +29,17 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: The rank error of a sketch is its rows over this.
 ACCURACY = 10_000
-#: A fence lies REACH times the distance from the median to the outer quantile beyond that quantile.
-REACH = 3.0
-#: measure -> (lower quantile or None, upper quantile or None, least distance of a fence from the median)
+#: A group of fewer documents (those that pass the base rule) is judged by its language.
+POOL = 200
+#: measure -> (lower quantile or None, upper quantile, reach, one). A fence lies reach times the distance from the
+#: median to the quantile beyond that quantile. Symbols take the upper tenth, as junk may be the uppermost twentieth;
+#: repeats are rare, so a lesser quantile of theirs is 0. `one` is an occurrence's part of the rate, times the words:
+#: a rate that only a single occurrence puts beyond the upper fence is within.
 MEASURES = {
-    "mean_word_len": (0.25, 0.75, 3.0),
-    "symbol_rate": (None, 0.75, 0.15),
-    "dup_line_rate": (None, 0.75, 0.5),
-    "repeat_rate": (None, 0.75, 0.3),
+    "mean_word_len": (0.1, 0.9, 3.0, 0.0),
+    "symbol_rate": (None, 0.9, 3.0, 1.0),
+    "dup_line_rate": (None, 0.99, 1.0, 10.0),
+    "repeat_rate": (None, 0.98, 1.0, 3.0),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -117,27 +122,29 @@ def with_rates(measured: DataFrame) -> DataFrame:
 
 
 def fences(rated: DataFrame) -> DataFrame:
-    """One row per (lang, source): the lower and upper fence of each measure, from those that pass the base rule."""
-    aggs = []
-    for m, (low, high, _) in MEASURES.items():
-        points = [0.5 if q is None else q for q in (low, high)] + [0.5]
-        aggs.append(F.percentile_approx(m, points, ACCURACY).alias(f"q_{m}"))
-    found = rated.where(~F.col("base_failed")).groupBy("lang", "source").agg(*aggs)
+    """One row per (lang, source): the lower and upper fence of each measure, from those that pass the base rule. Reads rated twice."""
+    aggs = [F.count("*").alias("n")]
+    for m, (low, high, *_) in MEASURES.items():
+        aggs.append(F.percentile_approx(m, [0.5 if low is None else low, high, 0.5], ACCURACY).alias(f"q_{m}"))
+    passed = rated.where(~F.col("base_failed"))
+    groups = passed.groupBy("lang", "source").agg(*aggs)
+    pooled = passed.groupBy(F.col("lang").alias("p_lang")).agg(*[x.alias(f"p_{m}") for x, m in zip(aggs[1:], MEASURES, strict=True)])
+    found = groups.join(pooled, F.col("lang").eqNullSafe(F.col("p_lang")))
     cols = [F.col("lang").alias("g_lang"), F.col("source").alias("g_source")]
-    for m, (low, high, least) in MEASURES.items():
-        mid = F.col(f"q_{m}")[2]
-        reach = lambda q, mid=mid, least=least: F.greatest(F.abs(q - mid) * (1 + REACH), F.lit(least))
-        cols.append((mid - reach(F.col(f"q_{m}")[0]) if low is not None else F.lit(None).cast("double")).alias(f"lo_{m}"))
-        cols.append((mid + reach(F.col(f"q_{m}")[1]) if high is not None else F.lit(None).cast("double")).alias(f"hi_{m}"))
+    for m, (low, _, reach, _) in MEASURES.items():
+        q = F.when(F.col("n") >= POOL, F.col(f"q_{m}")).otherwise(F.col(f"p_{m}"))
+        cols.append((q[2] - (q[2] - q[0]) * (1 + reach) if low is not None else F.lit(None).cast("double")).alias(f"lo_{m}"))
+        cols.append((q[2] + (q[1] - q[2]) * (1 + reach)).alias(f"hi_{m}"))
     return found.select(*cols)
 
 
 def judge(rated: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds kept: the base rule holds and no measure lies beyond its group's fences."""
     on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
+    words = F.greatest(F.col("n_words"), F.lit(1))
     inside = reduce(
         lambda a, b: a & b,
-        [F.coalesce(F.col(m) >= F.col(f"lo_{m}"), F.lit(True)) & F.coalesce(F.col(m) <= F.col(f"hi_{m}"), F.lit(True)) for m in MEASURES],
+        [F.coalesce(F.col(m) >= F.col(f"lo_{m}"), F.lit(True)) & F.coalesce(F.col(m) - F.lit(one) / words <= F.col(f"hi_{m}"), F.lit(True)) for m, (*_, one) in MEASURES.items()],
     )
     return rated.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & inside).drop(*limits.columns)
 
@@ -156,5 +163,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with all their columns: measured again where they are read, so no text is shuffled."""
-    limits = c.stored(fences(with_rates(base_measures(docs.select("lang", "source", "text")).drop("text"))))
+    limits = c.stored(fences(with_rates(c.stored(base_measures(docs.select("lang", "source", "text")).drop("text")))))
     return judge(with_rates(base_measures(docs)), limits).where("kept").select(*docs.columns)

@@ -88,6 +88,19 @@ def test_fences_reject_outliers_only(spark):
     assert kept == set(range(60))
 
 
+def test_the_bulk_of_a_group_sets_the_width_of_its_fences(spark):
+    rng = random.Random(12)
+    text = lambda n, marks: " ".join(f"w{rng.randrange(10 ** rng.randint(2, 6))}" + "#" * (k < marks) for k in range(n))
+    prose = [(i, text(100, 0), "en", "prose", 0) for i in range(300)]
+    code = [(1000 + i, text(100, rng.randint(5, 60)), "en", "code", 0) for i in range(300)]
+    few = [(2000 + i, text(100, 0), "fr", f"s{i % 20}", 0) for i in range(300)]
+    # 10 symbols in 100 words: far outside prose and the pooled small groups, within code
+    odd = [(5000, text(100, 10), "en", "prose", 0), (5001, text(100, 10), "en", "code", 0), (5002, text(100, 10), "fr", "s1", 0)]
+    one = [(6000, text(100, 1), "en", "prose", 0)]
+    kept = {r["doc_id"] for r in quality.quality(spark.createDataFrame(prose + code + few + odd + one, DDL)).where("kept").collect()}
+    assert kept == {i for i, *_ in prose + code + few} | {5001, 6000}
+
+
 # --- decontamination
 
 
