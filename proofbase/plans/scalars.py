@@ -45,12 +45,25 @@ def f03(t: Tables) -> DataFrame:
     f"SELECT doc_id, array_to_string(list_concat(list_sort({TERMS_SQL}), list_filter(list_sort(list_distinct({TOK})), lambda w: regexp_full_match(w, '[0-9][0-9]+'))), ' ') AS terms FROM (SELECT doc_id, substr(text, 1, 300) || ' 17 alpha' AS text FROM documents)",
 )
 def f04(t: Tables) -> DataFrame:
-    found = t.documents.select("doc_id", tx.normalized(F.concat(F.substring("text", 1, 300), F.lit(" 17 alpha"))).alias("n"))
+    return _record_query_terms(t, F.substring("text", 1, 300))
+
+
+def _record_query_terms(t: Tables, text: F.Column) -> DataFrame:
+    found = t.documents.select("doc_id", tx.normalized(F.concat(text, F.lit(" 17 alpha"))).alias("n"))
     terms = tx.record_query_terms(F.col("n"))
     words, numbers = F.filter(terms, lambda w: ~tx.is_digits(w)), F.array_sort(F.filter(terms, tx.is_digits))
     return found.select("doc_id", F.array_join(F.concat(words, numbers), " ").alias("terms"))
 
 
+@query(
+    "F04_record_query_terms_whole",
+    f"SELECT doc_id, array_to_string(list_concat(list_sort({TERMS_SQL}), list_filter(list_sort(list_distinct({TOK})), lambda w: regexp_full_match(w, '[0-9][0-9]+'))), ' ') AS terms FROM (SELECT doc_id, text || ' 17 alpha' AS text FROM documents)",
+)
+def f04_whole(t: Tables) -> DataFrame:
+    """Of whole texts; the query above, whose SQL is kept, reads the first 300 characters."""
+    return _record_query_terms(t, F.col("text"))
+
+
 @query("F05_document_query_terms", f"SELECT doc_id, list_sort(list_distinct(list_filter({TOK}, lambda w: NOT list_contains({STOP}, w) AND (regexp_full_match(w, '[0-9]+') OR length(w) >= 2)))) AS terms FROM documents")
 def f05(t: Tables) -> DataFrame:
     return normed(t).select("doc_id", F.array_sort(tx.document_query_terms(F.col("norm"))).alias("terms"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,19 @@ def test_secrets_are_redacted_in_both_forms(spark):
 def test_near_duplicates_and_empty(spark):
     near = lambda a, b: spark.range(1).select(tx.near_duplicate(F.lit(a), F.lit(b)).alias("x")).first()["x"]
     assert near("a b c d e", "e d c b a") and not near("a b", "a c") and not near("", "")
+
+
+def test_record_query_terms_are_of_whole_texts(spark):
+    from conftest import SF
+
+    from proofbase.plans import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["terms"].split(" ") for r in QUERIES["F04_record_query_terms_whole"](spark, SF).collect()}
+    late = 0
+    for i, x in texts.items():
+        words = set(re.findall(r"(?<!\S)[a-z]{5,}(?!\S)", x or ""))
+        want = {w[:-1] if w.endswith("s") else w for w in words - set(tx.STOPWORDS_LATIN)}
+        assert want <= set(got[i])
+        late += len(x) > 300
+    assert late > 100
