@@ -3,13 +3,18 @@
 A classifier fitted on the labelled table gives each document posteriors over the domains.
 Document rates r >= 0 are fitted by projected gradient so that the expected tokens of each
 domain, sum over documents of r * tokens * posterior, match the targets in least squares, with
-a small ridge that holds rates near 1: without it, faint posteriors of a scarce domain drove
-most rates to 0. The gradient is one number per domain, preconditioned by the domains' Gram
-matrix; a rate is 1 less the posteriors' product with the summed steps, cut at 0. So a round is
-one aggregation over all documents, a few rounds suffice, and no state is kept between them.
+a small ridge that holds rates near 1 and breaks ties: it is scaled by a domain's target
+share and by the share it has, if that is less, so that a scarce domain is met as closely as a
+large one. The gradient is one number per
+domain, preconditioned by the Gram matrix of the domains over the documents whose rate is not 0
+(over all of them where that step leads uphill); a rate is 1 less the posteriors' product with
+the summed steps, cut at 0. So a round is one aggregation over all documents, a few rounds
+suffice, and no state is kept between them.
 
 Targets: the first domain has GROWTH times its expected tokens; the others their share beside
-it, but at most REACH times what they have.
+it, however few they have. Only a domain that is no document's likeliest has none to repeat: its
+expected tokens are the faint posteriors of other domains' documents, which would drive most
+rates to 0. It keeps REACH times those at most, and the whole ridge.
 
 The classifier is fitted on a bounded sample: at most SAMPLE_ROWS labelled documents a domain,
 in hash order, until SAMPLE_BYTES each. Posteriors, sums and rates cover every whole text.
@@ -18,7 +23,7 @@ Domains: toxic (toxic label 1), junk (quality 0), good (the others).
 
 Defined cases: null or empty texts have no tokens and posteriors by the curve at zero; unlabelled
 documents get posteriors alike; with fewer than two labelled domains posteriors are the label
-shares (all good without labels); a domain without tokens can't reach its target and keeps its
+shares (all good without labels); a domain without a document can't reach its target and keeps its
 residual; repeated rows get equal rates; an empty table gives no rows.
 """
 
@@ -39,11 +44,11 @@ DOMAINS = ("good", "junk", "toxic")
 WEIGHTS = {"good": 0.90, "junk": 0.07, "toxic": 0.03}
 #: The mixture has this many tokens per expected token of the first domain, before its share.
 GROWTH, REACH = 1.05, 1.0
-#: The weight of (rate - 1) squared, per token, beside the squared misses of the domains' token shares.
+#: The weight of (rate - 1) squared, per token, beside the squared misses of the domains' tokens, as parts of their targets.
 RIDGE = 1e-3
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
 BUCKETS = 1 << 18
-ROUNDS, TOLERANCE = 40, 1e-7
+ROUNDS, TOLERANCE = 60, 1e-5
 
 
 def _bins(t: c.Texts) -> tuple[c.Words, np.ndarray]:
@@ -179,32 +184,47 @@ def _rate(u: np.ndarray) -> F.Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - dot)
 
 
-def _sums(members: DataFrame, value: F.Column) -> np.ndarray:
-    row = members.agg(*[F.coalesce(F.sum(F.col("tokens") * value * F.col("p")[k]), F.lit(0.0)).alias(f"x{k}") for k in range(len(DOMAINS))]).first()
-    return np.array(list(row))
+def _state(members: DataFrame, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """At the summed steps u: the expected tokens of the domains, their Gram matrix over the documents with a rate, and half the sum of tokens * rate squared."""
+    k = len(DOMAINS)
+    rate, p = _rate(u), [F.col("p")[i] for i in range(k)]
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    some = (rate > 0).cast("double")
+    sums = [rate * x for x in p] + [some * p[i] * p[j] for i, j in cells] + [rate * rate / 2]
+    row = list(members.agg(*[F.coalesce(F.sum(F.col("tokens") * x), F.lit(0.0)).alias(f"x{n}") for n, x in enumerate(sums)]).first())
+    gram = np.zeros((k, k))
+    for (i, j), v in zip(cells, row[k:-1], strict=True):
+        gram[i, j] = gram[j, i] = v
+    return np.array(row[:k]), gram, row[-1]
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, growth: float = GROWTH, reach: float = REACH, ridge: float = RIDGE) -> tuple[F.Column, np.ndarray, np.ndarray]:
     """The rate as an expression over p; the targets; and the expected domain tokens reached."""
     k = len(DOMAINS)
-    cells = [(i, j) for i in range(k) for j in range(i, k)]
-    row = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i, j in cells]).first()
-    total = max(float(row[0]), 1.0)
-    gram = np.zeros((k, k))
-    for (i, j), v in zip(cells, row[1:], strict=True):
-        gram[i, j] = gram[j, i] = v / total
+    likeliest = F.array_position("p", F.array_max("p"))
+    row = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *[F.coalesce(F.sum(F.when(likeliest == i + 1, F.col("tokens"))), F.lit(0)) for i in range(k)]).first()
+    total, own = max(float(row[0]), 1.0), np.array(row[1:], float)
     share = np.array([weights[d] for d in DOMAINS]) / sum(weights.values())
-    now = _sums(members, F.lit(1.0))
-    target = share * growth * now[0] / share[0]
-    target[1:] = np.minimum(target[1:], reach * now[1:])
-    solve = np.linalg.inv(gram + ridge * np.eye(k))
     u = np.zeros(k)
+    now, whole, energy = _state(members, u)
+    target = share * growth * now[0] / share[0]
+    faint = own == 0
+    faint[0] = False
+    target[faint] = np.minimum(target[faint], reach * now[faint])
+    part = np.where(faint | (target <= 0), 1.0, target / total)
+    hold = np.diag(ridge * part * np.where(faint | (now <= 0), part, np.minimum(part, now / total)))
+    height = lambda u, energy: (energy + u @ target) / total + u @ hold @ u / 2
+    gram, safe = whole, False
     for _ in range(ROUNDS):
-        slope = (now - target) / total - ridge * u  # zero where the fit is optimal
-        if np.abs(slope).max() <= TOLERANCE:
+        slope = (now - target) / total - hold @ u  # zero where the fit is optimal
+        if (np.abs(slope) <= TOLERANCE * part).all():
             break
-        u = u + solve @ slope
-        now = _sums(members, _rate(u))
+        step = u + np.linalg.lstsq((whole if safe else gram) / total + hold, slope, rcond=1e-15)[0]
+        ahead = _state(members, step)
+        if not safe and height(step, ahead[2]) > height(u, energy):
+            safe = True  # once more from here: this matrix bounds every curvature, so it never leads uphill
+            continue
+        u, (now, gram, energy), safe = step, ahead, False
     return F.round(_rate(u), 6), target, now
 
 

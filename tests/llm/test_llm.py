@@ -278,6 +278,24 @@ def test_a_scarce_domain_does_not_cost_the_others(spark):
     assert low >= 0.95
 
 
+@pytest.mark.parametrize("counts", [(300, 6, 3), (300, 0, 3), (100, 100, 100), (2000, 1, 1)])
+def test_production_rates_reach_the_target_weights(spark, counts):
+    """Junk and toxic texts that are present but scarce are raised to their weights, with the default parameters."""
+    rng = random.Random(11)
+    rows = []
+    for k, n in enumerate(counts):
+        for _ in range(n):
+            a, b = rng.random() * 0.002, rng.random() * 0.002
+            rows.append((len(rows), rng.randint(50, 150), np.roll([1 - a - b, a, b], k).tolist()))
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    rate, target, reached = mixing.fit_rates(members)
+    want = np.array([0.90, 0.07, 0.03]) / 0.90 * 1.05 * sum(n * p[0] for _, n, p in rows)
+    there = np.array(counts) > 0
+    assert np.allclose(target[there], want[there]) and np.allclose(reached[there], want[there], rtol=0.01)
+    rates = {r["doc_id"]: r["rate"] for r in members.withColumn("rate", rate).collect()}
+    assert np.allclose(sum(np.array(p) * n * rates[i] for i, n, p in rows), reached, rtol=1e-3)
+
+
 def test_a_domain_that_an_earlier_stage_removed(spark):
     rows, labels = labelled(200)
     docs = spark.createDataFrame(rows, DDL)
