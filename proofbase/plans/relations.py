@@ -359,6 +359,14 @@ def f28(t: Tables) -> DataFrame:
     return passages.locate_excerpts(pages, asked).where(F.size("pages") == 1)
 
 
+@query("F28_V05_located_excerpts_all")
+def f28_all(t: Tables) -> DataFrame:
+    """Every turn asked for in its conversation, every result with its pages; turns with one number are asked for each."""
+    pages = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_no"), "text")
+    asked = pages.select(F.struct(F.col("doc_id").alias("conv_id"), F.col("page_no").alias("turn"), "text").alias("excerpt_id"), "doc_id", F.col("text").alias("excerpt")).distinct()
+    return passages.locate_excerpts(pages, asked).select("excerpt_id.conv_id", "excerpt_id.turn", "excerpt_id.text", "pages")
+
+
 @query("W09_sequence_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS seq FROM events")
 def w09(t: Tables) -> DataFrame:
     return sequences.sequence_numbers(t.events, ["user_id"], ["ts", "event_id"]).select("event_id", "seq")

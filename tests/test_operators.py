@@ -183,3 +183,21 @@ def test_record_query_terms_are_of_whole_texts(spark):
         assert want <= set(got[i])
         late += len(x) > 300
     assert late > 100
+
+
+def test_every_turn_is_located_on_all_its_pages(spark, tmp_path):
+    from conftest import SF
+
+    from proofbase.plans import QUERIES
+
+    turns = [(1, 1, "the first turn of this conversation"), (1, 2, "quoted: The first turn, of this conversation!"), (1, 3, "short"), (2, 1, "the first turn of this conversation"), (2, 2, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["pages"] for r in QUERIES["F28_V05_located_excerpts_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): [1, 2], (1, 2): [2], (1, 3): [], (2, 1): [1], (2, 2): []}
+
+    said = {(r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    found = {(r["conv_id"], r["turn"], r["text"]): r["pages"] for r in QUERIES["F28_V05_located_excerpts_all"](spark, SF).collect()}
+    assert set(found) == said
+    for c, n, x in said:
+        within = {k for d, k, y in said if d == c and x and len(x) > 60 and y and x in y}
+        assert within <= set(found[c, n, x])
