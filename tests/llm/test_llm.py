@@ -406,7 +406,8 @@ def test_backoff_scores(docs):
     got = {r["doc_id"]: r for r in backoff.lm_scores(docs).collect()}
     for (i, *_), (n, s) in zip(corpus(), backoff_brute([x for _, x, *_ in corpus()]), strict=True):
         assert got[i]["n_words"] == n
-        assert got[i]["log_score"] is None if s is None else math.isclose(got[i]["log_score"], s, rel_tol=1e-9, abs_tol=1e-9)
+        assert got[i]["log_total"] is None if s is None else math.isclose(got[i]["log_total"], s, rel_tol=1e-9, abs_tol=1e-9)
+        assert got[i]["log_score"] is None if s is None else math.isclose(got[i]["log_score"], s / n, rel_tol=1e-9, abs_tol=1e-9)
 
 
 # --- all of them
