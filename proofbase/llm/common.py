@@ -6,13 +6,15 @@ over its bytes modulo 2**64, mixed with its length; an n-gram's hash combines wo
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once; a longer text makes a chunk of its own.
@@ -25,19 +27,11 @@ _GRAM = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; where the session names none, one of our own if there is one process only, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/proofbase-checkpoints"
-    return found.rstrip("/")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(True)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/proofbase-checkpoints").rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -188,6 +182,15 @@ def extended(schema: T.StructType, found: str) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name not in more.names] + more.fields)
 
 
+def hidden(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but `keep` under names that no operator uses, and the expressions that give the old columns back."""
+    prefix = "_own_"
+    while any(x.lower().startswith(prefix) for x in docs.columns):
+        prefix = "_" + prefix
+    names = [x if x in keep else f"{prefix}{i}" for i, x in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(x) for n, x in zip(names, docs.columns, strict=True)]
+
+
 def run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values over [first[i], first[i + 1])."""
     total = np.concatenate(([0], np.cumsum(values)))

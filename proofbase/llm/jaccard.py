@@ -1,25 +1,28 @@
 """Exact n-gram Jaccard self-join with set-relation skipping.
 
 1. A pass over the texts gives each document's set of word shingles as hashes, its size and a
-   64-bit class key; equal sets are one class and share all answers. The same pass counts
-   shingles, and the most frequent ones (a bounded list; it steers the order only, never the
-   answers) are ranked last.
-2. Candidates. Order the union of two linked sets by hash, as a circle. At a threshold of 0.85 at
-   most 15 of 100 of it is unmatched, so some 6 neighbours on the circle are matched (4 at 0.8;
-   see neighbours()), and are neighbours in both sets. Each set indexes, of every 5 neighbouring
-   pairs (3 at 0.8), the least (rare ones first): linked sets share an entry. The index is combined in blocks before the shuffle, one entry per key
-   and block, so a key has at most one row per block however many sets hold it.
-3. Sets that share entries, directly or through others, form a candidate group; a group holds
+   64-bit class key; equal sets are one class, are joined once, and share all answers.
+2. Candidates. How many classes hold a shingle is counted exactly, by blocks of documents and
+   ranges of hashes (see packed). Two linked sets of n shingles at most have all but a few in
+   common, so their rarest n - ceil(threshold * n) + 1 shingles, in one order for all sets, have
+   one in common. Only these are indexed, and of them only those that a second class holds: text
+   that many unlike documents share is in no index, as each of them has rarer shingles. A list
+   of the index is cut where sizes are too far apart to be linked, and its stretches are chained.
+3. Sets that are chained, directly or through others, form a candidate group; a group holds
    all of its members' links. Groups are joined in blocks of bounded size. Within one, lists
    are in size order and whole stretches whose sizes can't reach the threshold are skipped by
    position; a set's overlaps come from those of a set already found similar, by walking only
    the lists of the shingles in which the two differ.
 4. A group of several blocks is cut in two independent ways, which joins its dense parts; the
    sets that stay outside its main component are then compared with every block (exact rest).
-
-Defined cases: null or empty texts have an empty set, linked with nothing, component = doc_id;
-repeated rows and equal sets share a component; an empty table gives no rows; only doc_id and
-text are read, so clashing extra columns do not matter. Class keys are 64-bit hashes of whole sets.
+   That is many only where many sets have nearly the threshold's share of their shingles in
+   common with each other, and less than it is linked.
+
+Defined cases: doc_id is an integer; null or empty texts have an empty set, linked with nothing,
+component = doc_id; repeated rows and equal sets share a component, whatever their ids; a row
+without doc_id takes part, and its component has the least doc_id that there is, null if none;
+an empty table gives no rows; only doc_id and text are read, so clashing extra columns do not
+matter. Class keys are 64-bit hashes of whole sets.
 """
 
 from __future__ import annotations
@@ -28,31 +31,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofbase.llm import common as c
+from proofbase.llm import packed as pk
 from proofbase.llm.graph import components
 
 #: Words of a shingle and the least similarity, NUM of DEN, by the contract of op8.
 SIZE, NUM, DEN = 4, 85, 100
 #: The same for the corpus pipeline's stage.
 STAGE = (5, 80, 100)
-#: Shingles handled at once when counting, and index entries combined at once before the shuffle.
-BLOCK_TOKENS = 2 << 20
-#: The list of frequent shingles: the most entries kept, and the count from which one is kept.
-FREQUENT, FREQUENT_FROM = 1 << 18, 16
+#: Bytes of text in a block, and of text for each hash range, at most.
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
 #: Sets of a candidate group that are joined in one block.
 BLOCK_SETS = 128
 
 
-def neighbours(num: int, den: int) -> int:
-    """How many neighbours on the circle two different linked sets share at least: of u unmatched tokens in the union, each is followed by num / (den - num) matched ones on average."""
-    if not den < 2 * num < 2 * den:
-        raise ValueError("the index needs a threshold above a half and below 1")
-    return -(-num // (den - num))
-
-
 def shingles(t: c.Texts, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each row, sorted by both."""
     w = c.words(t, c.SPACE_WORDS, lower=True)
@@ -80,113 +76,114 @@ def class_keys(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def _class_batches(batches: Iterator[pa.RecordBatch], words: int = SIZE) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, key, null) of documents and (null, null, shingle, count) of shingles frequent in a block."""
-    names = ["doc_id", "n", "key", "count"]
-    held: list[np.ndarray] = []
-
-    def frequent() -> pa.RecordBatch:
-        code = np.concatenate(held)
-        held.clear()
-        slot = (code >> c.U64(44)).astype(np.int64)
-        many = np.bincount(slot, minlength=1 << 20)
-        values, count = np.unique(code[many[slot] > 2], return_counts=True)
-        keep = np.flatnonzero(count > 2)
-        keep = keep[np.argsort(-count[keep], kind="stable")[: FREQUENT // 4]]
-        blank = pa.nulls(len(keep), pa.int64())
-        return pa.RecordBatch.from_arrays([blank, blank, c.signed(values[keep]), pa.array(count[keep], pa.int64())], names=names)
-
+    """Rows with text -> rows with n (the set's size) and key instead."""
     for t in c.texts(batches):
         row, code = shingles(t, words)
         size, key, _ = class_keys(row, code, len(t))
-        docs = t.rows.column(t.rows.schema.get_field_index("doc_id")).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([docs, pa.array(size, pa.int64()), c.signed(key), pa.nulls(len(t), pa.int64())], names=names)
-        held.append(code)
-        if sum(map(len, held)) > BLOCK_TOKENS:
-            yield frequent()
-    if held:
-        yield frequent()
-
-
-def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray, words: int = SIZE, num: int = NUM, den: int = DEN) -> Iterator[pa.RecordBatch]:
-    """Rows (entry, key, null) of the index, one per entry and block, and (null, key, smaller key) of sets that share one within a block."""
-    names = ["entry", "a", "b"]
-    run = neighbours(num, den)
-    window = run - 1  # pairs
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    seen: set[int] = set()
-
-    def combined() -> pa.RecordBatch:
-        entry, key = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        seen.clear()
-        order = np.lexsort((key, entry))
-        entry, key = entry[order], key[order]
-        new = np.ones(len(entry), bool)
-        new[1:] = entry[1:] != entry[:-1]
-        least = key[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else key
-        link = key != least
-        a, b = key[link], least[link]
-        pairs = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([
-            pa.concat_arrays([pa.array(entry[new]), pa.nulls(pairs.shape[1], pa.int64())]),
-            pa.array(np.concatenate((key[new], pairs[0]))), pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(pairs[1])]),
-        ], names=names)
+        names = [x for x in t.rows.schema.names if x != "text"]
+        cols = [t.rows.column(t.rows.schema.get_field_index(x)) for x in names]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(size, pa.int64()), c.signed(key)], names=[*names, "n", "key"])
 
-    for t in c.texts(batches):
-        row, code = shingles(t, words)
-        size, key, first = class_keys(row, code, len(t))
-        key = key.view(np.int64)
-        # one of equal sets stands for all of them; a set of fewer shingles than neighbours is linked with equal ones only
-        _, lead = np.unique(key, return_index=True)
-        chosen = [int(i) for i in lead if size[i] >= run and int(key[i]) not in seen]
-        if not chosen:
-            continue
-        chosen = np.array(chosen)
-        seen.update(key[chosen].tolist())
-        n, at = size[chosen], first[chosen]
-        width = n + window
-        base = np.cumsum(width) - width
-        place = np.arange(width.sum()) - np.repeat(base, width)
-        token = code[np.repeat(at, width) + place % np.repeat(n, width)]
-        rare = np.ones(len(token), bool)
-        if len(common):
-            spot = np.minimum(np.searchsorted(common, token), len(common) - 1)
-            rare = common[spot] != token
-        pair = c.mix(token[:-1] * c.U64(c._GRAM[1]) + c.mix(token[1:])) >> c.U64(1)
-        pair |= (~(rare[:-1] | rare[1:])).astype(c.U64) << c.U64(63)
-        low = pair[: len(pair) - window + 1].copy()
-        for k in range(1, window):
-            np.minimum(low, pair[k : len(pair) - window + 1 + k], out=low)
-        inside = place[: len(low)] < np.repeat(n, width)[: len(low)]
-        entry = low[inside]
-        owner = np.repeat(key[chosen], n)
-        # the least pair is often that of the window before
-        fresh = np.ones(len(entry), bool)
-        fresh[1:] = (entry[1:] != entry[:-1]) | (owner[1:] != owner[:-1])
-        held.append((entry[fresh].view(np.int64), owner[fresh]))
-        if sum(len(x) for x, _ in held) > BLOCK_TOKENS:
-            yield combined()
-    if held:
-        yield combined()
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries in order: (key, least key) of those that share one. Streams; only the last entry is carried."""
-    last_entry, last_key = None, None
-    for batch in batches:
-        entry, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(entry):
-            continue
-        new = np.ones(len(entry), bool)
-        new[1:] = entry[1:] != entry[:-1]
-        least = key[np.flatnonzero(new)][np.cumsum(new) - 1]
-        if last_entry is not None and entry[0] == last_entry:
-            least[entry == last_entry] = last_key
-        last_entry, last_key = entry[-1], least[-1]
-        link = key != least
-        if link.any():
-            pairs = np.unique(np.stack((key[link], least[link])), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+class Sets:
+    """The sets of a block that lead their classes: token[first[i]:first[i + 1]] of keys[i], sorted."""
+
+    def __init__(self, blobs: pa.ChunkedArray, wanted: np.ndarray, words: int):
+        rows = pk.rows_of(blobs, pa.int64()).select(["text"]).combine_chunks()
+        seen, keys, sizes, tokens = np.sort(wanted), [], [], []
+        got: set[int] = set()
+        for t in c.texts(iter(rows.to_batches())):
+            row, code = shingles(t, words)
+            size, key, first = class_keys(row, code, len(t))
+            key = key.view(np.int64)
+            for i in np.flatnonzero((size > 0) & np.isin(key, seen)).tolist():
+                if (k := int(key[i])) not in got:
+                    got.add(k)
+                    keys.append(k)
+                    sizes.append(int(size[i]))
+                    tokens.append(code[first[i] : first[i + 1]])
+        self.keys, self.size = np.array(keys, np.int64), np.array(sizes, np.int64)
+        self.token = np.concatenate(tokens) if tokens else np.zeros(0, c.U64)
+        self.first = np.concatenate(([0], np.cumsum(self.size))).astype(np.int64)
+
+
+SENT = "range int, block int, n long, keys binary, more binary, sizes binary"
+ANSWER = "block int, range int, n long, found binary, leads array<long>"
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["range", "block", "n", "keys", "more", "sizes"])
+
+
+def _leads(answers: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in answers.column("leads").drop_null().to_pylist())])
+
+
+def _tokens_sent(docs: pa.Table, answers: pa.Table, words: int, ranges: int) -> pa.Table:
+    """A block's distinct shingles with the number of its classes that hold them."""
+    code, count = np.unique(Sets(docs.column("docs"), _leads(answers), words).token, return_counts=True)
+    block, cut = docs.column("block")[0].as_py() if len(docs) else -1, pk.cuts(code, ranges)
+    return _sent([(k, block, int(b - a), pk.steps(code[a:b]), pk.squeezed(count[a:b].astype(np.uint32)), None) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+
+
+def _tokens_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range: of each block's shingles, the number of all classes that hold them."""
+    for where, rows in pk.grouped(batches):
+        blocks, n, keys, more = (rows.column(x).to_pylist() for x in ("block", "n", "keys", "more"))
+        code = np.concatenate([pk.from_steps(x, m) for x, m in zip(keys, n, strict=True)])
+        count = np.concatenate([pk.restored(x, m, np.uint32) for x, m in zip(more, n, strict=True)])
+        _, spot = np.unique(code, return_inverse=True)
+        total = np.bincount(spot, count).astype(np.uint64)[spot]
+        at = np.cumsum([0, *n]).tolist()
+        found = [pk.squeezed(total[i : i + m]) for m, i in zip(n, at[:-1], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([where] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(found, pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))], names=["block", "range", "n", "found", "leads"])
+
+
+def indexed(token: np.ndarray, first: np.ndarray, holders: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The places of the tokens to index: of each set its rarest n - ceil(num * n / den) + 1 in order of holders and hash, without those that no other set holds."""
+    size = np.diff(first)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((token, holders, owner))
+    place = np.arange(len(token)) - np.repeat(first[:-1], size)
+    many = np.repeat(size + (-num * size // den) + 1, size)
+    chosen = order[place < many]
+    return chosen[holders[chosen] > 1]
+
+
+def _entries_sent(docs: pa.Table, answers: pa.Table, words: int, num: int, den: int, ranges: int) -> pa.Table:
+    """A block's index entries: shingle, class key and set size."""
+    s = Sets(docs.column("docs"), _leads(answers), words)
+    counts = answers.filter(pc.is_valid(pc.field("found"))).sort_by("range")
+    parts = [pk.restored(x, m, np.uint64) for x, m in zip(counts.column("found").to_pylist(), counts.column("n").to_pylist(), strict=True)]
+    _, which = np.unique(s.token, return_inverse=True)
+    holders = np.concatenate(parts).astype(np.int64)[which] if parts else np.zeros(0, np.int64)
+    at = indexed(s.token, s.first, holders, num, den)
+    owner = np.searchsorted(s.first, at, "right") - 1
+    order = np.argsort(s.token[at], kind="stable")
+    code, key, size = s.token[at][order], s.keys[owner][order], s.size[owner][order].astype(np.uint32)
+    block, cut = docs.column("block")[0].as_py() if len(docs) else -1, pk.cuts(code, ranges)
+    return _sent([(k, block, int(b - a), pk.steps(code[a:b]), pk.squeezed(key[a:b]), pk.squeezed(size[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+
+
+def _chained(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """For each range: the sets of each list, in order of size, each with the next one if their sizes can be linked."""
+    for _, rows in pk.grouped(batches):
+        n, keys, more, sizes = (rows.column(x).to_pylist() for x in ("n", "keys", "more", "sizes"))
+        code = np.concatenate([pk.from_steps(x, m) for x, m in zip(keys, n, strict=True)])
+        key = np.concatenate([pk.restored(x, m, np.int64) for x, m in zip(more, n, strict=True)])
+        size = np.concatenate([pk.restored(x, m, np.uint32) for x, m in zip(sizes, n, strict=True)]).astype(np.int64)
+        order = np.lexsort((key, size, code))
+        code, key, size = code[order], key[order], size[order]
+        next_ = np.flatnonzero((code[1:] == code[:-1]) & (den * size[:-1] >= num * size[1:]))
+        low, high = np.minimum(key[next_], key[next_ + 1]), np.maximum(key[next_], key[next_ + 1])
+        order = np.lexsort((low, high))
+        low, high = low[order], high[order]
+        fresh = c.distinct(low, high) if len(low) else np.zeros(0, bool)
+        low, high = low[fresh], high[fresh]
+        for i in range(0, len(low), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(high[i : i + (1 << 16)]), pa.array(low[i : i + (1 << 16)])], names=["a", "b"])
 
 
 def links(sets: list[np.ndarray], keys: np.ndarray, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
@@ -264,13 +261,13 @@ def _joined(batches: Iterator[pa.RecordBatch], num: int = NUM, den: int = DEN) -
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], words: int = SIZE) -> Iterator[pa.RecordBatch]:
-    for t in c.texts(batches):
-        row, code = shingles(t, words)
-        first = np.searchsorted(row, np.arange(len(t) + 1)).astype(np.int32)
-        sets = pa.ListArray.from_arrays(pa.array(first), c.signed(code))
-        cols = [t.rows.column(t.rows.schema.get_field_index(x)) for x in ("grp", "key", "sets")]
-        yield pa.RecordBatch.from_arrays([*cols, sets], names=["grp", "key", "sets", "tokens"])
+def _set_rows(docs: pa.Table, wanted: pa.Table, words: int) -> pa.Table:
+    """A block and its members of candidate groups -> (grp, key, sets, tokens)."""
+    s = Sets(docs.column("docs"), wanted.column("key").to_numpy(), words)
+    order = np.argsort(wanted.column("key").to_numpy())
+    rows = wanted.take(pa.array(order[np.searchsorted(wanted.column("key").to_numpy()[order], s.keys)]))
+    tokens = pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), c.signed(s.token))
+    return pa.table([rows.column("grp"), pa.array(s.keys), rows.column("sets"), tokens], names=["grp", "key", "sets", "tokens"])
 
 
 def _block_edges(rows: DataFrame, parts: int, num: int, den: int) -> DataFrame:
@@ -281,50 +278,23 @@ def _blocks(n: str = "sets") -> F.Column:
     return F.ceil(F.col(n) / F.lit(BLOCK_SETS))
 
 
-def classes(docs: DataFrame, words: int = SIZE) -> tuple[DataFrame, np.ndarray]:
-    """Per row doc_id, n (set size), key; and the frequent shingles, sorted."""
-    found = c.stored(docs.select("doc_id", "text").mapInArrow(lambda it: _class_batches(it, words), "doc_id long, n long, key long, count long"))
-    many = found.where("count is not null").groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM)
-    top = many.orderBy(F.desc("count"), "key").limit(FREQUENT).select("key").toArrow().column("key").to_numpy()
-    return found.where("n is not null").drop("count"), np.sort(top.view(c.U64))
-
-
-def candidate_edges(docs: DataFrame, common: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    spark = docs.sparkSession
-    parts = c.shuffle_partitions(spark)
-    sent = spark.sparkContext.broadcast(common)
-    found = docs.select("text").mapInArrow(lambda it: _entries(it, sent.value, words, num, den), "entry long, a long, b long")
-    # both kinds of rows travel in one shuffle, so the texts are read once
-    dealt = found.repartition(parts, F.coalesce("entry", "a")).sortWithinPartitions("entry", "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def entries() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                is_entry = batch.column(0).is_valid()
-                direct.append(batch.filter(pa.compute.invert(is_entry)).select(["a", "b"]))
-                yield batch.filter(is_entry)
-
-        direct: list[pa.RecordBatch] = []
-        for out in _shared(entries()):
-            yield out
-        for x in direct:
-            yield x
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def similar_classes(docs: DataFrame, found: DataFrame, common: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """(node, root): the components of class keys under links between different sets."""
-    spark = docs.sparkSession
-    parts = c.shuffle_partitions(spark)
-    groups = components(candidate_edges(docs, common, words, num, den))
-    leads = c.stored(found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("lead")))
+def similar_classes(docs: DataFrame, leads: DataFrame, blocks: int, ranges: int, words: int, num: int, den: int) -> DataFrame:
+    """(node, root): the components of class keys under links between different sets; leads: (key, block), a block that has the class."""
+    parts = c.shuffle_partitions(docs.sparkSession)
+    dealt = pk.dealt(docs, blocks, parts)
+    own = leads.groupBy("block").agg(F.collect_list("key").alias("leads"))  # of one block, so bounded with it
+    none = [F.lit(None).cast("int").alias("range"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("found")]
+    first = own.select("block", *none, "leads")
+    at_home = lambda df: df.repartitionById(parts, "block").groupBy("block")
+    at_range = lambda df: df.repartitionById(parts, "range").sortWithinPartitions("range")
+    tokens = dealt.groupBy("block").cogroup(at_home(first)).applyInArrow(lambda x, y: _tokens_sent(x, y, words, ranges), SENT)
+    counts = at_range(tokens).mapInArrow(_tokens_met, ANSWER)
+    entries = dealt.groupBy("block").cogroup(at_home(first.unionByName(counts))).applyInArrow(lambda x, y: _entries_sent(x, y, words, num, den, ranges), SENT)
+    groups = components(at_range(entries).mapInArrow(lambda it: _chained(it, num, den), "a long, b long"))
     count = c.stored(groups.groupBy("root").agg(F.count("*").alias("sets")))
     members = c.stored(groups.join(count, "root").select("node", F.col("root").alias("grp"), "sets"))
-    wanted = c.stored(members.join(leads, F.col("node") == F.col("key")).select("lead", "grp", "key", "sets"))
-    # the same join at every size: the members grow with the corpus, so they are no broadcast
-    once = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("lead"))
-    sets = c.stored(once.select("grp", "key", "sets", "text").mapInArrow(lambda it: _set_batches(it, words), "grp long, key long, sets long, tokens array<long>"))
+    wanted = members.join(leads, F.col("node") == F.col("key")).select("block", "key", "grp", "sets")
+    sets = c.stored(pk.dealt(docs, blocks, parts).groupBy("block").cogroup(at_home(wanted)).applyInArrow(lambda x, y: _set_rows(x, y, words), "grp long, key long, sets long, tokens array<long>"))
     first = _block_edges(sets.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), _blocks())), parts, num, den)
     large = sets.where(F.col("sets") > BLOCK_SETS)
     second = _block_edges(large.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), _blocks())), parts, num, den)
@@ -355,26 +325,41 @@ def _rest(large: DataFrame, joined: DataFrame, parts: int, num: int, den: int) -
 
 def jaccard(docs: DataFrame, words: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links between sets of `words`-word shingles that are num of den alike)."""
-    neighbours(num, den)
-    found, common = classes(docs, words)
-    linked = similar_classes(docs, found, common, words, num, den)
-    leads = c.stored(found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("lead")))
-    rooted = c.stored(leads.join(linked, F.col("key") == F.col("node"), "left").select("key", "lead", F.coalesce("root", "key").alias("label")))
-    least = c.stored(rooted.groupBy("label").agg(F.min("lead").alias("component_id")))
-    by_key = c.stored(rooted.join(least, "label").select(F.col("key").alias("_key"), "component_id"))
+    if not 0 < num < den:
+        raise ValueError("the threshold lies between 0 and 1")
+    found, by_key = labelled(docs.select("doc_id", "text"), words, num, den)
     return found.join(by_key, (F.col("key") == F.col("_key")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """docs without text but with n and key; and per key its component's label and smallest doc_id."""
+    parts = c.shuffle_partitions(docs.sparkSession)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks, ranges = pk.number(total, BLOCK_BYTES, parts), pk.number(total, RANGE_BYTES, parts)
+    placed = docs.withColumn("block", pk.block_of(blocks))
+    found = c.stored(placed.mapInArrow(lambda it: _class_batches(it, words), c.extended(placed.drop("text").schema, "n long, key long")))
+    classes = c.stored(found.where("n > 0").groupBy("key").agg(F.min("block").alias("block"), F.min("doc_id").alias("lead")))
+    linked = similar_classes(docs, classes.select("key", "block"), blocks, ranges, words, num, den)
+    rooted = c.stored(classes.join(linked, F.col("key") == F.col("node"), "left").select("key", "lead", F.coalesce("root", "key").alias("label")))
+    least = c.stored(rooted.groupBy("label").agg(F.min("lead").alias("component_id")))
+    return found, c.stored(rooted.join(least, "label").select(F.col("key").alias("_key"), "label", "component_id"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component with the smallest doc_id, with all its columns."""
-    kept = jaccard(docs.select("doc_id", "text"), *STAGE).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept.distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each component, with all its columns: of the smallest doc_id, and one only where rows are repeated. docs: a table as it is read from files, so its rows keep their numbers."""
+    docs, own = c.hidden(docs, ("doc_id", "text"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    found, by_key = labelled(numbered.select("doc_id", "text", "_row"), *STAGE)
+    first = found.where("n > 0").join(by_key, F.col("key") == F.col("_key")).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row")).alias("m"))
+    kept = c.stored(first.select(F.col("m._row").alias("_kept")).unionByName(found.where("n = 0").select(F.col("_row").alias("_kept"))))
+    return numbered.join(kept.hint("merge"), F.col("_row") == F.col("_kept"), "left_semi").select(*own)
 
 
 def brute(docs: list[tuple[int, str | None]], size: int = SIZE, num: int = NUM, den: int = DEN) -> list[tuple]:
