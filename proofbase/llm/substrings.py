@@ -1,26 +1,30 @@
 """Suffix-array dedup: bytes covered by a LENGTH-byte string of an earlier document go, the first copy stays.
 
 A longest-previous-factor array over the suffixes of a whole corpus needs them in one order.
-Equal strings must meet, so the suffixes are dealt out by content, in three steps that lose none:
+Equal strings must meet, so the suffixes are dealt out by content, in steps that lose none.
+Documents stay in blocks throughout (see packed); what a block sends is one entry per distinct
+string, and its answers come back in that order.
 
 1. Units. Texts are cut at content-defined points; a unit with its next LENGTH - 1 bytes holds
    all windows that start in it. A unit that an earlier document has needs no more work: all
    its windows are hits, and whoever repeats them repeats the earlier document's.
 2. Anchors. In each remaining window the GRAM-byte string with the least hash is its anchor;
-   the most frequent strings, a bounded list, come last in that order, so a window that is only
-   partly in common text has an anchor of its own. Equal windows have equal anchors whatever
-   the list, so only anchors found in two documents matter.
-3. Suffixes. The windows of a shared anchor are sorted as suffixes. In that order the running
-   minima of the document numbers, forwards and backwards within stretches of a common prefix
-   of LENGTH bytes, tell whether a previous or a next smaller document exists, that is whether
-   the longest previous factor reaches LENGTH. An anchor with very many windows is dealt over
-   several blocks by document; what a block finds to be its first copy is compared again,
-   dealt by the whole window, where each block has at most one document per window.
-
-Defined cases: a null text is empty; texts under LENGTH bytes lose nothing; a document with a
-null doc_id has no place in the order, so it is kept whole and removes nothing; rows with equal
-doc_id do not remove each other's bytes, equal texts or not; matches end at a text's end; an
-empty table gives no rows; only doc_id and text are read.
+   equal windows have equal anchors, so only anchors found in two documents matter. A block sends
+   its distinct anchors with their counts and learns which ones others have.
+3. Suffixes within a block. The suffixes that start at windows of an anchor shared within the
+   block are sorted. In suffix order the previous and the next suffix of a smaller document
+   have the longest common prefixes with it of all earlier ones: the longer of the two is its
+   longest previous factor. Windows whose factor reaches LENGTH are hits; the others go on.
+4. Suffixes across blocks. What is first in its block meets the other blocks' by anchor, and is
+   judged in the same way. An anchor with very many windows is dealt over several groups; what a
+   group finds to be its first is judged again, dealt by the whole window, where each group
+   sends the windows of one document only.
+
+Defined cases: doc_id is an integer; a null text is empty; texts under LENGTH bytes lose nothing;
+a document with a null doc_id has no place in the order, so it is kept whole and removes nothing;
+rows with equal doc_id do not remove each other's bytes, equal texts or not; matches end at a
+text's end; an empty table gives no rows; only doc_id and text are read, so clashing extra
+columns do not matter; a text longer than a chunk is hashed in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -30,111 +34,163 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofbase.llm import common as c
+from proofbase.llm import packed as pk
 
 LENGTH, GRAM = 50, 24
 #: One in so many positions ends a unit.
-UNIT = 256
-#: The list of frequent strings: most entries, the count from which one is kept, and the share of hashes looked at (anchors have small ones).
-FREQUENT, FREQUENT_FROM, LOW = 1 << 18, 64, 1 << 61
-#: Strings counted at once.
-BLOCK_GRAMS = 1 << 20
-#: Windows runs of one anchor that are sorted in one block.
-BLOCK_RUNS = 128
-#: Bytes of windows sorted at once.
-SORT_BYTES = 4 << 20
-
-
-def gram_hashes(t: c.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of the GRAM bytes from each position, and which positions have so many left in their text."""
-    data = t.data
+UNIT = 128
+#: Bytes of text in a block, and of text for each hash range, at most.
+BLOCK_BYTES, RANGE_BYTES = 12 << 20, 64 << 20
+#: Runs of windows of one anchor that are sorted in one group.
+GROUP_RUNS = 128
+#: Windows sorted at once.
+SORT_WINDOWS = 80_000
+#: Bytes from a window's start that a suffix is compared by.
+DEPTH = 56
+
+
+class Block:
+    """The documents of a block, end to end. Row i is data[at[i]:at[i + 1]]; positions are in data."""
+
+    def __init__(self, blobs: pa.ChunkedArray):
+        self.rows = pk.rows_of(blobs, pa.int64())
+        parts, at, base = [], [0], 0
+        for chunk in self.rows.column("text").chunks:
+            text = chunk.fill_null("")
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            parts.append(np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]])
+            at += (offsets[1:] - offsets[0] + base).tolist()
+            base += int(offsets[-1] - offsets[0])
+        self.data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        self.at = np.array(at, np.int64)
+        ids = self.rows.column("doc_id")
+        self.known = ids.is_valid().to_numpy()
+        self.ids = ids.fill_null(0).to_numpy()
+        self.codes: dict[int, np.ndarray] = {}
+
+    def keep(self, base: int, code: np.ndarray) -> None:
+        """The hashes of a stretch are kept for its second reading, in blocks of ordinary size."""
+        if len(self.data) <= 2 * BLOCK_BYTES:
+            self.codes[base] = code
+
+    def chunks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first position, bounds of the pieces from there): each window lies in one piece of one chunk."""
+        i, n, most = 0, len(self.at) - 1, c.CHUNK_BYTES
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.at, self.at[i] + most, "right")) - 1)
+            a, b = int(self.at[i]), int(self.at[j])
+            if b - a <= most:
+                yield a, self.at[i : j + 1] - a
+            else:
+                for s in range(a, b - LENGTH + 1, most):
+                    yield s, np.array([0, min(s + most + LENGTH - 1, b) - s])
+            i = j
+
+    def row(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, position, "right") - 1
+
+
+def gram_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of the GRAM bytes from each position, which positions have so many left in their piece, and prefix sums for longer strings."""
     n = len(data)
-    if n < GRAM:
-        return np.zeros(n, c.U64), np.zeros(n, bool)
-    up, down = c.powers(n)
+    up, down = c.powers(n + 1)
     total = np.concatenate((np.zeros(1, c.U64), np.cumsum((data.astype(c.U64) + c.U64(1)) * up[:n], dtype=c.U64)))
     code = np.zeros(n, c.U64)
-    code[: n - GRAM + 1] = c.mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
-    left = np.repeat(t.at[1:], np.diff(t.at)) - np.arange(n)
-    return code, left >= GRAM
-
-
-def units(t: c.Texts, code: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the units' windows: windows start in [start, end)."""
-    last = np.maximum(t.at[1:] - LENGTH + 1, t.at[:-1])  # a row's windows start before it
-    cut = whole & (code % c.U64(UNIT) == 0)
-    cut[t.at[:-1][t.at[:-1] < t.at[1:]]] = True
-    start = np.flatnonzero(cut)
-    row = np.searchsorted(t.at, start, "right") - 1
-    end = np.append(start[1:], len(t.data))[: len(start)]
-    end = np.minimum(end, last[row])
-    ok = start < end
-    return row[ok], start[ok], end[ok]
-
-
-def _unit_keys(t: c.Texts, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-    view = t.data.tobytes()
-    return [hashlib.blake2b(view[a : b + LENGTH - 1], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-
-
-def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, document) of units and (null, null, string hash, count) of strings frequent in a block."""
-    names = ["unit", "doc", "gram", "count"]
-    held: list[np.ndarray] = []
-
-    def frequent() -> pa.RecordBatch:
-        code, count = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        keep = np.flatnonzero(count > 2)
-        keep = keep[np.argsort(-count[keep], kind="stable")[: FREQUENT // 4]]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.int64()), c.signed(code[keep]), pa.array(count[keep], pa.int64())], names=names)
-
-    for t in c.texts(batches):
-        code, whole = gram_hashes(t)
-        row, start, end = units(t, code, whole)
-        docs = t.rows.column(t.rows.schema.get_field_index("doc_id")).cast(pa.int64())
-        least: dict[bytes, int] = {}
-        ids = docs.to_pylist()
-        for key, i in zip(_unit_keys(t, start, end), row.tolist(), strict=True):
-            doc = ids[i]
-            if doc is not None and (key not in least or doc < least[key]):
-                least[key] = doc
-        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.binary()), pa.array(list(least.values()), pa.int64()), pa.nulls(len(least), pa.int64()), pa.nulls(len(least), pa.int64())], names=names)
-        held.append(code[whole & (code < c.U64(LOW))])
-        if sum(map(len, held)) > BLOCK_GRAMS:
-            yield frequent()
-    if held:
-        yield frequent()
-
-
-def ranked(code: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The order in which strings become anchors: by hash, frequent ones last."""
-    rank = code >> c.U64(1)
-    low = np.flatnonzero(code < c.U64(LOW))
-    if len(common) and len(low):
-        spot = np.minimum(np.searchsorted(common, code[low]), len(common) - 1)
-        rank[low[common[spot] == code[low]]] |= c.U64(1 << 63)
-    return rank
-
-
-def _own_windows(t: c.Texts, code: np.ndarray, whole: np.ndarray, firsts: list) -> np.ndarray:
-    """0: no window starts here; 1: a window of a unit that an earlier document has; 2: a window to look up."""
-    row, start, end = units(t, code, whole)
-    keys = _unit_keys(t, start, end)
-    held = [set(x) if x is not None else set() for x in firsts]
-    mine = np.array([k in held[i] for k, i in zip(keys, row.tolist(), strict=True)], bool)
-    kind = np.zeros(len(t.data), np.int8)
-    n = end - start
-    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    kind[at] = np.repeat(np.where(mine, 2, 1), n)
-    return kind
-
-
-def _anchors(code: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The position of the least gram hash in each window, the leftmost of equal ones. Works in stretches of bounded size."""
+    if n >= GRAM:
+        code[: n - GRAM + 1] = c.mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(n)
+    return code, left >= GRAM, total
+
+
+class Units:
+    """The units of a block: windows start in [start, end); two hashes of the bytes from start to end + LENGTH - 1."""
+
+    def __init__(self, b: Block):
+        found: list[tuple[np.ndarray, ...]] = []
+        for base, at in b.chunks():
+            data = b.data[base : base + int(at[-1])]
+            if len(data) < LENGTH:
+                continue
+            code, whole, total = gram_hashes(data, at)
+            b.keep(base, code)
+            last = np.maximum(at[1:] - LENGTH + 1, at[:-1])  # a piece's windows start before it
+            cut = whole & (code % c.U64(UNIT) == 0)
+            cut[at[:-1][at[:-1] < at[1:]]] = True
+            start = np.flatnonzero(cut)
+            piece = np.searchsorted(at, start, "right") - 1
+            end = np.minimum(np.append(start[1:], len(data)), last[piece])
+            ok = (start < end) & b.known[b.row(base + start)]
+            start, end = start[ok], end[ok]
+            up, down = c.powers(len(data) + 1)
+            # the second hash is of the strings' mixed hashes, so it is independent of the first
+            again = np.concatenate((np.zeros(1, c.U64), np.cumsum(code * up[: len(code)], dtype=c.U64)))
+            high = c.mix((total[end + LENGTH - 1] - total[start]) * down[start] + (end - start).astype(c.U64) * c._M1)
+            low = c.mix((again[end + LENGTH - GRAM] - again[start]) * down[start])
+            found.append((base + start, base + end, high, low))
+        self.start, self.end, self.high, self.low = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, c.U64), np.zeros(0, c.U64))
+        self.doc = b.ids[b.row(self.start)] if len(self.start) else np.zeros(0, np.int64)
+        order = np.lexsort((self.doc, self.low, self.high))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.high[order][1:] != self.high[order][:-1]) | (self.low[order][1:] != self.low[order][:-1])
+        self.first = order[new]  # of each distinct unit, the one of the least document, in hash order
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+
+    def hits(self, earlier: np.ndarray) -> np.ndarray:
+        """Which units an earlier document has; earlier: of the distinct ones, whether another block has it earlier."""
+        return (self.doc > self.doc[self.first][self.which]) | earlier[self.which]
+
+
+def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=names)
+
+
+SENT = "range int, block int, n long, keys binary, more binary, docs binary"
+ANSWER = "block int, range int, round int, n long, found binary"
+_SENT = (["range", "block", "n", "keys", "more", "docs"], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
+_ANSWER = (["block", "range", "round", "n", "found"], [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])
+
+
+def _units_sent(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    for block, rows in pk.grouped(batches):
+        u = Units(Block(rows.column("docs")))
+        high, low, doc = u.high[u.first], u.low[u.first], u.doc[u.first]
+        cut = pk.cuts(high, ranges)
+        yield _rows(*_SENT, [(k, block, int(b - a), pk.steps(high[a:b]), pk.squeezed(low[a:b]), pk.squeezed(doc[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+
+
+def _units_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range: of each block's units, whether another block has it in an earlier document."""
+    for where, rows in pk.grouped(batches):
+        blocks, n, keys, more, docs = (rows.column(x).to_pylist() for x in ("block", "n", "keys", "more", "docs"))
+        high = np.concatenate([pk.from_steps(x, m) for x, m in zip(keys, n, strict=True)])
+        low = np.concatenate([pk.restored(x, m, np.uint64) for x, m in zip(more, n, strict=True)])
+        doc = np.concatenate([pk.restored(x, m, np.int64) for x, m in zip(docs, n, strict=True)])
+        order = np.lexsort((doc, low, high))
+        new = np.ones(len(order), bool)
+        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        least = np.empty(len(order), np.int64)
+        least[order] = doc[order][new][np.cumsum(new) - 1]
+        at = np.cumsum([0, *n])
+        yield _rows(*_ANSWER, [(b, where, 1, m, zstandard.compress(np.packbits(doc[i : i + m] > least[i : i + m]).tobytes(), 3)) for b, m, i in zip(blocks, n, at[:-1].tolist(), strict=True)])
+
+
+def _earlier(answers: pa.Table) -> np.ndarray:
+    """The answers to a block's distinct units, in hash order."""
+    mine = answers.filter(pc.field("round") == 1).sort_by("range")
+    parts = [np.unpackbits(np.frombuffer(zstandard.decompress(x), np.uint8), count=m) for x, m in zip(mine.column("found").to_pylist(), mine.column("n").to_pylist(), strict=True)]
+    return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+
+
+def least_positions(code: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The position of the least string hash in each window, the leftmost of equal ones. Works in stretches of bounded size."""
     span = LENGTH - GRAM + 1
     out = np.empty(len(start), np.int64)
     for i in range(0, len(start), 1 << 18):
@@ -153,259 +209,311 @@ def _anchors(code: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, for the shuffle's compression."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes()
+class Anchors:
+    """The runs of a block's windows that have one anchor: windows start from head to tail. Windows of hit units are left out."""
+
+    def __init__(self, b: Block, u: Units, hit: np.ndarray):
+        open_ = np.flatnonzero(~hit)
+        open_ = open_[np.argsort(u.start[open_])]
+        starts, ends = u.start[open_], u.end[open_]
+        found: list[tuple[np.ndarray, ...]] = []
+        for base, at in b.chunks():
+            data = b.data[base : base + int(at[-1])]
+            # the last LENGTH - 1 bytes of a long text's piece begin the next one
+            x, y = np.searchsorted(starts, (base, base + min(len(data), c.CHUNK_BYTES)))
+            n = ends[x:y] - starts[x:y]
+            if not len(n):
+                continue
+            start = np.repeat(starts[x:y] - base - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            code = b.codes[base] if base in b.codes else gram_hashes(data, at)[0]
+            spot = least_positions(code, start)
+            new = np.append(True, (spot[1:] != spot[:-1]) | (start[1:] != start[:-1] + 1))
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(start)) - 1
+            # mixed again, as least hashes are small and ranges are even
+            found.append((c.mix(code[spot[head]]), base + start[head], base + start[tail]))
+        self.code, self.head, self.tail = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, c.U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.doc = b.ids[b.row(self.head)] if len(self.head) else np.zeros(0, np.int64)
+        order = np.lexsort((self.doc, self.code))
+        code, doc = self.code[order], self.doc[order]
+        new = np.append(True, code[1:] != code[:-1])[: len(code)]
+        first = np.flatnonzero(new)
+        self.keys = code[first]
+        self.count = np.diff(np.append(first, len(code)))
+        self.two = doc[first] != doc[np.append(first[1:], len(code)) - 1] if len(first) else np.zeros(0, bool)
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+
+
+def _anchors_sent(docs: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
+    b = Block(docs.column("docs"))
+    u = Units(b)
+    a = Anchors(b, u, u.hits(_earlier(answers)))
+    block, cut = docs.column("block")[0].as_py(), pk.cuts(a.keys, ranges)
+    return pa.Table.from_batches([_rows(*_SENT, [(k, block, int(y - x), pk.steps(a.keys[x:y]), pk.squeezed(a.count[x:y].astype(np.uint32)), None) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x])])
+
+
+def _anchors_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range: of each block's anchors, the runs that all blocks have of it; 0 if no other block has it."""
+    for where, rows in pk.grouped(batches):
+        blocks, n, keys, more = (rows.column(x).to_pylist() for x in ("block", "n", "keys", "more"))
+        code = np.concatenate([pk.from_steps(x, m) for x, m in zip(keys, n, strict=True)])
+        count = np.concatenate([pk.restored(x, m, np.uint32) for x, m in zip(more, n, strict=True)])
+        _, spot, many = np.unique(code, return_inverse=True, return_counts=True)
+        total = np.bincount(spot, count).astype(np.uint64)
+        total[many < 2] = 0
+        at = np.cumsum([0, *n])
+        yield _rows(*_ANSWER, [(b, where, 2, m, pk.squeezed(total[spot[i : i + m]])) for b, m, i in zip(blocks, n, at[:-1].tolist(), strict=True)])
+
+
+def _nearest(doc: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The nearest earlier position of a smaller document, within stretches that begin at head; -1 if there is none."""
+    p = np.arange(len(doc)) - 1
+    p[head] = -1
+    todo = np.flatnonzero((p >= 0) & (doc[p] >= doc))
+    while len(todo):
+        # all between are no smaller, and neither is anything between there and where it points
+        p[todo] = p[p[todo]]
+        todo = todo[(p[todo] >= 0) & (doc[p[todo]] >= doc[todo])]
+    return p
 
 
-def _from_planes(b: bytes, n: int, dtype: type) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, n).T).view(dtype).ravel()
+def previous_factors(data: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix, one that starts in a smaller document, up to DEPTH bytes; 0 where it is under LENGTH."""
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.int64)
+    text = np.concatenate((data, np.zeros(DEPTH - LENGTH, np.uint8)))
+    suffix = np.lib.stride_tricks.sliding_window_view(text, DEPTH)[start]
+    keys = suffix.view(">u8").astype(np.uint64)
+    order = np.lexsort([doc, *keys.T[::-1]])
+    keys, doc, suffix = keys[order], doc[order], suffix[order]
+    tail = keys[:, LENGTH // 8] >> np.uint64(64 - LENGTH % 8 * 8)
+    head = np.ones(n, bool)
+    head[1:] = (keys[1:, : LENGTH // 8] != keys[:-1, : LENGTH // 8]).any(axis=1) | (tail[1:] != tail[:-1])
+    before = _nearest(doc, head)
+    end = np.append(head[1:], True)
+    after = n - 1 - _nearest(doc[::-1], end[::-1])[::-1]  # n where there is none
+    out = np.zeros(n, np.int64)
+    for other in (before, np.where(after < n, after, -1)):
+        i = np.flatnonzero(other >= 0)
+        equal = suffix[i] == suffix[other[i]]
+        common = np.where(equal.all(axis=1), DEPTH, equal.argmin(axis=1))
+        out[order[i]] = np.maximum(out[order[i]], common)
+    return out
 
 
-def _anchor_batches(batches: Iterator[pa.RecordBatch], buckets: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The anchors of windows to look up, packed per bucket of hashes: (bucket, n, hash planes, doc planes, position planes)."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def spans_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Stretches [start, end) joined where they meet: (2, n), in order."""
+    if not len(start):
+        return np.zeros((2, 0), np.int64)
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.append(True, start[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return np.stack((start[first], reach[np.append(first[1:], len(start)) - 1]))
+
+
+def windows_of(head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, start) of all windows of the runs."""
+    n = tail - head + 1
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.repeat(head - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def window_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    out = np.empty(len(start), c.U64)
+    for i in range(0, len(start), 1 << 16):
+        x = np.zeros((min(1 << 16, len(start) - i), DEPTH), np.uint8)
+        x[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[start[i : i + (1 << 16)]]
+        h = np.zeros(len(x), c.U64)
+        for word in x.view(np.uint64).T:
+            h = c.mix(h * c._M1 + word + c._M2)
+        out[i : i + len(x)] = h
+    return out
 
-    def packed() -> pa.RecordBatch:
-        code, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.argsort(code)
-        code, doc, at = code[order], doc[order], at[order]
-        cut = np.searchsorted((code >> c.U64(32)).astype(np.int64), (np.arange(buckets + 1) << 32) // buckets)
-        rows = [(k, int(b - a), _planes(code[a:b]), _planes(doc[a:b]), _planes(at[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "n", "code", "doc", "at"])
 
-    for t in c.texts(batches):
-        docs = t.rows.column(t.rows.schema.get_field_index("doc_id")).cast(pa.int64())
-        code, whole = gram_hashes(t)
-        kind = _own_windows(t, code, whole, t.rows.column(t.rows.schema.get_field_index("units")).to_pylist())
-        start = np.flatnonzero(kind == 2)
-        if not len(start):
-            continue
-        at = _anchors(ranked(code, common), start)
-        at = at[np.append(True, at[1:] != at[:-1])]
-        row = np.searchsorted(t.at, at, "right") - 1
-        ids = docs.fill_null(0).to_numpy()
-        # mixed again, as least hashes are small and buckets are ranges
-        held.append((c.mix(code[at]), ids[row], (at - t.at[row]).astype(np.uint32)))
-        if sum(len(x[0]) for x in held) > 1 << 20:
-            yield packed()
-    if held:
-        yield packed()
-
-
-def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, positions, blocks) of anchors that two documents have; blocks: over how many an anchor's windows are dealt."""
-    held: list[tuple[int, list]] = []
-
-    def found(parts: list) -> Iterator[pa.RecordBatch]:
-        code, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, code))
-        code, doc, at = code[order], doc[order], at[order]
-        new = np.append(True, code[1:] != code[:-1])
-        first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        count = np.diff(np.append(first, len(code)))
-        shared = (doc[first] != doc[np.append(first[1:], len(code)) - 1])[group]
-        doc, at, blocks = doc[shared], at[shared], -(-count[group][shared] // BLOCK_RUNS)
-        order = np.lexsort((at, doc))
-        doc, at, blocks = doc[order], at[order], blocks[order]
-        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-        cut = np.append(head, len(doc)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.ListArray.from_arrays(cut, pa.array(at.astype(np.int64))), pa.ListArray.from_arrays(cut, pa.array(blocks.astype(np.int64)))], names=["doc", "at", "blocks"])
-
-    now = None
-    for batch in batches:
-        for i, (bucket, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            if bucket != now and held:
-                yield from found(held)
-                held = []
-            now = bucket
-            planes = [batch.column(k)[i].as_buffer() for k in (2, 3, 4)]  # not copied
-            held.append((_from_planes(planes[0], n, np.uint64), _from_planes(planes[1], n, np.int64), _from_planes(planes[2], n, np.uint32)))
-    if held:
-        yield from found(held)
-
-
-def _run_batches(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The runs of windows of shared anchors: (code, block, blocks, doc, print, at, bytes)."""
-    names = ["code", "block", "blocks", "doc", "print", "at", "bytes"]
-    for t in c.texts(batches):
-        get = lambda n, t=t: t.rows.column(t.rows.schema.get_field_index(n))
-        shared, blocks = get("at"), get("blocks")
-        if shared.null_count == len(shared):
-            continue
-        code, whole = gram_hashes(t)
-        kind = _own_windows(t, code, whole, get("units").to_pylist())
-        many = np.zeros(len(t.data), np.int64)
-        for i, (spots, n) in enumerate(zip(shared.to_pylist(), blocks.to_pylist(), strict=True)):
-            if spots:
-                spots = np.array([x for x in zip(spots, n, strict=True) if t.at[i] + x[0] < t.at[i + 1]], np.int64).reshape(-1, 2)
-                many[t.at[i] + spots[:, 0]] = spots[:, 1]
-        start = np.flatnonzero(kind == 2)
-        if not len(start):
-            continue
-        at = _anchors(ranked(code, common), start)
-        keep = many[at] > 0
-        start, at = start[keep], at[keep]
-        if not len(start):
-            continue
-        new = np.append(True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(start)) - 1
-        row = np.searchsorted(t.at, start[head], "right") - 1
-        ids, prints = get("doc_id").cast(pa.int64()).fill_null(0).to_numpy()[row], get("print").to_numpy()[row]
-        n = many[at[head]]
-        block = (c.mix(ids.view(c.U64)) % n.astype(c.U64)).astype(np.int64)
-        view = t.data.tobytes()
-        pieces = [view[a : b + LENGTH] for a, b in zip(start[head].tolist(), start[tail].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([c.signed(code[at[head]]), pa.array(block), pa.array(n), pa.array(ids), pa.array(prints), pa.array(start[head] - t.at[row]), pa.array(pieces, pa.binary())], names=names)
+def _local(b: Block, a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, hit) of all windows of anchors that two of the block's documents have."""
+    which, start = windows_of(a.head, a.tail) if len(a.head) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ok = a.two[a.which[which]] if len(which) else np.zeros(0, bool)
+    which, start = which[ok], start[ok]
+    # in order of content, each once per document; cut where the content changes
+    code, doc = window_hashes(b.data, start), a.doc[which]
+    order = np.lexsort((doc, code))
+    fresh = c.distinct(code[order], doc[order])
+    one = order[fresh]
+    found = np.zeros(len(one), bool)
+    new = np.flatnonzero(np.append(True, code[one][1:] != code[one][:-1])) if len(one) else np.zeros(0, np.int64)
+    edge = [0]
+    while edge[-1] < len(one):
+        k = int(np.searchsorted(new, edge[-1] + SORT_WINDOWS, "right")) - 1
+        nxt = int(new[k]) if len(new) and new[k] > edge[-1] else int(new[k + 1]) if k + 1 < len(new) else len(one)
+        nxt = len(one) if edge[-1] + SORT_WINDOWS >= len(one) else nxt
+        found[edge[-1] : nxt] = previous_factors(b.data, start[one[edge[-1] : nxt]], doc[one[edge[-1] : nxt]]) >= LENGTH
+        edge.append(nxt)
+    hit = np.zeros(len(order), bool)
+    hit[order] = found[np.cumsum(fresh) - 1] if len(order) else False
+    return which, start, hit
+
+
+#: Hits (to the block: range -1) and runs of windows (to the range of their anchor or window), packed per block.
+MOVED = "dest int, range int, block int, n long, keys binary, docs binary, owners binary, at binary, size binary, bytes binary"
+_MOVED = (["dest", "range", "block", "n", "keys", "docs", "owners", "at", "size", "bytes"], [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6])
+
+
+def _hit_row(block: int, spans: np.ndarray) -> tuple:
+    return block, -1, block, spans.shape[1], None, None, None, pk.squeezed(spans[0]), pk.squeezed(spans[1] - spans[0]), None
+
+
+def _run_rows(owner: np.ndarray, key: np.ndarray, groups: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray, start: np.ndarray, ranges: int) -> list[tuple]:
+    """Runs dealt by key, a row per range: bytes data[start:start + size], of the blocks `owner`; groups > 1 marks those to be judged again."""
+    order = np.argsort(key, kind="stable")
+    cut = pk.cuts(key[order], ranges)
+    view, out = data.tobytes(), []
+    for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        i = order[cut[k] : cut[k + 1]]
+        text = b"".join([view[s : s + n] for s, n in zip(start[i].tolist(), size[i].tolist(), strict=True)])
+        more = (size[i].astype(np.uint32) << np.uint32(1)) | (groups[i] > 1).astype(np.uint32)
+        out.append((k, k, None, len(i), pk.steps(key[i]), pk.squeezed(doc[i]), pk.squeezed(owner[i].astype(np.int32)), pk.squeezed(at[i]), pk.squeezed(more), zstandard.compress(text, 3)))
+    return out
 
 
-def previous_factors(data: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which suffixes have a longest previous factor of LENGTH bytes, that is one that starts in a smaller document."""
-    n = len(start)
-    words = np.zeros((n, 56), np.uint8)
-    words[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[start]
-    keys = words.view(">u8").astype(np.uint64)
-    order = np.lexsort([doc, *keys.T[::-1]])
-    keys, doc = keys[order], doc[order]
-    common = np.append(False, (keys[1:] == keys[:-1]).all(axis=1))  # with the suffix before, LENGTH bytes in common
-    stretch = np.cumsum(~common) - 1
-    _, rank = np.unique(doc, return_inverse=True)
-    size = int(rank.max(initial=0)) + 2
-    before = np.minimum.accumulate(rank - stretch * size) + stretch * size  # least document so far in the stretch
-    after = (np.minimum.accumulate((rank + stretch * size)[::-1])[::-1]) - stretch * size  # and from here on
-    hit = np.zeros(n, bool)
-    hit[order] = (before < rank) | (after < rank)
-    return hit
-
-
-def _sorted_batches(batches: Iterator[pa.RecordBatch], again: bool) -> Iterator[pa.RecordBatch]:
-    """Hits (doc, print, at, until, null) of windows; of anchors dealt over blocks also the rest (doc, print, at, until, bytes)."""
-    names = ["doc", "print", "at", "until", "bytes"]
-    held: list[tuple] = []
-    size = 0
-    now = None
-
-    def judged(part: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pieces = [x[4] for x in part]
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        length = np.array([len(p) for p in pieces])
+def _runs_sent(docs: pa.Table, answers: pa.Table, ranges: int, most: int) -> pa.Table:
+    """A block's hits from its units and its own suffixes, and the runs of its other windows that may be in other blocks."""
+    block = docs.column("block")[0].as_py()
+    b = Block(docs.column("docs"))
+    u = Units(b)
+    unit_hit = u.hits(_earlier(answers))
+    a = Anchors(b, u, unit_hit)
+    mine = answers.filter(pc.field("round") == 2).sort_by("range")
+    parts = [pk.restored(x, m, np.uint64) for x, m in zip(mine.column("found").to_pylist(), mine.column("n").to_pylist(), strict=True)]
+    total = (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).astype(np.int64)
+    which, start, hit = _local(b, a)
+    spans = spans_of(np.concatenate((u.start[unit_hit], start[hit])), np.concatenate((u.end[unit_hit] + LENGTH - 1, start[hit] + LENGTH)))
+    out = [_hit_row(block, spans)] if spans.shape[1] else []
+    # what goes on: runs without their hits, of anchors that other blocks have
+    away = total[a.which] > 0 if len(a.which) else np.zeros(0, bool)
+    gone = np.sort(start[hit & away[which]]) if len(start) else start
+    run, at = windows_of(a.head[away], a.tail[away]) if away.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    keep = ~_member(at, gone)
+    run, at = run[keep], at[keep]
+    if len(at):
+        new = np.append(True, (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1))
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(at)) - 1
+        own = np.flatnonzero(away)[run[head]]
+        groups = -(-total[a.which[own]] // most)
+        place = c.mix(a.doc[own].view(c.U64) ^ c.mix(at[head].astype(c.U64))) % groups.astype(c.U64)
+        key = c.mix(a.code[own] + place * c._M2)
+        out += _run_rows(np.full(len(own), block), key, groups, a.doc[own], at[head], at[tail] - at[head] + LENGTH, b.data, at[head], ranges)
+    return pa.Table.from_batches([_rows(*_MOVED, out)])
+
+
+def _member(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def _judged(batches: Iterator[pa.RecordBatch], ranges: int, again: bool) -> Iterator[pa.RecordBatch]:
+    """In order of range: hits pass; the runs of each range are sorted. What is first in one of several groups goes on by its window."""
+    for where, rows in pk.grouped(batches):
+        if where < 0:
+            yield from rows.select(_MOVED[0]).to_batches()
+            continue
+        n, keys, docs, owners, at, size, text = (rows.column(x).to_pylist() for x in ("n", "keys", "docs", "owners", "at", "size", "bytes"))
+        key = np.concatenate([pk.from_steps(x, m) for x, m in zip(keys, n, strict=True)])
+        doc = np.concatenate([pk.restored(x, m, np.int64) for x, m in zip(docs, n, strict=True)])
+        pos = np.concatenate([pk.restored(x, m, np.int64) for x, m in zip(at, n, strict=True)])
+        more = np.concatenate([pk.restored(x, m, np.uint32) for x, m in zip(size, n, strict=True)])
+        block = np.concatenate([pk.restored(x, m, np.int32) for x, m in zip(owners, n, strict=True)])
+        length = (more >> np.uint32(1)).astype(np.int64)
+        data = np.frombuffer(b"".join(map(zstandard.decompress, text)), np.uint8)
         base = np.cumsum(length) - length
-        n = length - LENGTH + 1
-        which = np.repeat(np.arange(len(part)), n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc, prints, at, blocks = (np.array([x[i] for x in part], np.int64) for i in (1, 2, 3, 5))
-        # windows of different anchors differ, or meet here by chance and rightly so
-        hit = previous_factors(data, base[which] + offset, doc[which])
-        pos = at[which] + offset
-        cut = hit & np.append(True, ~hit[:-1] | (which[1:] != which[:-1]))
-        head = np.flatnonzero(cut)
-        end = np.flatnonzero(hit & np.append(~hit[1:] | (which[1:] != which[:-1]), True))
-        out = [doc[which[head]], prints[which[head]], pos[head], pos[end] + LENGTH]
-        if len(head):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.nulls(len(head), pa.binary())], names=names)
-        rest = np.flatnonzero(~hit & (blocks[which] > 1))
-        if len(rest) and not again:
-            view = data.tobytes()
-            spots = (base[which] + offset)[rest].tolist()
-            out = [doc[which[rest]], prints[which[rest]], pos[rest], pos[rest] + LENGTH]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array([view[s : s + LENGTH] for s in spots], pa.binary())], names=names)
-
-    for batch in batches:
-        for x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if x[0] != now and size > SORT_BYTES // LENGTH:
-                yield from judged(held)
-                held, size = [], 0
-            now = x[0]
-            held.append(x)
-            size += len(x[4])
-    if held:
-        yield from judged(held)
-
-
-def _second_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hits pass; windows that are first in their blocks are sorted again, each with its equals."""
-    names = ["doc", "print", "at", "until"]
-
-    def windows() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            is_hit = batch.column(4).is_null()
-            passed.append(batch.filter(is_hit).select(names))
-            rest = batch.filter(pa.compute.invert(is_hit))
-            yield pa.RecordBatch.from_arrays([rest.column(4), rest.column(0), rest.column(1), rest.column(2), rest.column(4), pa.array(np.ones(len(rest), np.int64))], names=["key", "doc", "print", "at", "bytes", "blocks"])
-
-    passed: list[pa.RecordBatch] = []
-    for out in _sorted_batches(windows(), again=True):
-        yield out.select(names)
-        yield from passed
-        passed.clear()
-    yield from passed
-
-
-def _removal_batches(batches: Iterator[pa.RecordBatch], texts_too: bool) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
-    for t in c.texts(batches):
-        get = lambda n, t=t: t.rows.column(t.rows.schema.get_field_index(n))
-        code, whole = gram_hashes(t)
-        kind = _own_windows(t, code, whole, get("units").to_pylist())
-        ids, prints, hits = get("doc_id"), get("print").to_pylist(), get("hits").to_pylist()
-        change = np.zeros(len(t.data) + 1, np.int64)
-        start = np.flatnonzero(kind == 1)
-        np.add.at(change, start, 1)
-        np.add.at(change, start + LENGTH, -1)
-        for i, found in enumerate(hits):
-            for h in found or ():
-                if h["print"] == prints[i]:
-                    change[t.at[i] + h["at"]] += 1
-                    change[t.at[i] + h["until"]] -= 1
-        gone = np.cumsum(change[:-1]) > 0
-        view = t.data.tobytes()
-        rows = []
-        for i in range(len(t)):
-            a, b = int(t.at[i]), int(t.at[i + 1])
-            if ids[i].as_py() is None or not gone[a:b].any():
-                spans, kept = [], view[a:b]
-            else:
-                edge = np.diff(np.concatenate(([False], gone[a:b], [False])).astype(np.int8))
-                spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-                kept = t.data[a:b][~gone[a:b]].tobytes()
-            rows.append((b - a, b - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [x << 32 | y for x, y in spans], kept if texts_too else None))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary())
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+        order = np.argsort(key, kind="stable")
+        count = np.cumsum((length - LENGTH + 1)[order])
+        edge = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        found: list[tuple[np.ndarray, ...]] = []
+        x = 0
+        while x < len(order):  # as many whole keys as are sorted at once
+            most = (count[x - 1] if x else 0) + SORT_WINDOWS
+            k = int(np.searchsorted(edge, x, "right"))
+            while k < len(edge) and count[edge[k] - 1] <= most and (k + 1 == len(edge) or count[edge[k + 1] - 1] <= most):
+                k += 1
+            y = int(edge[k]) if k < len(edge) else len(order)
+            runs = order[x:y]
+            which, start = windows_of(base[runs], base[runs] + length[runs] - LENGTH)
+            which = runs[which]
+            hit = previous_factors(data, start, doc[which]) >= LENGTH
+            found.append((which, start, hit))
+            x = y
+        which, start, hit = (np.concatenate(z) for z in zip(*found, strict=True))
+        spot, owner = pos[which] + start - base[which], block[which]
+        out = []
+        order = np.argsort(owner[hit], kind="stable")
+        mine, place = owner[hit][order], spot[hit][order]
+        edge = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
+        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(mine)], strict=True) if len(edge) else ():
+            out.append(_hit_row(int(mine[i]), spans_of(place[i:j], place[i:j] + LENGTH)))
+        rest = np.flatnonzero(~hit & ((more[which] & np.uint32(1)) > 0))
+        if not again and len(rest):
+            ones = np.ones(len(rest), np.int64)
+            out += _run_rows(owner[rest], window_hashes(data, start[rest]), ones, doc[which[rest]], spot[rest], ones * LENGTH, data, start[rest], ranges)
+        yield _rows(*_MOVED, out)
+
+
+def _removed(docs: pa.Table, hits: pa.Table, texts_too: bool) -> pa.Table:
+    b = Block(docs.column("docs"))
+    start = [pk.restored(x, m, np.int64) for x, m in zip(hits.column("at").to_pylist(), hits.column("n").to_pylist(), strict=True)]
+    size = [pk.restored(x, m, np.int64) for x, m in zip(hits.column("size").to_pylist(), hits.column("n").to_pylist(), strict=True)]
+    start = np.concatenate(start) if start else np.zeros(0, np.int64)
+    size = np.concatenate(size) if size else start
+    # stretches of neighbouring texts may have been joined: cut at the texts' ends, and joined again with a gap between texts
+    first, last = b.row(start), b.row(start + size - 1)
+    owner = np.repeat(first, last - first + 1)
+    owner += np.arange(len(owner)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+    start, end = np.maximum(np.repeat(start, last - first + 1), b.at[owner]), np.minimum(np.repeat(start + size, last - first + 1), b.at[owner + 1])
+    some = start < end
+    a, z = spans_of((start + owner)[some], (end + owner)[some])
+    row = np.searchsorted(b.at + np.arange(len(b.at)), a, "right") - 1
+    a, z = a - row - b.at[row], z - row - b.at[row]
+    cut = np.searchsorted(row, np.arange(len(b.at)))
+    out = []
+    for i in range(len(b.at) - 1):
+        text, p, q = b.data[b.at[i] : b.at[i + 1]], a[cut[i] : cut[i + 1]].tolist(), z[cut[i] : cut[i + 1]].tolist()
+        kept = b"".join([text[x:y].tobytes() for x, y in zip([0, *q], [*p, len(text)], strict=True)])
+        out.append((len(text), len(text) - len(kept), len(p), hashlib.sha256(kept).hexdigest(), [x << 32 | y for x, y in zip(p, q, strict=True)], kept if texts_too else None))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary())
+    cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+    return pa.table([b.rows.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
 
-def substring_dedup(docs: DataFrame, kept_bytes: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, kept_bytes: bool = False, block_bytes: int = BLOCK_BYTES, group_runs: int = GROUP_RUNS) -> DataFrame:
     """Per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start * 2**32 + end) and, if asked for, the kept bytes."""
-    spark = docs.sparkSession
-    parts = c.shuffle_partitions(spark)
+    parts = c.shuffle_partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = c.stored(docs.mapInArrow(_unit_batches, "unit binary, doc long, gram long, count long"))
-    many = found.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM)
-    top = many.orderBy(F.desc("count"), "gram").limit(FREQUENT).select("gram").toArrow().column("gram").to_numpy()
-    common = spark.sparkContext.broadcast(np.sort(top.view(c.U64)))  # at most 2 MB
-    least = found.where("unit is not null").groupBy("unit").agg(F.min("doc").alias("doc"))
-    firsts = c.stored(least.groupBy(F.col("doc").alias("u_doc")).agg(F.collect_list("unit").alias("units")))
-    # the texts are shuffled once, by doc_id; the three uses below share that exchange
-    dealt = docs.repartition(parts, "doc_id").withColumn("print", F.xxhash64("text"))
-    own = dealt.join(firsts.hint("merge"), F.col("doc_id") == F.col("u_doc"), "left")
-    packed = own.select("doc_id", "units", "text").mapInArrow(lambda it: _anchor_batches(it, 4 * parts, common.value), "bucket long, n long, code binary, doc binary, at binary")
-    met = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_batches, "s_doc long, at array<long>, blocks array<long>")
-    per_doc = met.groupBy("s_doc").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("blocks")).alias("blocks"))
-    # a left join, as an inner one would push a filter below the exchange and make it another
-    runs = own.join(per_doc.hint("merge"), F.col("doc_id") == F.col("s_doc"), "left").select("doc_id", "print", "units", "at", "blocks", "text")
-    runs = runs.mapInArrow(lambda it: _run_batches(it, common.value), "code long, block long, blocks long, doc long, print long, at long, bytes binary")
-    key = F.xxhash64("code", "block")
-    first = runs.select(key.alias("key"), "doc", "print", "at", "bytes", "blocks").repartition(parts, "key").sortWithinPartitions("key")
-    first = first.mapInArrow(lambda it: _sorted_batches(it, again=False), "doc long, print long, at long, until long, bytes binary")
-    second = first.repartition(parts, F.when(F.col("bytes").isNull(), F.xxhash64("doc", "at")).otherwise(F.xxhash64("bytes")))
-    second = second.sortWithinPartitions("bytes").mapInArrow(_second_batches, "h_doc long, print long, at long, until long")
-    hits = second.groupBy("h_doc").agg(F.collect_list(F.struct("print", "at", "until")).alias("hits"))
-    judged = own.join(hits.hint("merge"), F.col("doc_id") == F.col("h_doc"), "left").select("doc_id", "print", "units", "hits", "text")
-    return judged.mapInArrow(
-        lambda it: _removal_batches(it, kept_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks, ranges = pk.number(total, block_bytes, parts), pk.number(total, RANGE_BYTES, parts)
+    # the texts are shuffled once; the four uses below share that exchange
+    dealt = pk.dealt(docs, blocks, parts)
+
+    def met(sent: DataFrame, judge: object) -> DataFrame:
+        return sent.repartitionById(parts, "range").sortWithinPartitions("range").mapInArrow(judge, ANSWER).repartitionById(parts, "block")
+
+    def with_answers(answers: DataFrame, step: object, ddl: str) -> DataFrame:
+        return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(step, ddl)
+
+    one = met(dealt.sortWithinPartitions("block").mapInArrow(lambda it: _units_sent(it, ranges), SENT), _units_met)
+    two = met(with_answers(one, lambda x, y: _anchors_sent(x, y, ranges), SENT), _anchors_met)
+    both = one.unionByName(two).repartitionById(parts, "block")
+    runs = with_answers(both, lambda x, y: _runs_sent(x, y, ranges, group_runs), MOVED)
+    for again in (False, True):
+        moved = runs.repartitionById(parts, "dest").sortWithinPartitions("range").select("range", "dest", *_MOVED[0][2:])
+        runs = moved.mapInArrow(lambda it, again=again: _judged(it, ranges, again), MOVED)
+    hits = runs.select("block", "n", "at", "size").repartitionById(parts, "block")
+    return with_answers(
+        hits, lambda x, y: _removed(x, y, kept_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
     )
 
 
