@@ -16,16 +16,19 @@ HEBREW_STANDARD = "(?:ת[\"״'׳]י|תקן(?:\\s+ישראלי)?(?:\\s+רשמי)?
 
 def normalize_code(c: Column) -> Column:
     """F13 for text: digits with a leading minus; a check digit after the slash goes; no code gives ''."""
-    x = F.trim(F.coalesce(c, F.lit("")))
+    x = F.regexp_replace(F.coalesce(c, F.lit("")), "^\\s+|\\s+$", "")
     sign = F.when(x.startswith("-"), "-").otherwise("")
     digits = F.regexp_replace(F.regexp_replace(x, "/[0-9]$", ""), "[^0-9]", "")
     return F.when(x.rlike(CODE_PATTERN), F.concat(sign, digits)).otherwise("")
 
 
 def normalize_number(c: Column) -> Column:
-    """F13 for numeric columns, which lost leading zeros: 7 to 9 digits are padded to 10."""
-    x = c.cast("decimal(38,0)").cast("string")
-    return F.coalesce(F.when(F.length(x).between(7, 9), F.lpad(x, 10, "0")).otherwise(x), F.lit(""))
+    """F13 for numeric columns, which lost leading zeros: fractions are cut off, 7 to 9 characters are padded to 10 after the sign."""
+    x = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "\\..*$", "")
+    x = F.when(x == "-0", "0").otherwise(x)
+    sign = F.when(x.startswith("-"), "-").otherwise("")
+    wide = F.concat(sign, F.lpad(F.ltrim(x, F.lit("-")), F.lit(10) - F.length(sign), F.lit("0")))
+    return F.coalesce(F.when(F.length(x).between(7, 9), wide).otherwise(x), F.lit(""))
 
 
 def hierarchy_key(code: Column) -> Column:

@@ -56,11 +56,16 @@ def strip_controls(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), CONTROLS, "")
 
 
-def normalized(c: Column) -> Column:
-    """F02 within the JVM, for text whose letters are pre-composed or bare; marks on their own are dropped."""
+def folded(c: Column) -> Column:
+    """F02 without the cutting into words."""
     accented, bare = _accent_table()
     x = F.regexp_replace(F.translate(strip_controls(c), accented, bare), "\\p{Mn}+", "")
-    return F.array_join(F.regexp_extract_all(F.translate(F.lower(x), FINAL_LETTERS, REGULAR_LETTERS), F.lit(WORD), F.lit(0)), " ")
+    return F.translate(F.lower(x), FINAL_LETTERS, REGULAR_LETTERS)
+
+
+def normalized(c: Column) -> Column:
+    """F02 within the JVM, for text whose letters are pre-composed or bare; marks on their own are dropped."""
+    return F.array_join(F.regexp_extract_all(folded(c), F.lit(WORD), F.lit(0)), " ")
 
 
 def normalized_lines(c: Column) -> Column:
@@ -106,20 +111,20 @@ def extract_terms(norm: Column) -> Column:
     """words of at least 3 letters (Hebrew 2) that are no stopword or number; one trailing s dropped beyond 4."""
     keep = lambda w: ~F.array_contains(_stop(), w) & ~is_digits(w) & (F.length(w) >= F.when(is_hebrew(w), 2).otherwise(3))
     bare = lambda w: F.when(~is_hebrew(w) & (F.length(w) > 4) & w.endswith("s"), F.substring(w, 1, F.length(w) - 1)).otherwise(w)
-    return F.array_distinct(F.transform(F.filter(tokens(norm), keep), bare))
+    return F.array_distinct(F.transform(F.filter(F.array_distinct(tokens(norm)), keep), bare))
 
 
 def record_query_terms(norm: Column) -> Column:
     """sorted terms, then every number of two digits or more; all words if that is nothing."""
     terms = F.array_sort(extract_terms(norm))
-    numbers = F.filter(tokens(norm), lambda w: is_digits(w) & (F.length(w) >= 2))
+    numbers = F.filter(F.array_distinct(tokens(norm)), lambda w: is_digits(w) & (F.length(w) >= 2))
     found = F.array_distinct(F.concat(terms, numbers))
     return F.when(F.size(found) > 0, found).otherwise(tokens(norm))
 
 
 def document_query_terms(norm: Column) -> Column:
     """distinct words without stopwords, numbers or of two letters at least."""
-    return F.array_distinct(F.filter(tokens(norm), lambda w: ~F.array_contains(_stop(), w) & (is_digits(w) | (F.length(w) >= 2))))
+    return F.filter(F.array_distinct(tokens(norm)), lambda w: ~F.array_contains(_stop(), w) & (is_digits(w) | (F.length(w) >= 2)))
 
 
 def english_match(term: Column, token: Column) -> Column:
@@ -143,14 +148,19 @@ def term_matches(term: Column, token: Column) -> Column:
     return F.when(is_hebrew(term), hebrew_match(term, token)).otherwise(english_match(term, token))
 
 
+def _inflected(term: Column, vocabulary: Column) -> Column:
+    """Whether term_matches some word; the term's script is looked at once, not for every word."""
+    return F.when(is_hebrew(term), F.exists(vocabulary, lambda w: hebrew_match(term, w))).otherwise(F.exists(vocabulary, lambda w: english_match(term, w)))
+
+
 def matched_terms(terms: Column, vocabulary: Column) -> Column:
     """the terms that occur, as they are or inflected."""
-    return let(vocabulary, lambda v: F.filter(terms, lambda t: F.array_contains(v, t) | F.exists(v, lambda w: term_matches(t, w))))
+    return let(vocabulary, lambda v: F.filter(terms, lambda t: F.array_contains(v, t) | _inflected(t, v)))
 
 
 def document_hits(terms: Column, vocabulary: Column) -> Column:
     """as F08, but numbers match whole words only."""
-    return let(vocabulary, lambda v: F.filter(terms, lambda t: F.array_contains(v, t) | (~is_digits(t) & F.exists(v, lambda w: term_matches(t, w)))))
+    return let(vocabulary, lambda v: F.filter(terms, lambda t: F.array_contains(v, t) | (~is_digits(t) & _inflected(t, v))))
 
 
 def token_variants(token: Column) -> Column:
@@ -159,9 +169,16 @@ def token_variants(token: Column) -> Column:
     return F.concat(F.array(token), F.transform(cut, lambda n: F.substring(token, n + 1, F.length(token))))
 
 
+def term_variants(term: str) -> list[str]:
+    """F10 of a query's term, on the driver."""
+    cut = [n for n in (1, 2, 3) if re.search("[֐-׿]", term) and len(term) - n >= 3 and set(term[:n]) <= set(PROCLITICS)]
+    return [term, *(term[n:] for n in cut)]
+
+
 def index_terms(norm: Column) -> Column:
-    """all variants of all words, once each."""
-    return F.array_distinct(F.flatten(F.transform(tokens(norm), token_variants)))
+    """all variants of all words, once each. Only Hebrew words have any but themselves."""
+    words = F.array_distinct(tokens(norm))
+    return F.when(is_hebrew(norm), F.array_distinct(F.flatten(F.transform(words, token_variants)))).otherwise(words)
 
 
 def prefix_query(terms: Column) -> Column:
@@ -208,6 +225,17 @@ def near_duplicate(a: Column, b: Column, threshold: float = 0.8) -> Column:
     return jaccard(F.array_distinct(tokens(a)), F.array_distinct(tokens(b))) >= threshold
 
 
+def variant_hits(terms: Column, vocabulary: Column) -> Column:
+    """The terms of a record search that a field has: numbers as whole words, others with their variants without proclitics."""
+
+    def hit(t: Column, v: Column) -> Column:
+        hebrew = F.exists(token_variants(t), lambda u: F.exists(v, lambda w: hebrew_match(u, w)))
+        english = F.exists(v, lambda w: english_match(t, w))
+        return F.array_contains(v, t) | F.when(is_digits(t), F.lit(False)).when(is_hebrew(t), hebrew).otherwise(english)
+
+    return let(vocabulary, lambda v: F.filter(terms, lambda t: hit(t, v)))
+
+
 def row_score(terms: Column, vocabulary: Column) -> Column:
     """matched terms; 1 where nothing is asked."""
     return F.when(F.size(terms) == 0, 1).otherwise(F.size(matched_terms(terms, vocabulary)))

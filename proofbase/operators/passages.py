@@ -1,7 +1,10 @@
-"""Long documents: passage windows, page reads, previews, quotations."""
+"""Long documents: passage windows, page reads, previews, quotations."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from proofbase.functions import text as tx
 from proofbase.functions import web
 
 WINDOW, STEP, RESULTS, PAGES_SHOWN, SNIPPET = 4, 2, 12, 60, 1200
+CACHED_DOCUMENTS, CACHED_WORDS = 8, 500_000
 READ_CHARS, READ_PAGES, PREVIEW_CHARS, EDGE = 12_000, 10, 6000, 2000
 
 
@@ -31,7 +35,10 @@ def windows(pages: DataFrame, text: str = "text") -> DataFrame:
 def passage_hits(pages: DataFrame, terms: Column, phrase: Column, text: str = "text") -> DataFrame:
     """Windows with enough terms, their score; pages that can't have them are left out first."""
     whole = F.array_distinct(tx.tokens(tx.normalized(F.col(text))))
-    likely = pages.where(F.size(tx.document_hits(terms, whole)) >= needed(terms))
+    # a term's letters are in the text wherever it matches a word: far cheaper to ask first
+    letters = lambda t: F.contains("_plain", F.when(t.endswith("ה"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
+    able = pages.withColumn("_plain", tx.folded(F.col(text))).where(F.size(F.filter(terms, letters)) >= needed(terms)).drop("_plain")
+    likely = able.where(F.size(tx.document_hits(terms, whole)) >= needed(terms))
     # lines are normalised once and every window puts its own together
     lined = likely.withColumns({"_l": F.split(F.col(text), "\n"), "_x": F.split(tx.normalized_lines(F.col(text)), "\n")})
     n = F.size("_l")
@@ -130,13 +137,42 @@ def locate_excerpts(pages: DataFrame, excerpts: DataFrame, size: int = 6) -> Dat
 def quotations(excerpts: DataFrame, documents: DataFrame, size: int = 6, step: int = 3) -> DataFrame:
     """W08, F24 for a table of excerpts against all documents: (excerpt_id, doc_id, share, exact).
 
-    A match shares a window of `size` words, so candidates meet by window hash; no pair is
-    compared that shares none. The windows asked for are those of F24, each `step` words.
+    A match shares a window of `size` words, so candidates meet by the window's 64-bit hash; no pair
+    is compared that shares none. The windows asked for are those of F24, each `step` words; they
+    are few beside a corpus, so the documents' windows are joined where they are read.
     """
-    asked = excerpts.withColumn("_e", tx.normalized(F.col("excerpt"))).withColumn("_w", tx.tokens(F.col("_e"))).where(F.size("_w") >= size)
+    asked = excerpts.withColumn("_w", tx.tokens(tx.normalized(F.col("excerpt")))).where(F.size("_w") >= size)
     starts = F.sequence(F.lit(0), F.size("_w") - size, F.lit(step))
-    wins = asked.select("excerpt_id", F.size(starts).alias("n"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_w", i + 1, size), " ")))).alias("g"))
+    wins = asked.select("excerpt_id", F.size(starts).alias("n"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i + 1, size))))).alias("g"))
     body = documents.select("doc_id", tx.tokens(tx.normalized(F.col("text"))).alias("_t")).where(F.size("_t") >= size)
-    grams = body.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_t") - size), lambda i: F.array_join(F.slice("_t", i + 1, size), " ")))).alias("g"))
-    met = wins.join(grams, "g").groupBy("excerpt_id", "doc_id", "n").agg(F.count("*").alias("got"))
+    grams = body.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("_t") - size), lambda i: F.xxhash64(F.slice("_t", i + 1, size)))).alias("g"))
+    met = grams.join(wins, "g").distinct().groupBy("excerpt_id", "doc_id", "n").agg(F.count("*").alias("got"))
     return met.select("excerpt_id", "doc_id", (F.col("got") / F.col("n")).alias("share"))
+
+
+class IndexedDocuments:
+    """The pages of the documents searched last, with their words, in memory: at most `most` documents and `budget` words with variants.
+
+    A document over the budget is indexed but not kept. For one process; tables of documents are
+    searched by search_document().
+    """
+
+    def __init__(self, load: Callable[[str], list[tuple[int, str]]], most: int = CACHED_DOCUMENTS, budget: int = CACHED_WORDS):
+        self._load, self._most, self._budget = load, most, budget
+        self._held: OrderedDict[str, tuple[int, list[tuple[int, str, frozenset[str]]]]] = OrderedDict()
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+    def pages(self, doc_id: str) -> list[tuple[int, str, frozenset[str]]]:
+        """(page, text, words with variants) of a document."""
+        if doc_id in self._held:
+            self._held.move_to_end(doc_id)
+            return self._held[doc_id][1]
+        found = [(n, text, frozenset(v for w in tx.normalize_python(text).split() for v in tx.term_variants(w))) for n, text in self._load(doc_id)]
+        size = sum(len(words) for *_, words in found)
+        if size <= self._budget:
+            self._held[doc_id] = (size, found)
+            while len(self._held) > self._most or sum(n for n, _ in self._held.values()) > self._budget:
+                self._held.popitem(last=False)
+        return found

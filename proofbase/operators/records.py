@@ -133,14 +133,19 @@ def passage_lines(documents: DataFrame, terms: Column, whole_words: bool = False
     return lines.where(hit).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.substring(F.trim("_line"), 1, LINE_CHARS).alias("line"))
 
 
-def field_terms(rows: DataFrame, terms: Column, fields: list[str], identifiers: list[str], whole_words: bool = False) -> DataFrame:
-    """Got, the terms in the fields; where_, the fields; id_only, terms in identifier columns alone."""
+def field_terms(rows: DataFrame, terms: Column, fields: list[str], identifiers: list[str], whole_words: bool = False, code_of: dict[str, Column] | None = None) -> DataFrame:
+    """Got, the terms in the fields; where_, the fields; id_only, terms in identifier columns alone. Numbers are whole words, or heads of the normalised code in a field of code_of (F16)."""
     if unknown := sorted(set(fields + identifiers) - set(rows.columns)):
         raise FieldError(f"unknown field(s) {unknown}")
 
     def hits(name: str) -> Column:
         words = F.array_distinct(tx.tokens(tx.normalized(F.col(name).cast("string"))))
-        return F.array_intersect(terms, words) if whole_words else tx.matched_terms(terms, words)
+        if whole_words:
+            return F.array_intersect(terms, words)
+        found = tx.variant_hits(terms, words)
+        if code := (code_of or {}).get(name):
+            found = F.array_union(found, F.filter(terms, lambda t: tx.is_digits(t) & F.length(t).isin(4, 6, 8) & code.startswith(t)))
+        return found
 
     none = F.array().cast("array<string>")
     got = reduce(F.array_union, [hits(n) for n in fields], none)
@@ -183,3 +188,21 @@ def clamp(value: int | None, low: int, high: int, default: int) -> int:
 def is_negative(texts: list[Column]) -> Column:
     """Whether any text claims an exemption or that nothing is required."""
     return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit("")).rlike(NEGATIVE) for t in texts])
+
+
+def near_duplicates(rows: DataFrame, key: str, words: str, threshold: float = 0.8) -> DataFrame:
+    """F25, U04 over a table: pairs (a, b, jaccard) of rows whose distinct words are alike to the threshold.
+
+    Two such rows share one of each's rarest size - ceil(threshold * size) + 1 words, in order of
+    their frequency; only these are joined, so words that are common to many rows pair none.
+    """
+    flat = rows.select(F.col(key).alias("_k"), F.size(words).alias("_n"), F.explode(words).alias("_w"))
+    often = flat.groupBy("_w").agg(F.count("*").alias("_f"))
+    ranked = flat.join(often, "_w").groupBy("_k", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_w"))).alias("_r"))
+    rarest = F.slice("_r", 1, F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9).cast("int") + 1)
+    index = ranked.select("_k", "_n", F.explode(rarest).alias("_e")).where("_e._f > 1").select("_k", "_n", F.col("_e._w").alias("_w"))
+    other = index.select(F.col("_k").alias("_k2"), F.col("_n").alias("_n2"), "_w")
+    close = (F.col("_n") >= F.col("_n2") * threshold - 1e-9) & (F.col("_n2") >= F.col("_n") * threshold - 1e-9)
+    pairs = index.join(other, "_w").where((F.col("_k") < F.col("_k2")) & close).select(F.col("_k").alias("a"), F.col("_k2").alias("b")).distinct()
+    one, two = rows.select(F.col(key).alias("a"), F.col(words).alias("_wa")), rows.select(F.col(key).alias("b"), F.col(words).alias("_wb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", tx.jaccard(F.col("_wa"), F.col("_wb")).alias("jaccard")).where(F.col("jaccard") >= threshold)

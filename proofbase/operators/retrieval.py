@@ -41,10 +41,11 @@ def child_codes(index: DataFrame, hier: str) -> DataFrame:
 
 
 def parent_codes(index: DataFrame, hier: str, everywhere: DataFrame, code: str) -> DataFrame:
-    """Records on the ancestors, if the code exists in any dataset or has children."""
+    """Records on the ancestors, if the code has children here or exists in any dataset. everywhere: the codes of all datasets."""
     digits, sign = hier.lstrip("-"), "-" if hier.startswith("-") else ""
     parents = [sign + digits[:n] for n in range(2, len(digits), 2)]
-    exists = everywhere.where((F.col("code") == code) | F.col("hier").startswith(hier)).limit(1).select(F.lit(True).alias("_known"))
+    below = index.where(F.col("field").isin(OWN, REQUIREMENT) & F.col("hier").startswith(hier) & (F.col("hier") != hier)).select(F.lit(True).alias("_known"))
+    exists = everywhere.where((F.col("code") == code) | (F.col("hier") == hier)).select(F.lit(True).alias("_known")).unionByName(below).limit(1)
     hit = index.where(F.col("field").isin(OWN, REQUIREMENT) & F.col("hier").isin(*parents or [""])).join(F.broadcast(exists), how="left_semi")
     label = F.concat(F.when(F.col("field") == REQUIREMENT, "requirement_on_parent_code (").otherwise("parent_code ("), "hier", F.lit(")"))
     return hit.select("rid", label.alias("match"), (1 + (len(digits) - F.length(F.ltrim("hier", F.lit("-")))) / 100).alias("rank"), F.lit(2).alias("seq"))
@@ -60,22 +61,34 @@ def code_relatives(index: DataFrame, asked: DataFrame) -> DataFrame:
     return same.unionByName(parents).unionByName(children).distinct()
 
 
+def _prefixed(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings that a variant of a term begins, with got, the terms. The prefixes reach the scan, whose statistics prune by token."""
+    begins = {t: reduce(lambda a, b: a | b, [F.col("token").startswith(v) for v in tx.term_variants(t)]) for t in terms if t}
+    if not begins:
+        return index.where("false").withColumn("got", F.array().cast("array<string>"))
+    hit = index.where(reduce(lambda a, b: a | b, begins.values()))
+    return hit.withColumn("got", F.array_compact(F.array(*[F.when(x, F.lit(t)) for t, x in begins.items()])))
+
+
 def text_candidates(index: DataFrame, terms: list[str], most: int | None = CANDIDATES) -> DataFrame:
-    """Records with a token that a term begins, with the terms found; the cap keeps the lowest rids, as the text rank is constant."""
-    tests = F.array_compact(F.array(*[F.when(F.col("token").startswith(t) if len(t) else F.lit(False), F.lit(t)) for t in terms]))
-    hit = index.withColumn("got", tests).where(F.size("got") > 0)
+    """Records with a token that a term or its variants without proclitics begin, with the terms found; the cap keeps the lowest rids, as the text rank is constant."""
+    hit = _prefixed(index, terms)
     found = hit.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_set("got"))).alias("prefix_hits"))
     return found if most is None else found.orderBy("rid").limit(most)
 
 
-def bm25(index: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """F18, the opt-in extension: (rid, bm25) with statistics over the whole index; one term per prefix, sums negated."""
-    size = index.groupBy("rid").agg(F.count("*").alias("n_tokens"))
+def posting_sizes(index: DataFrame) -> DataFrame:
+    """(rid, n_tokens) of the postings."""
+    return index.groupBy("rid").agg(F.count("*").alias("n_tokens"))
+
+
+def bm25(index: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
+    """F18, the opt-in extension: (rid, bm25) with statistics over the whole index; one term per prefix, sums negated. sizes: stored posting_sizes, else counted."""
+    size = posting_sizes(index) if sizes is None else sizes
     whole = size.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
-    # one row per term asked for
-    asked = index.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    tf = index.join(F.broadcast(asked), F.col("token").startswith(F.col("term"))).groupBy("rid", "term").agg(F.count("*").alias("tf"))
+    tf = _prefixed(index, terms).select("rid", F.explode("got").alias("term")).groupBy("rid", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # a row per term asked for, and one row
     joined = tf.join(F.broadcast(df), "term").join(size, "rid").join(F.broadcast(whole))
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("avg_tokens")))
@@ -106,9 +119,13 @@ def nearest_headings(index: DataFrame, code: str) -> DataFrame:
 def search(
     rows: DataFrame, rid: str, fields: list[str], code_fields: dict[str, Column], query: str, *, identifiers: list[str] | None = None, filters: dict[str, object] | None = None,
     direction: Column | None = None, jurisdiction: Column | None = None, want_direction: str = "any", want_jurisdiction: str = "any", include_unrelated: bool = False,
+    index: dict[str, DataFrame] | None = None, everywhere: DataFrame | None = None,
 ) -> DataFrame:
     """Every candidate record of the query with match, rank, relevance and outcome.
 
+    index: the stored codes and postings of these rows (snapshots.build_index), else both are made
+    from the rows. everywhere: the codes of all datasets, for J04; else those of this one.
+
     outcome, tested in this order: filtered, out_of_scope, unrelated, ranked. page() cuts the
     ranked ones; explain() counts the others. The strategy (standard reference, code, or terms)
     follows from the query's form on the driver; everything else is one plan.
@@ -119,25 +136,27 @@ def search(
     identifiers = identifiers or []
     form = spark.range(1).select(codes.standard_refs(F.lit(query)).alias("refs"), codes.code_query(F.lit(query)).alias("code"), codes.hierarchy_key(codes.code_query(F.lit(query))).alias("hier"), tx.record_query_terms(tx.normalized(F.lit(query))).alias("terms")).first()
     text = F.concat_ws(" ", *[F.col(n).cast("string") for n in fields + identifiers])
+    stored = index or {}
+    posted = lambda: stored["postings"] if "postings" in stored else postings(rows, rid, text)
     hits: list[DataFrame] = []
     shape = ("rid", "match", "rank", "seq", "relevance")
     if form["refs"]:
         wanted = F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("scheme", "number", "part")]) for r in form["refs"]])
         numbers = sorted({r["number"] for r in form["refs"]})
-        candidates = text_candidates(postings(rows, rid, text), numbers).select(F.col("rid").alias("_c"))
+        candidates = text_candidates(posted(), numbers).select(F.col("rid").alias("_c"))
         named = rows.join(candidates, F.col(rid) == F.col("_c"), "left_semi")  # J06: filter, then verify
         own = F.concat_ws(" ; ", *[F.col(n).cast("string") for n in fields])
         hits.append(named.where(codes.standard_matches(codes.standard_refs(own), wanted)).select(F.col(rid).alias("rid"), F.lit("exact_standard").alias("match"), F.lit(0.0).alias("rank"), F.lit(0).alias("seq"), F.lit("direct").alias("relevance")))
     else:
         terms = form["terms"]
         if form["code"]:
-            index = code_index(rows, rid, code_fields)
-            found = [exact_codes(index, form["code"], form["hier"]), child_codes(index, form["hier"]), parent_codes(index, form["hier"], index, form["code"])]
+            own = stored["codes"] if "codes" in stored else code_index(rows, rid, code_fields)
+            found = [exact_codes(own, form["code"], form["hier"]), child_codes(own, form["hier"]), parent_codes(own, form["hier"], own if everywhere is None else everywhere, form["code"])]
             hits += [h.withColumn("relevance", F.lit("direct")) for h in found]
             terms = [form["code"].lstrip("-")]
         if terms:
             wanted = F.array(*[F.lit(t) for t in terms])
-            candidates = text_candidates(postings(rows, rid, text), terms).select(F.col("rid").alias("_c"))
+            candidates = text_candidates(posted(), terms).select(F.col("rid").alias("_c"))
             body = records.field_terms(rows.join(candidates, F.col(rid) == F.col("_c"), "left_semi"), wanted, fields, identifiers)
             judged = body.where((F.size("got") > 0) | (F.size("id_only") > 0)).withColumn("relevance", records.relevance(F.col("got"), F.col("id_only"), wanted))
             share = tx.coverage(F.col("got"), wanted)
@@ -155,6 +174,22 @@ def search(
     return rows.join(best, F.col(rid) == F.col("_rid")).withColumn("rid", F.col("_rid")).drop("_rid").withColumn("outcome", outcome)
 
 
+def search_datasets(datasets: dict[str, dict], query: str, chosen: list[str] | None = None, **how: object) -> DataFrame:
+    """V01, U02, J04 over several datasets: (dataset, rid, match, rank, relevance, outcome), for page() and explain().
+
+    datasets: name -> the arguments of search() that describe it (rows, rid, fields, code_fields,
+    identifiers, direction, jurisdiction, index). Whether a code exists is asked of all of them,
+    also where only the chosen ones are searched.
+    """
+    codes_of = lambda d: d["index"]["codes"] if d.get("index") else code_index(d["rows"], d["rid"], d["code_fields"])
+    everywhere = reduce(DataFrame.unionByName, [codes_of(d).select("code", "hier") for d in datasets.values()])
+    found = []
+    for name in chosen or list(datasets):
+        hit = search(**datasets[name], query=query, everywhere=everywhere, **how)
+        found.append(hit.select(F.lit(name).alias("dataset"), F.col("rid").cast("string").alias("rid"), "match", "rank", "relevance", "outcome"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def page(found: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
     """One page of the ranked records, with the total and the next offset."""
     limit, offset = records.clamp(limit, 1, 25, 10), max(0, offset)

@@ -46,9 +46,9 @@ def longest_streaks(rows: DataFrame, keys: list[str], order: list[str], flag: Co
 
 def first_seen(rows: DataFrame, key: Column, order: list[str], ref: str) -> DataFrame:
     """seen_in, the reference of the key's first row, and is_first. One aggregation, no window over a hot key."""
-    keyed = rows.withColumn("_k", key)
+    keyed = rows.withColumn("_k", F.md5(key.cast("string").cast("binary")))  # 128 bits stand for a long key
     first = keyed.groupBy("_k").agg(F.min_by(ref, F.struct(*order)).alias("seen_in"))
-    return keyed.join(first, "_k").withColumn("is_first", F.col(ref) == F.col("seen_in")).drop("_k")
+    return keyed.join(first, keyed["_k"].eqNullSafe(first["_k"])).withColumn("is_first", F.col(ref) == F.col("seen_in")).drop("_k")
 
 
 def within_budget(rows: DataFrame, keys: list[str], order: list[str], size: Column, most: int) -> DataFrame:

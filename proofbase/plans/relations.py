@@ -52,6 +52,20 @@ TERMS_SQL = "[" + ", ".join(f"'{x}'" for x in TERMS) + "]"
 HITS_SQL = f"hits AS (SELECT doc_id, list_filter({TERMS_SQL}, lambda q: len(list_filter(v, lambda w: starts_with(w, q))) > 0) AS got FROM (SELECT doc_id, list_distinct({TOK}) AS v FROM documents))"
 
 
+def document_index(t: Tables) -> dict[str, DataFrame]:
+    """The stored postings of documents, made by the first query that asks for them."""
+    from proofbase.session import work_dir
+    from proofbase.sources.snapshots import build_index, files_signature
+
+    rows = t.documents
+    return build_index(rows, f"{work_dir(t.spark)}/indexes", "doc_id", F.col("text"), {}, files_signature(rows, "documents.text"), records=False)
+
+
+@query("K05_postings", f"SELECT doc_id AS rid, count(*) AS n_tokens FROM (SELECT doc_id, unnest(list_distinct({TOK})) AS token FROM documents) GROUP BY 1")
+def k05(t: Tables) -> DataFrame:
+    return document_index(t)["sizes"]
+
+
 @query(
     "J05_L02_term_search",
     f"""WITH {HITS_SQL}, c AS (SELECT doc_id, len(got) / 4 AS coverage FROM (SELECT * FROM hits WHERE len(got) > 0 ORDER BY doc_id LIMIT 2000))
@@ -59,7 +73,7 @@ HITS_SQL = f"hits AS (SELECT doc_id, list_filter({TERMS_SQL}, lambda q: len(list
 )
 def j05(t: Tables) -> DataFrame:
     """The ranked page of 25 and the cap of 2000 candidates are the operator's own limits."""
-    found = retrieval.text_candidates(retrieval.postings(t.documents, "doc_id", F.col("text")), list(TERMS))
+    found = retrieval.text_candidates(document_index(t)["postings"], list(TERMS))
     wanted = F.array(*[F.lit(x) for x in TERMS])
     share = tx.coverage(F.col("prefix_hits"), wanted)
     judged = found.select(F.col("rid").alias("doc_id"), share.alias("coverage"), records.relevance(F.col("prefix_hits"), F.array().cast("array<string>"), wanted).alias("relevance"))
@@ -73,7 +87,8 @@ def j05(t: Tables) -> DataFrame:
     SELECT tf.doc_id AS rid, round(-sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / a))), 6) AS bm25 FROM tf JOIN df USING (term) JOIN sz USING (doc_id), w GROUP BY tf.doc_id""",
 )
 def f18(t: Tables) -> DataFrame:
-    scored = retrieval.bm25(retrieval.postings(t.documents, "doc_id", F.col("text")), list(TERMS))
+    index = document_index(t)
+    scored = retrieval.bm25(index["postings"], list(TERMS), sizes=index["sizes"])
     return scored.select("rid", F.round("bm25", 6).alias("bm25"))
 
 
@@ -111,7 +126,7 @@ def j09(t: Tables) -> DataFrame:
     )
     by_resource = t.customer.select(F.col("c_custkey").cast("string").alias("resource_id"), F.col("c_mktsegment").alias("status"))
     by_url = t.nation.select(F.concat(F.lit("https://host.org/n/"), "n_nationkey").alias("url_key"), F.col("n_name").alias("status"), F.lit("no").alias("resource_id"))
-    by_document = t.region.select(F.lit("other").alias("document_id"), F.col("r_name").alias("status")).limit(1)
+    by_document = t.region.select(F.concat(F.lit("other"), "r_regionkey").alias("document_id"), F.col("r_name").alias("status"))
     return verification.retrieval_of(cited, by_resource, by_url, by_document).select("o_orderkey", "retrieval_status")
 
 
@@ -349,18 +364,19 @@ def w08(t: Tables) -> DataFrame:
     return found.select("excerpt_id", "doc_id", F.round("share", 9).alias("share"))
 
 
+NORM_OF = r"array_to_string(regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}_]+'), ' ')"
+FOUND_IN = "(length(e) >= 15 AND length({0}) > 0 AND (contains({0}, e) OR (len(w) >= 6 AND len(list_filter(range(0, len(w) - 5, 3), lambda i: contains({0}, array_to_string(w[i + 1:i + 6], ' ')))) >= 0.8 * len(range(0, len(w) - 5, 3)))))"
+
+
 @query(
     "F28_V05_located_excerpts",
-    """SELECT conv_id AS excerpt_id, [turn] AS pages FROM (SELECT conv_id, min(turn) AS turn, count(*) AS n FROM (SELECT a.conv_id, b.turn FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn = 1 AND length(a.text) > 60 AND contains(b.text, a.text)) GROUP BY 1) WHERE n = 1""",
+    f"""WITH b AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations),
+    p AS (SELECT conv_id, turn, after IS NOT NULL AS has, {NORM_OF.format("text")} AS n, {NORM_OF.format("right(text, 2000) || chr(10) || left(after, 2000)")} AS s FROM b),
+    q AS (SELECT DISTINCT conv_id, turn, text FROM conversations), a AS (SELECT *, {NORM_OF.format("text")} AS e, string_split({NORM_OF.format("text")}, ' ') AS w FROM q),
+    f AS (SELECT a.conv_id, a.turn, a.text, list_sort(list(DISTINCT p.turn) FILTER ({FOUND_IN.format("n")})) AS hits, min(p.turn) FILTER (has AND {FOUND_IN.format("s")}) AS across FROM a JOIN p USING (conv_id) GROUP BY 1, 2, 3)
+    SELECT conv_id, turn, text, CASE WHEN len(hits) > 0 THEN hits WHEN across IS NOT NULL THEN [across, across + 1] ELSE [] END AS pages FROM f""",
 )
 def f28(t: Tables) -> DataFrame:
-    pages = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_no"), "text")
-    asked = pages.where("page_no = 1 AND length(text) > 60").select(F.col("doc_id").alias("excerpt_id"), "doc_id", F.col("text").alias("excerpt"))
-    return passages.locate_excerpts(pages, asked).where(F.size("pages") == 1)
-
-
-@query("F28_V05_located_excerpts_all")
-def f28_all(t: Tables) -> DataFrame:
     """Every turn asked for in its conversation, every result with its pages; turns with one number are asked for each."""
     pages = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_no"), "text")
     asked = pages.select(F.struct(F.col("doc_id").alias("conv_id"), F.col("page_no").alias("turn"), "text").alias("excerpt_id"), "doc_id", F.col("text").alias("excerpt")).distinct()

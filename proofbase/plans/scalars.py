@@ -42,28 +42,15 @@ def f03(t: Tables) -> DataFrame:
 
 @query(
     "F04_record_query_terms",
-    f"SELECT doc_id, array_to_string(list_concat(list_sort({TERMS_SQL}), list_filter(list_sort(list_distinct({TOK})), lambda w: regexp_full_match(w, '[0-9][0-9]+'))), ' ') AS terms FROM (SELECT doc_id, substr(text, 1, 300) || ' 17 alpha' AS text FROM documents)",
+    f"SELECT doc_id, array_to_string(list_concat(list_sort({TERMS_SQL}), list_filter(list_sort(list_distinct({TOK})), lambda w: regexp_full_match(w, '[0-9][0-9]+'))), ' ') AS terms FROM (SELECT doc_id, text || ' 17 alpha' AS text FROM documents)",
 )
 def f04(t: Tables) -> DataFrame:
-    return _record_query_terms(t, F.substring("text", 1, 300))
-
-
-def _record_query_terms(t: Tables, text: F.Column) -> DataFrame:
-    found = t.documents.select("doc_id", tx.normalized(F.concat(text, F.lit(" 17 alpha"))).alias("n"))
+    found = t.documents.select("doc_id", tx.normalized(F.concat("text", F.lit(" 17 alpha"))).alias("n"))
     terms = tx.record_query_terms(F.col("n"))
     words, numbers = F.filter(terms, lambda w: ~tx.is_digits(w)), F.array_sort(F.filter(terms, tx.is_digits))
     return found.select("doc_id", F.array_join(F.concat(words, numbers), " ").alias("terms"))
 
 
-@query(
-    "F04_record_query_terms_whole",
-    f"SELECT doc_id, array_to_string(list_concat(list_sort({TERMS_SQL}), list_filter(list_sort(list_distinct({TOK})), lambda w: regexp_full_match(w, '[0-9][0-9]+'))), ' ') AS terms FROM (SELECT doc_id, text || ' 17 alpha' AS text FROM documents)",
-)
-def f04_whole(t: Tables) -> DataFrame:
-    """Of whole texts; the query above, whose SQL is kept, reads the first 300 characters."""
-    return _record_query_terms(t, F.col("text"))
-
-
 @query("F05_document_query_terms", f"SELECT doc_id, list_sort(list_distinct(list_filter({TOK}, lambda w: NOT list_contains({STOP}, w) AND (regexp_full_match(w, '[0-9]+') OR length(w) >= 2)))) AS terms FROM documents")
 def f05(t: Tables) -> DataFrame:
     return normed(t).select("doc_id", F.array_sort(tx.document_query_terms(F.col("norm"))).alias("terms"))
@@ -158,18 +145,12 @@ def f23(t: Tables) -> DataFrame:
 @query(
     "F25_U04_near_duplicate_items",
     f"""WITH b AS (SELECT item_id, list_distinct({TOK}) AS w FROM benchmark), s AS (SELECT item_id, unnest(w) AS w FROM b),
-    p AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM s a JOIN s b ON a.w = b.w AND a.item_id < b.item_id)
-    SELECT p.a, p.b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 9) AS jaccard,
-    len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.8 AS near FROM p JOIN b x ON x.item_id = p.a JOIN b y ON y.item_id = p.b""",
+    p AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM s a JOIN s b ON a.w = b.w AND a.item_id < b.item_id),
+    j AS (SELECT p.a, p.b, len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) AS j FROM p JOIN b x ON x.item_id = p.a JOIN b y ON y.item_id = p.b)
+    SELECT a, b, round(j, 9) AS jaccard FROM j WHERE j >= 0.8""",
 )
 def f25(t: Tables) -> DataFrame:
-    sets = t.benchmark.select("item_id", F.array_distinct(tx.tokens(tx.normalized(F.col("text")))).alias("w"))
-    one = sets.select(F.col("item_id").alias("a"), F.explode("w").alias("t"))
-    two = sets.select(F.col("item_id").alias("b"), F.explode("w").alias("t"))
-    pairs = one.join(two, "t").where("a < b").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("item_id").alias("b"), F.col("w").alias("wb")), "b")
-    share = tx.jaccard(F.col("wa"), F.col("wb"))
-    return both.select("a", "b", F.round(share, 9).alias("jaccard"), (share >= 0.8).alias("near"))
+    return records.near_duplicates(t.benchmark.select("item_id", F.array_distinct(tx.tokens(tx.normalized(F.col("text")))).alias("w")), "item_id", "w").withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query("F26_rtl_lines")

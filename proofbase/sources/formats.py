@@ -7,7 +7,8 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Tags without content of their own, charsets in the order tried, limits.
-DROPPED = frozenset("script style noscript template svg nav header footer aside form iframe".split())
+DROPPED = frozenset("script style noscript svg nav header footer aside form iframe button".split())
 CHARSETS = ("utf-8-sig", "cp1255", "latin-1")
 INGEST_CHARSETS = ("utf-8-sig", "cp1255", "iso-8859-8")
 MOST_SHEETS, MOST_UNZIPPED, SNIFFED = 5, 100 << 20, 4096
@@ -182,15 +183,123 @@ def xlsx_sheets(data: bytes, most_sheets: int = MOST_SHEETS) -> Iterator[tuple[s
         yield name, rows
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """The pages' texts by whichever extractor is installed; glyphs are assembled and right-to-left lines repaired."""
+#: name -> opens a document: (number of pages, page number -> its text). Lines of positioned readers are in visual order.
+Opener = Callable[[bytes], tuple[int, Callable[[int], str]]]
+
+
+def _pypdf(data: bytes) -> tuple[int, Callable[[int], str]]:
+    from pypdf import PdfReader
+
+    pages = PdfReader(io.BytesIO(data)).pages
+    return len(pages), lambda i: pages[i].extract_text() or ""
+
+
+def _pdfium(data: bytes) -> tuple[int, Callable[[int], str]]:
+    import pypdfium2
+
+    doc = pypdfium2.PdfDocument(data)
+
+    def page(i: int) -> str:
+        text = doc[i].get_textpage()
+        glyphs = []
+        for k in range(text.count_chars()):
+            left, bottom, right, top = text.get_charbox(k)
+            glyphs.append((left, right, -top, max(top - bottom, 1.0), text.get_text_range(k, 1)))
+        return "\n".join(glyph_lines(glyphs))
+
+    return len(doc), page
+
+
+def _pdfplumber(data: bytes) -> tuple[int, Callable[[int], str]]:
+    import pdfplumber
+
+    pages = pdfplumber.open(io.BytesIO(data)).pages
+    return len(pages), lambda i: "\n".join(glyph_lines([(x["x0"], x["x1"], x["top"], x["size"], x["text"]) for x in pages[i].chars]))
+
+
+PLAIN: dict[str, Opener] = {"pypdf": _pypdf}
+POSITIONED: dict[str, Opener] = {"pdfium": _pdfium, "pdfplumber": _pdfplumber}
+
+
+@dataclass
+class Pdf:
+    """The pages' texts, how each was read ("failed": not at all), and what went wrong."""
+
+    pages: list[str] = field(default_factory=list)
+    methods: list[str] = field(default_factory=list)
+    problems: list[str] = field(default_factory=list)
+
+
+def read_pdf(data: bytes, most_pages: int | None = None, plain: dict[str, Opener] | None = None, positioned: dict[str, Opener] | None = None) -> Pdf:
+    """Plain extraction, page by page; a page that it can't read, or that has right-to-left text, is put
+    together from the places of its characters, and each of its lines repaired. Every reader may be absent or fail."""
     from proofbase.functions.rtl import repair
 
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise FormatError("no PDF extractor is installed") from e
-    return ["\n".join(map(repair, (p.extract_text() or "").split("\n"))) for p in PdfReader(io.BytesIO(data)).pages]
+    found, opened = Pdf(), {}
+    plain, positioned = PLAIN if plain is None else plain, POSITIONED if positioned is None else positioned
+    for name, opener in (plain | positioned).items():
+        try:
+            opened[name] = opener(data)
+        except ImportError:
+            found.problems.append(f"{name} is not installed")
+        except Exception as e:  # a reader may raise anything on a damaged file
+            found.problems.append(f"{name}: {type(e).__name__}")
+    if not opened:
+        raise FormatError("no reader opens this PDF: " + "; ".join(found.problems))
+
+    def tried(names: dict[str, Opener], i: int) -> tuple[str | None, str]:
+        for name in names:
+            if name in opened and i < opened[name][0]:
+                try:
+                    return opened[name][1](i), name
+                except Exception as e:
+                    found.problems.append(f"page {i + 1}, {name}: {type(e).__name__}")
+        return None, "failed"
+
+    total = max(n for n, _ in opened.values())
+    for i in range(total if most_pages is None else min(total, most_pages)):
+        text, method = tried(plain, i)
+        if text is None or re.search("[\u0590-\u05ff]", text):
+            placed, by = tried(positioned, i)
+            if placed is not None:
+                text, method = "\n".join(map(repair, placed.split("\n"))), by
+            elif text is not None:
+                found.problems.append(f"page {i + 1}: right-to-left text in the order of {method}, which may be wrong")
+                text = "\n".join(map(repair, text.split("\n")))
+            else:
+                found.problems.append(f"page {i + 1} can't be read")
+        found.pages.append(text or "")
+        found.methods.append(method)
+    if most_pages is not None and total > most_pages:
+        found.problems.append(f"{most_pages} of {total} pages read")
+    return found
+
+
+def read_pdfs(spark: SparkSession, path: str, most_pages: int | None = None) -> DataFrame:
+    """(path, page_no, text, method, problems) of all PDF files of a folder; an unreadable file has one row of page 0."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, data in batch.itertuples(index=False):
+                try:
+                    x = read_pdf(bytes(data), most_pages)
+                    rows = [(p, i, t, m, "; ".join(x.problems)) for i, (t, m) in enumerate(zip(x.pages, x.methods, strict=True), 1)]
+                except FormatError as e:
+                    rows = [(p, 0, "", "failed", str(e))]
+                yield pd.DataFrame(rows, columns=["path", "page_no", "text", "method", "problems"])
+
+    return files.mapInPandas(run, "path string, page_no int, text string, method string, problems string")
+
+
+def glyph_lines(glyphs: list[tuple[float, float, float, float, str]]) -> list[str]:
+    """Lines from top to bottom of (x0, x1, y, size, character): a character belongs to the line whose place differs by half its size at most."""
+    lines: list[tuple[float, float, list[tuple[float, float, str]]]] = []
+    for x0, x1, y, size, ch in sorted(glyphs, key=lambda g: g[2]):
+        if not lines or y - lines[-1][0] > size / 2:
+            lines.append((y, size, []))
+        lines[-1][2].append((x0, x1, ch))
+    return [glyph_line(found, size) for _, size, found in lines]
 
 
 def glyph_line(glyphs: list[tuple[float, float, str]], size: float) -> str:
@@ -247,7 +356,7 @@ def _file_rows(path: str, kind: str, data: bytes) -> Iterator[tuple[str, str, st
         tables = [(n, rows[0], rows[1:]) for n, rows in xlsx_sheets(data) if rows]
     elif kind == "json":
         records = json_records(json.loads(decode_text(data))) or []
-        header = list(dict.fromkeys(k for r in records[:200] for k in r))
+        header = list(dict.fromkeys(k for r in records for k in r))
         tables = [("", header, [["" if r.get(k) is None else str(r.get(k)) for k in header] for r in records])]
     else:
         rows = list(csv_rows(data))

@@ -7,7 +7,7 @@ import hashlib
 import json
 import os
 import shutil
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,26 +69,35 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("_a") == F.col("_b"), "full").select(F.coalesce("_a", "_b").alias(key), change.alias("change"))
 
 
-def read_paged(probe: Callable[[], int], page: Callable[[int, int], list[dict]], key: str = "_id", size: int = 5000) -> list[dict]:
-    """An ordered export: total, pages in order, ids strictly increasing, total again. Any drift rejects the read."""
-    total, rows, last = probe(), [], None
-    while len(rows) < total:
-        got = page(len(rows), size)
+def paged(probe: Callable[[], int], page: Callable[[int, int], list[dict]], key: str = "_id", size: int = 5000) -> Iterator[dict]:
+    """The rows of an ordered export, a page in memory at a time: total, pages in order, ids strictly increasing, total again. Any drift is an error, so what was read till then must not be published."""
+    total, n, last = probe(), 0, None
+    while n < total:
+        got = page(n, size)
         if not got:
-            raise SnapshotError("count", f"{len(rows)} rows of {total}")
+            raise SnapshotError("count", f"{n} rows of {total}")
         for r in got:
             if last is not None and r[key] <= last:
                 raise SnapshotError("order", f"id {r[key]} after {last}")
             last = r[key]
-        rows += got
-    if len(rows) != total or probe() != total:
+            yield r
+        n += len(got)
+    if n != total or probe() != total:
         raise SnapshotError("drift", f"the total of {total} changed")
-    return rows
 
 
-def serialize(rows: list[dict]) -> bytes:
+def read_paged(probe: Callable[[], int], page: Callable[[int, int], list[dict]], key: str = "_id", size: int = 5000) -> list[dict]:
+    """S10 of a small table, as a list."""
+    return list(paged(probe, page, key, size))
+
+
+def serialize(rows: Iterable[dict]) -> bytes:
     """Compact JSON lines."""
-    return b"".join(json.dumps(r, ensure_ascii=False, separators=(",", ":")).encode() + b"\n" for r in rows)
+    return b"".join(map(_line, rows))
+
+
+def _line(row: dict) -> bytes:
+    return json.dumps(row, ensure_ascii=False, separators=(",", ":")).encode() + b"\n"
 
 
 def write_json(path: str, doc: object) -> None:
@@ -100,18 +109,27 @@ def write_json(path: str, doc: object) -> None:
     os.replace(f"{path}.tmp", path)
 
 
-def write_snapshot(folder: str, key: str, version: str, rows: list[dict], fields: list[dict], checks: dict) -> dict:
-    """Rows and descriptor under a temporary name, read back, then renamed; large ones are marked for other storage."""
-    raw = serialize(rows)
-    data = gzip.compress(raw, mtime=0)
+def write_snapshot(folder: str, key: str, version: str, rows: Iterable[dict], fields: list[dict], checks: dict) -> dict:
+    """Rows, one at a time, and descriptor under a temporary name, read back, then renamed; large ones are marked for other storage. An error in the rows, such as a drift of the export, leaves no version behind."""
     target, staged = f"{folder}/{key}/{version}", f"{folder}/{key}/.tmp-{version}"
     os.makedirs(staged, exist_ok=True)
-    with open(f"{staged}/records.jsonl.gz", "wb") as f:
-        f.write(data)
-    with open(f"{staged}/records.jsonl.gz", "rb") as f:
-        if gzip.decompress(f.read()).count(b"\n") != len(rows):
-            raise SnapshotError("write", "the rows read back differ")
-    meta = {"key": key, "version": version, "fields": fields, "row_count": len(rows), "sha256": hashlib.sha256(data).hexdigest(), "content_sha256": hashlib.sha256(raw).hexdigest(), "validation": checks, "storage": "release" if len(data) > LARGE_BYTES else "folder"}
+    path, content, n = f"{staged}/records.jsonl.gz", hashlib.sha256(), 0
+    try:
+        with open(path, "wb") as f, gzip.GzipFile("", "wb", fileobj=f, mtime=0) as z:
+            for row in rows:
+                line = _line(row)
+                content.update(line)
+                z.write(line)
+                n += 1
+        with gzip.open(path, "rb") as z:
+            if sum(1 for _ in z) != n:
+                raise SnapshotError("write", "the rows read back differ")
+    except BaseException:
+        shutil.rmtree(staged)
+        raise
+    with open(path, "rb") as f:
+        digest = hashlib.file_digest(f, "sha256").hexdigest()
+    meta = {"key": key, "version": version, "fields": fields, "row_count": n, "sha256": digest, "content_sha256": content.hexdigest(), "validation": checks, "storage": "release" if os.path.getsize(path) > LARGE_BYTES else "folder"}
     write_json(f"{staged}/snapshot.json", meta)
     os.replace(staged, target)
     return meta
@@ -184,13 +202,15 @@ def read_snapshot(spark: SparkSession, folder: str, key: str) -> DataFrame:
     return lines.select(F.from_json("value", schema_of(fields)).alias("r"), F.col("value").alias("body")).select("r.*", "body")
 
 
-def build_index(rows: DataFrame, folder: str, rid: str, body: Column, code_fields: dict[str, Column], index_signature: str) -> dict[str, DataFrame]:
-    """Records, codes, postings and sizes as Parquet under the signature; built once, then read."""
+def build_index(rows: DataFrame, folder: str, rid: str, body: Column, code_fields: dict[str, Column], index_signature: str, records: bool = True) -> dict[str, DataFrame]:
+    """Records (if asked for), codes, postings and their sizes as Parquet under the signature; built once, then read."""
     from proofbase.operators import retrieval
 
     spark = rows.sparkSession
     base = f"{folder}/index-{index_signature[:16]}"
-    tables = {"records": rows, "codes": retrieval.code_index(rows, rid, code_fields), "postings": retrieval.postings(rows, rid, body)}
+    tables = {"codes": retrieval.code_index(rows, rid, code_fields)} if code_fields else {}
+    tables |= {"postings": retrieval.postings(rows, rid, body)}
+    tables = ({"records": rows} if records else {}) | tables
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_DONE")
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
@@ -198,5 +218,17 @@ def build_index(rows: DataFrame, folder: str, rid: str, body: Column, code_field
             # sorted within files: statistics prune lookups by code and token
             order = {"codes": "hier", "postings": "token"}.get(name)
             (df.repartitionByRange(order).sortWithinPartitions(order) if order else df).write.mode("overwrite").parquet(f"{base}/{name}")
+        retrieval.posting_sizes(spark.read.parquet(f"{base}/postings")).write.mode("overwrite").parquet(f"{base}/sizes")
         fs.create(fs_path).close()
-    return {name: spark.read.parquet(f"{base}/{name}") for name in tables}
+    return {name: spark.read.parquet(f"{base}/{name}") for name in [*tables, "sizes"]}
+
+
+def files_signature(rows: DataFrame, *parts: str) -> str:
+    """Of the files that rows are read from, by name, length and time, and of what else decides an index."""
+    spark = rows.sparkSession
+    seen = []
+    for name in sorted(rows.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        seen.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return hashlib.sha256("|".join([*seen, *parts]).encode()).hexdigest()

@@ -175,7 +175,7 @@ def test_record_query_terms_are_of_whole_texts(spark):
     from proofbase.plans import QUERIES
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r["doc_id"]: r["terms"].split(" ") for r in QUERIES["F04_record_query_terms_whole"](spark, SF).collect()}
+    got = {r["doc_id"]: r["terms"].split(" ") for r in QUERIES["F04_record_query_terms"](spark, SF).collect()}
     late = 0
     for i, x in texts.items():
         words = set(re.findall(r"(?<!\S)[a-z]{5,}(?!\S)", x or ""))
@@ -192,12 +192,50 @@ def test_every_turn_is_located_on_all_its_pages(spark, tmp_path):
 
     turns = [(1, 1, "the first turn of this conversation"), (1, 2, "quoted: The first turn, of this conversation!"), (1, 3, "short"), (2, 1, "the first turn of this conversation"), (2, 2, None)]
     spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r["conv_id"], r["turn"]): r["pages"] for r in QUERIES["F28_V05_located_excerpts_all"](spark, str(tmp_path)).collect()}
+    got = {(r["conv_id"], r["turn"]): r["pages"] for r in QUERIES["F28_V05_located_excerpts"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1): [1, 2], (1, 2): [2], (1, 3): [], (2, 1): [1], (2, 2): []}
 
     said = {(r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
-    found = {(r["conv_id"], r["turn"], r["text"]): r["pages"] for r in QUERIES["F28_V05_located_excerpts_all"](spark, SF).collect()}
+    found = {(r["conv_id"], r["turn"], r["text"]): r["pages"] for r in QUERIES["F28_V05_located_excerpts"](spark, SF).collect()}
     assert set(found) == said
     for c, n, x in said:
         within = {k for d, k, y in said if d == c and x and len(x) > 60 and y and x in y}
         assert within <= set(found[c, n, x])
+
+
+def test_near_duplicates_of_a_table_against_all_pairs(spark):
+    import random
+
+    from proofbase.operators import records
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 25))] if i % 3 == 0 else list(rows[-1][1])
+        rows.append((i, list(dict.fromkeys([*base[: len(base) - i % 2], f"x{i % 4}"]))))
+    rows += [(100, ["the"]), (101, ["the"]), (102, [])]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))}
+    found = records.near_duplicates(spark.createDataFrame(rows, "id long, w array<string>"), "id", "w")
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and want
+
+
+def test_numbers_as_codes(spark):
+    from proofbase.functions import codes
+
+    got = spark.sql("SELECT * FROM VALUES (705100000D), (-70510000D), (6115.9D), (-0.5D), (12345678901D), (CAST(NULL AS DOUBLE)) t(x)").select(codes.normalize_number(F.col("x")).alias("c"))
+    assert [r["c"] for r in got.collect()] == ["0705100000", "-070510000", "6115", "0", "12345678901", ""]
+    text = spark.sql("SELECT * FROM VALUES ('\t6115.00 \n'), (' -61 '), ('x') t(x)").select(codes.normalize_code(F.col("x")).alias("c"))
+    assert [r["c"] for r in text.collect()] == ["611500", "-61", ""]
+
+
+def test_documents_searched_last_are_kept():
+    from proofbase.operators.passages import IndexedDocuments
+
+    loads = []
+    docs = IndexedDocuments(lambda d: loads.append(d) or [(1, f"רכב והרכב {d}"), (2, "word " * int(d))], most=2, budget=12)
+    assert "רכב" in docs.pages("1")[0][2] and docs.pages("1")[1][0] == 2
+    docs.pages("2"), docs.pages("1"), docs.pages("3"), docs.pages("1"), docs.pages("2")
+    assert loads == ["1", "2", "3", "2"] and len(docs) == 2
+    small = IndexedDocuments(lambda d: loads.append(d) or [(1, "a b c")], budget=2)
+    small.pages("9"), small.pages("9")
+    assert loads[-2:] == ["9", "9"] and not len(small)

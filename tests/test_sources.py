@@ -162,3 +162,101 @@ def test_gate_decides_before_reading(spark, api):
     assert catalogue.read_resource(spark, api, "r1", "aviation fuel")[0] == "rejected"
     assert catalogue.read_resource(spark, api, "r1", "hosiery zebra")[0] == "no_matching_records"
     assert catalogue.read_resource(spark, api, "none", "hosiery")[0] == "failed"
+
+
+def test_pdf_readers_fall_back_page_by_page():
+    def missing(data):
+        raise ImportError
+
+    def broken(data):
+        return 3, lambda i: ["plain", "x", ""][i] if i != 1 else 1 / 0
+
+    placed = lambda data: (3, lambda i: ["unused", "םלוע םולש", "unused"][i])
+    found = formats.read_pdf(b"", None, {"a": broken}, {"b": missing, "c": placed})
+    assert found.pages == ["plain", "שלום עולם", ""] and found.methods == ["a", "c", "a"]
+    assert found.problems == ["b is not installed", "page 2, a: ZeroDivisionError"]
+    hebrew = lambda data: (1, lambda i: "םולש")
+    alone = formats.read_pdf(b"", None, {"a": hebrew}, {"b": missing})
+    assert alone.pages == ["שלום"] and "may be wrong" in alone.problems[-1]
+    assert formats.read_pdf(b"", 1, {"a": broken}, {}).problems == ["1 of 3 pages read"]
+    with pytest.raises(formats.FormatError):
+        formats.read_pdf(b"", None, {"a": missing}, {})
+
+
+def test_unreadable_pdfs_are_rows(spark, tmp_path):
+    (tmp_path / "x.pdf").write_bytes(b"no pdf")
+    row = formats.read_pdfs(spark, str(tmp_path)).first()
+    assert (row["page_no"], row["method"]) == (0, "failed") and row["problems"]
+
+
+def test_glyphs_make_lines():
+    glyphs = [(0, 5, 20.0, 10, "c"), (5, 10, 1.0, 10, "b"), (0, 5, 0.0, 10, "a"), (20, 25, 20.5, 10, "d")]
+    assert formats.glyph_lines(glyphs) == ["ab", "c d"]
+
+
+def test_buttons_go_and_templates_stay():
+    assert formats.read_html("<body>a <button>b</button> <template>c</template></body>")[1] == "a c"
+
+
+def test_search_by_the_stored_index(spark, tmp_path):
+    """Variants of prefixed Hebrew words, codes that only another dataset has, several datasets on one page."""
+    goods = spark.createDataFrame([(1, "6115000000", "warm socks"), (2, "6101000000", "תקן לרכב"), (3, "61", "chapter")], "rid long, code string, goods string")
+    other = spark.createDataFrame([(7, "6199", "only here")], "rid long, code string, goods string")
+    code = {retrieval.OWN: codes.normalize_code(F.col("code"))}
+    described = {}
+    for name, rows in (("goods", goods), ("other", other)):
+        index = snapshots.build_index(rows, str(tmp_path / name), "rid", F.col("goods"), code, "a" * 64)
+        described[name] = {"rows": rows, "rid": "rid", "fields": ["goods"], "code_fields": code, "index": index}
+        made = retrieval.search(rows, "rid", ["goods"], code, "socks").select("rid", "rank").collect()
+        assert made == retrieval.search(rows, "rid", ["goods"], code, "socks", index=index).select("rid", "rank").collect()
+    hits = lambda q, **how: {(r["dataset"], r["rid"], r["match"]) for r in retrieval.search_datasets(described, q, **how).collect()}
+    assert ("goods", "2", "all_terms") in hits("הרכב")
+    # 6199 is no code of goods, but a code all the same, so its chapter is found there
+    assert ("goods", "3", "parent_code (61)") in hits("6199", chosen=["goods"])
+    assert not hits("6198", chosen=["goods"])
+    plan = retrieval.text_candidates(described["goods"]["index"]["postings"], ["socks"])._jdf.queryExecution().toString()
+    assert "StringStartsWith(token,socks)" in plan
+    best = retrieval.page(retrieval.search_datasets(described, "6199"), 5)
+    assert [r["dataset"] for r in best.collect()] == ["other", "goods"]
+
+
+def test_catalogue_calls_go_through_the_fetcher():
+    answers = iter([fetch.Response("u", 503, "0", b""), fetch.Response("u", 200, "application/json", b'{"success": true, "result": {"a": 1}}')])
+    f = fetch.Fetcher(open=lambda u: next(answers), resolve=lambda h: ["93.184.216.34"], sleep=lambda s: None, most_calls=1)
+    assert catalogue.fetch("https://host/api", "x", {"q": "1"}, f) == {"a": 1} == catalogue.fetch("https://host/api", "x", {"q": "1"}, f)
+    assert [x["outcome"] for x in f.log] == ["sent", "cached"]
+    with pytest.raises(fetch.FetchError):
+        catalogue.fetch("https://host/api", "x", {"q": "2"}, f)
+    inner = fetch.Fetcher(resolve=lambda h: ["10.0.0.1"], sleep=lambda s: None)
+    with pytest.raises(fetch.FetchError):
+        catalogue.fetch("https://inner/api", "x", {}, inner)
+
+
+def test_verified_asset_is_fetched_once(tmp_path):
+    import hashlib
+
+    calls = []
+    get = lambda: calls.append(1) or b"data"
+    path, digest = str(tmp_path / "d" / "a"), hashlib.sha256(b"data").hexdigest()
+    assert fetch.verified_asset(path, digest, get) == fetch.verified_asset(path, digest, get) == path and len(calls) == 1
+    open(path, "wb").write(b"broken")
+    fetch.verified_asset(path, digest, get)
+    assert len(calls) == 2
+    with pytest.raises(fetch.FetchError):
+        fetch.verified_asset(str(tmp_path / "b"), "0" * 64, get)
+
+
+def test_search_results_flag_primary_sources(spark):
+    rows = fetch.search_results(spark, [{"title": "a", "link": "https://www.gov.il/x", "snippet": "s"}, {"title": "b", "url": "https://example.com"}]).collect()
+    assert [r["primary_source"] for r in rows] == [True, False]
+
+
+def test_a_drifting_export_leaves_no_version(tmp_path):
+    totals = iter([4, 5])
+    pages = lambda at, size: [{"_id": i} for i in range(at, min(at + size, 4))]
+    rows = snapshots.paged(lambda: next(totals), pages, size=3)
+    with pytest.raises(snapshots.SnapshotError):
+        snapshots.write_snapshot(str(tmp_path), "k", "v1", rows, [], {})
+    assert os.listdir(tmp_path / "k") == []
+    meta = snapshots.write_snapshot(str(tmp_path), "k", "v1", snapshots.paged(lambda: 4, pages, size=3), [], {})
+    assert meta["row_count"] == 4 and os.listdir(tmp_path / "k") == ["v1"]

@@ -38,3 +38,28 @@ def test_sessions_split_at_the_gap(spark):
     late = [(100, 0, START + timedelta(hours=20), "view", 1.0)]
     found = streams.sessions(spark.createDataFrame([r for r in rows() if r[1] == 0] + late, DDL))
     assert sorted(r["n"] for r in found.collect()) == [1, 20]
+
+
+def test_append_once_reads_only_the_runs_of_the_batch(spark, tmp_path):
+    ddl, folder = "run_id string, seq int, note string", str(tmp_path / "log")
+    write = streams.append_once(folder)
+    write(spark.createDataFrame([("1", 1, "a"), ("2", 1, "b")], ddl), 0)
+    write(spark.createDataFrame([("2", 1, "b"), ("2", 2, "c"), ("3", 1, "d")], ddl), 1)
+    found = spark.read.schema(ddl).parquet(folder).collect()
+    assert sorted((r["run_id"], r["seq"]) for r in found) == [("1", 1), ("2", 1), ("2", 2), ("3", 1)]
+    assert (tmp_path / "log" / "run_id=2").is_dir()
+
+
+def test_liveness_emits_silent_runs(spark, tmp_path):
+    """Event time that other runs advance past a run's last heartbeat by two minutes and the watermark."""
+    rows = [(1, 1, START, "beat", 0.0), (2, 2, START + timedelta(hours=3), "beat", 0.0), (3, 2, START + timedelta(hours=6), "beat", 0.0)]
+    folder = str(tmp_path / "beats")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for r in rows:
+            spark.createDataFrame([r], DDL).coalesce(1).write.mode("append").parquet(folder)
+        stream = streams.read_stream(spark, folder, spark.read.parquet(folder).schema, "*.parquet")
+        found = streams.run_available(streams.liveness(stream), "silent", "append").collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert (1, "interrupted") in {(r["user_id"], r["status"]) for r in found}
