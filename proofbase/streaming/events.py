@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from proofbase.session import work_dir
+
 LATE, SESSION_GAP, STALE_SECONDS = "1 hour", "1 hour", 120
 
 
@@ -43,7 +45,7 @@ class Liveness(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         newest = max(int(x.timestamp() * 1000) for part in rows for x in part["ts"])
         if self.last.exists():
             newest = max(newest, self.last.get()[0])
@@ -53,7 +55,7 @@ class Liveness(StatefulProcessor):
         self.handle.registerTimer(newest + STALE_SECONDS * 1000)
         yield pd.DataFrame({"user_id": [], "last": [], "status": []}).astype({"user_id": "int64", "status": "str"})
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0]
         self.last.clear()
         yield pd.DataFrame({"user_id": [key[0]], "last": [last], "status": ["interrupted"]})
@@ -69,12 +71,7 @@ def liveness(events: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Everything available, into a table in memory: a stream's result to compare with the batch's."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        # a session without a shared folder is a local one
-        base = f"file://{tempfile.mkdtemp(prefix='proofbase-stream-')}"
-    import uuid
-
+    base = work_dir(spark)
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}").start()
     q.awaitTermination()
     return spark.table(name)
@@ -86,9 +83,13 @@ def append_once(folder: str, keys: tuple[str, str] = ("run_id", "seq")):
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(list(keys))
+        run = keys[0]
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            fresh = fresh.join(spark.read.parquet(folder).select(*keys), list(keys), "left_anti")
-        fresh.write.mode("append").parquet(folder)
+            stored = spark.read.schema(batch.schema).parquet(folder).select(*keys)
+            # the log lies in folders by run, and only those of the batch's runs are read
+            stored = stored.join(fresh.select(run).distinct(), run, "left_semi")
+            fresh = fresh.join(stored, list(keys), "left_anti")
+        fresh.write.mode("append").partitionBy(run).parquet(folder)
 
     return write
