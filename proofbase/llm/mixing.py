@@ -246,5 +246,6 @@ def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rate = fit_rates(c.stored(memberships(docs.select("text"), model).drop("text")))[0]
     luck = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / F.lit(1e6)
     # posteriors again where the texts are read: a rate depends on nothing else, so no text is shuffled
+    docs, own = c.hidden(docs, ("doc_id", "text"))
     timed = memberships(docs, model).withColumn("_times", F.floor(rate + luck).cast("int")).where("_times > 0")
-    return timed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return timed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*own)

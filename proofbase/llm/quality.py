@@ -164,4 +164,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with all their columns: measured again where they are read, so no text is shuffled."""
     limits = c.stored(fences(with_rates(c.stored(base_measures(docs.select("lang", "source", "text")).drop("text")))))
-    return judge(with_rates(base_measures(docs)), limits).where("kept").select(*docs.columns)
+    docs, own = c.hidden(docs, ("lang", "source", "text"))
+    return judge(with_rates(base_measures(docs)), limits).where("kept").select(*own)

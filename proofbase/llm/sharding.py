@@ -73,7 +73,7 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         .join(entries, (F.col("_s.d") == F.col("depth")) & (F.col("_s.p") == F.col("prefix")))
         .select("_k", bits.alias("shard"), F.col("depth"), F.col("bytes").alias("shard_bytes"), "fits")
     )
-    own = [n for n in docs.columns if n not in {"n_bytes", "shard", "depth", "shard_bytes", "fits"}]
+    own = [F.col(f"`{n}`") for n in docs.columns if n not in {"n_bytes", "shard", "depth", "shard_bytes", "fits"}]
     return keyed.join(c.stored(placed).hint("merge"), F.col("_key") == F.col("_k")).select(*own, "n_bytes", "shard", "depth", "shard_bytes", "fits")
 
 
