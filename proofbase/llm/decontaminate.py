@@ -1,18 +1,24 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-Each chunk of documents is a shard. Its suffix array holds the word positions from which a
+Each stretch of documents is a shard. Its suffix array holds the word positions from which a
 benchmark match can begin: a suffix whose first `lead` words (the length of the shortest
 window) are not in the benchmark's vocabulary shares no window with it, so it is left out.
-Every benchmark suffix is binary-searched in the array by comparing words, which gives its
-longest verbatim match and the positions of all suffixes that share a whole window.
+The suffixes of the benchmark are binary-searched in it, those with the same window once: all
+suffixes of the shard that share a whole window. Matches that continue each other, word by word
+in document and item, are one: the longest of an item in a document is its longest verbatim
+match, given with its places. A match shorter than a window is no match.
 
-The benchmark is cut into blocks of at most BLOCK_BYTES, each sent to the executors; a
-block's hits are merged per document. One block needs no merge and no shuffle.
+The benchmark is read in blocks of at most BLOCK_BYTES, each sent to the executors and, if there
+are several, given up before the next one is read; their hits are merged per document. One
+block needs no merge and no shuffle.
 
 Defined cases: null or empty texts have no words and are never hit; null or empty items have
-no windows; items with equal texts are all reported; repeated documents are judged row by row
-(with several blocks they are told apart by a row number made before the blocks); an empty
-benchmark hits nothing; clashing column names do not matter, as only doc_id and text are read.
+no windows; items with equal texts are all reported, and an item_id in several rows is one item;
+an item without item_id is searched but can't be named, so it counts in n_hit and contaminated
+only; ids may have any type and are reported as strings; repeated documents are judged row by
+row (with several blocks they are told apart by a row number made before the blocks); an empty
+benchmark hits nothing; clashing column names do not matter, as only doc_id and text are read, and
+the pipeline's stage keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -31,16 +37,16 @@ from proofbase.llm import common as c
 WINDOW = 10
 #: Benchmark text sent to the executors at once.
 BLOCK_BYTES = 16 << 20
+#: Suffixes of a shard.
+SHARD = 1 << 18
 
 
 class Suffixes:
-    """One block of benchmark items as word numbers, end to end."""
+    """One block of benchmark items as word numbers, end to end. Items with the same words are one, with several ids."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        batch = pa.RecordBatch.from_pydict({"text": pa.array([x or "" for _, x in items], pa.string())})
-        self.ids = [i for i, _ in items]
-        codes, rows = [], []
-        done = 0
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([x or "" for _, x in items], pa.large_string())})
+        codes, rows, done = [], [], 0
         for t in c.texts(iter([batch])):
             w = c.words(t, c.ALNUM_WORDS, lower=True)
             codes.append(w.code)
@@ -49,103 +55,113 @@ class Suffixes:
         code = np.concatenate(codes) if codes else np.zeros(0, c.U64)
         row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.vocabulary, number = np.unique(code, return_inverse=True)
-        n = np.bincount(row, minlength=len(items)) if len(items) else np.zeros(0, int)
-        first = np.concatenate(([0], np.cumsum(n)))
+        number = number.astype(np.int32) + 1
+        first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(items))))) if len(items) else np.zeros(1, np.int64)
+        seen: dict[bytes, int] = {}
+        self.ids: list[list[str]] = []
+        chosen = []
+        for i, (name, _) in enumerate(items):
+            words = number[first[i] : first[i + 1]]
+            if len(words):
+                k = seen.setdefault(words.tobytes(), len(seen))
+                if k == len(self.ids):
+                    self.ids.append([])
+                    chosen.append(i)
+                if name is not None and str(name) not in self.ids[k]:
+                    self.ids[k].append(str(name))
+        n = np.array([first[i + 1] - first[i] for i in chosen], np.int64)
+        self.first = np.cumsum(n) - n  # of each distinct item
+        number = np.concatenate([number[first[i] : first[i + 1]] for i in chosen]) if chosen else np.zeros(0, np.int32)
+        owner = np.repeat(np.arange(len(n)), n)
         length = np.minimum(n, window)
         # a window starts at each position from which `length` words of its item remain
-        place = np.arange(len(code))
-        fits = place + length[row] <= first[row + 1] if len(code) else np.zeros(0, bool)
-        self.number = number.astype(np.int32) + 1
-        self.start, self.item, self.size = place[fits], row[fits], length[row][fits]
-        self.lead = int(self.size.min()) if len(self.size) else 0
+        place = np.arange(len(number))
+        fits = place + length[owner] <= (self.first + n)[owner] if len(number) else np.zeros(0, bool)
+        start, self.owner = place[fits], owner
+        size = length[owner[fits]] if len(number) else np.zeros(0, np.int64)
+        self.lead, self.depth = (int(size.min()), int(size.max())) if len(size) else (0, 0)
+        padded = np.concatenate((number, np.zeros(self.depth, np.int32)))
+        #: for each length of windows: the distinct ones in order, and the places of each
+        self.windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in np.unique(size).tolist():
+            at = start[size == k]
+            keys, which = np.unique(sortable(padded, at, k), return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            self.windows.append((k, keys, np.searchsorted(which[order], np.arange(len(keys) + 1)), at[order]))
+
+
+def sortable(number: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """`depth` word numbers from each place, as byte strings in the order of the words."""
+    out = np.empty((len(at), depth), ">i4")
+    for k in range(depth):
+        out[:, k] = number[at + k]
+    return out.view(f"S{4 * depth}").ravel()
 
 
 def matches(shard: np.ndarray, inside: np.ndarray, b: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (shard position, item, length) where a window of the block occurs.
+    """All (shard position, benchmark position, length) where a window of the block occurs.
 
     shard: word numbers, 0 for words that no item has. inside: words left in the document.
     """
-    nothing = np.zeros(0, np.int64)
-    if not len(b.start) or not len(shard):
-        return nothing, nothing, nothing
-    # positions followed by `lead` known words
-    unknown = np.concatenate(([0], np.cumsum(shard == 0)))
-    end = np.minimum(np.arange(len(shard)) + b.lead, len(shard))
-    at = np.flatnonzero((unknown[end] == unknown[:-1]) & (inside >= b.lead))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if b.windows and len(shard):
+        # positions followed by `lead` known words
+        unknown = np.concatenate(([0], np.cumsum(shard == 0)))
+        end = np.minimum(np.arange(len(shard)) + b.lead, len(shard))
+        begin = np.flatnonzero((unknown[end] == unknown[:-1]) & (inside >= b.lead))
+        padded = np.concatenate((shard, np.zeros(b.depth, shard.dtype)))
+        for i in range(0, len(begin), SHARD):
+            at = begin[i : i + SHARD]
+            # the suffix array: positions in the order of their words, to the depth of the longest window
+            keys = sortable(padded, at, b.depth)
+            order = np.argsort(keys, kind="stable")
+            suffix, keys = at[order], keys[order]
+            for size, windows, cut, places in b.windows:
+                prefix = keys if size == b.depth else np.ascontiguousarray(keys.view("S1").reshape(len(keys), -1)[:, : 4 * size]).view(f"S{4 * size}").ravel()
+                low, high = np.searchsorted(prefix, windows, "left"), np.searchsorted(prefix, windows, "right")
+                hit = np.flatnonzero(high > low)
+                n = (high - low)[hit]
+                where = np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                which, pos = np.repeat(hit, n), suffix[where]
+                ok = inside[pos] >= size
+                which, pos = which[ok], pos[ok]
+                m = cut[which + 1] - cut[which]
+                spot = np.repeat(cut[which] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                found.append((np.repeat(pos, m), places[spot], np.full(int(m.sum()), size)))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+
+
+def longest(row: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, item, at, place, words) of the longest verbatim match of each item in each row, the first of equal ones."""
     if not len(at):
-        return nothing, nothing, nothing
-    depth = int(b.size.max())
-    # the suffix array: positions in the order of their words, to the depth of the longest window
-    padded = np.concatenate((shard, np.zeros(depth, shard.dtype)))
-    keys = np.empty((len(at), depth), np.int32)
-    for k in range(depth):
-        keys[:, k] = np.where(inside[at] > k, padded[at + k], 0)
-    order = np.lexsort(keys.T[::-1])
-    suffix, keys = at[order], keys[order]
-    # binary search of every test suffix, word by word: the range narrows to its longest match
-    windows = np.zeros((len(b.start), depth), np.int32)
-    tail = np.concatenate((b.number, np.zeros(depth, np.int32)))
-    for k in range(depth):
-        windows[:, k] = np.where(b.size > k, tail[b.start + k], 0)
-    found_at, found_item, found_size = [], [], []
-    for size in np.unique(b.size):
-        chosen = b.size == size
-        view = lambda x, size=size: np.ascontiguousarray(x[:, :size].astype(">i4")).view(np.dtype((np.void, 4 * int(size)))).ravel()
-        have = view(keys)
-        want = view(windows[chosen])
-        low, high = _search(have, want)
-        n = high - low
-        rows = np.repeat(np.flatnonzero(chosen), n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found_at.append(suffix[np.repeat(low, n) + offset])
-        found_item.append(b.item[rows])
-        found_size.append(b.size[rows])
-    return np.concatenate(found_at), np.concatenate(found_item), np.concatenate(found_size)
-
-
-def _search(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of want, the range of equal rows in the sorted have. Rows are big-endian words, so bytes order as words."""
-    width = have.dtype.itemsize
-    a = np.frombuffer(have.tobytes(), np.uint8).reshape(-1, width)
-    b = np.frombuffer(want.tobytes(), np.uint8).reshape(-1, width)
-    low, high = np.zeros(len(b), np.int64), np.full(len(b), len(a), np.int64)
-    # a range per word, narrowed one word at a time as in a suffix array walk
-    words_a = a.reshape(-1, width // 4, 4).astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
-    words_b = b.reshape(-1, width // 4, 4).astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
-    for k in range(width // 4):
-        low, high = _narrow(words_a[:, k], words_b[:, k], low, high)
-    return low, high
-
-
-def _narrow(column: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ends = []
-    for after in (False, True):
-        lo, hi = low.copy(), high.copy()
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi) // 2
-            value = column[np.minimum(mid, len(column) - 1)]
-            right = open_ & ((value <= key) if after else (value < key))
-            lo = np.where(right, mid + 1, lo)
-            hi = np.where(open_ & ~right, mid, hi)
-        ends.append(lo)
-    return ends[0], np.maximum(ends[0], ends[1])
-
-
-RAW = "n_words long, spans array<long>, items array<long>"
-
-
-def hits(docs: DataFrame, items: list[tuple[int, str]], window: int = WINDOW) -> DataFrame:
-    """docs with n_words, the hit word spans (start * 2**32 + end) and the numbers of the occurring items."""
-    spark = docs.sparkSession
-    block = spark.sparkContext.broadcast(items)
+        return (np.zeros(0, np.int64),) * 5
+    item = owner[place]
+    order = np.lexsort((at, at - place, item, row))
+    row, at, place, size, item = row[order], at[order], place[order], size[order], item[order]
+    # windows that follow each other in both texts are one match
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1)
+    head = np.flatnonzero(new)
+    words = at[np.append(head[1:], len(at)) - 1] - at[head] + size[head]
+    best = np.lexsort((at[head], -words, item[head], row[head]))
+    one = best[np.append(True, (item[head][best][1:] != item[head][best][:-1]) | (row[head][best][1:] != row[head][best][:-1]))]
+    i = head[one]
+    return row[i], item[i], at[i], place[i], words[one]
+
+
+RAW = ("n_words long", "spans array<long>", "items array<string>", "longest array<struct<item_id:string,word:long,item_word:long,words:long>>")
+_LONGEST = pa.list_(pa.struct([("item_id", pa.string()), ("word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())]))
+
+
+def hits(docs: DataFrame, items: object, window: int = WINDOW) -> DataFrame:
+    """docs with n_words, the hit word spans (start * 2**32 + end), the ids of the occurring items and each one's longest match; items: a broadcast block."""
     known: list[Suffixes] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not known:
-            known.append(Suffixes(block.value, window))
+            known.append(Suffixes(items.value, window))
         b = known[0]
         for t in c.texts(batches):
             w = c.words(t, c.ALNUM_WORDS, lower=True)
@@ -154,20 +170,26 @@ def hits(docs: DataFrame, items: list[tuple[int, str]], window: int = WINDOW) ->
                 spot = np.minimum(np.searchsorted(b.vocabulary, w.code), len(b.vocabulary) - 1)
                 number = np.where(b.vocabulary[spot] == w.code, spot + 1, 0).astype(np.int32)
             inside = w.first[w.row + 1] - np.arange(len(w.row))
-            at, item, size = matches(number, inside, b)
-            row = w.row[at]
-            order = np.lexsort((at, row))
-            at, item, size, row = at[order], item[order], size[order], row[order]
+            at, place, size = matches(number, inside, b)
+            spans: list[list[int]] = [[] for _ in range(len(t))]
+            ids: list[list[str]] = [[] for _ in range(len(t))]
+            best: list[list[dict]] = [[] for _ in range(len(t))]
+            order = np.lexsort((at, w.row[at]))
+            first, row = at[order], w.row[at[order]]
+            end = first + size[order]
             cut = np.searchsorted(row, np.arange(len(t) + 1))
-            spans, ids = [], []
-            for i in range(len(t)):
+            for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                 x, y = cut[i], cut[i + 1]
-                spans.append(_merged(at[x:y] - w.first[i], at[x:y] + size[x:y] - w.first[i]) if y > x else [])
-                ids.append([b.ids[k] for k in np.unique(item[x:y])] if y > x else [])
-            longs = pa.list_(pa.int64())
-            yield c.with_columns(t, {"n_words": pa.array(np.diff(w.first), pa.int64()), "spans": pa.array(spans, longs), "items": pa.array(ids, longs)})
+                spans[i] = _merged(first[x:y] - w.first[i], end[x:y] - w.first[i])
+            for i, item, a, p, n in zip(*(x.tolist() for x in longest(w.row[at], at, place, size, b.owner)), strict=True):
+                for name in b.ids[item]:
+                    best[i].append({"item_id": name, "word": a - int(w.first[i]), "item_word": p - int(b.first[item]), "words": n})
+            for i, found in enumerate(best):
+                ids[i] = sorted({x["item_id"] for x in found}) if found else []
+            cols = (pa.array(np.diff(w.first), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string())), pa.array(best, _LONGEST))
+            yield c.with_columns(t, {r.split(" ")[0]: x for r, x in zip(RAW, cols, strict=True)})
 
-    return docs.mapInArrow(run, c.extended(docs.schema, RAW))
+    return docs.mapInArrow(run, c.extended(docs.schema, ", ".join(RAW)))
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> list[int]:
@@ -180,23 +202,33 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[int]:
     return ((start[first].astype(np.int64) << 32) | reach[last]).tolist()
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most `most` bytes of text (or one item), read one block at a time."""
+def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> tuple[int, Iterator[list[tuple[object, str]]]]:
+    """How many blocks of at most `most` bytes of text (or one item) the items make, and the blocks, read one at a time."""
     sized = benchmark.select("item_id", "text", F.octet_length("text").alias("_n")).where(F.col("_n") > 0)
     total = sized.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-total // most) * 2 if total > most else 1)
-    for k in range(n):
-        part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.select("item_id", "text").toLocalIterator()]
+
+    def read() -> Iterator[list[tuple[object, str]]]:
+        for k in range(n):
+            part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+            yield [(r["item_id"], r["text"]) for r in part.select("item_id", "text").toLocalIterator()]
+
+    return n, read()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: doc_id, n_words, spans (hit word ranges), items (sorted ids of occurring items)."""
-    parts = list(blocks(benchmark, block_bytes))
-    if len(parts) == 1:
-        return hits(docs.select("doc_id", "text"), parts[0], window).drop("text")
+    """Per row of docs: doc_id, n_words, spans (hit word ranges), items (sorted ids of occurring items), longest (their longest matches)."""
+    context = docs.sparkSession.sparkContext
+    n, parts = blocks(benchmark, block_bytes)
+    if n == 1:
+        return hits(docs.select("doc_id", "text"), context.broadcast(next(parts)), window).drop("text")
     numbered = c.stored(docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text"))
-    found = reduce(DataFrame.unionByName, [hits(numbered, p, window).drop("text") for p in parts])
+    found = []
+    for k, part in enumerate(parts):
+        sent = context.broadcast(part)
+        some = hits(numbered, sent, window).drop("text")
+        found.append(c.stored(some if k == 0 else some.where(F.size("spans") > 0)))  # the first block has all rows
+        sent.destroy()
     start = lambda x: F.shiftright(x, 32)
     end = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
     joined = F.aggregate(
@@ -206,17 +238,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                               F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.shiftleft(start(F.element_at(acc, -1)), 32).bitwiseOR(F.greatest(end(x), end(F.element_at(acc, -1)))))))
         .otherwise(F.concat(acc, F.array(x))),
     )
-    return found.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), joined.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    return reduce(DataFrame.unionByName, found).groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), joined.alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("longest")).alias("longest"),
     ).drop("_row")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     spanned = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit((1 << 32) - 1)) - F.shiftright(x, 32))
     return found.select(
         "doc_id", "n_words", spanned.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(ids, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("longest", lambda x: x["words"])), F.lit(0)).cast("long").alias("longest_match"),
     )
 
 
@@ -225,12 +258,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decontaminate(docs, benchmark))
 
 
-def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window, with all their columns. Each block of the benchmark filters what is left."""
-    own = docs.columns
-    for part in blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        docs = hits(docs, part).where(F.size("spans") == 0).select(*own)
-    return docs
+def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents without any benchmark window, with all their columns. Each block of the benchmark filters what the one before it left."""
+    docs, own = c.hidden(docs, ("text",))
+    names = docs.columns
+    n, parts = blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), block_bytes)
+    for k, part in enumerate(parts):
+        sent = spark.sparkContext.broadcast(part)
+        docs = hits(docs, sent).where(F.size("spans") == 0).select(*names)
+        if k + 1 < n:  # the block is given up before the next one is read
+            docs = c.stored(docs)
+            sent.destroy()
+    return docs.select(*own)
 
 
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
@@ -243,7 +282,7 @@ def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]
         w = split(x)
         n = min(window, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            wins.setdefault(tuple(w[k : k + n]), set()).add(i)
+            wins.setdefault(tuple(w[k : k + n]), set()).update([] if i is None else [i])
     out = []
     for d, x in docs:
         w, hit, ids = split(x), set(), set()
