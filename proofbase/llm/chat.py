@@ -3,7 +3,8 @@
 Messages form trees by parent. Pointer-doubling self-joins (logarithmic in the depth) give every
 message its root, depth and path score; messages without reply are leaves. Branches of a tree are
 ranked by their mean score; the chosen leaves' paths are enumerated with the same jump tables,
-and each path is rendered as one conversation.
+and each path is rendered as one conversation. Only ids and scores take part in the joins; the
+texts meet the chosen paths once and are then put together.
 
 Template: <|im_start|>role newline text <|im_end|> newline. In texts and roles a run of
 backslashes between "<" and "|" gets one more, so no marker can be read inside a text and the
@@ -11,9 +12,10 @@ step can be undone; a role's newlines and backslashes are written as backslash e
 loss mask holds the spans of assistant texts, in code points of the formatted string.
 
 Defined cases: null text or role is empty; equal turns keep all of their rows, in order of role
-and text; a null tree id is a tree; a message whose parent is missing is a root, and each root
-starts a tree of its own within its id; an empty table gives no rows; clashing column names are
-not read.
+and of the text's digest; a null tree id is a tree; a message whose parent is missing is a root,
+and each root starts a tree of its own within its id, with branches of its own; an empty table
+gives no rows; only the named columns are read, so clashing extra ones do not matter. A table of
+turns is one that is read from files, as its rows are known by their places in it.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from proofbase.llm import common as c
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNT_ROLE = "assistant"
-#: Turns joined at once before a conversation is put together.
-PIECE = 64
 
 
 def escaped(text: str) -> str:
@@ -89,43 +89,49 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(F.broadcast(before.select("_p", "_low", "_at")), "_p").withColumn("_i", F.col("_at") + F.col("_m") - F.col("_low")).drop("_p", "_m", "_low", "_at")
 
 
-def as_chain(conversations: DataFrame) -> DataFrame:
-    """A table of turns as reply trees of one branch: (tree, node, parent, role, text, score)."""
-    rows = numbered(conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")), ["conv_id", "turn", "role", "text"])
-    rows = c.stored(rows.select(F.col("conv_id").alias("tree"), F.col("_i").alias("node"), F.coalesce("role", F.lit("")).alias("role"), "text"))
-    before = rows.select((F.col("node") + 1).alias("_n"), F.col("tree").alias("_t"))
+def as_chain(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A table of turns as reply trees of one branch: links (tree, node, parent, score) and texts (node, role, text)."""
+    rows = conversations.withColumn("node", F.monotonically_increasing_id())
+    light = rows.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("print"), F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"), "node")
+    placed = c.stored(numbered(light, ["conv_id", "turn", "role", "print"]).select(F.col("conv_id").alias("tree"), "node", "score", "_i"))
+    before = placed.select((F.col("_i") + 1).alias("_n"), F.col("tree").alias("_t"), F.col("node").alias("_up"))
     same = F.col("_n").isNotNull() & F.col("tree").eqNullSafe(F.col("_t"))
-    return rows.join(before, F.col("node") == F.col("_n"), "left").select("tree", "node", F.when(same, F.col("node") - 1).alias("parent"), "role", "text", F.length("text").cast("double").alias("score"))
-
-
-def branches(messages: DataFrame, best: int = 1) -> DataFrame:
-    """(tree, leaf, rank, node, depth) of the messages on each tree's `best` branches."""
-    known = messages.select(F.col("node").alias("_k"))
-    state = messages.join(known, F.col("parent") == F.col("_k"), "left").select("tree", "node", F.col("_k").alias("up"), "score", F.lit(1).cast("long").alias("n"))
-    state = c.stored(state)
+    links = placed.join(before, F.col("_i") == F.col("_n"), "left").select("tree", "node", F.when(same, F.col("_up")).alias("parent"), "score")
+    return c.stored(links), rows.select("node", "role", "text")
+
+
+def branches(links: DataFrame, best: int = 1) -> DataFrame:
+    """(tree, root, leaf, rank, node, depth) of the messages on the `best` branches of each root."""
+    known = links.select(F.col("node").alias("_k"))
+    # a message without parent meets nobody: all of them would be one key
+    first = links.where("parent is null").select("tree", "node", F.lit(None).cast("long").alias("up"), "score")
+    other = links.where("parent is not null").join(known, F.col("parent") == F.col("_k"), "left").select("tree", "node", F.col("_k").alias("up"), "score")
+    start = first.unionByName(other)
+    state = c.stored(start.select("tree", "node", "up", "score", F.lit(1).cast("long").alias("n"), F.when(F.col("up").isNull(), F.col("node")).alias("root")))
     jumps = [c.stored(state.where("up is not null").select("node", "up"))]
     while not jumps[-1].isEmpty():
         # each round doubles how far up a message sees; those that see their root are done
-        above = state.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("score").alias("_s"), F.col("n").alias("_d"))
-        step = state.where("up is not null").join(above, F.col("up") == F.col("_n")).select("tree", "node", F.col("_u").alias("up"), (F.col("score") + F.col("_s")).alias("score"), (F.col("n") + F.col("_d")).alias("n"))
+        above = state.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("score").alias("_s"), F.col("n").alias("_d"), F.col("root").alias("_r"))
+        step = state.where("up is not null").join(above, F.col("up") == F.col("_n")).select("tree", "node", F.col("_u").alias("up"), (F.col("score") + F.col("_s")).alias("score"), (F.col("n") + F.col("_d")).alias("n"), F.col("_r").alias("root"))
         state = c.stored(state.where("up is null").unionByName(step))
         jumps.append(c.stored(state.where("up is not null").select("node", "up")))
-    parents = messages.select(F.col("parent").alias("_q")).where("_q is not null").distinct()
-    leaves = c.stored(state.join(parents, F.col("node") == F.col("_q"), "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("n")).alias("mean"), "n"))
+    parents = links.where("parent is not null").select(F.col("parent").alias("_q")).distinct()
+    leaves = c.stored(state.join(parents, F.col("node") == F.col("_q"), "left_anti").select("tree", "root", F.col("node").alias("leaf"), (F.col("score") / F.col("n")).alias("mean"), "n"))
     ranked = _top(leaves, best)
-    path = c.stored(ranked.select("tree", "leaf", "rank", F.col("n").alias("depth"), F.col("leaf").alias("node")))
+    path = c.stored(ranked.select("tree", "root", "leaf", "rank", F.col("n").alias("depth"), F.col("leaf").alias("node")))
     for k, jump in enumerate(jumps[:-1]):
-        step = path.join(jump, "node").select("tree", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node"))
-        path = c.stored(path.select("tree", "leaf", "rank", "depth", "node").unionByName(step))
+        step = path.join(jump, "node").select("tree", "root", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node"))
+        path = c.stored(path.unionByName(step.select(*path.columns)))
     return path
 
 
 def _top(leaves: DataFrame, best: int) -> DataFrame:
-    """The `best` leaves of each tree by mean score, then length, then id; chosen round by round with map-side combined maxima."""
+    """The `best` leaves of each root by mean score, then length, then id; chosen round by round with map-side combined maxima."""
     found = None
     left = leaves
     for rank in range(1, best + 1):
-        top = c.stored(left.groupBy("tree").agg(F.max(F.struct("mean", "n", (-F.col("leaf")).alias("l"))).alias("m")).select("tree", (-F.col("m.l")).alias("leaf"), F.col("m.n").alias("n"), F.lit(rank).alias("rank")))
+        top = left.groupBy("root").agg(F.max(F.struct("mean", "n", (-F.col("leaf")).alias("l"), "tree")).alias("m"))
+        top = c.stored(top.select("m.tree", "root", (-F.col("m.l")).alias("leaf"), F.col("m.n").alias("n"), F.lit(rank).alias("rank")))
         found = top if found is None else found.unionByName(top)
         if rank < best:
             left = c.stored(left.join(top.select(F.col("leaf").alias("_l")), F.col("leaf") == F.col("_l"), "left_anti"))
@@ -135,22 +141,22 @@ def _top(leaves: DataFrame, best: int) -> DataFrame:
 RENDERED = "formatted string, mask array<struct<start:long,end:long>>"
 
 
-def formatted(messages: DataFrame, best: int = 1) -> DataFrame:
-    """(tree, rank, formatted, mask) per chosen branch."""
-    paths = branches(messages, best)
-    turns = paths.join(messages.select("node", "role", "text"), "node")
-    piece = F.sort_array(F.collect_list(F.struct("depth", "role", "text")))
-    pieces = turns.groupBy("tree", "rank", "leaf", F.expr(f"depth div {PIECE}").alias("k")).agg(piece.alias("turns"))
-    whole = pieces.groupBy("tree", "rank", "leaf").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "turns"))), lambda x: x["turns"])).alias("turns"))
+def formatted(links: DataFrame, texts: DataFrame, best: int = 1) -> DataFrame:
+    """(tree, root, rank, formatted, mask) per chosen branch; links: (tree, node, parent, score), texts: (node, role, text)."""
+    said = texts.select("node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = branches(links, best).join(said, "node")
+    # a row of the result holds its conversation whole
+    in_order = F.sort_array(F.collect_list(F.struct("depth", "role", "text")))
+    whole = turns.groupBy("root", "rank", "leaf").agg(F.first("tree").alias("tree"), in_order.alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [render([(t["role"], t["text"]) for t in turns]) for turns in batch.column(2).to_pylist()]
             mask = pa.array([[{"start": a, "end": b} for a, b in m] for _, m in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in out], pa.string()), mask], names=["tree", "rank", "formatted", "mask"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([x for x, _ in out], pa.string()), mask], names=["tree", "root", "rank", "formatted", "mask"])
 
-    kind = messages.schema["tree"].dataType.simpleString()
-    return whole.select("tree", "rank", "turns").mapInArrow(run, f"tree {kind}, rank int, {RENDERED}")
+    kind = links.schema["tree"].dataType.simpleString()
+    return whole.select("tree", "root", "turns", "rank").mapInArrow(run, f"tree {kind}, root long, rank int, {RENDERED}")
 
 
 def digest(rendered: DataFrame) -> DataFrame:
@@ -180,7 +186,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = f"{END}{START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], table.schema)
-    return digest(formatted(as_chain(table.unionByName(extra))))
+    return digest(formatted(*as_chain(table.unionByName(extra))))
 
 
 ORACLE = r"""
