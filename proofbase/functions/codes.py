@@ -10,8 +10,19 @@ from proofbase.functions import text as tx
 # What a code looks like, and the schemes of standards.
 CODE_PATTERN = "^-?[0-9][0-9.\\- ]*(/[0-9])?$"
 SCHEMES = "ISO(?:/IEC)?|IEC|EN|DIN|ASTM|ANSI|BS|UL|SI|SAE|JIS|NFPA|IEEE"
-STANDARD = f"(?i)(?<![A-Za-z])({SCHEMES})\\s*[- ]?\\s*([0-9]{{2,6}})(?:(?:-|\\s+part\\s+|\\s*חלק\\s*)([0-9]{{1,3}}(?:\\.[0-9]{{1,2}})?))?"
-HEBREW_STANDARD = "(?:ת[\"״'׳]י|תקן(?:\\s+ישראלי)?(?:\\s+רשמי)?)\\s*(?:מס['׳]?\\s*)?([0-9]{2,6})(?:\\s*(?:חלק|part)\\s*([0-9]{1,3}(?:\\.[0-9]{1,2})?))?"
+HEBREW_SCHEMES = "ת[\"״'׳]י|תקן(?:\\s+ישראלי)?(?:\\s+רשמי)?"
+
+# The grammar of a reference: a scheme, a number of 2 to 6 digits, perhaps a part of up to 3 digits and a decimal.
+_NUMBER, _PART, _GAP = "([0-9]{2,6})", "([0-9]{1,3}(?:\\.[0-9]{1,2})?)", "\\s*"
+_PART_WORD = f"{_GAP}(?:חלק|part){_GAP}"
+
+
+def _reference(scheme: str, between: str, before_part: str) -> str:
+    return f"(?i){scheme}{between}{_NUMBER}(?:{before_part}{_PART})?"
+
+
+STANDARD = _reference(f"(?<![A-Za-z])({SCHEMES})", f"{_GAP}[- ]?{_GAP}", f"(?:-|\\s+part\\s+|{_GAP}חלק{_GAP})")
+HEBREW_STANDARD = _reference(f"(?:{HEBREW_SCHEMES})", f"{_GAP}(?:מס['׳]?{_GAP})?", _PART_WORD)
 
 
 def normalize_code(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbase.operators import messages, records, sequences
+from proofbase.operators import messages, records, reports, sequences
 from proofbase.plans.registry import Tables, query
 from proofbase.streaming import events as streams
 
@@ -92,7 +92,7 @@ def p31(t: Tables) -> DataFrame:
 
 @query("S24_document_pages", "SELECT conv_id, turn, length(text) AS chars FROM conversations WHERE conv_id = 5 ORDER BY turn")
 def s24(t: Tables) -> DataFrame:
-    return t.conversations.where("conv_id = 5").orderBy("turn").select("conv_id", "turn", F.length("text").alias("chars"))
+    return reports.page_listing(t.conversations, "conv_id", 5, "turn")
 
 
 @query("S26_evidence_page", "SELECT doc_id, substr(text, 1001, 15000) AS page, CASE WHEN length(text) > 16000 THEN 16000 END AS next_offset FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE n_chars > 16000)")
@@ -115,7 +115,7 @@ def k08(t: Tables) -> DataFrame:
 
 @query("K09_trace_export", "SELECT event_id, event_type || ' (' || user_id || ')' AS line FROM events")
 def k09(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.concat(F.col("event_type"), F.lit(" ("), F.col("user_id"), F.lit(")")).alias("line"))
+    return reports.trace_lines(t.events, "event_id", "event_type", "user_id")
 
 
 @query("K10_redacted", "SELECT conv_id, turn, replace(text, 'the', '[redacted]') AS text FROM conversations")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proofbase.functions import codes, rtl
 from proofbase.functions import text as tx
-from proofbase.operators import passages, records, retrieval, sequences, verification
+from proofbase.operators import passages, records, reports, retrieval, sequences, verification
 from proofbase.plans.registry import Tables, query
 from proofbase.plans.scalars import TOK
 
@@ -101,16 +101,12 @@ def j06(t: Tables) -> DataFrame:
 
 @query("J07_body_fetch", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
 def j07(t: Tables) -> DataFrame:
-    ids = t.customer.where("c_nationkey = 3").select("c_custkey")
-    return t.orders.join(ids, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
+    return reports.bodies(t.orders, "o_custkey", t.customer.where("c_nationkey = 3"), "c_custkey").select("o_orderkey", "o_totalprice")
 
 
 @query("J08_page_break", "SELECT conv_id, turn, right(text, 40) || '/' || substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 40) AS seam FROM conversations")
 def j08(t: Tables) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    after = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.select("conv_id", "turn", F.concat(F.when(F.length("text") > 40, F.substring("text", -40, 40)).otherwise(F.col("text")), F.lit("/"), F.substring(after, 1, 40)).alias("seam"))
+    return reports.seams(t.conversations, "conv_id", "turn", 40)
 
 
 @query(
@@ -214,14 +210,12 @@ def a03(t: Tables) -> DataFrame:
 
 @query("A04_status_histogram", "SELECT s.status, count(event_id) AS n FROM (VALUES ('view'), ('click'), ('open')) s(status) LEFT JOIN events ON event_type = s.status GROUP BY 1")
 def a04(t: Tables) -> DataFrame:
-    counts = t.events.agg(*[F.count_if(F.col("event_type") == x).alias(x) for x in ("view", "click", "open")])
-    return counts.unpivot([], ["view", "click", "open"], "status", "n")
+    return reports.status_histogram(t.events, "event_type", ("view", "click", "open"))
 
 
 @query("A05_method_histogram", "SELECT source, list_sort(list(lang || ':' || n)) AS histogram FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
 def a05(t: Tables) -> DataFrame:
-    counts = t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return counts.groupBy("source").agg(F.array_sort(F.collect_list(F.concat_ws(":", "lang", "n"))).alias("histogram"))
+    return reports.method_histogram(t.documents, "source", "lang")
 
 
 @query("A06_usage_rollup", "SELECT CASE WHEN event_type IN ('error', 'signup') THEN 'final_report' ELSE event_type END AS phase, round(sum(value), 6) AS total, count(*) AS calls FROM events GROUP BY ROLLUP (1)")
@@ -232,14 +226,12 @@ def a06(t: Tables) -> DataFrame:
 
 @query("A07_A12_A22_phase_summary", "SELECT user_id, list_sort(list(DISTINCT event_type)) AS tools, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS evidence, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id")
 def a07(t: Tables) -> DataFrame:
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",")
-    return t.events.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("tools"), ordered.alias("evidence"), F.count("*").alias("n"), F.max("ts").alias("last"))
+    return reports.phase_summary(t.events, "user_id", "event_type", "event_id", "ts")
 
 
 @query("A08_A23_funnel", "SELECT count(*) FILTER (t = 'view') AS candidates, count(*) FILTER (t = 'click') AS kept, count(*) FILTER (t IN ('error')) AS failed FROM (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1)")
 def a08(t: Tables) -> DataFrame:
-    latest = t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("t"))
-    return latest.agg(F.count_if(F.col("t") == "view").alias("candidates"), F.count_if(F.col("t") == "click").alias("kept"), F.count_if(F.col("t") == "error").alias("failed"))
+    return reports.funnel(t.events, "user_id", "event_id", "event_type", {"candidates": "view", "kept": "click", "failed": "error"})
 
 
 @query("A09_S01_S02_V09_completeness", "SELECT count(*) AS row_count, count(*) FILTER (o_orderkey IS NULL) AS null_ids, count(*) - count(DISTINCT o_orderkey) AS duplicate_ids, min(o_orderkey) AS low, max(o_orderkey) AS high, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS contiguous, round(count(*) / 20000, 6) AS ratio FROM orders")
@@ -251,13 +243,15 @@ def a09(t: Tables) -> DataFrame:
 
 @query("A11_A14_document_totals", "SELECT conv_id, count(*) AS pages, sum(length(text))::BIGINT AS chars, count(*) FILTER (trim(text) <> '') AS with_text, arg_max(turn, length(text) * 1000 - turn) AS longest FROM conversations GROUP BY 1")
 def a11(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"), F.count_if(F.trim("text") != "").alias("with_text"), F.max_by("turn", F.length("text") * 1000 - F.col("turn")).alias("longest"))
+    return reports.document_totals(t.conversations, "conv_id", "turn")
 
 
-@query("A15_A16_text_ratios", r"SELECT doc_id, 0 AS reversed, round(length(regexp_replace(text, '[^#*$%&|]', '', 'g')) / greatest(length(regexp_replace(text, '\s', '', 'g')), 1), 9) AS odd, length(regexp_replace(text, '[^#*$%&|]', '', 'g')) / greatest(length(regexp_replace(text, '\s', '', 'g')), 1) > 0.05 AS garbled FROM documents")
+@query("A15_A16_text_ratios", r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 3 = 1 THEN -2 ELSE 0 END AS reversed, round(length(regexp_replace(text, '[^#*$%&|]', '', 'g')) / greatest(length(regexp_replace(text, '\s', '', 'g')), 1), 9) AS odd, length(regexp_replace(text, '[^#*$%&|]', '', 'g')) / greatest(length(regexp_replace(text, '\s', '', 'g')), 1) > 0.05 AS garbled FROM documents")
 def a15(t: Tables) -> DataFrame:
     odd = F.length(F.regexp_replace("text", "[^#*$%&|]", "")) / F.greatest(F.length(F.regexp_replace("text", "\\s", "")), F.lit(1))
-    return t.documents.select("doc_id", rtl.reversed_counts(F.col("text")).alias("reversed"), F.round(odd, 9).alias("odd"), (odd > 0.05).alias("garbled"))
+    # the table has no Hebrew: two words are put before the text, reversed in a third of the rows
+    marked = F.concat(F.when(F.col("doc_id") % 3 == 0, "םולש ךרד ").when(F.col("doc_id") % 3 == 1, "שלום דרך ").otherwise(""), "text")
+    return t.documents.select("doc_id", rtl.reversed_counts(marked).alias("reversed"), F.round(odd, 9).alias("odd"), (odd > 0.05).alias("garbled"))
 
 
 @query("A17_F41_U07_content_groups", "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) AS copies, list_sort(list(DISTINCT source)) AS sources FROM documents GROUP BY 1")
@@ -297,8 +291,7 @@ def a19(t: Tables) -> DataFrame:
 
 @query("A21_V12_partial_report", "SELECT lang, list_sort(list(doc_id) FILTER (n_chars > 3000)) AS confirmed, list_sort(list(doc_id) FILTER (n_chars <= 100)) AS open, count(*) AS n FROM documents GROUP BY lang")
 def a21(t: Tables) -> DataFrame:
-    pick = lambda cond: F.when(F.size(F.collect_list(F.when(cond, F.col("doc_id")))) > 0, F.array_sort(F.collect_list(F.when(cond, F.col("doc_id")))))
-    return t.documents.groupBy("lang").agg(pick(F.col("n_chars") > 3000).alias("confirmed"), pick(F.col("n_chars") <= 100).alias("open"), F.count("*").alias("n"))
+    return reports.grouped_findings(t.documents, "lang", "doc_id", {"confirmed": F.col("n_chars") > 3000, "open": F.col("n_chars") <= 100})
 
 
 @query("W01_windows", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), s AS (SELECT doc_id, x, unnest(range(0, greatest(1, len(x) - 2), 2)) AS i FROM l)
@@ -413,7 +406,7 @@ def l01(t: Tables) -> DataFrame:
 @query("L03_row_order", f"SELECT doc_id, len(got) AS score FROM (SELECT doc_id, list_filter({TERMS_SQL}, lambda q: list_contains(v, q)) AS got FROM (SELECT doc_id, list_distinct({TOK}) AS v FROM documents)) ORDER BY score DESC, doc_id LIMIT 50")
 def l03(t: Tables) -> DataFrame:
     words = F.array_distinct(tx.tokens(tx.normalized(F.col("text"))))
-    return t.documents.select("doc_id", F.size(F.array_intersect(F.array(*[F.lit(x) for x in TERMS]), words)).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    return reports.best_rows(t.documents, "doc_id", F.array(*[F.lit(x) for x in TERMS]), words, 50)
 
 
 @query("L06_V08_ranking", f"""WITH {FINDINGS} SELECT doc_id FROM f ORDER BY CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END, CASE coalesce(legal_status, '') WHEN 'verified' THEN 0 WHEN 'contradicted' THEN 3 ELSE 4 END, CASE source_status WHEN 'verified' THEN 0 ELSE 2 END,
@@ -425,7 +418,7 @@ def l06(t: Tables) -> DataFrame:
 
 @query("L07_latest_runs", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def l07(t: Tables) -> DataFrame:
-    return t.orders.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_orderdate")
+    return reports.latest_runs(t.orders, "o_orderkey", "o_orderdate")
 
 
 @query("L08_P26_budget", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER w AS u, row_number() OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE u <= 800 OR r = 1")

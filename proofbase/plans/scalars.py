@@ -65,7 +65,16 @@ def _wanted() -> F.Column:
     return F.array(*[F.lit(w) for w in WANTED])
 
 
-@query("F06_hebrew_match")
+SUFFIXES_SQL = "[" + ", ".join(f"'{x}'" for x in tx.SUFFIXES) + "]"
+
+
+@query(
+    "F06_hebrew_match",
+    f"""WITH r AS (SELECT a.term, p.p || a.term || s.s AS token FROM (SELECT unnest(['תקנה', 'רכב', 'מכס', 'יבוא']) AS term) a, (SELECT unnest(['', 'ה', 'ול', 'והמש', 'x']) AS p) p, (SELECT unnest(['', 'ות', 'ימ', 'zz']) AS s) s),
+    t AS (SELECT *, unnest(CASE WHEN right(term, 1) = 'ה' THEN [term, left(term, length(term) - 1) || 'ת', left(term, length(term) - 1)] ELSE [term] END) AS stem FROM r),
+    m AS (SELECT *, instr(token, stem) AS i FROM t)
+    SELECT term, token, bool_or(i BETWEEN 1 AND 4 AND regexp_full_match(left(token, i - 1), '[{tx.PROCLITICS}]*') AND list_contains({SUFFIXES_SQL}, substr(token, i + length(stem)))) AS hit FROM m GROUP BY 1, 2""",
+)
 def f06(t: Tables) -> DataFrame:
     """Hebrew inflections; the driver tables have none, so words are paired with prefixes and suffixes here."""
     pairs = [(a, p + a + s) for a in ("תקנה", "רכב", "מכס", "יבוא") for p in ("", "ה", "ול", "והמש", "x") for s in ("", "ות", "ימ", "zz")]
@@ -194,14 +203,19 @@ def f32(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", tx.normalized_query(F.col("text")).alias("q"))
 
 
-@query("F33_slug_query")
+SLUG = r"regexp_replace(list_last(string_split(rtrim(regexp_replace(url, '[?#].*$', ''), '/'), '/')), '\.[A-Za-z0-9]+$', '')"
+
+
+@query("F33_slug_query", rf"SELECT page_id, trim(regexp_replace(regexp_replace(url_decode({SLUG}), '[-_+]+', ' ', 'g'), '\s+', ' ', 'g')) AS q FROM pages")
 def f33(t: Tables) -> DataFrame:
     return t.pages.select("page_id", web.slug_query(F.lit(""), F.col("url")).alias("q"))
 
 
-@query("F34_metadata_url", "SELECT page_id, false AS plain, true AS meta FROM pages")
+@query("F34_metadata_url", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS meta FROM pages")
 def f34(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", web.is_metadata_url(F.col("url")).alias("plain"), web.is_metadata_url(F.concat(F.lit("https://x.org/api/3/action/package_show?id="), "page_id")).alias("meta"))
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    url = F.when(k == 0, F.concat(F.lit("https://x.org/api/3/action/package_show?id="), n)).when(k == 1, F.concat(F.lit("https://x.org/api/action/resource_show?id="), n)).when(k == 2, F.concat(F.lit("https://x.org/dataset/"), n)).otherwise(F.col("url"))
+    return t.pages.select("page_id", web.is_metadata_url(url).alias("meta"))
 
 
 @query("F35_F36_json_object", "SELECT event_id, (props->>'$.k')::BIGINT AS k, ('{' || substr(props, 2)) AS object, (props->>'$.k')::BIGINT IS NULL AS rejected FROM events")
@@ -216,10 +230,15 @@ def f37(t: Tables) -> DataFrame:
     return t.events.select("event_id", web.enum_value(F.concat(F.lit(" "), F.upper("event_type")), ("click", "view"), "other").alias("status"))
 
 
-@query("F38_F39_references", "SELECT page_id, [url] AS kept, true AS is_ref, false AS is_not FROM pages")
+@query(
+    "F38_F39_references",
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN [url] WHEN 1 THEN [url, 'http://b.org/' || page_id] ELSE [] END AS kept, page_id % 5 < 3 AS is_ref FROM pages""",
+)
 def f38(t: Tables) -> DataFrame:
-    items = F.array(F.col("url"), F.lit("ftp://x"), F.lit("page 3"))
-    return t.pages.select("page_id", web.web_items(items).alias("kept"), web.is_evidence_ref(F.concat(F.lit("E"), "page_id")).alias("is_ref"), web.is_evidence_ref(F.concat(F.lit("doc-"), "page_id", F.lit("z"))).alias("is_not"))
+    n, k, r = F.col("page_id").cast("string"), F.col("page_id") % 3, F.col("page_id") % 5
+    items = F.when(k == 0, F.array(F.col("url"), F.lit("ftp://x"), F.lit("page 3"))).when(k == 1, F.array(F.lit("E1"), F.col("url"), F.concat(F.lit("http://b.org/"), n))).otherwise(F.array(F.lit(""), F.concat(F.lit("page "), n)))
+    ref = F.when(r == 0, F.concat(F.lit("E"), n)).when(r == 1, F.concat(F.lit("F"), n)).when(r == 2, F.concat(F.lit("doc-"), F.substring(F.md5(n.cast("binary")), 1, 16))).when(r == 3, F.concat(F.lit("doc-"), n, F.lit("z"))).otherwise(F.concat(F.lit("G"), n))
+    return t.pages.select("page_id", web.web_items(items).alias("kept"), web.is_evidence_ref(ref).alias("is_ref"))
 
 
 @query("F40_iso_time", "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS seconds, round_even((epoch(TIMESTAMP '2000-01-01') - epoch(o_orderdate)) / 86400, 1) AS age FROM orders")
@@ -261,10 +280,11 @@ def f46(t: Tables) -> DataFrame:
     return t.events.select("event_id", web.checklist_status(F.lit("open"), asked, refs, F.col("event_type")).alias("status"))
 
 
-@query("F47_run_id")
+@query("F47_run_id", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%dT%H%M%SZ-') AS stamp, true AS random_hex FROM orders")
 def f47(t: Tables) -> DataFrame:
-    made = web.run_id(F.lit("2024-01-02 03:04:05").cast("timestamp"))
-    return t.nation.select("n_nationkey", F.substring(made, 1, 17).alias("stamp"), F.length(made).alias("n"))
+    """The stamp of each order's date; the rest is random, so its form is asked."""
+    made = t.orders.select("o_orderkey", web.run_id(F.col("o_orderdate").cast("timestamp")).alias("id"))
+    return made.select("o_orderkey", F.substring("id", 1, 17).alias("stamp"), F.substring("id", 18, 99).rlike("^[0-9a-f]{16}$").alias("random_hex"))
 
 
 LINE_SQL = "concat_ws(' | ', 'p_partkey: ' || p_partkey, CASE WHEN p_name <> '' THEN 'p_name: ' || p_name END, CASE WHEN p_brand <> '' THEN 'p_brand: ' || p_brand END, CASE WHEN p_type <> '' THEN 'p_type: ' || p_type END, 'p_size: ' || p_size)"
@@ -372,11 +392,20 @@ def p24(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", records.is_negative([said, F.col("text")]).alias("negative"))
 
 
-@query("P28_safe_url", "SELECT page_id, true AS safe, false AS local, false AS odd FROM pages")
+@query(
+    "P28_safe_url",
+    """SELECT page_id, CASE page_id % 8 WHEN 0 THEN true WHEN 1 THEN (page_id // 8) % 200 <> 127 AND (page_id // 8) % 200 NOT IN (0, 10) WHEN 7 THEN true ELSE false END AS safe FROM pages""",
+)
 def p28(t: Tables) -> DataFrame:
+    """Addresses made from the page's number: public ones, first octets of all kinds, private, local and named hosts, other schemes."""
     from proofbase.sources.fetch import safe_url
 
-    return t.pages.select("page_id", safe_url(F.lit("https://93.184.216.34/x")).alias("safe"), safe_url(F.lit("http://127.0.0.1/admin")).alias("local"), safe_url(F.concat(F.lit("ftp://h/"), "page_id")).alias("odd"))
+    n = F.floor(F.col("page_id") / 8) % 200
+    forms = ["https://93.184.216.{}/x", "http://{}.8.4.4/x", "http://10.0.{}.1/", "http://127.0.0.{}/admin", "ftp://93.184.216.{}/", "http://host{}.internal/", "http://intranet{}/", "https://www{}.example.org/"]
+    url = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        url = F.when(F.col("page_id") % 8 == k, F.replace(F.lit(form), F.lit("{}"), n.cast("string"))).otherwise(url)
+    return t.pages.select("page_id", safe_url(url).alias("safe"))
 
 
 @query("S13_S14_S16_json_fields", "SELECT event_id, (props->>'$.k')::BIGINT AS k, user_id || ',' || event_type AS csv FROM events")
@@ -394,10 +423,15 @@ def s19(t: Tables) -> DataFrame:
     return t.pages.select("page_id", found["title"].alias("title"), found["text"].alias("text"))
 
 
-@query("S20_kind", "SELECT page_id, 'html' AS kind, 'pdf' AS pdf, 'csv' AS csv, 'json' AS json FROM pages")
+@query(
+    "S20_kind",
+    """SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' WHEN 2 THEN 'csv' WHEN 3 THEN 'json' WHEN 4 THEN 'xlsx' WHEN 5 THEN CASE WHEN page_id % 2 = 0 THEN 'pdf' ELSE 'xlsx' END ELSE 'json' END AS kind FROM pages""",
+)
 def s20(t: Tables) -> DataFrame:
-    none, url = F.lit(""), F.col("url")
-    return t.pages.select(
-        "page_id", web.kind_of(F.lit("text/html"), url, F.col("html")).alias("kind"), web.kind_of(none, F.concat(F.lit("https://h/"), "page_id", F.lit(".PDF?a=1")), none).alias("pdf"),
-        web.kind_of(F.lit("application/vnd.ms-excel"), F.lit("http://h/a.csv"), none).alias("csv"), web.kind_of(none, url, F.lit("  [1]")).alias("json"),
-    )
+    """Content types, paths and first characters, dealt to the pages by number."""
+    k, none = F.col("page_id") % 7, F.lit("")
+    path = lambda x: F.concat(F.lit("https://h/"), F.col("page_id").cast("string"), F.lit(x))
+    given = [("text/html", F.col("url"), F.col("html")), ("", path(".PDF?a=1"), none), ("application/vnd.ms-excel", path(".csv"), none), ("", path("?x"), F.lit("  [1]")), ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", path(""), none)]
+    given += [("", F.when(F.col("page_id") % 2 == 0, path("/file")).otherwise(path(".xlsm#s")), F.when(F.col("page_id") % 2 == 0, F.lit("%PDF-1.7")).otherwise(none)), ("application/json; charset=utf-8", path(".csv"), none)]
+    pick = lambda i: F.coalesce(*[F.when(k == n, x[i] if i else F.lit(x[0])) for n, x in enumerate(given)])
+    return t.pages.select("page_id", web.kind_of(pick(0), pick(1), pick(2)).alias("kind"))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RETRIED = {429, 500, 502, 503, 504}
+# Top-level names that no public host has.
+INNER = frozenset("local localhost internal intranet lan home corp private arpa".split())
 MOST_BYTES, MOST_REDIRECTS, ATTEMPTS = 40 << 20, 5, 4
 
 
@@ -27,12 +29,15 @@ class FetchError(RuntimeError):
 
 
 def is_safe(url: str, resolve: Callable[[str], list[str]] | None = None) -> bool:
-    """http(s) to a public address. Names are resolved only if a resolver is given."""
+    """http(s) to a public address. Names are resolved if a resolver is given; else names that are only known inside a network are refused, and the others left to the fetch, which resolves."""
     parts = urlsplit(url or "")
     if parts.scheme not in ("http", "https") or not parts.hostname:
         return False
     host = parts.hostname
     try:
+        literal = host.replace(".", "").isdigit() or ":" in host
+        if not literal and resolve is None and ("." not in host or host.rsplit(".", 1)[-1] in INNER):
+            return False
         found = [host] if host.replace(".", "").isdigit() or ":" in host else (resolve(host) if resolve else [])
         return all(ipaddress.ip_address(x).is_global for x in found) and host != "localhost"
     except (ValueError, OSError):
