@@ -6,7 +6,7 @@ blocks' rows are merged into the count table and each block's rows are joined wi
 travel back in the rows' order, so only one hash per distinct n-gram of a block is ever sent, and
 an n-gram however frequent is one entry per block. A range that a block has nothing in gets no
 row, so there are never more rows than n-grams; blocks and ranges have sizes of their own and are
-dealt evenly to the tasks, so a task holds one block or range at a time.
+dealt evenly to the tasks (see packed), so a task holds one block or range at a time.
 
 The longest n-grams go in a second round, and only those whose two parts are found elsewhere: an
 n-gram that another document has has parts that another document has, and whoever has it sends
@@ -30,65 +30,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from proofbase.llm import common as c
+from proofbase.llm import packed as pk
 
 ORDER, BACKOFF = 3, 0.4
 #: Words of a block whose n-grams are combined at once.
 BLOCK_WORDS = 3 << 19
 #: N-grams of a hash range at most, as all of them were distinct.
 RANGE_GRAMS = 1 << 23
-#: Bytes of text that a task gathers before it packs them by block.
-PACK_BYTES = 48 << 20
-
-
-def _schema(kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("doc_id", kind), ("text", pa.large_string())])
-
-
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, doc_id, text) -> (block, documents of it, compressed)."""
-    held: list[pa.RecordBatch] = []
-
-    def packed() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
-        held.clear()
-        text = rows.column("text").cast(pa.large_string())
-        rows = rows.set_column(rows.schema.get_field_index("text"), "text", text).sort_by("block").combine_chunks()
-        ids = rows.column("block").to_numpy()
-        cut = [*np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids)]
-        rows = rows.select(["doc_id", "text"])
-        blobs = [zstandard.compress(rows.slice(a, b - a).combine_chunks().to_batches()[0].serialize(), 3) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), pa.array(blobs, pa.binary())], names=["block", "docs"])
-
-    size = 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
-        if size > PACK_BYTES:
-            yield packed()
-            size = 0
-    if held:
-        yield packed()
 
 
 class Block:
-    """The documents of one block in a fixed order and their n-grams.
-
-    The order is that of (doc_id, text), so a block built again is the same block.
-    """
+    """The documents of one block and their n-grams."""
 
     def __init__(self, blobs: pa.ChunkedArray, kind: pa.DataType):
-        schema = _schema(kind)
-        rows = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(zstandard.decompress(b.as_py())), schema) for b in blobs], schema)
-        rows = rows.append_column("_n", pc.binary_length(rows.column("text")))
-        order = pc.sort_indices(rows, [("doc_id", "ascending"), ("_n", "ascending"), ("text", "ascending")])
-        self.rows = rows.select(["doc_id", "text"]).take(order)
+        self.rows = pk.rows_of(blobs, kind)
         codes, owner, done = [], [], 0
         for t in c.texts(iter(self.rows.combine_chunks().to_batches())):
             w = c.words(t, c.SPACE_WORDS, lower=True)
@@ -120,38 +80,6 @@ class Block:
         return found
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, compressed: sorted hashes as differences have few high bytes, counts are mostly 1."""
-    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes(), 3)
-
-
-def _unpacked(b: bytes, n: int, dtype: type) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(width, n).T).view(dtype).ravel() if n else np.zeros(0, dtype)
-
-
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    edges = [((k << 64) // buckets) for k in range(buckets)]
-    return np.append(np.searchsorted(keys, np.array(edges, c.U64)), len(keys))
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of each block; batches are in order of their first column."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        edge = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else []
-        for a, b in zip(edge, [*edge[1:], len(ids)], strict=True):
-            if held and ids[a] != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = int(ids[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 SENT = "range int, block int, sizes array<long>, keys array<binary>, counts array<binary>"
 ANSWERED = "block int, range int, round int, sizes array<long>, counts array<binary>"
 _LONGS, _BLOBS = pa.list_(pa.int64()), pa.list_(pa.binary())
@@ -160,31 +88,31 @@ _LONGS, _BLOBS = pa.list_(pa.int64()), pa.list_(pa.binary())
 def _sent(block: int, grams: list[np.ndarray], ranges: int) -> pa.RecordBatch:
     """Per hash range that the block has n-grams in: its distinct n-grams of each order. grams: the hashes, by order."""
     found = [np.unique(x, return_counts=True) for x in grams]
-    cuts = np.stack([_cuts(code, ranges) for code, _ in found])
+    cuts = np.stack([pk.cuts(code, ranges) for code, _ in found])
     ids = np.flatnonzero((cuts[:, 1:] > cuts[:, :-1]).any(axis=0))
     sizes, keys, counts = [], [], []
     for k in ids.tolist():
         spans = [(int(x[k]), int(x[k + 1])) for x in cuts]
         sizes.append([b - a for a, b in spans])
-        keys.append([_packed(np.diff(code[a:b], prepend=c.U64(0))) for (code, _), (a, b) in zip(found, spans, strict=True)])
-        counts.append([_packed(many[a:b].astype(np.uint32)) for (_, many), (a, b) in zip(found, spans, strict=True)])
+        keys.append([pk.steps(code[a:b]) for (code, _), (a, b) in zip(found, spans, strict=True)])
+        counts.append([pk.squeezed(many[a:b].astype(np.uint32)) for (_, many), (a, b) in zip(found, spans, strict=True)])
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(np.full(len(ids), block), pa.int32()), pa.array(sizes, _LONGS), pa.array(keys, _BLOBS), pa.array(counts, _BLOBS)], names=["range", "block", "sizes", "keys", "counts"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch], round_: int) -> Iterator[pa.RecordBatch]:
     """For each range: the blocks' counts summed, and sent back in each block's order."""
-    for where, rows in _grouped(batches):
+    for where, rows in pk.grouped(batches):
         blocks, sizes = rows.column("block"), rows.column("sizes").to_pylist()
         keys, counts = rows.column("keys").to_pylist(), rows.column("counts").to_pylist()
         out: list[list[bytes]] = [[] for _ in sizes]
         for n in range(len(sizes[0])):
-            code = [np.cumsum(_unpacked(k[n], m[n], np.uint64), dtype=c.U64) for k, m in zip(keys, sizes, strict=True)]
-            many = np.concatenate([_unpacked(k[n], m[n], np.uint32) for k, m in zip(counts, sizes, strict=True)])
+            code = [pk.from_steps(k[n], m[n]) for k, m in zip(keys, sizes, strict=True)]
+            many = np.concatenate([pk.restored(k[n], m[n], np.uint32) for k, m in zip(counts, sizes, strict=True)])
             _, spot = np.unique(np.concatenate(code), return_inverse=True)
             total = np.bincount(spot, many)[spot].astype(np.uint64) if len(many) else many.astype(np.uint64)
             cut = np.cumsum([0, *map(len, code)])
             for i in range(len(out)):
-                out[i].append(_packed(total[cut[i] : cut[i + 1]]))
+                out[i].append(pk.squeezed(total[cut[i] : cut[i + 1]]))
         n = len(out)
         yield pa.RecordBatch.from_arrays([blocks.combine_chunks(), pa.array(np.full(n, where), pa.int32()), pa.array(np.full(n, round_), pa.int32()), pa.array(sizes, _LONGS), pa.array(out, _BLOBS)], names=["block", "range", "round", "sizes", "counts"])
 
@@ -193,7 +121,7 @@ def _tables(answers: pa.Table, round_: int, orders: int) -> list[np.ndarray]:
     """Corpus counts of a block's distinct n-grams in hash order, by order, from the rows of all ranges."""
     answers = answers.filter(pc.field("round") == round_).sort_by("range")
     sizes, counts = answers.column("sizes").to_pylist(), answers.column("counts").to_pylist()
-    parts = [[_unpacked(x[n], m[n], np.uint64) for x, m in zip(counts, sizes, strict=True)] for n in range(orders)]
+    parts = [[pk.restored(x[n], m[n], np.uint64) for x, m in zip(counts, sizes, strict=True)] for n in range(orders)]
     return [np.concatenate(x).astype(np.float64) if x else np.zeros(0) for x in parts]
 
 
@@ -247,14 +175,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     kind = to_arrow_type(id_type)
     tokens = docs.select("text").mapInArrow(_word_counts, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
-    # block k is task k modulo parts' work, and so is range k: every task has as many of them
-    blocks = parts * max(1, -(-tokens // (BLOCK_WORDS * parts)))
-    ranges = parts * max(1, -(-tokens * (ORDER - 1) // (RANGE_GRAMS * parts)))
-    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = placed.select("block", "doc_id", "text").mapInArrow(_dealt, "block int, docs binary").repartitionById(parts, "block")
+    blocks, ranges = pk.number(tokens, BLOCK_WORDS, parts), pk.number(tokens * (ORDER - 1), RANGE_GRAMS, parts)
+    dealt = pk.dealt(docs, blocks, parts)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, rows in _grouped(batches):
+        for k, rows in pk.grouped(batches):
             b = Block(rows.column("docs"), kind)
             yield _sent(k, [b.grams(n)[1] for n in range(1, ORDER)], ranges)
 
