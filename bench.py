@@ -23,11 +23,10 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cores, 8)
-    spark.sparkContext.setLogLevel("ERROR")
     # a folder of its own, so the index is built in the time of K05_postings and found by the queries after it
     shared = tempfile.mkdtemp(prefix="proofbase-bench-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{shared}")
+    spark = local_session(cores, 8, shared)
+    spark.sparkContext.setLogLevel("ERROR")
     took: dict[str, float] = {}
     QUERIES["A06_usage_rollup"](spark, sf_dir).count()
     for name in HEADLINE:

@@ -35,10 +35,7 @@ def windows(pages: DataFrame, text: str = "text") -> DataFrame:
 def passage_hits(pages: DataFrame, terms: Column, phrase: Column, text: str = "text") -> DataFrame:
     """Windows with enough terms, their score; pages that can't have them are left out first."""
     whole = F.array_distinct(tx.tokens(tx.normalized(F.col(text))))
-    # a term's letters are in the text wherever it matches a word: far cheaper to ask first
-    letters = lambda t: F.contains("_plain", F.when(t.endswith("ה"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
-    able = pages.withColumn("_plain", tx.folded(F.col(text))).where(F.size(F.filter(terms, letters)) >= needed(terms)).drop("_plain")
-    likely = able.where(F.size(tx.document_hits(terms, whole)) >= needed(terms))
+    likely = pages.where(F.size(tx.document_hits(terms, whole)) >= needed(terms))
     # lines are normalised once and every window puts its own together
     lined = likely.withColumns({"_l": F.split(F.col(text), "\n"), "_x": F.split(tx.normalized_lines(F.col(text)), "\n")})
     n = F.size("_l")
@@ -53,19 +50,31 @@ def passage_hits(pages: DataFrame, terms: Column, phrase: Column, text: str = "t
 
 
 def without_overlap(hits: DataFrame, key: str, page: str) -> DataFrame:
-    """By score, then place, each window that meets no kept one on its page. A fold over a page's windows, as each choice depends on those before."""
-    order = F.struct((-F.col("score")).alias("s"), "first_line", "last_line")
-    sorted_ = hits.groupBy(key, page).agg(F.array_sort(F.collect_list(order)).alias("_w"))
+    """By score, then place, each window that meets no kept one on its page. A fold over a page's windows, as each choice depends on those before; the windows travel whole, so they are made once."""
+    rest = [x for x in hits.columns if x not in (key, page, "first_line", "last_line")]
+    window = F.struct((-F.col("score")).alias("_s"), "first_line", "last_line", F.struct(*rest).alias("_rest"))
+    sorted_ = hits.groupBy(key, page).agg(F.array_sort(F.collect_list(window), lambda a, b: _by_order(a, b)).alias("_w"))
     apart = lambda k, x: F.forall(k, lambda y: (y["first_line"] > x["last_line"]) | (x["first_line"] > y["last_line"]))
     kept = F.aggregate("_w", F.slice(F.col("_w"), 1, 0), lambda k, x: F.when(apart(k, x), F.concat(k, F.array(x))).otherwise(k))
-    chosen = sorted_.select(key, page, F.explode(kept).alias("_k")).select(F.col(key).alias("_key"), F.col(page).alias("_page"), F.col("_k.first_line").alias("_first"))
-    return hits.join(chosen, (F.col(key) == F.col("_key")) & (F.col(page) == F.col("_page")) & (F.col("first_line") == F.col("_first")), "left_semi")
+    chosen = sorted_.select(key, page, F.explode(kept).alias("_k"))
+    return chosen.select(key, page, "_k.first_line", "_k.last_line", "_k._rest.*").select(*hits.columns)
+
+
+def _by_order(a: Column, b: Column) -> Column:
+    order = [(a[x], b[x]) for x in ("_s", "first_line", "last_line")]
+    found = F.lit(0)
+    for x, y in reversed(order):
+        found = F.when(x < y, -1).when(x > y, 1).otherwise(found)
+    return found
 
 
 def search_document(pages: DataFrame, key: str, page: str, query: str, most: int = RESULTS) -> DataFrame:
     """The best passages per document with the totals: rank, passages in all, pages with any."""
+    # the query's form is found on the driver, as an expression it would be computed for every row
     norm = tx.normalized(F.lit(query))
-    hits = without_overlap(passage_hits(pages, tx.document_query_terms(norm), norm), key, page)
+    form = pages.sparkSession.range(1).select(norm.alias("norm"), tx.document_query_terms(norm).alias("terms")).first()
+    terms = F.array(*[F.lit(t) for t in form["terms"]]) if form["terms"] else F.array().cast("array<string>")
+    hits = without_overlap(passage_hits(pages, terms, F.lit(form["norm"])), key, page)
     order = W.partitionBy(key).orderBy(F.desc("score"), page, "first_line")
     whole = W.partitionBy(key)
     ranked = hits.withColumns({"rank": F.row_number().over(order), "total": F.count("*").over(whole), "pages": F.slice(F.array_sort(F.collect_set(page).over(whole)), 1, PAGES_SHOWN)})

@@ -25,7 +25,8 @@ def code_index(rows: DataFrame, rid: str, fields: dict[str, Column]) -> DataFram
 
 def postings(rows: DataFrame, rid: str, text: Column) -> DataFrame:
     """(rid, token) once per record."""
-    return rows.select(F.col(rid).alias("rid"), F.explode(tx.index_terms(tx.normalized(text))).alias("token"))
+    normed = rows.select(F.col(rid).alias("rid"), tx.normalized(text).alias("_n"))
+    return normed.select("rid", F.explode(tx.index_terms(F.col("_n"))).alias("token"))
 
 
 def exact_codes(index: DataFrame, code: str, hier: str) -> DataFrame:

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
+def local_session(cores: int | str = "*", partitions: int = 8, shared: str = "/tmp/proofbase-checkpoints") -> SparkSession:
     """A session for tests and the bench. A cluster brings its own settings; only result-affecting ones are set here."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -19,7 +19,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("PROOFBASE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", "file:///tmp/proofbase-checkpoints")
+        .config("spark.checkpoint.dir", f"file://{shared}")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )

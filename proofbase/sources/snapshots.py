@@ -217,7 +217,13 @@ def build_index(rows: DataFrame, folder: str, rid: str, body: Column, code_field
         for name, df in tables.items():
             # sorted within files: statistics prune lookups by code and token
             order = {"codes": "hier", "postings": "token"}.get(name)
-            (df.repartitionByRange(order).sortWithinPartitions(order) if order else df).write.mode("overwrite").parquet(f"{base}/{name}")
+            if order:
+                # stored first, as finding the ranges reads the rows once more
+                df.write.mode("overwrite").parquet(f"{base}/_{name}")
+                df = spark.read.parquet(f"{base}/_{name}").repartitionByRange(order).sortWithinPartitions(order)
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+            if order:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_{name}"), True)
         retrieval.posting_sizes(spark.read.parquet(f"{base}/postings")).write.mode("overwrite").parquet(f"{base}/sizes")
         fs.create(fs_path).close()
     return {name: spark.read.parquet(f"{base}/{name}") for name in [*tables, "sizes"]}
