@@ -142,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes | list[float]:
         part = known.where(F.col("domain") == k).orderBy(order, "doc_id").limit(SAMPLE_ROWS)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") > 0)
+    texts = texts.groupBy("doc_id", "domain").agg(F.max("text").alias("text"))  # one text an id, however often it is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[str, int]] = []
