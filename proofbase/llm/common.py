@@ -59,14 +59,33 @@ _P_INV = U64(pow(int(_P), -1, 1 << 64))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i for i < n, modulo 2**64."""
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for key, base in (("up", _P), ("down", _P_INV)):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _powers[key] = np.cumprod(x, dtype=U64)
-    return _powers["up"], _powers["down"]
+    """P**i and P**-i for i < n, modulo 2**64. Tables of ordinary size are kept."""
+    if len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    size = 1 << (n - 1).bit_length()
+    made = []
+    for base in (_P, _P_INV):
+        x = np.full(size, base, U64)
+        x[0] = 1
+        made.append(np.cumprod(x, dtype=U64))
+    if size <= 4 * CHUNK_BYTES:
+        _powers["up"], _powers["down"] = made
+    return made[0], made[1]
+
+
+def string_codes(data: np.ndarray, counts: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The unmixed hash of the bytes from each start to the next one; bytes that do not count are zeros in it. A stretch of bounded size at a time, unless a string is longer."""
+    code = np.zeros(len(start), U64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + 2 * CHUNK_BYTES, "right")) - 1) if start[-1] - start[i] > 2 * CHUNK_BYTES else len(start)
+        lo, hi = int(start[i]), int(start[j]) if j < len(start) else len(data)
+        up, down = powers(hi - lo)
+        terms = (data[lo:hi].astype(U64) + U64(1)) * up[: hi - lo]
+        terms[~counts[lo:hi]] = 0
+        code[i:j] = np.add.reduceat(terms, start[i:j] - lo) * down[start[i:j] - lo]
+        i = j
+    return code
 
 
 def byte_classes(pattern: str) -> np.ndarray:
@@ -139,14 +158,7 @@ def words(t: Texts, classes: np.ndarray, lower: bool) -> Words:
     # a word ends where the next non-word byte or the next text begins
     marks = np.append(np.flatnonzero(stops), len(data))
     end = marks[np.searchsorted(marks, start, "right")] if len(start) else start
-    up, down = powers(max(1, len(data)))
-    if len(start):
-        terms = (data.astype(U64) + U64(1)) * up[: len(data)]
-        terms[~inside] = 0
-        code = np.add.reduceat(terms, start) * down[start]
-        code = mix(code + (end - start).astype(U64) * _M1)
-    else:
-        code = np.zeros(0, U64)
+    code = mix(string_codes(data, inside, start) + (end - start).astype(U64) * _M1)
     row = np.searchsorted(t.at, start, "right") - 1
     first = np.searchsorted(start, t.at)
     return Words(start, end, code, row, first)

@@ -60,10 +60,7 @@ def _line_repeats(t: c.Texts) -> np.ndarray:
     start = np.flatnonzero(begins & ~newline)
     if not len(start):
         return out
-    up, down = c.powers(len(data))
-    terms = (data.astype(c.U64) + c.U64(1)) * up[: len(data)]
-    terms[newline] = 0
-    code = c.mix(np.add.reduceat(terms, start) * down[start])
+    code = c.mix(c.string_codes(data, ~newline, start))
     worded = np.add.reduceat((c.SPACE_WORDS[data]).astype(np.int32), start) > 0
     row = np.searchsorted(t.at, start, "right") - 1
     code, row = code[worded], row[worded]
