@@ -258,6 +258,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decontaminate(docs, benchmark))
 
 
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT k, item_id, w, least(len(w), {WINDOW}) AS n FROM b WHERE len(w) > 0),
+win AS (SELECT k, item_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS j FROM s)),
+here AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM s))),
+m AS (SELECT r, i, k, item_id, j, win.n FROM here JOIN win ON here.g = win.g AND here.n = win.n),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY 1),
+named AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY 1),
+run AS (SELECT r, k, n, i - j AS diagonal, i - row_number() OVER (PARTITION BY r, k, i - j ORDER BY i) AS island FROM m WHERE item_id IS NOT NULL),
+long AS (SELECT r, max(c) AS longest FROM (SELECT r, count(*) + any_value(n) - 1 AS c FROM run GROUP BY r, k, diagonal, island) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN long USING (r)
+"""
+
+
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without any benchmark window, with all their columns. Each block of the benchmark filters what the one before it left."""
     docs, own = c.hidden(docs, ("text",))

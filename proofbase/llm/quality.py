@@ -163,3 +163,34 @@ def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     limits = c.stored(fences(with_rates(c.stored(base_measures(docs.select("lang", "source", "text")).drop("text")))))
     docs, own = c.hidden(docs, ("lang", "source", "text"))
     return judge(with_rates(base_measures(docs)), limits).where("kept").select(*own)
+
+
+def _oracle() -> str:
+    """The query in SQL: exact quantiles, which the sketches' are on tables of up to ACCURACY documents a group."""
+    quantile = lambda m, q: f"quantile_disc({m}, {q}) FILTER (NOT base_failed)"
+    parts, tests = [], []
+    for m, (low, high, reach, one) in MEASURES.items():
+        for k, q in (("a", 0.5 if low is None else low), ("b", high), ("c", 0.5)):
+            parts.append(f"{quantile(m, q)} AS {m}_{k}")
+        pick = lambda k, m=m: f"CASE WHEN g.n >= {POOL} THEN g.{m}_{k} ELSE p.{m}_{k} END"
+        if low is not None:
+            tests.append(f"coalesce({m} >= {pick('c')} - ({pick('c')} - {pick('a')}) * {1 + reach}, true)")
+        tests.append(f"coalesce({m} - {one}::DOUBLE / greatest(n_words, 1) <= {pick('c')} + ({pick('b')} - {pick('c')}) * {1 + reach}, true)")
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g3 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g3, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY 1),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+r AS (SELECT *, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word_len, n_symbols / greatest(n_words, 1)::DOUBLE AS symbol_rate, n_dup_lines / greatest(n_words, 1)::DOUBLE * 10 AS dup_line_rate,
+      n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeat_rate, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+g AS (SELECT lang, source, count(*) FILTER (NOT base_failed) AS n, {", ".join(parts)} FROM r GROUP BY lang, source),
+p AS (SELECT lang, {", ".join(parts)} FROM r GROUP BY lang)
+SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND {" AND ".join(tests)} AS kept, r.lang, r.source
+FROM r LEFT JOIN g ON r.lang IS NOT DISTINCT FROM g.lang AND r.source IS NOT DISTINCT FROM g.source LEFT JOIN p ON r.lang IS NOT DISTINCT FROM p.lang
+"""
+
+
+ORACLE = _oracle()

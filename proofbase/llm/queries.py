@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from proofbase.llm import backoff, chat, lines, mixing, sharding
-from proofbase.llm.decontaminate import op2_decontamination
-from proofbase.llm.jaccard import op8_ngram_jaccard
-from proofbase.llm.quality import op9_quality_rules
-from proofbase.llm.substrings import op3_suffix_array_dedup
+from proofbase.llm import backoff, chat, decontaminate, jaccard, lines, mixing, quality, sharding, substrings
 from proofbase.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
-    "op2_decontamination": op2_decontamination,
-    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_suffix_array_dedup": substrings.op3_suffix_array_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_chat_formatting": chat.op7_chat_formatting,
-    "op8_ngram_jaccard": op8_ngram_jaccard,
-    "op9_quality_rules": op9_quality_rules,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": backoff.op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op3_suffix_array_dedup": substrings.ORACLE,
+    "op8_ngram_jaccard": jaccard.ORACLE,
+    "op9_quality_rules": quality.ORACLE,
     "op5_line_dedup": lines.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
     "op10_lm_scoring": backoff.ORACLE,

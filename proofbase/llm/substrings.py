@@ -521,6 +521,20 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans", "kept")
 
 
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1})) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+e AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH}, true)::INT AS new FROM hit),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + {LENGTH} AS z FROM k GROUP BY 1, 2),
+parts AS (SELECT spans.doc_id, a, z, substr(h, 2 * coalesce(lag(z) OVER o, 0) + 1, 2 * (a - coalesce(lag(z) OVER o, 0))) AS before, h FROM spans JOIN d USING (doc_id) WINDOW o AS (PARTITION BY spans.doc_id ORDER BY a)),
+kept AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS h FROM parts GROUP BY 1)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def brute(docs: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:
     """The contract with a table of all strings, for tests."""
     least: dict[bytes, int] = {}
