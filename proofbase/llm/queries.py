@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofbase.llm import backoff, chat, decontaminate, jaccard, lines, mixing, quality, sharding, substrings
+from proofbase.llm import backoff, chat, decontaminate, divergence, jaccard, lines, mixing, packing, quality, sharding, substrings, whitening
 from proofbase.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": backoff.op10_lm_scoring,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_curve_packing": packing.op13_curve_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_formatting": chat.ORACLE,
     "op10_lm_scoring": backoff.ORACLE,
     "op6_sharding": sharding.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
 }
