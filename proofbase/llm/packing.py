@@ -11,7 +11,8 @@ A text is encoded by its pieces: the tokenizer never joins what white space part
 letters, digits and marks, so equal pieces are encoded once. Its pre-tokens decide that, so this
 holds for the tokenizer named in the query; `whole=True` encodes white-space words as they are.
 
-Long texts are encoded a stretch at a time, at white space, and sent as parts of at most PART tokens.
+Long texts are encoded a stretch at a time, at white space, and sent as parts of at most PART tokens,
+so that ranges of as many rows are of much the same size; parts that meet again are one piece.
 
 Defined cases: a null text is empty, and an empty one has its end token only; null and repeated ids
 stay apart, a row each; an empty table gives no rows; no column but the id and the text is read.
@@ -34,10 +35,10 @@ from pyspark.sql import types as T
 from proofbase.llm import common as c
 from proofbase.llm import strings as st
 
-LENGTH, END, PART = 4096, 2, 16_384
+LENGTH, END, PART = 4096, 2, 1024
 BUCKETS, DIMS, BITS, SEED = 256, 4, 12, 13
 #: Bytes of text encoded at once, and pieces whose ids a task remembers.
-TEXT_BYTES, REMEMBERED = 4 << 20, 600_000
+TEXT_BYTES, REMEMBERED = 2 << 20, 500_000
 
 SPACE, LETTER, DIGIT, MARK, LATIN, FOLLOWS, OTHER = range(7)
 _KIND = np.full(256, OTHER, np.uint8)
@@ -58,7 +59,7 @@ def pieces(data: np.ndarray, at: np.ndarray, whole: bool = False) -> tuple[pa.Ar
     word = st.begins(inside, at)
     begin = word
     if not whole and len(data):
-        number = np.cumsum(word) - 1
+        number = np.cumsum(word, dtype=np.int32 if len(data) < 1 << 31 else np.int64) - 1
         after = np.append(data[1:], 0)
         special = (data == 0x3C) & (after == 0x7C)
         odd = (kind == OTHER) | (data == 0x27) | special | ((data == 0xC3) & ((after == 0x97) | (after == 0xB7)))
@@ -198,13 +199,19 @@ def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def id_width(vocabulary: int, end: int) -> int:
+    """Bytes of an id on its way to its sequence."""
+    return 2 if max(vocabulary, end + 1) <= 1 << 16 else 4
+
+
 def tokenised(docs: DataFrame, path: str, end: int = END, doc_id: str = "doc_id", whole: bool = False) -> DataFrame:
-    """Parts of documents: (doc_id, start, doc_tokens, key, salt, ids as little-endian 32-bit numbers)."""
+    """Parts of documents: (doc_id, start, doc_tokens, key, salt, ids as little-endian numbers of `id_width()` bytes)."""
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("start long, doc_tokens long, key long, salt long, ids binary").fields])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_chunk = encoder(path, whole)
+        width = id_width(encode_chunk.width, end)
         bucket, sign, projection = directions(encode_chunk.width)
         task, done = TaskContext.get().partitionId() << 36, 0
         for t in c.texts(batches, "text", TEXT_BYTES):
@@ -219,13 +226,13 @@ def tokenised(docs: DataFrame, path: str, end: int = END, doc_id: str = "doc_id"
             salt = c.mix((task + done + np.arange(len(t))).astype(np.uint64)).view(np.int64)
             done += len(t)
             # the end token after each document
-            ids = np.insert(ids, np.cumsum(n), end).astype("<u4")
+            ids = np.insert(ids, np.cumsum(n), end).astype(f"<u{width}")
             n = n + 1
             first = np.cumsum(n) - n
             times = -(-n // PART)
             at = np.repeat(np.arange(len(t)), times)
             start = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)) * PART
-            cuts = (first[at] + start) * 4
+            cuts = (first[at] + start) * width
             held = ids.tobytes()
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(cuts, len(held)).astype(np.int64)), pa.py_buffer(held)]).cast(pa.binary())
             place = pa.array(at)
@@ -237,15 +244,18 @@ def tokenised(docs: DataFrame, path: str, end: int = END, doc_id: str = "doc_id"
 class Packer:
     """Cuts the streams of the ranges into sequences."""
 
-    def __init__(self, length: int, schema: pa.Schema):
-        self.length, self.schema = length, schema
+    def __init__(self, length: int, width: int, schema: pa.Schema):
+        self.length, self.width, self.schema = length, width, schema
 
     def _sequences(self, number: int, sizes: list[int], ids: np.ndarray, first: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
         """Sequences of the given sizes from the start of the stream; rows begin at first."""
         ends = np.cumsum(sizes)
         begins = ends - sizes
         total = int(ends[-1])
-        cut = np.unique(np.concatenate([first[first < total], begins]))
+        # a part that follows another one of its document is no piece of its own
+        head = rows.column("start").to_numpy() == 0
+        head[0] = True
+        cut = np.unique(np.concatenate([first[head & (first < total)], begins]))
         size = np.diff(np.append(cut, total))
         row = np.searchsorted(first, cut, "right") - 1
         sequence = np.searchsorted(begins, cut, "right") - 1
@@ -253,7 +263,7 @@ class Packer:
         start = rows.column("start").to_numpy()[row] + cut - first[row]
         one = pa.StructArray.from_arrays([rows.column("doc_id").combine_chunks().take(place), pa.array(start), pa.array(size), pa.array(cut - begins[sequence]), rows.column("doc_tokens").combine_chunks().take(place)], fields=list(self.schema.field("pieces").type.value_type))
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(sequence, np.arange(len(sizes) + 1)).astype(np.int32)), one, type=self.schema.field("pieces").type)
-        held = ids[:total].tobytes()
+        held = ids[:total].astype("<u4").tobytes()
         data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(begins, total).astype(np.int64) * 4), pa.py_buffer(held)]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(number + np.arange(len(sizes))), pa.array(np.array(sizes, np.int64)), data, lists], schema=self.schema)
 
@@ -279,14 +289,12 @@ class Packer:
             if sizes:
                 yield self._sequences(number, sizes, ids, first, left)
 
-    @staticmethod
-    def _stream(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def _stream(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         parts = rows.column("ids").to_pylist()
-        n = np.array([len(x) // 4 for x in parts])
-        return np.frombuffer(b"".join(parts), "<u4"), np.cumsum(n) - n
+        n = np.array([len(x) // self.width for x in parts])
+        return np.frombuffer(b"".join(parts), f"<u{self.width}"), np.cumsum(n) - n
 
-    @staticmethod
-    def _rest(rows: pa.Table, ids: np.ndarray, first: np.ndarray, taken: int) -> pa.Table:
+    def _rest(self, rows: pa.Table, ids: np.ndarray, first: np.ndarray, taken: int) -> pa.Table:
         if taken == len(ids):
             return rows.slice(0, 0)
         row = int(np.searchsorted(first, taken, "right")) - 1
@@ -295,7 +303,7 @@ class Packer:
         start = kept.column("start").to_numpy().copy()
         start[0] += gone
         data = kept.column("ids").to_pylist()
-        data[0] = data[0][4 * gone :]
+        data[0] = data[0][self.width * gone :]
         return pa.table([kept.column("doc_id"), pa.array(start), kept.column("doc_tokens"), pa.array(data, pa.binary())], names=kept.schema.names)
 
 
@@ -303,6 +311,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, doc_i
     """(sequence_id, n_tokens, input_ids as little-endian 32-bit numbers, pieces of documents in order) of each sequence; length is a power of two."""
     if length & (length - 1):
         raise ValueError("length must be a power of two")
+    width = id_width(encoder(path, whole).width, end)
     parts = c.stored(tokenised(docs, path, end, doc_id, whole))
     id_type = parts.schema["doc_id"].dataType
     piece = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("start long, length long, offset long, doc_tokens long").fields])
@@ -310,7 +319,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, doc_i
     from pyspark.sql.pandas.types import to_arrow_schema
 
     order = ["key", "salt", "start"]
-    return parts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(Packer(length, to_arrow_schema(schema)), schema)
+    return parts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(Packer(length, width, to_arrow_schema(schema)), schema)
 
 
 def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
