@@ -33,9 +33,9 @@ from proofbase.llm import common as c
 from proofbase.llm import strings as st
 
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
-CHUNK, MOST_CUTS, CUT_BYTES, BLOCK = 4096, 65_536, 64, 64
+CHUNK, MOST_CUTS, CUT_BYTES, BLOCK = 1024, 65_536, 64, 64
 #: Bytes of text whose terms are counted at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 6 << 20
 
 TERMS = np.zeros(256, bool)
 TERMS[0x41:0x5B] = TERMS[0x61:0x7B] = TERMS[0x80:] = True
