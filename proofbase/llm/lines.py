@@ -51,6 +51,9 @@ def boilerplate(docs: DataFrame, sites: int = SITES, near: float = NEAR) -> Data
 
 def line_dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """docs with text without its boilerplate lines, n_lines (those with a character) and n_removed."""
+    # a result's name in the input gives way, all other columns come back under their own names
+    docs = docs.select(*[F.col(f"`{x}`") for x in docs.columns if x.lower() not in ("n_lines", "n_removed")])
+    docs, own = c.hidden(docs, ("doc_id", "source", "text"))
     common = boilerplate(docs, sites).select(F.col("line").alias("_c"))
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     used = keyed.select("_row", F.explode(F.array_distinct(_hashes(F.col("text")))).alias("line")).where("line is not null")
@@ -64,7 +67,7 @@ def line_dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
         "n_lines": F.coalesce(F.size(F.filter(parts, lambda x: _trimmed(x) != "")), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.when(F.size("_gone") > 0, F.size(F.filter(parts, goes))), F.lit(0)).cast("long"),
         "text": F.when(F.size("_gone") > 0, F.array_join(F.filter(parts, lambda x: ~goes(x)), "\n")).otherwise(F.col("text")),
-    }).drop("_row", "_r", "_gone")
+    }).select(*own, "n_lines", "n_removed")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,8 @@ def directory(keyed: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with n_bytes, shard (its prefix as bits), depth, shard_bytes and fits."""
+    results = ["n_bytes", "shard", "depth", "shard_bytes", "fits"]
+    docs, own = c.hidden(docs.select(*[F.col(f"`{x}`") for x in docs.columns if x.lower() not in results]), ("doc_id", "text"))
     keyed = docs.withColumns({"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "_key": key_of()})
     keys = c.stored(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("docs")))
     entries = directory(keys, limit)
@@ -73,8 +75,7 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         .join(entries, (F.col("_s.d") == F.col("depth")) & (F.col("_s.p") == F.col("prefix")))
         .select("_k", bits.alias("shard"), F.col("depth"), F.col("bytes").alias("shard_bytes"), "fits")
     )
-    own = [F.col(f"`{n}`") for n in docs.columns if n not in {"n_bytes", "shard", "depth", "shard_bytes", "fits"}]
-    return keyed.join(c.stored(placed).hint("merge"), F.col("_key") == F.col("_k")).select(*own, "n_bytes", "shard", "depth", "shard_bytes", "fits")
+    return keyed.join(c.stored(placed).hint("merge"), F.col("_key") == F.col("_k")).select(*own, *results)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
