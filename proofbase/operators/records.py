@@ -143,7 +143,7 @@ def field_terms(rows: DataFrame, terms: Column, fields: list[str], identifiers:
         if whole_words:
             return F.array_intersect(terms, words)
         found = tx.variant_hits(terms, words)
-        if code := (code_of or {}).get(name):
+        if (code := (code_of or {}).get(name)) is not None:
             found = F.array_union(found, F.filter(terms, lambda t: tx.is_digits(t) & F.length(t).isin(4, 6, 8) & code.startswith(t)))
         return found
 

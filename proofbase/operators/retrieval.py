@@ -29,6 +29,12 @@ def postings(rows: DataFrame, rid: str, text: Column) -> DataFrame:
     return normed.select("rid", F.explode(tx.index_terms(F.col("_n"))).alias("token"))
 
 
+def with_codes(rows: DataFrame, code_fields: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    """rows with a column for each code field's normalised codes, and the names of these."""
+    names = [f"_code_{n}" for n in code_fields]
+    return rows.withColumns(dict(zip(names, code_fields.values(), strict=True))) if names else rows, names
+
+
 def exact_codes(index: DataFrame, code: str, hier: str) -> DataFrame:
     """J01."""
     hit = index.where((F.col("code") == code) | (F.col("hier") == hier))
@@ -129,14 +135,17 @@ def search(
 
     outcome, tested in this order: filtered, out_of_scope, unrelated, ranked. page() cuts the
     ranked ones; explain() counts the others. The strategy (standard reference, code, or terms)
-    follows from the query's form on the driver; everything else is one plan.
+    follows from the query's form on the driver; everything else is one plan. Numbers among the
+    terms also count where they head a code (F16); near misses within a code never do.
     """
     spark = rows.sparkSession
+    own_columns = rows.columns
+    rows, coded = with_codes(rows, code_fields)
     if filters:
         records.validate_filters(rows, filters)
     identifiers = identifiers or []
     form = spark.range(1).select(codes.standard_refs(F.lit(query)).alias("refs"), codes.code_query(F.lit(query)).alias("code"), codes.hierarchy_key(codes.code_query(F.lit(query))).alias("hier"), tx.record_query_terms(tx.normalized(F.lit(query))).alias("terms")).first()
-    text = F.concat_ws(" ", *[F.col(n).cast("string") for n in fields + identifiers])
+    text = F.concat_ws(" ", *[F.col(n).cast("string") for n in fields + identifiers + coded])
     stored = index or {}
     posted = lambda: stored["postings"] if "postings" in stored else postings(rows, rid, text)
     hits: list[DataFrame] = []
@@ -158,7 +167,7 @@ def search(
         if terms:
             wanted = F.array(*[F.lit(t) for t in terms])
             candidates = text_candidates(posted(), terms).select(F.col("rid").alias("_c"))
-            body = records.field_terms(rows.join(candidates, F.col(rid) == F.col("_c"), "left_semi"), wanted, fields, identifiers)
+            body = records.field_terms(rows.join(candidates, F.col(rid) == F.col("_c"), "left_semi"), wanted, fields + coded, identifiers, code_of={n: F.col(n) for n in coded})
             judged = body.where((F.size("got") > 0) | (F.size("id_only") > 0)).withColumn("relevance", records.relevance(F.col("got"), F.col("id_only"), wanted))
             share = tx.coverage(F.col("got"), wanted)
             label = F.when(share == 1, "all_terms").otherwise(F.concat(F.lit("terms "), F.array_join(F.array_sort("got"), ",")))
@@ -172,7 +181,8 @@ def search(
     none = F.lit(None).cast("string")
     in_scope = records.scope_allowed(none if direction is None else direction, none if jurisdiction is None else jurisdiction, want_direction, want_jurisdiction)
     outcome = F.when(~passes, "filtered").when(~in_scope, "out_of_scope").when((F.col("relevance") == "unrelated") & F.lit(not include_unrelated), "unrelated").otherwise("ranked")
-    return rows.join(best, F.col(rid) == F.col("_rid")).withColumn("rid", F.col("_rid")).drop("_rid").withColumn("outcome", outcome)
+    found = rows.join(best, F.col(rid) == F.col("_rid")).withColumn("outcome", outcome)
+    return found.select(*[F.col(f"`{n}`") for n in own_columns if n != "rid"], F.col("_rid").alias("rid"), "match", "relevance", "rank", "outcome")
 
 
 def search_datasets(datasets: dict[str, dict], query: str, chosen: list[str] | None = None, **how: object) -> DataFrame:

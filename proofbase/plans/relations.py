@@ -470,3 +470,17 @@ def v01(t: Tables) -> DataFrame:
     own = {retrieval.OWN: F.lpad(F.col("p_partkey").cast("string"), 6, F.lit("0"))}
     found = retrieval.search(t.part, "p_partkey", ["p_name", "p_type"], own, "000120")
     return retrieval.page(found, 25).select("p_partkey", "rank", "match")
+
+
+@query(
+    "V01_F16_mixed_search",
+    r"""WITH b AS (SELECT p_partkey, lpad(p_partkey::VARCHAR, 6, '0') AS code, regexp_extract_all(lower(p_name || ' ' || p_type), '[\p{L}\p{N}_]+') AS v FROM part),
+    g AS (SELECT p_partkey, list_filter(['blue', 'gear', '0001'], lambda q: CASE WHEN q = '0001' THEN list_contains(v, q) OR starts_with(code, q) ELSE len(list_filter(v, lambda w: starts_with(w, q) AND length(w) - length(q) <= 3)) > 0 END) AS got FROM b),
+    r AS (SELECT *, CASE WHEN NOT list_contains(got, '0001') OR len(got) / 3 < 0.5 THEN 'unrelated' WHEN len(got) < 3 THEN 'weak' ELSE 'direct' END AS relevance FROM g WHERE len(got) > 0)
+    SELECT p_partkey, relevance, 3 + (1 - len(got) / 3) + CASE relevance WHEN 'unrelated' THEN 5 ELSE 0 END AS rank, CASE relevance WHEN 'unrelated' THEN 'unrelated' ELSE 'ranked' END AS outcome FROM r""",
+)
+def v01_f16(t: Tables) -> DataFrame:
+    """Words and the head of a code in one query: the number counts in the code field. Fewer than 2000 candidates, the operator's own cap."""
+    own = {retrieval.OWN: F.lpad(F.col("p_partkey").cast("string"), 6, F.lit("0"))}
+    found = retrieval.search(t.part, "p_partkey", ["p_name", "p_type"], own, "0001 blue gear")
+    return found.select("p_partkey", "relevance", F.col("rank").cast("double").alias("rank"), "outcome")

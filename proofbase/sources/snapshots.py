@@ -203,24 +203,24 @@ def read_snapshot(spark: SparkSession, folder: str, key: str) -> DataFrame:
 
 
 def build_index(rows: DataFrame, folder: str, rid: str, body: Column, code_fields: dict[str, Column], index_signature: str, records: bool = True) -> dict[str, DataFrame]:
-    """Records (if asked for), codes, postings and their sizes as Parquet under the signature; built once, then read."""
+    """Records (if asked for), codes, postings and their sizes as Parquet under the signature; built once, then read. The postings hold the codes as words too."""
     from proofbase.operators import retrieval
 
     spark = rows.sparkSession
     base = f"{folder}/index-{index_signature[:16]}"
     tables = {"codes": retrieval.code_index(rows, rid, code_fields)} if code_fields else {}
-    tables |= {"postings": retrieval.postings(rows, rid, body)}
+    tables |= {"postings": retrieval.postings(rows, rid, F.concat_ws(" ", body, *code_fields.values()))}
     tables = ({"records": rows} if records else {}) | tables
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_DONE")
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
         for name, df in tables.items():
-            # sorted within files: statistics prune lookups by code and token
-            order = {"codes": "hier", "postings": "token"}.get(name)
+            # sorted within files: statistics prune lookups by code and token; a word of all records takes as many ranges as it needs
+            order = {"codes": ["hier", "rid"], "postings": ["token", "rid"]}.get(name)
             if order:
                 # stored first, as finding the ranges reads the rows once more
                 df.write.mode("overwrite").parquet(f"{base}/_{name}")
-                df = spark.read.parquet(f"{base}/_{name}").repartitionByRange(order).sortWithinPartitions(order)
+                df = spark.read.parquet(f"{base}/_{name}").repartitionByRange(*order).sortWithinPartitions(*order)
             df.write.mode("overwrite").parquet(f"{base}/{name}")
             if order:
                 fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_{name}"), True)

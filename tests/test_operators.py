@@ -239,3 +239,33 @@ def test_documents_searched_last_are_kept():
     small = IndexedDocuments(lambda d: loads.append(d) or [(1, "a b c")], budget=2)
     small.pages("9"), small.pages("9")
     assert loads[-2:] == ["9", "9"] and not len(small)
+
+
+def mixed(spark, q, **kw):
+    """Numbers in code fields, numeric codes without their zero, ids and words."""
+    rows = spark.createDataFrame([(1, "7318150000", None, "screws of steel"), (2, None, 708909000, "green beans"), (3, "7320100000", None, "screws and bolts"), (7318, "8481", None, "screws 73")], "rid long, code string, numeric long, goods string")
+    fields = {retrieval.OWN: codes.normalize_code(F.col("code")), retrieval.REQUIREMENT: codes.normalize_number(F.col("numeric"))}
+    return retrieval.search(rows, "rid", ["goods"], fields, q, identifiers=["rid"], **kw)
+
+
+def test_numbers_count_where_they_head_a_code(spark):
+    found = {r["rid"]: (r["relevance"], r["outcome"], r["match"]) for r in mixed(spark, "7318 screws").collect()}
+    assert found[1] == ("direct", "ranked", "all_terms")
+    # words alone, or the number in an identifier, are not what was asked for
+    assert found[3][:2] == found[7318][:2] == ("unrelated", "unrelated")
+    assert set(found) == {1, 3, 7318}
+    assert shown(mixed(spark, "731815 steel screws")) == [(1, "all_terms")]
+
+
+def test_near_misses_within_a_code_never_count(spark):
+    assert shown(mixed(spark, "7089 beans")) == [] and shown(mixed(spark, "0708 beans")) == [(2, "all_terms")]
+    assert shown(mixed(spark, "73181 screws")) == [] and shown(mixed(spark, "1500 screws")) == []
+
+
+def test_mixed_query_on_a_stored_index(spark, tmp_path):
+    from proofbase.sources.snapshots import build_index
+
+    rows = spark.createDataFrame([(1, "7318150000", "screws of steel"), (2, "8481000000", "screws")], "rid long, code string, goods string")
+    fields = {retrieval.OWN: codes.normalize_code(F.col("code"))}
+    index = build_index(rows, f"file://{tmp_path}", "rid", F.col("goods"), fields, "a" * 16)
+    assert shown(retrieval.search(rows, "rid", ["goods"], fields, "7318 screws", index=index)) == [(1, "all_terms")]
