@@ -1,4 +1,4 @@
-"""Long documents: passage windows, page reads, previews, quotations."""
+"""Long documents: passage windows, page reads, previews."""
 
 from __future__ import annotations
 
@@ -124,41 +124,6 @@ def preview(pages: DataFrame, key: str, page: str, chars: int = PREVIEW_CHARS, u
     return first_over.groupBy(key).agg(joined.alias("preview"), (F.max("_k") == 0).alias("whole"))
 
 
-def locate_excerpts(pages: DataFrame, excerpts: DataFrame, size: int = 6) -> DataFrame:
-    """For excerpts(excerpt_id, doc_id, excerpt), the pages with the quotation, or the two pages it spans.
-
-    Pages of the cited document only, so an equi-join; the break between two pages is tried
-    where no page has it.
-    """
-    normed = pages.withColumn("_n", tx.normalized(F.col("text")))
-    w = W.partitionBy("doc_id").orderBy("page_no")
-    seam = F.concat(F.substring("text", -EDGE, EDGE), F.lit("\n"), F.substring(F.lead("text").over(w), 1, EDGE))  # J08
-    both = normed.withColumns({"_s": tx.normalized(seam), "_has": F.lead("text").over(w).isNotNull()})
-    asked = excerpts.withColumn("_e", tx.normalized(F.col("excerpt")))
-    joined = asked.join(both, "doc_id")
-    found = joined.groupBy("excerpt_id").agg(
-        F.array_sort(F.collect_set(F.when(tx.excerpt_found(F.col("_e"), F.col("_n")), F.col("page_no")))).alias("on"),
-        F.min(F.when(F.col("_has") & tx.excerpt_found(F.col("_e"), F.col("_s")), F.col("page_no"))).alias("across"),
-    )
-    return found.select("excerpt_id", F.when(F.size("on") > 0, F.col("on")).when(F.col("across").isNotNull(), F.array("across", F.col("across") + 1)).otherwise(F.array().cast("array<int>")).alias("pages"))
-
-
-def quotations(excerpts: DataFrame, documents: DataFrame, size: int = 6, step: int = 3) -> DataFrame:
-    """W08, F24 for a table of excerpts against all documents: (excerpt_id, doc_id, share, exact).
-
-    A match shares a window of `size` words, so candidates meet by the window's 64-bit hash; no pair
-    is compared that shares none. The windows asked for are those of F24, each `step` words; they
-    are few beside a corpus, so the documents' windows are joined where they are read.
-    """
-    asked = excerpts.withColumn("_w", tx.tokens(tx.normalized(F.col("excerpt")))).where(F.size("_w") >= size)
-    starts = F.sequence(F.lit(0), F.size("_w") - size, F.lit(step))
-    wins = asked.select("excerpt_id", F.size(starts).alias("n"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i + 1, size))))).alias("g"))
-    body = documents.select("doc_id", tx.tokens(tx.normalized(F.col("text"))).alias("_t")).where(F.size("_t") >= size)
-    grams = body.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("_t") - size), lambda i: F.xxhash64(F.slice("_t", i + 1, size)))).alias("g"))
-    met = grams.join(wins, "g").distinct().groupBy("excerpt_id", "doc_id", "n").agg(F.count("*").alias("got"))
-    return met.select("excerpt_id", "doc_id", (F.col("got") / F.col("n")).alias("share"))
-
-
 class IndexedDocuments:
     """The pages of the documents searched last, with their words, in memory: at most `most` documents and `budget` words with variants.
 

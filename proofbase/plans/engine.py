@@ -154,12 +154,3 @@ def v03(t: Tables) -> DataFrame:
     got = F.filter(terms, lambda q: F.contains(F.lower("url"), q))
     relevant = t.pages.withColumn("got", got).where(records.metadata_relevant(F.col("got"), terms))
     return relevant.select("page_id", F.size("got").alias("score")).orderBy(F.desc("score"), "page_id").limit(20)
-
-
-@query("V07_finding_assessment", """SELECT doc_id, contains(lower(text), 'the') AS negative, CASE WHEN contains(lower(text), 'the') AND coalesce(toxic, 0) = 0 THEN 'unverified' WHEN quality = 1 THEN 'verified' ELSE 'unverified' END AS legal_status FROM documents LEFT JOIN labels USING (doc_id)""")
-def v07(t: Tables) -> DataFrame:
-    """A negative claim needs its own legal proof; others take their check's."""
-    judged = t.documents.select("doc_id", "text").join(t.labels, "doc_id", "left")
-    negative = records.is_negative([F.when(F.contains(F.lower("text"), F.lit("the")), "not required").otherwise("")])
-    proof = F.when(negative & (F.coalesce("toxic", F.lit(0)) == 0), "unverified").when(F.col("quality") == 1, "verified").otherwise("unverified")
-    return judged.select("doc_id", negative.alias("negative"), proof.alias("legal_status"))

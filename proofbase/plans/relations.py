@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proofbase.functions import codes, rtl
 from proofbase.functions import text as tx
-from proofbase.operators import passages, records, reports, retrieval, sequences, verification
+from proofbase.operators import assessment, citations, passages, records, reports, retrieval, sequences, verification
 from proofbase.plans.registry import Tables, query
 from proofbase.plans.scalars import TOK
 
@@ -346,6 +346,22 @@ def w07(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(sections(F.col("text"))).alias("section", "text"))
 
 
+NORM_OF = r"array_to_string(regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}_]+'), ' ')"
+FOUND_IN = "(length(e) >= 15 AND length({0}) > 0 AND (contains({0}, e) OR (len(w) >= 6 AND len(list_filter(range(0, len(w) - 5, 3), lambda i: contains({0}, array_to_string(w[i + 1:i + 6], ' ')))) >= 0.8 * len(range(0, len(w) - 5, 3)))))"
+
+
+@query(
+    "V05_benchmark_in_documents",
+    f"""WITH a AS (SELECT item_id, {NORM_OF.format("text")} AS e, string_split({NORM_OF.format("text")}, ' ') AS w FROM benchmark), d AS (SELECT doc_id, {NORM_OF.format("text")} AS n FROM documents)
+    SELECT item_id, doc_id FROM a, d WHERE len(w) >= 6 AND {FOUND_IN.format("n")}""",
+)
+def v05_benchmark(t: Tables) -> DataFrame:
+    """Every benchmark item sought in every document, through the positional index."""
+    pages = t.documents.select("doc_id", F.lit(1).alias("page_no"), "text")
+    asked = t.benchmark.select(F.col("item_id").alias("excerpt_id"), F.col("text").alias("excerpt"))
+    return citations.locate(pages, asked, cited=False).select(F.col("excerpt_id").alias("item_id"), "doc_id")
+
+
 @query(
     "W08_F24_quotations",
     f"""WITH e AS (SELECT item_id, {TOK} AS w FROM benchmark), g AS (SELECT item_id, unnest(list_distinct(list_transform(range(0, len(w) - 5, 3), lambda i: array_to_string(w[i + 1:i + 6], ' ')))) AS g, len(range(0, len(w) - 5, 3)) AS n FROM e WHERE len(w) >= 6),
@@ -353,14 +369,10 @@ def w07(t: Tables) -> DataFrame:
     SELECT item_id AS excerpt_id, doc_id, round(count(*) / n, 9) AS share FROM g JOIN h USING (g) GROUP BY item_id, doc_id, n""",
 )
 def w08(t: Tables) -> DataFrame:
-    found = passages.quotations(t.benchmark.select(F.col("item_id").alias("excerpt_id"), F.col("text").alias("excerpt")), t.documents)
+    found = citations.quotations(t.benchmark.select(F.col("item_id").alias("excerpt_id"), F.col("text").alias("excerpt")), t.documents)
     return found.select("excerpt_id", "doc_id", F.round("share", 9).alias("share"))
 
 
-NORM_OF = r"array_to_string(regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}_]+'), ' ')"
-FOUND_IN = "(length(e) >= 15 AND length({0}) > 0 AND (contains({0}, e) OR (len(w) >= 6 AND len(list_filter(range(0, len(w) - 5, 3), lambda i: contains({0}, array_to_string(w[i + 1:i + 6], ' ')))) >= 0.8 * len(range(0, len(w) - 5, 3)))))"
-
-
 @query(
     "F28_V05_located_excerpts",
     f"""WITH b AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations),
@@ -373,7 +385,7 @@ def f28(t: Tables) -> DataFrame:
     """Every turn asked for in its conversation, every result with its pages; turns with one number are asked for each."""
     pages = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_no"), "text")
     asked = pages.select(F.struct(F.col("doc_id").alias("conv_id"), F.col("page_no").alias("turn"), "text").alias("excerpt_id"), "doc_id", F.col("text").alias("excerpt")).distinct()
-    return passages.locate_excerpts(pages, asked).select("excerpt_id.conv_id", "excerpt_id.turn", "excerpt_id.text", "pages")
+    return citations.locate(pages, asked).select("excerpt_id.conv_id", "excerpt_id.turn", "excerpt_id.text", "pages")
 
 
 @query("W09_sequence_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS seq FROM events")
@@ -484,3 +496,73 @@ def v01_f16(t: Tables) -> DataFrame:
     own = {retrieval.OWN: F.lpad(F.col("p_partkey").cast("string"), 6, F.lit("0"))}
     found = retrieval.search(t.part, "p_partkey", ["p_name", "p_type"], own, "0001 blue gear")
     return found.select("p_partkey", "relevance", F.col("rank").cast("double").alias("rank"), "outcome")
+
+
+#: Findings from the labelled documents: each quotes its document (truly where quality is 1), with nested checks that quote other passages.
+QUOTED = """f AS (SELECT l.doc_id, l.doc_id % 3 AS k, CASE WHEN l.doc_id % 4 = 3 THEN 'business_advantage' WHEN l.doc_id % 4 = 2 THEN 'fact' ELSE 'legal_conclusion' END AS claim_type,
+    CASE WHEN quality = 1 THEN substr(text, 1, 200) ELSE reverse(substr(text, 1, 200)) END AS own, substr(text, 150, 250) AS second, quality, toxic, text,
+    CASE WHEN l.doc_id % 5 = 0 THEN 'No permit is needed: exempt goods' ELSE 'Goods of kind ' || l.doc_id END AS statement FROM labels l JOIN documents USING (doc_id))"""
+
+
+def quoted_findings(t: Tables) -> tuple[DataFrame, assessment.Evidence]:
+    base = t.labels.join(t.documents.select("doc_id", "text"), "doc_id").withColumn("id", F.col("doc_id").cast("string"))
+    site = F.when(F.col("doc_id") % 3 == 0, "https://example.org/d/").otherwise("https://www.gov.il/d/")
+    source = lambda quote: F.struct(F.concat(site, "id").alias("url"), quote.alias("excerpt"), F.lit("").alias("resource_id"), F.col("id").alias("document_id"), F.lit("1").alias("page"))
+    own = source(F.when(F.col("quality") == 1, F.substring("text", 1, 200)).otherwise(F.reverse(F.substring("text", 1, 200))))
+    second = source(F.substring("text", 150, 250))
+    check = lambda status, s: F.struct(F.lit(status).alias("status"), s.alias("source")) if isinstance(status, str) else F.struct(status.alias("status"), s.alias("source"))
+    scope = F.when(F.col("toxic") == 1, "contradicted").otherwise("Checked")
+    checks = F.create_map(F.lit("scope"), check(scope, second), F.lit("validity"), check("checked", second), F.lit("exceptions"), check("checked", second), F.lit("product_classification"), check("not applicable", own))
+    kind = F.col("doc_id") % 4
+    rows = base.select(
+        F.col("id").alias("finding_id"), F.when(F.col("doc_id") % 5 == 0, "No permit is needed: exempt goods").otherwise(F.concat(F.lit("Goods of kind "), "id")).alias("statement"),
+        F.when(kind == 3, "business_advantage").when(kind == 2, "fact").otherwise("legal_conclusion").alias("claim_type"), F.lit(None).cast("boolean").alias("negative"), own.alias("source"), checks.alias("legal_checks"),
+        F.struct((F.col("doc_id") - 2).cast("string").alias("based_on"), F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 7 == 1).alias("generally_available"), F.lit("").alias("differentiator"), second.alias("competitor")).alias("business"),
+    )
+    spark = t.spark
+    resources = spark.createDataFrame([], "resource_id string, status string, source_url string, evidence_text string")
+    urls = spark.createDataFrame([], "url_key string, ok boolean, source_type string, resource_id string, doc_id string, text string")
+    return rows, assessment.Evidence(resources, urls, t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), "text"))
+
+
+def _found_sql(quote: str) -> str:
+    e = NORM_OF.format(quote)
+    inside = FOUND_IN.format("n").replace("length(e)", f"length({e})").replace("contains(n, e)", f"contains(n, {e})").replace("len(w)", f"len(string_split({e}, ' '))").replace("w[i", f"string_split({e}, ' ')[i")
+    return f"(quote_n IS NOT NULL AND {inside})".replace("quote_n", "n")
+
+
+@query(
+    "V07_finding_assessment",
+    f"""WITH {QUOTED}, n AS (SELECT *, {NORM_OF.format("text")} AS n FROM f), v AS (SELECT *, {_found_sql("own")} AS a, {_found_sql("second")} AS b, k <> 0 AS official, statement LIKE '%exempt%' AS negative FROM n),
+    l AS (SELECT *, CASE WHEN claim_type = 'legal_conclusion' THEN CASE WHEN toxic = 1 AND official AND b THEN 'contradicted' WHEN toxic <> 1 AND official AND a AND b THEN 'verified' WHEN official AND a THEN 'partially_verified' ELSE 'unverified' END WHEN negative THEN 'unverified' END AS legal FROM v)
+    SELECT l.doc_id::VARCHAR AS finding_id, l.negative AS negative_claim, CASE WHEN l.a AND l.official THEN 'verified' WHEN l.a THEN 'partially_verified' ELSE 'unverified' END AS source_status, l.legal AS legal_status,
+    CASE WHEN l.claim_type = 'business_advantage' THEN CASE WHEN l.doc_id % 7 = 1 THEN 'unverified' WHEN l.doc_id % 7 > 0 AND l.a AND l.b AND coalesce(base.legal, '') = 'verified' THEN 'verified' WHEN l.a OR l.b THEN 'partially_verified' ELSE 'unverified' END END AS business_status,
+    CASE WHEN l.a THEN [1] ELSE [] END AS matched_pages FROM l LEFT JOIN l base ON base.doc_id = l.doc_id - 2""",
+)
+def v07(t: Tables) -> DataFrame:
+    """Labelled documents as findings with nested evidence, quotations sought in their texts, claims based on other findings."""
+    rows, evidence = quoted_findings(t)
+    return assessment.findings(rows, evidence).select("finding_id", "negative_claim", "source_status", "legal_status", "business_status", "matched_pages")
+
+
+@query(
+    "V06_opportunities",
+    f"""WITH {QUOTED}, n AS (SELECT *, {NORM_OF.format("text")} AS n FROM f), v AS (SELECT *, {_found_sql("own")} AS a, {_found_sql("second")} AS b, k <> 0 AS official, statement LIKE '%exempt%' AS negative FROM n),
+    l AS (SELECT *, CASE WHEN toxic = 1 AND official AND b THEN 'contradicted' WHEN toxic <> 1 AND official AND a AND b THEN 'verified' WHEN official AND a THEN 'partially_verified' ELSE 'unverified' END AS legal,
+    CASE WHEN official AND a AND b THEN 'verified' WHEN official AND (a OR b) THEN 'partially_verified' ELSE 'unverified' END AS sources FROM v)
+    SELECT doc_id::VARCHAR AS opportunity_id, sources AS verification_status, legal AS legal_verification, negative AS negative_claim, CASE WHEN sources = 'verified' AND legal = 'verified' THEN 'A' ELSE 'B' END AS classification,
+    CASE WHEN NOT (sources = 'verified' AND legal = 'verified') THEN 'A' END AS downgraded_from, CASE WHEN doc_id % 7 = 1 THEN 'unverified' WHEN doc_id % 7 > 0 AND a AND b AND legal = 'verified' THEN 'verified' WHEN a OR b THEN 'partially_verified' ELSE 'unverified' END AS business_verification FROM l""",
+)
+def v06(t: Tables) -> DataFrame:
+    """The same evidence as opportunities of class A, each with two primary sources."""
+    rows, evidence = quoted_findings(t)
+    second = F.col("legal_checks")["scope"]["source"]
+    checks = F.transform_values("legal_checks", lambda _, c: F.struct(c["status"].alias("status"), F.array(c["source"]).alias("evidence")))
+    provision = F.create_map(F.lit("provision"), F.struct(F.lit("checked").alias("status"), F.array("source").alias("evidence")))
+    none = F.slice(F.array("source"), 1, 0)
+    asked = rows.select(
+        F.col("finding_id").alias("opportunity_id"), F.col("statement").alias("name"), F.lit("").alias("regulatory_mechanism"), F.lit("").alias("summary"), F.lit("A").alias("classification"), F.lit("").alias("claim_type"),
+        F.array(F.col("source"), second).alias("primary"), none.alias("secondary"), none.alias("contradictory"), F.map_concat(checks, provision).alias("legal_checks"),
+        F.struct(F.lit("claimed").alias("status"), F.col("statement").alias("claim"), F.lit("").alias("differentiator"), F.col("business")["generally_available"].alias("generally_available"), F.array("source").alias("evidence"), F.array(second).alias("competitors")).alias("business"),
+    )
+    return assessment.opportunities(asked, evidence).select("opportunity_id", "verification_status", "legal_verification", "negative_claim", "classification", "downgraded_from", "business_verification")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,5 +34,12 @@ def work_dir(spark: SparkSession) -> str:
     return (found or f"file://{tempfile.gettempdir()}/proofbase-checkpoints").rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written below the shared folder and read back: what is used more than once is made once."""
+    path = f"{work_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

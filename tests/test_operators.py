@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from proofbase.functions import codes
 from proofbase.functions import text as tx
-from proofbase.operators import messages, passages, records, retrieval, sequences, verification
+from proofbase.operators import citations, messages, passages, records, retrieval, sequences, verification
 
 TARIFF = [
     (1, "6115000000", "stockings and tights", "1", "ישראל ואוטונומיה"),
@@ -107,7 +107,7 @@ def test_excerpt_is_located_also_across_pages(spark):
     pages = [("d", 1, "alpha beta gamma delta epsilon zeta eta theta"), ("d", 2, "iota kappa lambda mu nu xi omicron pi rho sigma"), ("d", 3, "unrelated words")]
     df = spark.createDataFrame(pages, "doc_id string, page_no int, text string")
     asked = spark.createDataFrame([(1, "d", "gamma delta epsilon zeta"), (2, "d", "zeta eta theta iota kappa lambda"), (3, "d", "never written anywhere at all")], "excerpt_id int, doc_id string, excerpt string")
-    got = {r["excerpt_id"]: r["pages"] for r in passages.locate_excerpts(df, asked).collect()}
+    got = {r["excerpt_id"]: r["pages"] for r in citations.locate(df, asked).collect()}
     assert got == {1: [1], 2: [1, 2], 3: []}
 
 
