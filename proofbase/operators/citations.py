@@ -166,7 +166,7 @@ def verify(citations: DataFrame, resources: DataFrame, urls: DataFrame, pages: D
     Records and texts of URLs are looked through like documents of one page. Only what is cited is indexed.
     """
     own = citations.columns
-    found = resolved(citations, resources, urls, pages)
+    found = stored(resolved(citations, resources, urls, pages))
     one = F.lit(1).alias("page_no")
     contents = (
         pages.select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), "text")
@@ -174,7 +174,7 @@ def verify(citations: DataFrame, resources: DataFrame, urls: DataFrame, pages: D
         .unionByName(urls.select(F.concat(F.lit("url:"), "url_key").alias("doc_id"), one, "text"))
     )
     asked = found.where("_content is not null and excerpt <> ''").select(F.col("citation_id").alias("excerpt_id"), F.col("_content").alias("doc_id"), "excerpt")
-    cited = contents.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    cited = stored(contents.join(asked.select("doc_id").distinct(), "doc_id", "left_semi"))
     located = locate(cited, asked).select(F.col("excerpt_id").alias("citation_id"), F.col("pages").alias("_pages"))
     joined = found.join(located, "citation_id", "left").withColumn("_pages", F.coalesce("_pages", F.array().cast("array<int>")))
     need = F.coalesce("require_excerpt", F.lit(True)) if "require_excerpt" in own else F.lit(True)
