@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import json
-import os
-import shutil
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proofbase.sources import sink
+from proofbase.sources.sink import SnapshotError
+
 # Descriptor types. Numbers stay exact; dates stay text, as they are never computed on.
 TYPES = {"int": T.LongType(), "numeric": T.DecimalType(38, 0), "text": T.StringType(), "timestamp": T.StringType()}
-LEAST_SHARE, VERIFY_DAYS, LARGE_BYTES, KEPT_VERSIONS = 0.5, 7, 45 << 20, 2
-
-
-class SnapshotError(RuntimeError):
-    def __init__(self, kind: str, message: str):
-        super().__init__(f"{kind}: {message}")
-        self.kind = kind
+LEAST_SHARE, VERIFY_DAYS, KEPT_VERSIONS, CURRENT = 0.5, 7, 2, "current.json"
 
 
 def schema_of(fields: list[dict[str, str]]) -> T.StructType:
@@ -69,137 +63,124 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("_a") == F.col("_b"), "full").select(F.coalesce("_a", "_b").alias(key), change.alias("change"))
 
 
-def paged(probe: Callable[[], int], page: Callable[[int, int], list[dict]], key: str = "_id", size: int = 5000) -> Iterator[dict]:
-    """The rows of an ordered export, a page in memory at a time: total, pages in order, ids strictly increasing, total again. Any drift is an error, so what was read till then must not be published."""
-    total, n, last = probe(), 0, None
-    while n < total:
-        got = page(n, size)
-        if not got:
-            raise SnapshotError("count", f"{n} rows of {total}")
-        for r in got:
-            if last is not None and r[key] <= last:
-                raise SnapshotError("order", f"id {r[key]} after {last}")
-            last = r[key]
-            yield r
-        n += len(got)
-    if n != total or probe() != total:
-        raise SnapshotError("drift", f"the total of {total} changed")
-
-
-def read_paged(probe: Callable[[], int], page: Callable[[int, int], list[dict]], key: str = "_id", size: int = 5000) -> list[dict]:
-    """S10 of a small table, as a list."""
-    return list(paged(probe, page, key, size))
-
-
-def serialize(rows: Iterable[dict]) -> bytes:
-    """Compact JSON lines."""
-    return b"".join(map(_line, rows))
-
-
-def _line(row: dict) -> bytes:
-    return json.dumps(row, ensure_ascii=False, separators=(",", ":")).encode() + b"\n"
+def write_snapshot(rows: DataFrame, folder: str, key: str, version: str, fields: list[dict[str, str]], order: str = "_id", expected: int | None = None) -> dict:
+    """Rows in the order of their ids as compact JSON lines of a new version, written by the tasks; the descriptor. An error, such as a failing task or another count than expected, leaves no version behind."""
+    spark = rows.sparkSession
+    sink.register(spark)
+    sorted_ = rows.repartitionByRange(F.col(f"`{order}`")).sortWithinPartitions(F.col(f"`{order}`"))
+    lines = sorted_.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    options = {"dataset": key, "version": version, "descriptor": json.dumps({"dataset": key, "fields": fields}, ensure_ascii=False)} | ({} if expected is None else {"expected": str(expected)})
+    if version in sink.names(f"{folder}/{key}"):
+        raise SnapshotError("exists", f"{key} has a version {version}")
+    lines.write.format("snapshot").options(**options).mode("append").save(folder)
+    return sink.read_json(f"{folder}/{key}/{version}", "snapshot.json")
+
+
+def lines_of(spark: SparkSession, folder: str, versions: dict[str, str]) -> DataFrame:
+    """(dataset, value) of every stored line of these versions, by dataset."""
+    paths = [f"{folder}/{key}/{version}/part-*.jsonl.gz" for key, version in versions.items()]
+    # .../dataset/version/part
+    at = F.split(F.col("_metadata.file_path"), "/")
+    return spark.read.text(paths).select(F.url_decode(F.element_at(at, -3)).alias("dataset"), "value")
+
+
+def verify(spark: SparkSession, folder: str, versions: dict[str, str] | None = None) -> DataFrame:
+    """(dataset, version, row_count, expected_rows, status ok, count, checksum or missing) of these versions, or of all current ones, from one pass over their lines."""
+    versions = {r["dataset"]: r["version"] for r in manifest(spark, folder).select("dataset", "version").collect()} if versions is None else versions
+    metas = [(k, v, m["row_count"], m["content_hash"]) if (m := sink.read_json(f"{folder}/{k}/{v}", "snapshot.json")) else (k, v, None, None) for k, v in versions.items()]
+    stated = spark.createDataFrame(metas, "dataset string, version string, expected_rows long, content_hash string")
+    held = {k: v for k, v in versions.items() if any(n.startswith("part-") for n in sink.names(f"{folder}/{k}/{v}"))}
+    if not held:
+        return stated.select("dataset", "version", F.lit(None).cast("long").alias("row_count"), "expected_rows", F.lit("missing").alias("status"))
+    sums = lines_of(spark, folder, held).groupBy("dataset").agg(F.count("*").alias("row_count"), *sink.content_sums(F.col("value")))
+    half = lambda c: F.lpad(F.lower(F.conv((F.col(c) % F.lit(str(sink.HALF)).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string"), 10, 16)), 16, "0")
+    digest = F.concat(F.lower(F.conv(F.col("row_count").cast("string"), 10, 16)), F.lit("-"), half("high_sum"), half("low_sum"))
+    status = F.when(F.col("row_count").isNull() | F.col("expected_rows").isNull(), "missing").when(F.col("row_count") != F.col("expected_rows"), "count").when(F.col("_digest") != F.col("content_hash"), "checksum").otherwise("ok")
+    return stated.join(sums.select("dataset", "row_count", digest.alias("_digest")), "dataset", "left").select("dataset", "version", "row_count", "expected_rows", status.alias("status"))
+
+
+def publish(folder: str, meta: dict, now: str, fingerprint: str | None = None, keep: int = KEPT_VERSIONS) -> dict:
+    """Makes the version current, in one rename, and drops old ones."""
+    key = meta["dataset"]
+    entry = {k: meta[k] for k in ("dataset", "version", "content_hash", "row_count", "storage")} | {"verified_at": now, "fingerprint": fingerprint}
+    sink.write_json(f"{folder}/{key}", CURRENT, entry)
+    prune(f"{folder}/{key}", keep, {meta["version"]})
+    return entry
 
 
-def write_json(path: str, doc: object) -> None:
-    """Written beside, flushed to disk and put in place at once."""
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(doc, f, ensure_ascii=False, indent=1)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{path}.tmp", path)
+def prune(folder: str, keep: int, protect: set[str]) -> list[str]:
+    """The newest versions and the protected ones stay; leftovers of broken writes go."""
+    every = [n for n in sink.names(folder) if n != CURRENT and not n.endswith(".tmp")]
+    versions = sorted((n for n in every if not n.startswith(".tmp-")), reverse=True)
+    gone = [n for i, n in enumerate(versions) if i >= keep and n not in protect] + [n for n in every if n.startswith(".tmp-")]
+    for n in gone:
+        sink.remove(f"{folder}/{n}")
+    return gone
 
 
-def write_snapshot(folder: str, key: str, version: str, rows: Iterable[dict], fields: list[dict], checks: dict) -> dict:
-    """Rows, one at a time, and descriptor under a temporary name, read back, then renamed; large ones are marked for other storage. An error in the rows, such as a drift of the export, leaves no version behind."""
-    target, staged = f"{folder}/{key}/{version}", f"{folder}/{key}/.tmp-{version}"
-    os.makedirs(staged, exist_ok=True)
-    path, content, n = f"{staged}/records.jsonl.gz", hashlib.sha256(), 0
+def sync(rows: DataFrame, folder: str, key: str, version: str, fields: list[dict[str, str]], now: str, order: str = "_id", expected: int | None = None, fingerprint: str | None = None, recount: Callable[[], int] | None = None, allow_shrink: bool = False) -> str:
+    """Writes, reads back, validates and publishes a version, or keeps the previous one: updated or unchanged_content. Any fault, such as an export whose total changed while it was read, is an error that leaves the previous version current."""
+    spark = rows.sparkSession
+    before = sink.read_json(f"{folder}/{key}", CURRENT)
+    meta = write_snapshot(rows, folder, key, version, fields, order, expected)
     try:
-        with open(path, "wb") as f, gzip.GzipFile("", "wb", fileobj=f, mtime=0) as z:
-            for row in rows:
-                line = _line(row)
-                content.update(line)
-                z.write(line)
-                n += 1
-        with gzip.open(path, "rb") as z:
-            if sum(1 for _ in z) != n:
-                raise SnapshotError("write", "the rows read back differ")
+        if recount is not None and recount() != meta["row_count"]:
+            raise SnapshotError("drift", f"the total of {meta['row_count']} changed")
+        status = verify(spark, folder, {key: version}).first()["status"]
+        if status != "ok":
+            raise SnapshotError(status, f"{key} read back differs from what was written")
+        validate(rows_of(spark, folder, key, version), order, expected, before and before["row_count"], allow_shrink)
     except BaseException:
-        shutil.rmtree(staged)
+        sink.remove(f"{folder}/{key}/{version}")
         raise
-    with open(path, "rb") as f:
-        digest = hashlib.file_digest(f, "sha256").hexdigest()
-    meta = {"key": key, "version": version, "fields": fields, "row_count": n, "sha256": digest, "content_sha256": content.hexdigest(), "validation": checks, "storage": "release" if os.path.getsize(path) > LARGE_BYTES else "folder"}
-    write_json(f"{staged}/snapshot.json", meta)
-    os.replace(staged, target)
-    return meta
-
-
-def publish(folder: str, meta: dict, now: str) -> dict:
-    """Makes the version current in the manifest and drops old ones."""
-    path = f"{folder}/manifest.json"
-    manifest = json.load(open(path, encoding="utf-8")) if os.path.exists(path) else {"resources": {}}
-    entry = manifest["resources"].setdefault(meta["key"], {"versions": []})
-    entry |= {"current": {"version": meta["version"], "sha256": meta["sha256"], "content_sha256": meta["content_sha256"], "row_count": meta["row_count"]}, "last_success_at": now, "verified_at": now}
-    entry["versions"] = sorted({*entry["versions"], meta["version"]}, reverse=True)
-    for gone in prune(f"{folder}/{meta['key']}", KEPT_VERSIONS, {meta["version"]}):
-        entry["versions"] = [v for v in entry["versions"] if v != gone]
-    write_json(path, manifest)
-    return manifest
-
-
-def prune(folder: str, keep: int, protect: set[str]) -> list[str]:
-    """The newest versions and the protected ones stay; leftovers of broken writes go."""
-    names = sorted((n for n in os.listdir(folder) if not n.startswith(".tmp-")), reverse=True)
-    gone = [n for i, n in enumerate(names) if i >= keep and n not in protect] + [n for n in os.listdir(folder) if n.startswith(".tmp-")]
-    for n in gone:
-        shutil.rmtree(f"{folder}/{n}")
-    return gone
+    if before and sync_decision(before, fingerprint or "", meta["content_hash"], None) == "unchanged_content":
+        sink.remove(f"{folder}/{key}/{version}")
+        sink.write_json(f"{folder}/{key}", CURRENT, before | {"verified_at": now, "fingerprint": fingerprint})
+        return "unchanged_content"
+    publish(folder, meta, now, fingerprint)
+    return "updated"
 
 
 def sync_decision(previous: dict | None, fingerprint: str, content: str | None, age_days: float | None) -> str:
     """Unchanged by fingerprint within a week, unchanged by content, or updated."""
     if previous and previous.get("fingerprint") == fingerprint and age_days is not None and age_days < VERIFY_DAYS:
         return "unchanged_fingerprint"
-    if previous and content is not None and previous.get("content_sha256") == content:
+    if previous and content is not None and previous.get("content_hash") == content:
         return "unchanged_content"
     return "updated"
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """The current versions; no manifest is an empty table."""
-    ddl = "dataset string, version string, sha256 string, row_count long, verified_at string"
-    path = f"{folder}/manifest.json"
-    if not os.path.exists(path):
-        return spark.createDataFrame([], ddl)
-    entries = json.load(open(path, encoding="utf-8"))["resources"]
-    rows = [(k, e["current"]["version"], e["current"]["sha256"], e["current"]["row_count"], e.get("verified_at")) for k, e in entries.items() if e.get("current")]
-    return spark.createDataFrame(rows, ddl)
+    """The current versions; none is an empty table."""
+    ddl = "dataset string, version string, content_hash string, row_count long, verified_at string, fingerprint string, storage string"
+    found = [f"{folder}/{k}/{CURRENT}" for k in sink.names(folder) if CURRENT in sink.names(f"{folder}/{k}")]
+    return spark.read.schema(ddl).json(found, multiLine=True) if found else spark.createDataFrame([], ddl)
 
 
-def current(spark: SparkSession, folder: str, key: str) -> dict:
+def current(folder: str, key: str) -> dict:
     """The current entry, or an error for unknown and never validated datasets."""
-    path = f"{folder}/manifest.json"
-    entries = json.load(open(path, encoding="utf-8"))["resources"] if os.path.exists(path) else {}
-    if key not in entries:
-        raise SnapshotError("unknown", f"{key}; known: {sorted(entries)}")
-    if not entries[key].get("current"):
+    if key not in (known := sink.names(folder)):
+        raise SnapshotError("unknown", f"{key}; known: {known}")
+    entry = sink.read_json(f"{folder}/{key}", CURRENT)
+    if not entry:
         raise SnapshotError("never_validated", key)
-    return entries[key]["current"]
+    return entry
+
+
+def rows_of(spark: SparkSession, folder: str, key: str, version: str) -> DataFrame:
+    """The rows of a version, typed by its descriptor, with the raw line as body."""
+    meta = sink.read_json(f"{folder}/{key}/{version}", "snapshot.json")
+    return lines_of(spark, folder, {key: version}).select(F.from_json("value", schema_of(meta["fields"])).alias("r"), F.col("value").alias("body")).select("r.*", "body")
 
 
 def read_snapshot(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """The current rows, typed by the descriptor, with the raw line as body; hash and count are checked first."""
-    entry = current(spark, folder, key)
-    base = f"{folder}/{key}/{entry['version']}"
-    digest = spark.read.format("binaryFile").load(f"{base}/records.jsonl.gz").select(F.sha2("content", 256)).first()[0]
-    if digest != entry["sha256"]:
-        raise SnapshotError("checksum", f"{key} differs from its manifest")
-    fields = json.load(open(f"{base}/snapshot.json", encoding="utf-8"))["fields"]
-    lines = spark.read.text(f"{base}/records.jsonl.gz")
-    if lines.count() != entry["row_count"]:
-        raise SnapshotError("count", f"{key} has not {entry['row_count']} rows")
-    return lines.select(F.from_json("value", schema_of(fields)).alias("r"), F.col("value").alias("body")).select("r.*", "body")
+    """The current rows; count and content are checked first."""
+    entry = current(folder, key)
+    status = verify(spark, folder, {key: entry["version"]}).first()["status"]
+    stated = sink.read_json(f"{folder}/{key}/{entry['version']}", "snapshot.json") or {}
+    if status != "ok" or stated.get("content_hash") != entry["content_hash"]:
+        raise SnapshotError(status if status != "ok" else "checksum", f"{key} differs from its manifest")
+    return rows_of(spark, folder, key, entry["version"])
 
 
 def build_index(rows: DataFrame, folder: str, rid: str, body: Column, code_fields: dict[str, Column], index_signature: str, records: bool = True) -> dict[str, DataFrame]:

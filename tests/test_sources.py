@@ -1,3 +1,4 @@
+import gzip
 import io
 import json
 import os
@@ -14,21 +15,87 @@ FIELDS = [{"id": "_id", "type": "int"}, {"id": "code", "type": "numeric"}, {"id"
 ROWS = [{"_id": i, "code": 705100000 + i, "name": f"row {i}"} for i in range(1, 8)]
 
 
+def table(spark, rows=ROWS):
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "_id long, code long, name string").repartition(3)
+
+
+@pytest.fixture
+def parted(spark):
+    """Small tables keep their partitions, so that a version has several parts."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.usefixtures("parted")
 def test_snapshot_round_trip_and_tampering(spark, tmp_path):
     folder = str(tmp_path)
     assert snapshots.manifest(spark, folder).count() == 0
-    meta = snapshots.write_snapshot(folder, "t", "20240101T000000Z", ROWS, FIELDS, {"row_count": 7})
-    snapshots.publish(folder, meta, "2024-01-01T00:00:00Z")
+    assert snapshots.sync(table(spark), folder, "t", "20240101T000000Z", FIELDS, "2024-01-01T00:00:00Z", expected=7) == "updated"
     rows = snapshots.read_snapshot(spark, folder, "t")
     assert [(r["_id"], str(r["code"])) for r in rows.orderBy("_id").collect()][0] == (1, "705100001")
-    assert json.loads(rows.orderBy("_id").first()["body"]) == ROWS[0]
-    path = f"{folder}/t/20240101T000000Z/records.jsonl.gz"
-    with open(path, "ab") as f:
-        f.write(b"x")
+    assert rows.orderBy("_id").first()["body"] == json.dumps(ROWS[0], separators=(",", ":"))
+    assert [(r["dataset"], r["version"], r["row_count"]) for r in snapshots.manifest(spark, folder).collect()] == [("t", "20240101T000000Z", 7)]
+    base = tmp_path / "t" / "20240101T000000Z"
+    parts = [p for p in os.listdir(base) if p.startswith("part-")]
+    assert len(parts) > 1 and sum(p["rows"] for p in json.loads((base / "snapshot.json").read_text())["parts"]) == 7
+    lines = gzip.decompress((base / parts[0]).read_bytes())
+    (base / parts[0]).write_bytes(gzip.compress(lines.replace(b"row", b"raw", 1)))
     with pytest.raises(snapshots.SnapshotError, match="checksum"):
         snapshots.read_snapshot(spark, folder, "t")
+    (base / parts[0]).write_bytes(gzip.compress(lines + lines))
+    with pytest.raises(snapshots.SnapshotError, match="count"):
+        snapshots.read_snapshot(spark, folder, "t")
     with pytest.raises(snapshots.SnapshotError, match="unknown"):
-        snapshots.current(spark, folder, "none")
+        snapshots.current(folder, "none")
+
+
+@pytest.mark.usefixtures("parted")
+def test_a_failing_task_leaves_no_version(spark, tmp_path):
+    def broken(batches):
+        for b in batches:
+            if 4 in b.column(0).to_pylist():
+                raise ValueError("lost row")
+            yield b
+
+    folder = str(tmp_path)
+    snapshots.sync(table(spark), folder, "t", "v1", FIELDS, "now")
+    rows = table(spark, [r | {"_id": r["_id"] + 1} for r in ROWS])
+    # the rows fail in a task of the write itself: the lines are made from what mapInArrow yields
+    with pytest.raises(Exception, match="lost row"):
+        rows.mapInArrow(broken, rows.schema).select(F.to_json(F.struct("*")).alias("value")).write.format("snapshot").options(dataset="t", version="v2").mode("append").save(folder)
+    with pytest.raises(Exception, match="count: 7 rows of 8"):
+        snapshots.write_snapshot(rows, folder, "t", "v3", FIELDS, expected=8)
+    with pytest.raises(Exception, match="empty"):
+        snapshots.write_snapshot(rows.limit(0), folder, "t", "v4", FIELDS)
+    # tasks that still ran may have left parts of no version; the next one that is published clears them
+    assert [n for n in sorted(os.listdir(tmp_path / "t")) if not n.startswith(".tmp-")] == ["current.json", "v1"] and snapshots.current(folder, "t")["version"] == "v1"
+    snapshots.sync(rows, folder, "t", "v2", FIELDS, "now")
+    assert sorted(os.listdir(tmp_path / "t")) == ["current.json", "v1", "v2"]
+
+
+def test_syncs_keep_the_last_valid_version(spark, tmp_path):
+    folder, now = str(tmp_path), "2024-01-01T00:00:00Z"
+    run = lambda v, rows=ROWS, **kw: snapshots.sync(table(spark, rows), folder, "t", v, FIELDS, now, **kw)
+    assert run("v1") == "updated" and run("v2") == "unchanged_content" and snapshots.current(folder, "t")["version"] == "v1"
+    for rows, kind, kw in [(ROWS + ROWS[:1], "duplicate_ids", {}), (ROWS[:2], "shrink", {}), (ROWS, "drift", {"recount": lambda: 8})]:
+        with pytest.raises(snapshots.SnapshotError) as e:
+            run("v3", rows, **kw)
+        assert e.value.kind == kind
+    assert run("v3", ROWS[:2], allow_shrink=True) == run("v4", ROWS[:3]) == run("v5", ROWS[:4]) == "updated"
+    # the two newest stay
+    assert sorted(os.listdir(tmp_path / "t")) == ["current.json", "v4", "v5"]
+
+
+def test_all_current_versions_are_verified_in_one_pass(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    for key, rows in {"a": ROWS, "b": ROWS[:3], "c c": ROWS[1:], "d": ROWS}.items():
+        snapshots.sync(table(spark, rows), folder, key, "v1", FIELDS, "now")
+    part = next(p for p in (tmp_path / "b" / "v1").iterdir() if p.name.startswith("part-"))
+    part.write_bytes(gzip.compress(gzip.decompress(part.read_bytes()).replace(b"705", b"706")))
+    for p in (tmp_path / "d" / "v1").glob("part-*"):
+        p.unlink()
+    assert {r["dataset"]: (r["row_count"], r["expected_rows"], r["status"]) for r in snapshots.verify(spark, folder).collect()} == {"a": (7, 7, "ok"), "b": (3, 3, "checksum"), "c c": (6, 6, "ok"), "d": (None, 7, "missing")}
 
 
 def test_two_newest_versions_stay(tmp_path):
@@ -46,20 +113,8 @@ def test_validation_faults(spark, rows, kind):
     assert e.value.kind == kind
 
 
-def test_paged_export_rejects_drift_and_disorder():
-    page = lambda o, n: ROWS[o : o + n]
-    assert snapshots.read_paged(lambda: 7, page, size=3) == ROWS
-    totals = iter([7, 8])
-    with pytest.raises(snapshots.SnapshotError, match="drift"):
-        snapshots.read_paged(lambda: next(totals), page, size=3)
-    with pytest.raises(snapshots.SnapshotError, match="order"):
-        snapshots.read_paged(lambda: 7, lambda o, n: ROWS[::-1][o : o + n], size=3)
-    with pytest.raises(snapshots.SnapshotError, match="count"):
-        snapshots.read_paged(lambda: 9, page, size=3)
-
-
 def test_sync_decisions():
-    old = {"fingerprint": "a", "content_sha256": "c"}
+    old = {"fingerprint": "a", "content_hash": "c"}
     assert snapshots.sync_decision(old, "a", None, 1) == "unchanged_fingerprint"
     assert snapshots.sync_decision(old, "a", "c", 9) == "unchanged_content"
     assert snapshots.sync_decision(old, "b", "d", 1) == "updated"
@@ -249,14 +304,3 @@ def test_verified_asset_is_fetched_once(tmp_path):
 def test_search_results_flag_primary_sources(spark):
     rows = fetch.search_results(spark, [{"title": "a", "link": "https://www.gov.il/x", "snippet": "s"}, {"title": "b", "url": "https://example.com"}]).collect()
     assert [r["primary_source"] for r in rows] == [True, False]
-
-
-def test_a_drifting_export_leaves_no_version(tmp_path):
-    totals = iter([4, 5])
-    pages = lambda at, size: [{"_id": i} for i in range(at, min(at + size, 4))]
-    rows = snapshots.paged(lambda: next(totals), pages, size=3)
-    with pytest.raises(snapshots.SnapshotError):
-        snapshots.write_snapshot(str(tmp_path), "k", "v1", rows, [], {})
-    assert os.listdir(tmp_path / "k") == []
-    meta = snapshots.write_snapshot(str(tmp_path), "k", "v1", snapshots.paged(lambda: 4, pages, size=3), [], {})
-    assert meta["row_count"] == 4 and os.listdir(tmp_path / "k") == ["v1"]
