@@ -8,7 +8,7 @@ from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
 from pyspark.sql.types import StructType
 
 from proofbase.sources.fetch import Fetcher
@@ -102,6 +102,48 @@ class _Pages(DataSourceReader):
             yield tuple(_cell(r.get(n), kinds[n]) for n in self.schema.names)
 
 
+class _PageStream(DataSourceStreamReader):
+    """The table's rows in the order of their ids, as a stream whose offset is the number of rows read.
+
+    A batch is the rows that came since the last one, a partition a page of it. Rows that are gone,
+    a page that is short or ids that do not grow are a drift of the export and fail the batch, so
+    nothing of it is committed.
+    """
+
+    def __init__(self, options: dict, schema: StructType):
+        self.options, self.schema = options, schema
+
+    def _call(self, **params: object) -> dict:
+        return fetch(self.options["path"], "datastore_search", {"resource_id": self.options["resource"], "sort": self.options.get("key", "_id"), **params})
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"row": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"row": int(self._call(limit=0)["total"])}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if end["row"] < start["row"]:
+            raise CatalogueError(f"drift: {end['row']} rows of {start['row']} are left")
+        size = int(self.options.get("page_rows", PAGE_ROWS))
+        return [InputPartition((at, min(size, end["row"] - at))) for at in range(start["row"], end["row"], size)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        at, n = partition.value
+        key = self.options.get("key", "_id")
+        # the row before the page shows whether the order goes on across pages
+        found = self._call(offset=max(0, at - 1), limit=n + (at > 0))["records"]
+        ids = [r[key] for r in found]
+        if len(found) != n + (at > 0) or any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
+            raise CatalogueError(f"drift: the rows from {at} on changed while they were read")
+        kinds = {f.name: f.dataType.typeName() for f in self.schema}
+        for r in found[at > 0 :]:
+            yield tuple(_cell(r.get(name), kinds[name]) for name in self.schema.names)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 def _cell(value: object, kind: str) -> object:
     from decimal import Decimal
 
@@ -124,6 +166,9 @@ class CatalogueTable(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Pages(dict(self.options), schema)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return _PageStream(dict(self.options), schema)
+
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -1,4 +1,4 @@
-"""Streams of run events."""
+"""Streams of run events."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from proofbase.session import work_dir
 
-LATE, SESSION_GAP, STALE_SECONDS = "1 hour", "1 hour", 120
+LATE, SESSION_GAP, STALE_SECONDS, BUCKET = "1 hour", "1 hour", 120, "_bucket"
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*") -> DataFrame:
@@ -68,28 +68,48 @@ def liveness(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(Liveness(), "user_id long, last long, status string", "append", "EventTime")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Everything available, into a table in memory: a stream's result to compare with the batch's."""
-    spark = stream.sparkSession
-    base = work_dir(spark)
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}").start()
+def answered(calls: DataFrame, results: DataFrame, within: str = "10 minutes") -> DataFrame:
+    """Each call (run_id, call_id, ts) with the time of each result within the interval, NULL if there is none.
+
+    An equi-join on run and call with bounds on both times, the same for tables and streams: a
+    stream keeps a row no longer than the watermarks and the interval ask, and gives a call
+    without a result when that time has passed.
+    """
+    width = F.expr(f"INTERVAL {within}")
+    c, r = calls.select("run_id", "call_id", F.col("ts").alias("called")), results.select(F.col("run_id").alias("_r"), F.col("call_id").alias("_c"), F.col("ts").alias("answered"))
+    met = (F.col("run_id") == F.col("_r")) & (F.col("call_id") == F.col("_c")) & (F.col("answered") >= F.col("called")) & (F.col("answered") <= F.col("called") + width)
+    return c.join(r, met, "leftOuter").select("run_id", "call_id", "called", "answered")
+
+
+def run_into(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Everything available, into Parquet below folder, from where the last run of the same folder ended; complete results replace each other."""
+    spark, rows = stream.sparkSession, f"{folder}/rows"
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+    if mode == "append":
+        q = writer.format("parquet").option("path", rows).start()
+    else:
+        q = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows)).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(rows)
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Everything available, once: a stream's result to compare with the batch's."""
+    return run_into(stream, f"{work_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}", mode)
 
 
-def append_once(folder: str, keys: tuple[str, str] = ("run_id", "seq")):
-    """A foreachBatch sink that appends only (run, seq) pairs not stored yet, so a repeated batch changes nothing."""
+def append_once(folder: str, keys: tuple[str, str] = ("run_id", "seq"), buckets: int = 64):
+    """A foreachBatch sink that appends only (run, seq) pairs not stored yet, so a repeated batch changes nothing. The log lies in folders by a hash of the run, of which a batch reads those of its runs."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(keys))
-        run = keys[0]
+        bucket = F.pmod(F.xxhash64(F.col(keys[0]).cast("string")), F.lit(buckets)).cast("int").alias(BUCKET)
+        fresh = batch.dropDuplicates(list(keys)).select("*", bucket)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            stored = spark.read.schema(batch.schema).parquet(folder).select(*keys)
-            # the log lies in folders by run, and only those of the batch's runs are read
-            stored = stored.join(fresh.select(run).distinct(), run, "left_semi")
+            mine = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most `buckets` numbers
+            stored = spark.read.schema(fresh.schema).parquet(folder).where(F.col(BUCKET).isin(*mine or [-1])).select(*keys)
             fresh = fresh.join(stored, list(keys), "left_anti")
-        fresh.write.mode("append").partitionBy(run).parquet(folder)
+        fresh.write.mode("append").partitionBy(BUCKET).parquet(folder)
 
     return write
