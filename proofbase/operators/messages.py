@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofbase.functions import text as tx
@@ -33,15 +33,46 @@ def split_output(output: Column) -> Column:
     return F.struct(F.array_join(pick("message", "text"), "\n").alias("text"), pick("function_call", "name").alias("calls"), F.array_join(pick("reasoning", "text"), "\n").alias("reasoning"))
 
 
-def stub(tool: Column, evidence: Column, result: Column) -> Column:
-    """What remains of a compacted tool result: its id and a summary by tool."""
-    summary = (
-        F.when(tool == "search_web", F.to_json(F.struct(tx.short(result, 90).alias("results"))))
-        .when(tool == "read_document_range", F.to_json(F.struct(tx.short(result, 160).alias("start"))))
-        .when(F.length(result) <= 1500, result)
-        .otherwise(F.to_json(F.struct(tx.short(result, 1200).alias("summary"))))
-    )
-    return F.to_json(F.struct(evidence.alias("evidence_id"), F.lit(True).alias("compacted"), summary.alias("summary"), F.concat(F.lit("get_evidence('"), evidence, F.lit("')")).alias("full_result")))
+#: What is read of a tool's result and arguments: fixed names of the tools' answers.
+RESULT = (
+    "error string, document_id string, url string, ok boolean, title string, source_type string, primary_source boolean, http_status int, query string, source_url string, status string, page_count int, dataset_id string, id string, publisher string, evidence_id string, total_matches long, found boolean, "
+    "dataset string, record_id string, record_line string, match string, pages_without_text array<int>, issues array<string>, pages_with_matches array<int>, document struct<unit: string, page_count: int, status: string>, "
+    "results array<struct<title: string, url: string, primary_source: boolean, page: int, first_line: int, last_line: int, text: string, id: string, likely_relevant: boolean>>, "
+    "pages array<struct<page: int, text: string>>, resources array<struct<id: string, name: string>>, records array<struct<dataset: string, record_id: string, match: string, record_line: string>>"
+)
+ARGS = "query string, record_id string, dataset string, resource_id string"
+SMALL, SUMMARY = 1500, 1200
+
+
+def stub(tool: Column, evidence: Column, result: Column, args: Column | None = None) -> Column:
+    """What remains of a compacted tool result, as JSON: its id, and by the kind of tool the identifiers, citations and short quotes. result and args are JSON; a text that is none is cut."""
+    r, a = F.from_json(result, RESULT), F.from_json(F.lit("{}") if args is None else args, ARGS)
+    clip = lambda x, n: tx.short(x, n)
+    own = lambda *fields: [r[f].alias(f) for f in fields]
+    each = lambda f, n, body: F.transform(F.slice(r[f], 1, n), body)
+    record = F.array(F.struct(*own("dataset", "record_id", "match", "record_line")))
+    records = F.coalesce(F.when(F.size(r["records"]) > 0, r["records"]), F.when(r["found"], record), F.slice(record, 1, 0))
+    none_found = F.when(F.size(records) == 0, "Zero matches (not proof of an exemption).")
+    line = lambda x: F.struct(F.concat(x["dataset"], F.lit(":"), x["record_id"]).alias("ref"), F.coalesce(x["match"], F.lit("")).alias("match"), clip(x["record_line"], 200).alias("line"))
+    raw_records = F.get_json_object(result, "$.records")
+    kinds = {
+        ("search_web",): [F.coalesce(a["query"], F.lit("")).alias("query"), each("results", 10, lambda x: F.struct(clip(x["title"], 90).alias("title"), x["url"].alias("url"), x["primary_source"].alias("primary_source"))).alias("results")],
+        ("fetch_url",): [*own("url", "ok", "document_id", "title", "source_type", "primary_source", "error", "http_status", "document"), F.lit("[compacted: use search_document / read_document_range on document_id]").alias("text")],
+        ("search_document",): [*own("document_id", "query"), F.slice(r["pages_with_matches"], 1, 30).alias("pages_with_matches"), each("results", 5, lambda x: F.struct(x["page"].alias("page"), F.concat_ws("-", x["first_line"], x["last_line"]).alias("lines"), clip(x["text"], 240).alias("text"))).alias("results")],
+        ("read_document_range",): [*own("document_id", "source_url"), F.transform(r["pages"], lambda x: F.struct(x["page"].alias("page"), clip(x["text"], 160).alias("start"))).alias("pages"), F.lit("[compacted: read the pages again or use get_evidence]").alias("text")],
+        ("get_document_status",): own("document_id", "status", "page_count", "pages_without_text", "issues"),
+        ("search_local_government_records", "get_local_government_record"): [F.coalesce(a["query"], a["record_id"]).alias("query"), a["dataset"].alias("dataset"), F.coalesce(r["total_matches"], F.size(records).cast("long")).alias("total_matches"), F.transform(F.slice(records, 1, 8), line).alias("records"), none_found.alias("note")],
+        ("search_government_datasets",): [a["query"].alias("query"), each("results", 10, lambda x: F.struct(x["id"].alias("id"), clip(x["title"], 90).alias("title"), x["likely_relevant"].alias("likely_relevant"))).alias("results")],
+        ("inspect_government_dataset",): [*own("status", "dataset_id", "id", "title", "publisher"), each("resources", 10, lambda x: F.struct(x["id"].alias("id"), clip(x["name"], 80).alias("name"))).alias("resources")],
+        ("read_government_resource",): [r["status"].alias("status"), a["resource_id"].alias("resource_id"), a["query"].alias("query"), F.when(~F.coalesce(raw_records, F.lit("")).rlike("^[\\[{]"), clip(raw_records, 600)).alias("records")],
+        ("get_evidence",): [r["evidence_id"].alias("retrieved_evidence_id"), F.lit("re-retrieved evidence (compacted again)").alias("note")],
+    }
+    failed = r["error"].isNotNull() & (F.coalesce(F.size(F.json_object_keys(result)), F.lit(0)) <= 4)
+    kept = F.when(failed, F.to_json(F.struct(*own("error", "document_id"))))
+    for names, fields in kinds.items():
+        kept = kept.when(tool.isin(*names) & F.json_object_keys(result).isNotNull(), F.to_json(F.struct(*fields)))
+    kept = kept.when(F.length(result) <= SMALL, result).otherwise(F.to_json(F.struct(clip(result, SUMMARY).alias("summary"))))
+    return F.to_json(F.struct(evidence.alias("evidence_id"), F.lit(True).alias("compacted"), kept.alias("summary"), F.concat(F.lit("get_evidence('"), evidence, F.lit("')")).alias("full_result")))
 
 
 def latest_state(log: DataFrame, key: str, seq: str) -> DataFrame:
@@ -104,7 +135,3 @@ def insert_new(store: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The incoming rows whose content is not stored yet, one per content."""
     fresh = incoming.join(store.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
     return fresh.dropDuplicates([key])
-
-
-def create_log(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "run_id string, seq int, at timestamp, label string, phase string, status string, summary string, final_report string, partial_report string")

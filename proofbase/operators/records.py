@@ -48,12 +48,6 @@ def get_records(rows: DataFrame, dataset: str, key: str, ids: list[str]) -> Data
     return asked.join(known, F.col("record_id") == F.col("_id"), "left").select(F.lit(dataset).alias("dataset"), "record_id", F.col("_id").isNotNull().alias("found"), *rows.columns)
 
 
-def listing(datasets: dict[str, DataFrame]) -> DataFrame:
-    """One row per dataset: its name, rows and fields."""
-    rows = [d.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("dataset"), "row_count", F.lit(len(d.columns)).alias("n_fields"), F.lit(d.columns[0]).alias("first_field")) for n, d in datasets.items()]
-    return reduce(DataFrame.unionByName, rows)
-
-
 def _equals(name: str, value: object) -> Column:
     return F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) == F.lit(str("" if value is None else value).strip())
 

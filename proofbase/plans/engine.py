@@ -60,12 +60,26 @@ def p26(t: Tables) -> DataFrame:
     return sequences.sequence_numbers(t.events, ["user_id"], ["event_id"]).select("event_id", (F.col("seq") <= 20).alias("admitted"))
 
 
-@query("P27_stubs", r"SELECT conv_id, turn, 'E' || turn AS evidence_id, CASE role WHEN 'user' THEN CASE WHEN length(x) <= 90 THEN x ELSE substr(x, 1, 89) || '…' END END AS results FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM conversations)")
+@query(
+    "P27_stubs",
+    r"""WITH x AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM conversations), s AS (SELECT conv_id, turn, role, CASE WHEN length(x) <= 90 THEN x ELSE substr(x, 1, 89) || '…' END AS title, CASE WHEN length(x) <= 160 THEN x ELSE substr(x, 1, 159) || '…' END AS start, CASE WHEN length(x) <= 200 THEN x ELSE substr(x, 1, 199) || '…' END AS line FROM x)
+    SELECT conv_id, turn, 'E' || turn AS evidence_id, CASE turn % 3 WHEN 0 THEN title WHEN 1 THEN start ELSE line END AS quote, CASE turn % 3 WHEN 2 THEN role || ':' || turn END AS ref, CASE turn % 3 WHEN 0 THEN 'about ' || turn END AS asked FROM s""",
+)
 def p27(t: Tables) -> DataFrame:
-    tool = F.when(F.col("role") == "user", "search_web").otherwise("other")
-    stubbed = t.conversations.withColumn("stub", messages.stub(tool, F.concat(F.lit("E"), "turn"), F.col("text")))
-    summary = F.get_json_object("stub", "$.summary")
-    return stubbed.select("conv_id", "turn", F.get_json_object("stub", "$.evidence_id").alias("evidence_id"), F.when(F.col("role") == "user", F.get_json_object(summary, "$.results")).alias("results"))
+    """Turns as the results of three tools, a web search, pages of a document and records, and what their stubs keep."""
+    kind = F.col("turn") % 3
+    tool = F.when(kind == 0, "search_web").when(kind == 1, "read_document_range").otherwise("search_local_government_records")
+    none = F.lit(None)
+    result = (
+        F.when(kind == 0, F.to_json(F.struct(F.array(F.struct(F.col("text").alias("title"), F.lit("https://example.org/x").alias("url"))).alias("results"))))
+        .when(kind == 1, F.to_json(F.struct(F.lit("doc-1").alias("document_id"), F.array(F.struct(F.col("turn").alias("page"), "text")).alias("pages"))))
+        .otherwise(F.to_json(F.struct(F.array(F.struct(F.col("role").alias("dataset"), F.col("turn").cast("string").alias("record_id"), F.col("text").alias("record_line"))).alias("records"))))
+    )
+    args = F.to_json(F.struct(F.when(kind == 0, F.concat(F.lit("about "), "turn")).otherwise(none).alias("query")))
+    stubbed = t.conversations.withColumn("stub", messages.stub(tool, F.concat(F.lit("E"), "turn"), result, args))
+    kept = F.get_json_object("stub", "$.summary")
+    quote = F.when(kind == 0, F.get_json_object(kept, "$.results[0].title")).when(kind == 1, F.get_json_object(kept, "$.pages[0].start")).otherwise(F.get_json_object(kept, "$.records[0].line"))
+    return stubbed.select("conv_id", "turn", F.get_json_object("stub", "$.evidence_id").alias("evidence_id"), quote.alias("quote"), F.get_json_object(kept, "$.records[0].ref").alias("ref"), F.when(kind == 0, F.get_json_object(kept, "$.query")).alias("asked"))
 
 
 @query("P29_resumable", "SELECT event_id, event_type IN ('error', 'view') AND user_id % 2 = 0 AND value <= 50 AS resumable FROM events")
@@ -158,15 +172,40 @@ def v03(t: Tables) -> DataFrame:
     return relevant.select("page_id", F.size("got").alias("score")).orderBy(F.desc("score"), "page_id").limit(20)
 
 
-@query("K01_K02_V09_snapshots", " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS row_count, count(*) AS expected_rows, 'ok' AS status FROM {n}" for n in ("customer", "supplier", "part", "orders")))
-def k01(t: Tables) -> DataFrame:
-    """Four tables synced as snapshots by the sink, then all current versions read back and verified in one pass."""
+LAKE = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+
+
+def lake(t: Tables) -> str:
+    """Four tables synced as snapshots by the sink; of part, the brand as a classification."""
     from proofbase.session import work_dir
     from proofbase.sources import snapshots
 
     folder = f"{work_dir(t.spark)}/lake-{uuid.uuid4().hex}"
-    for name, key in {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}.items():
+    for name, key in LAKE.items():
         rows = getattr(t, name)
+        rows = rows.withColumnRenamed("p_brand", "p_brand_classification") if name == "part" else rows
         fields = [{"id": c, "type": "int" if kind in ("bigint", "int") else "text"} for c, kind in rows.dtypes]
-        snapshots.sync(rows, folder, name, "v1", fields, "2024-01-01T00:00:00Z", key)
-    return snapshots.verify(t.spark, folder).select("dataset", "row_count", "expected_rows", "status")
+        snapshots.sync(rows, folder, name, "v1", fields, "2024-01-01T00:00:00Z", key, about={"dataset_title": f"Table {name}", "resource_id": f"r-{name}", "publisher": "tests", "source_url": f"https://example.org/{name}"})
+    return folder
+
+
+@query("K01_K02_V09_snapshots", " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS row_count, count(*) AS expected_rows, 'ok' AS status FROM {n}" for n in LAKE))
+def k01(t: Tables) -> DataFrame:
+    """All current versions read back and verified in one pass."""
+    from proofbase.sources import snapshots
+
+    return snapshots.verify(t.spark, lake(t)).select("dataset", "row_count", "expected_rows", "status")
+
+
+@query(
+    "P04_P05_datasets",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS dataset, '{n}' AS label, 'Table {n}' AS title, 'tests' AS publisher, (SELECT count(*) FROM {n}) AS row_count, '{k}' AS record_id_field, list(replace(column_name, 'p_brand', 'p_brand_classification') ORDER BY column_index) AS fields, {['p_brand_classification'] if n == 'part' else []}::VARCHAR[] AS code_fields, 'v1' AS snapshot_version, 'r-{n}' AS resource_id, 'https://example.org/{n}' AS source_url FROM duckdb_columns() WHERE table_name = '{n}'"
+        for n, k in LAKE.items()
+    ),
+)
+def p04(t: Tables) -> DataFrame:
+    """What is known of every dataset of the lake."""
+    from proofbase.sources import snapshots
+
+    return snapshots.listing(t.spark, lake(t)).select("dataset", "label", "title", "publisher", "row_count", "record_id_field", "fields", "code_fields", "snapshot_version", "resource_id", "source_url")

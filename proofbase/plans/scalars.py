@@ -301,14 +301,6 @@ def p03(t: Tables) -> DataFrame:
     return records.get_records(t.customer, "customer", "c_custkey", [" 7 ", "-5"]).select("dataset", "record_id", "found", "c_name")
 
 
-@query(
-    "P04_P05_datasets",
-    "SELECT * FROM (SELECT 'customer' AS dataset, count(*) AS row_count, 5 AS n_fields, 'c_custkey' AS first_field FROM customer UNION ALL SELECT 'supplier', count(*), 4, 's_suppkey' FROM supplier UNION ALL SELECT 'part', count(*), 6, 'p_partkey' FROM part)",
-)
-def p04(t: Tables) -> DataFrame:
-    return records.listing({"customer": t.customer, "supplier": t.supplier, "part": t.part})
-
-
 @query("P06_P07_exact_filter", "SELECT c_custkey, c_name FROM customer WHERE trim(c_mktsegment) = 'BUILDING' AND trim(c_nationkey::VARCHAR) = '5'")
 def p07(t: Tables) -> DataFrame:
     return records.exact_filter(t.customer, {"c_mktsegment": " BUILDING", "c_nationkey": 5}).select("c_custkey", "c_name")

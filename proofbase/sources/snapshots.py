@@ -15,6 +15,8 @@ from proofbase.sources.sink import SnapshotError
 
 # Descriptor types. Numbers stay exact; dates stay text, as they are never computed on.
 TYPES = {"int": T.LongType(), "numeric": T.DecimalType(38, 0), "text": T.StringType(), "timestamp": T.StringType()}
+ABOUT = ("label", "dataset_title", "resource_name", "resource_id", "dataset_id", "publisher", "license_title", "source_url", "data_api_url", "resource_last_modified")
+CODE_FIELD = "(?i)classification"
 LEAST_SHARE, VERIFY_DAYS, KEPT_VERSIONS, CURRENT = 0.5, 7, 2, "current.json"
 
 
@@ -69,7 +71,7 @@ def write_snapshot(rows: DataFrame, folder: str, key: str, version: str, fields:
     sink.register(spark)
     sorted_ = rows.repartitionByRange(F.col(f"`{order}`")).sortWithinPartitions(F.col(f"`{order}`"))
     lines = sorted_.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value"))
-    options = {"dataset": key, "version": version, "descriptor": json.dumps({"dataset": key, "fields": fields}, ensure_ascii=False)} | ({} if expected is None else {"expected": str(expected)})
+    options = {"dataset": key, "version": version, "descriptor": json.dumps({"dataset": key, "fields": fields, "id_field": order}, ensure_ascii=False)} | ({} if expected is None else {"expected": str(expected)})
     if version in sink.names(f"{folder}/{key}"):
         raise SnapshotError("exists", f"{key} has a version {version}")
     lines.write.format("snapshot").options(**options).mode("append").save(folder)
@@ -99,10 +101,10 @@ def verify(spark: SparkSession, folder: str, versions: dict[str, str] | None = N
     return stated.join(sums.select("dataset", "row_count", digest.alias("_digest")), "dataset", "left").select("dataset", "version", "row_count", "expected_rows", status.alias("status"))
 
 
-def publish(folder: str, meta: dict, now: str, fingerprint: str | None = None, keep: int = KEPT_VERSIONS) -> dict:
-    """Makes the version current, in one rename, and drops old ones."""
+def publish(folder: str, meta: dict, now: str, fingerprint: str | None = None, keep: int = KEPT_VERSIONS, about: dict[str, str] | None = None) -> dict:
+    """Makes the version current, in one rename, and drops old ones. about: what is known of its source (ABOUT)."""
     key = meta["dataset"]
-    entry = {k: meta[k] for k in ("dataset", "version", "content_hash", "row_count", "storage")} | {"verified_at": now, "fingerprint": fingerprint}
+    entry = {k: (about or {}).get(k, "") for k in ABOUT} | {k: meta[k] for k in ("dataset", "version", "content_hash", "row_count", "storage")} | {"retrieved_at": now, "verified_at": now, "fingerprint": fingerprint, "id_field": meta.get("id_field", "_id")}
     sink.write_json(f"{folder}/{key}", CURRENT, entry)
     prune(f"{folder}/{key}", keep, {meta["version"]})
     return entry
@@ -118,7 +120,7 @@ def prune(folder: str, keep: int, protect: set[str]) -> list[str]:
     return gone
 
 
-def sync(rows: DataFrame, folder: str, key: str, version: str, fields: list[dict[str, str]], now: str, order: str = "_id", expected: int | None = None, fingerprint: str | None = None, recount: Callable[[], int] | None = None, allow_shrink: bool = False) -> str:
+def sync(rows: DataFrame, folder: str, key: str, version: str, fields: list[dict[str, str]], now: str, order: str = "_id", expected: int | None = None, fingerprint: str | None = None, recount: Callable[[], int] | None = None, allow_shrink: bool = False, about: dict[str, str] | None = None) -> str:
     """Writes, reads back, validates and publishes a version, or keeps the previous one: updated or unchanged_content. Any fault, such as an export whose total changed while it was read, is an error that leaves the previous version current."""
     spark = rows.sparkSession
     before = sink.read_json(f"{folder}/{key}", CURRENT)
@@ -135,9 +137,9 @@ def sync(rows: DataFrame, folder: str, key: str, version: str, fields: list[dict
         raise
     if before and sync_decision(before, fingerprint or "", meta["content_hash"], None) == "unchanged_content":
         sink.remove(f"{folder}/{key}/{version}")
-        sink.write_json(f"{folder}/{key}", CURRENT, before | {"verified_at": now, "fingerprint": fingerprint})
+        sink.write_json(f"{folder}/{key}", CURRENT, before | (about or {}) | {"verified_at": now, "fingerprint": fingerprint})
         return "unchanged_content"
-    publish(folder, meta, now, fingerprint)
+    publish(folder, meta, now, fingerprint, about=about)
     return "updated"
 
 
@@ -152,11 +154,34 @@ def sync_decision(previous: dict | None, fingerprint: str, content: str | None,
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The current versions; none is an empty table."""
-    ddl = "dataset string, version string, content_hash string, row_count long, verified_at string, fingerprint string, storage string"
+    ddl = "dataset string, version string, content_hash string, row_count long, retrieved_at string, verified_at string, fingerprint string, storage string, id_field string, " + ", ".join(f"{k} string" for k in ABOUT)
     found = [f"{folder}/{k}/{CURRENT}" for k in sink.names(folder) if CURRENT in sink.names(f"{folder}/{k}")]
     return spark.read.schema(ddl).json(found, multiLine=True) if found else spark.createDataFrame([], ddl)
 
 
+def provenance(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the current version of each dataset is from. Its dates are those of retrieval and update, never legal ones."""
+    names = {
+        "dataset": "dataset", "dataset_title": "dataset_title", "resource_name": "resource_name", "resource_id": "resource_id", "dataset_id": "dataset_id", "publisher": "publisher", "license": "license_title", "source_url": "source_url", "data_api_url": "data_api_url",
+        "snapshot_version": "version", "retrieved_at": "retrieved_at", "last_verified_at": "verified_at", "snapshot_content_hash": "content_hash", "resource_last_modified": "resource_last_modified",
+    }
+    return manifest(spark, folder).select(*[F.coalesce(F.col(v), F.lit("")).alias(k) for k, v in names.items()], F.lit("retrieval and update dates, not legal effective dates").alias("date_note"))
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """The datasets with their fields, which of these hold codes, their rows and provenance; the descriptors of all current versions are read as one table."""
+    held = manifest(spark, folder)
+    paths = [f"{folder}/{r['dataset']}/{r['version']}/snapshot.json" for r in held.select("dataset", "version").collect()]
+    ddl = "dataset string, fields array<struct<id: string, type: string>>"
+    described = (spark.read.schema(ddl).json(paths, multiLine=True) if paths else spark.createDataFrame([], ddl)).select(F.col("dataset").alias("_d"), F.transform("fields", lambda x: x["id"]).alias("fields"))
+    named = provenance(spark, folder).join(held.select(F.col("dataset").alias("_h"), "row_count", "id_field", "label"), F.col("dataset") == F.col("_h")).join(described, F.col("dataset") == F.col("_d"))
+    label = F.when(F.col("label") != "", F.col("label")).otherwise(F.col("dataset")).alias("label")
+    return named.select(
+        "dataset", label, F.col("dataset_title").alias("title"), "resource_name", "publisher", "row_count", F.col("id_field").alias("record_id_field"), "fields", F.filter("fields", lambda x: x.rlike(CODE_FIELD)).alias("code_fields"),
+        "snapshot_version", "retrieved_at", "last_verified_at", "resource_id", "source_url",
+    )
+
+
 def current(folder: str, key: str) -> dict:
     """The current entry, or an error for unknown and never validated datasets."""
     if key not in (known := sink.names(folder)):
