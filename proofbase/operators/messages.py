@@ -45,7 +45,7 @@ SMALL, SUMMARY = 1500, 1200
 
 
 def stub(tool: Column, evidence: Column, result: Column, args: Column | None = None) -> Column:
-    """What remains of a compacted tool result, as JSON: its id, and by the kind of tool the identifiers, citations and short quotes. result and args are JSON; a text that is none is cut."""
+    """What remains of a compacted tool result, as JSON: its id, and by the kind of tool the identifiers, citations and short quotes. result and args are JSON; a text that is none is cut, and no result has an empty summary."""
     r, a = F.from_json(result, RESULT), F.from_json(F.lit("{}") if args is None else args, ARGS)
     clip = lambda x, n: tx.short(x, n)
     own = lambda *fields: [r[f].alias(f) for f in fields]

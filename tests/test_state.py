@@ -121,6 +121,6 @@ def test_stubs_keep_what_each_tool_is_cited_by(spark):
     kept = [json.loads(g["summary"]) if g.get("summary") else None for g in got]
     assert all(g["evidence_id"] == "E1" and g["compacted"] and g["full_result"] == "get_evidence('E1')" for g in got)
     assert [tool for (tool, (*_, ok)), s in zip(STUBS.items(), kept, strict=False) if not ok(s)] == []
-    assert kept[len(STUBS) :] == [{"error": "no such page", "document_id": "doc-9"}, {"error": "down"}, None, {"summary": ("no json " * 300)[:1199] + "…"}, {"query": "x", "total_matches": 0, "records": [], "note": "Zero matches (not proof of an exemption)."}]
+    assert kept[len(STUBS) :] == [{"error": "no such page", "document_id": "doc-9"}, {"error": "down"}, {"summary": ""}, {"summary": ("no json " * 300)[:1199] + "…"}, {"query": "x", "total_matches": 0, "records": [], "note": "Zero matches (not proof of an exemption)."}]
 
 
