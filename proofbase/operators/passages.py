@@ -50,22 +50,22 @@ def passage_hits(pages: DataFrame, terms: Column, phrase: Column, text: str = "t
 
 
 def without_overlap(hits: DataFrame, key: str, page: str) -> DataFrame:
-    """By score, then place, each window that meets no kept one on its page. A fold over a page's windows, as each choice depends on those before; the windows travel whole, so they are made once."""
-    rest = [x for x in hits.columns if x not in (key, page, "first_line", "last_line")]
-    window = F.struct((-F.col("score")).alias("_s"), "first_line", "last_line", F.struct(*rest).alias("_rest"))
-    sorted_ = hits.groupBy(key, page).agg(F.array_sort(F.collect_list(window), lambda a, b: _by_order(a, b)).alias("_w"))
-    apart = lambda k, x: F.forall(k, lambda y: (y["first_line"] > x["last_line"]) | (x["first_line"] > y["last_line"]))
-    kept = F.aggregate("_w", F.slice(F.col("_w"), 1, 0), lambda k, x: F.when(apart(k, x), F.concat(k, F.array(x))).otherwise(k))
-    chosen = sorted_.select(key, page, F.explode(kept).alias("_k"))
-    return chosen.select(key, page, "_k.first_line", "_k.last_line", "_k._rest.*").select(*hits.columns)
-
-
-def _by_order(a: Column, b: Column) -> Column:
-    order = [(a[x], b[x]) for x in ("_s", "first_line", "last_line")]
-    found = F.lit(0)
-    for x, y in reversed(order):
-        found = F.when(x < y, -1).when(x > y, 1).otherwise(found)
-    return found
+    """By score, then place, each window that meets no kept one on its page, for the windows of W01, which meet only the one before and the one after.
+
+    Such a window is kept if every neighbour that comes first by score is dropped. So along a
+    slope of scores every second window stays, counted from its top, and one between two slopes
+    stays if both would keep it: two passes of a running minimum over a page, and no fold.
+    """
+    place = W.partitionBy(key, page).orderBy("first_line")
+    row = F.struct("score", "first_line", "last_line")
+    before, after = F.lag(row).over(place), F.lead(row).over(place)
+    meets = lambda x: F.coalesce((x["first_line"] <= F.col("last_line")) & (F.col("first_line") <= x["last_line"]), F.lit(False))
+    first = lambda x: meets(x) & F.coalesce((x["score"] > F.col("score")) | ((x["score"] == F.col("score")) & (x["first_line"] < F.col("first_line"))), F.lit(False))
+    placed = hits.withColumns({"_i": F.row_number().over(place), "_b": first(before), "_a": first(after)})
+    top_before = F.max(F.when(~F.col("_b"), F.col("_i"))).over(place.rowsBetween(W.unboundedPreceding, 0))
+    top_after = F.min(F.when(~F.col("_a"), F.col("_i"))).over(place.rowsBetween(0, W.unboundedFollowing))
+    kept = ((F.col("_i") - top_before) % 2 == 0) & ((top_after - F.col("_i")) % 2 == 0)
+    return placed.withColumn("_kept", kept).where("_kept").select(*hits.columns)
 
 
 def search_document(pages: DataFrame, key: str, page: str, query: str, most: int = RESULTS) -> DataFrame:
