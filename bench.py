@@ -15,7 +15,7 @@ from proofbase.plans import QUERIES
 from proofbase.session import local_session
 
 HEADLINE = (
-    "K05_postings J05_L02_term_search F17_F18_bm25 V01_code_search P19_P20_A13_V02_outcomes W02_F43_L05_V04_passages W08_F24_quotations F02_normalize_text A09_S01_S02_V09_completeness "
+    "K05_postings J05_L02_term_search F17_F18_bm25 V01_code_search P19_P20_A13_V02_outcomes W02_F43_L05_V04_passages W08_F24_quotations F02_normalize_text A09_V09_completeness "
     "A17_F41_U07_content_groups J02_J03_code_relatives J09_citation_status J12_W14_P25_L10_first_seen A06_usage_rollup W12_V13_streaks T01_tumbling_batch T02_sessions L08_P26_budget"
 ).split()
 

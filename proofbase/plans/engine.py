@@ -163,9 +163,9 @@ def v14(t: Tables) -> DataFrame:
     return pages.select("conv_id", document_status(F.col("pages")).alias("status"))
 
 
-@query("V03_S27_gated_read", "SELECT page_id, len(list_filter(['shop', 'example'], lambda q: contains(lower(url), q))) AS score FROM pages WHERE contains(lower(url), 'example') ORDER BY score DESC, page_id LIMIT 20")
+@query("P21_L03_gated_rows", "SELECT page_id, len(list_filter(['shop', 'example'], lambda q: contains(lower(url), q))) AS score FROM pages WHERE contains(lower(url), 'example') ORDER BY score DESC, page_id LIMIT 20")
 def v03(t: Tables) -> DataFrame:
-    """Rows of a live read: gated, scored by the terms, the best twenty."""
+    """Rows gated by their addresses, scored by the terms, the best twenty."""
     terms = F.array(F.lit("shop"), F.lit("example"))
     got = F.filter(terms, lambda q: F.contains(F.lower("url"), q))
     relevant = t.pages.withColumn("got", got).where(records.metadata_relevant(F.col("got"), terms))

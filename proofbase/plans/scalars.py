@@ -359,7 +359,7 @@ def p17(t: Tables) -> DataFrame:
     return found.select("p_partkey", F.array_sort("got").alias("got"), F.array_sort("id_only").alias("id_only"))
 
 
-@query("P18_T06_J17_freshness", """WITH m AS (SELECT max(o_orderdate) AS now FROM orders), a AS (SELECT o_orderkey, round_even((epoch(now) - epoch(o_orderdate)) / 86400, 1) AS age FROM orders, m)
+@query("P18_F40_freshness", """WITH m AS (SELECT max(o_orderdate) AS now FROM orders), a AS (SELECT o_orderkey, round_even((epoch(now) - epoch(o_orderdate)) / 86400, 1) AS age FROM orders, m)
     SELECT o_orderkey, age, CASE WHEN age <= 2 THEN 'fresh' WHEN age <= 8 THEN 'aging' ELSE 'stale' END AS freshness, age <= 1 AS cached FROM a""")
 def p18(t: Tables) -> DataFrame:
     now = t.orders.agg(F.max("o_orderdate").alias("now"))
@@ -400,11 +400,19 @@ def p28(t: Tables) -> DataFrame:
     return t.pages.select("page_id", safe_url(url).alias("safe"))
 
 
-@query("S13_S14_S16_json_fields", "SELECT event_id, (props->>'$.k')::BIGINT AS k, user_id || ',' || event_type AS csv FROM events")
+@query(
+    "S14_S16_S27_records_in_sql",
+    "SELECT event_id, (props->>'$.k') AS k, 'json' AS kind, 0::BIGINT AS row_no FROM events UNION ALL SELECT event_id, event_type, 'csv', 0 FROM events UNION ALL SELECT event_id, user_id::VARCHAR, 'csv', 1 FROM events",
+)
 def s16(t: Tables) -> DataFrame:
-    parsed = F.parse_json("props")
-    fields = F.from_csv(F.concat_ws(",", "user_id", "event_type"), "user_id bigint, event_type string")
-    return t.events.select("event_id", F.try_variant_get(parsed, "$.k", "bigint").alias("k"), F.concat_ws(",", fields["user_id"], fields["event_type"]).alias("csv"))
+    """Each event as a JSON file of one record and as a CSV file of two, read by the readers of files through SQL."""
+    from proofbase.sources import functions_sql
+
+    functions_sql.register(t.spark)
+    json_file = F.concat(F.lit("[{\"k\": "), F.get_json_object("props", "$.k"), F.lit("}]"))
+    files = t.events.select("event_id", F.explode(F.array(F.struct(F.lit("json").alias("kind"), json_file.alias("file")), F.struct(F.lit("csv").alias("kind"), F.concat(F.lit("other;k\nx;"), "event_type", F.lit("\n\ny;"), "user_id", F.lit("\n")).alias("file")))).alias("f"))
+    files = files.select("event_id", "f.kind", F.encode("f.file", "utf-8").alias("content"))
+    return t.spark.sql("SELECT event_id, r.cells['k'] AS k, kind, r.row_no AS row_no FROM {files}, LATERAL file_records(kind, content) r", files=files)
 
 
 @query("S19_html_text")

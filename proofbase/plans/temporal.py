@@ -1,11 +1,11 @@
-"""Queries of as-of and interval joins, stream-stream joins and whole-table ranks on the driver tables."""
+"""Queries of as-of and interval joins, stream-stream joins, whole-table ranks and similar words on the driver tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbase.operators import temporal
+from proofbase.operators import fuzzy, temporal
 from proofbase.plans.registry import Tables, query
 from proofbase.streaming import events as streams
 
@@ -70,3 +70,29 @@ def ranks(t: Tables) -> DataFrame:
     """Every line's place by quantity and date, without a sort of the table in one task."""
     found = temporal.ranks(t.lineitem, [F.col("l_quantity"), F.col("l_shipdate")], [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], 7)
     return found.select("l_orderkey", "l_linenumber", "row_number", "rank", "dense_rank", F.round("percent_rank", 12).alias("percent_rank"), F.round("cume_dist", 12).alias("cume_dist"), "ntile")
+
+
+WORDS = r"(SELECT DISTINCT unnest(regexp_extract_all(lower({0}), '[a-z0-9]+')) AS word FROM {1})"
+
+
+@query("ext_similar_words", f"SELECT a.word AS asked, b.word AS word, levenshtein(a.word, b.word)::INT AS distance FROM {WORDS.format('text', 'benchmark')} a JOIN {WORDS.format('text', 'documents')} b ON abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2")
+def similar(t: Tables) -> DataFrame:
+    """Every word of the documents within two edits of a word of the benchmark."""
+    words = lambda rows: rows.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
+    return fuzzy.similar_words(words(t.benchmark), fuzzy.word_index(words(t.documents)))
+
+
+@query(
+    "A09_merged_profiles",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, min({c}::VARCHAR) AS low, max({c}::VARCHAR) AS high, count(DISTINCT {c}) AS exact, true AS near FROM lineitem" for c in ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey")),
+)
+def profiles_of_lines(t: Tables) -> DataFrame:
+    """Profiles of a hundred parts of the table, merged; near: the estimate of distinct values is within five standard errors of the count."""
+    from proofbase.sources import profiles
+
+    columns = ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey")
+    parts = profiles.profile(t.lineitem.select(*columns), [F.col("l_orderkey") % 100])
+    exact = t.lineitem.agg(*[F.count_distinct(c).alias(c) for c in columns]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("exact")) for c in columns])))
+    found = profiles.merged(parts).join(exact, F.col("column") == F.col("_c"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.col("exact") * 0.08, F.lit(1.0))
+    return found.select("column", "n", "nulls", "low", "high", "exact", near.alias("near"))
