@@ -124,3 +124,29 @@ def test_stubs_keep_what_each_tool_is_cited_by(spark):
     assert kept[len(STUBS) :] == [{"error": "no such page", "document_id": "doc-9"}, {"error": "down"}, {"summary": ""}, {"summary": ("no json " * 300)[:1199] + "…"}, {"query": "x", "total_matches": 0, "records": [], "note": "Zero matches (not proof of an exemption)."}]
 
 
+
+
+def test_run_log_in_a_database(spark):
+    from conftest import SF
+
+    from proofbase.plans.registry import Tables
+    from proofbase.plans.state import event_log
+    from proofbase.sources import run_store
+
+    url, driver = "jdbc:derby:memory:runs;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    log = event_log(Tables(spark, SF)).cache()
+    assert not run_store.exists(spark, url, "run_log", **driver)
+    run_store.append(log.where("n <= 3"), url, **driver)
+    run_store.append(log, url, **driver)
+    run_store.append(log, url, **driver)  # nothing is stored twice
+    held = run_store.read_log(spark, url, partitions=3, **driver)
+    assert held.rdd.getNumPartitions() == 3 and held.count() == log.count()
+    shown = lambda df: sorted(map(str, df.select("run_id", "n", "checkpoint_seq", "created_at", "updated_at", "status", "phase", "label", "state", "final_report", "partial_report").collect()))
+    assert shown(runs.state(held)) == shown(runs.state(log))
+    points = lambda df: sorted(map(str, runs.checkpoints(df).collect()))
+    assert points(held) == points(log)
+    newest = [r["run_id"] for r in run_store.latest(spark, url, most=5, **driver).collect()]
+    assert newest == [r["run_id"] for r in runs.state(log).orderBy(F.desc("created_at"), "run_id").limit(5).collect()]
+    plan = held.where("kind = 'checkpoint' and run_id = '1'").select("run_id", "seq")._jdf.queryExecution().executedPlan().toString().upper()
+    scan = plan[plan.index("SCAN JDBC") :]
+    assert "EQUALTO(KIND,CHECKPOINT)" in scan and "EQUALTO(RUN_ID,1)" in scan and "FINAL_REPORT" not in scan
