@@ -96,7 +96,7 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
 
 def squeezed(x: np.ndarray) -> bytes:
     """Bytes of equal weight together, compressed: sorted hashes as differences have few high bytes, counts are mostly 1."""
-    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), 3)
 
 
 def restored(b: bytes, n: int, dtype: type) -> np.ndarray:
