@@ -81,6 +81,11 @@ def latest_state(log: DataFrame, key: str, seq: str) -> DataFrame:
     return log.groupBy(key).agg(F.max(seq).alias("last_seq"), F.count("*").alias("checkpoints"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in values])
 
 
+def nearest_second(at: Column) -> Column:
+    """The nearest whole second, of two equally near ones the even one, as SQL's epoch(at)::BIGINT has it."""
+    return F.timestamp_seconds(F.rint(F.unix_micros(at.cast("timestamp")) / 1e6))
+
+
 def effective_status(status: Column, heartbeat: Column, now: Column) -> Column:
     """A running run without a heartbeat for 120 seconds is interrupted."""
     quiet = heartbeat.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(heartbeat) > STALE_SECONDS)

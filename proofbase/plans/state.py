@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbase.operators import documents, runs
+from proofbase.operators import documents, messages, runs
 from proofbase.plans.registry import Tables, query
 
 KIND = "CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'checkpoint' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'finished' ELSE 'resumed' END"
@@ -48,8 +48,8 @@ def k07(t: Tables) -> DataFrame:
 def k07_next(t: Tables) -> DataFrame:
     """Runs that failed or fell silent, each with its next checkpoint from the state of its last one, as of the table's last event."""
     current = runs.state(event_log(t))
-    now = t.events.agg(F.max(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("now"))
-    ready = runs.resumable(current.withColumn("heartbeat_at", F.date_trunc("second", "heartbeat_at")).join(F.broadcast(now)), F.col("now"))
+    now = t.events.agg(messages.nearest_second(F.max("ts")).alias("now"))
+    ready = runs.resumable(current.withColumn("heartbeat_at", messages.nearest_second(F.col("heartbeat_at"))).join(F.broadcast(now)), F.col("now"))
     asked = ready.select("run_id", F.col("now").alias("at"), F.lit("go on").alias("label"), F.lit("resumed").alias("phase"), "state", F.lit("{}").alias("summary"))
     return runs.checkpoint(asked, current).select("run_id", "n", "seq", "label", "state")
 
