@@ -38,3 +38,16 @@ def test_silence_is_counted_between_nearest_seconds_in_checkpoints(spark, tmp_pa
     beats(spark, tmp_path)
     one_file(tmp_path, "events")
     assert len(same_as_sql(spark, tmp_path, "K07_T04_next_checkpoints")) == 1
+
+
+def parts(spark, folder, n=2300):
+    """More records with a word of the query than the cap of the ranked page has."""
+    name = "CASE WHEN id % 3 = 0 THEN 'blue gear' WHEN id % 3 = 1 THEN 'gear' ELSE 'blue' END"
+    rows = spark.range(1, n + 1).selectExpr("id AS p_partkey", f"{name} AS p_name", "'Brand#1' AS p_brand", "IF(id % 5 = 0, 'SMALL', 'LARGE') AS p_type", "int(id % 7) AS p_size", "1.5D AS p_retailprice")
+    rows.coalesce(1).write.parquet(str(folder / "part.parquet"))
+    one_file(folder, "part")
+
+
+def test_outcomes_count_all_candidates(spark, tmp_path):
+    parts(spark, tmp_path)
+    same_as_sql(spark, tmp_path, "P19_P20_A13_V02_outcomes")
