@@ -40,7 +40,7 @@ def t02_liveness(t: Tables) -> DataFrame:
     """As of the table's last event, never of the clock."""
     now = t.events.agg(F.max("ts").alias("now"))
     beats = t.events.groupBy("user_id").agg(F.max("ts").alias("beat"))
-    return beats.join(F.broadcast(now)).select("user_id", messages.effective_status(F.lit("running"), F.date_trunc("second", "beat"), F.date_trunc("second", "now")).alias("status"))
+    return beats.join(F.broadcast(now)).select("user_id", messages.effective_status(F.lit("running"), messages.nearest_second(F.col("beat")), messages.nearest_second(F.col("now"))).alias("status"))
 
 
 @query("T03_K07_S25_run_state", "SELECT user_id, max(event_id) AS last_seq, count(*) AS checkpoints, arg_max(event_type, event_id) AS status, arg_max(value, event_id) FILTER (event_type = 'purchase') AS report FROM events GROUP BY 1")

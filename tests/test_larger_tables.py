@@ -51,3 +51,9 @@ def parts(spark, folder, n=2300):
 def test_outcomes_count_all_candidates(spark, tmp_path):
     parts(spark, tmp_path)
     same_as_sql(spark, tmp_path, "P19_P20_A13_V02_outcomes")
+
+
+def test_silence_is_counted_between_nearest_seconds_in_liveness(spark, tmp_path):
+    beats(spark, tmp_path)
+    one_file(tmp_path, "events")
+    same_as_sql(spark, tmp_path, "T02_liveness")
