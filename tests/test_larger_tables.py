@@ -57,3 +57,8 @@ def test_silence_is_counted_between_nearest_seconds_in_liveness(spark, tmp_path)
     beats(spark, tmp_path)
     one_file(tmp_path, "events")
     same_as_sql(spark, tmp_path, "T02_liveness")
+
+
+def test_mixed_search_finds_all_candidates(spark, tmp_path):
+    parts(spark, tmp_path)
+    assert len(same_as_sql(spark, tmp_path, "V01_F16_mixed_search")) == 2300
