@@ -62,3 +62,24 @@ def test_silence_is_counted_between_nearest_seconds_in_liveness(spark, tmp_path)
 def test_mixed_search_finds_all_candidates(spark, tmp_path):
     parts(spark, tmp_path)
     assert len(same_as_sql(spark, tmp_path, "V01_F16_mixed_search")) == 2300
+
+
+def test_terms_are_not_sought_word_by_word(spark):
+    """Words are filtered by expressions over the whole text, and the terms are made once a row."""
+    from conftest import SF
+
+    plan = QUERIES["F04_record_query_terms"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and plan.count("[^ ]{1,2}") == 1
+
+
+def test_terms_of_awkward_words(spark):
+    from pyspark.sql import functions as F
+
+    from proofbase.functions import text as tx
+
+    rows = spark.createDataFrame([("",), ("a bb ccc classes this datasets 1 12 12 2024s axles oss",), ("the of 7",), ("תקנה ab abc buses 15",), (None,)], "n string")
+    got = [tuple(r) for r in rows.select(tx.record_query_terms(F.col("n")), tx.document_query_terms(F.col("n"))).collect()]
+    assert got[0] == ([], []) and got[4] == (None, None)
+    assert got[1] == (["2024", "axle", "ccc", "classe", "oss", "12"], ["bb", "ccc", "classes", "1", "12", "2024s", "axles", "oss"])
+    assert got[2] == (["the", "of", "7"], ["of", "7"])
+    assert got[3] == (["abc", "buse", "תקנה", "15"], ["תקנה", "ab", "abc", "buses", "15"])
