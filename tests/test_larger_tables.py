@@ -83,3 +83,21 @@ def test_terms_of_awkward_words(spark):
     assert got[1] == (["2024", "axle", "ccc", "classe", "oss", "12"], ["bb", "ccc", "classes", "1", "12", "2024s", "axles", "oss"])
     assert got[2] == (["the", "of", "7"], ["of", "7"])
     assert got[3] == (["abc", "buse", "תקנה", "15"], ["תקנה", "ab", "abc", "buses", "15"])
+
+
+def kept(monkeypatch):
+    """The tables that citations stores, in order."""
+    from proofbase.operators import citations
+
+    seen, store = [], citations.stored
+    monkeypatch.setattr(citations, "stored", lambda df: seen.append(store(df)) or seen[-1])
+    return seen
+
+
+def test_located_excerpts_move_no_texts_with_their_windows(spark, monkeypatch):
+    from conftest import SF
+
+    seen = kept(monkeypatch)
+    same_as_sql(spark, SF, "F28_V05_located_excerpts")
+    assert seen and all(x.schema["excerpt_id"].dataType.typeName() == "binary" for x in seen if "excerpt_id" in x.columns)
+    assert all("text" not in x.columns for x in seen)
