@@ -101,3 +101,12 @@ def test_located_excerpts_move_no_texts_with_their_windows(spark, monkeypatch):
     same_as_sql(spark, SF, "F28_V05_located_excerpts")
     assert seen and all(x.schema["excerpt_id"].dataType.typeName() == "binary" for x in seen if "excerpt_id" in x.columns)
     assert all("text" not in x.columns for x in seen)
+
+
+def test_opportunities_index_only_windows_of_their_quotations(spark, monkeypatch):
+    from conftest import SF
+
+    seen = kept(monkeypatch)
+    same_as_sql(spark, SF, "V06_opportunities")
+    (windows,), index = [x for x in seen if "m" in x.columns], next(x for x in seen if "at" in x.columns)
+    assert index.join(windows, ["doc_id", "g"], "left_anti").count() == 0
