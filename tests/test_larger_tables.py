@@ -119,3 +119,12 @@ def test_findings_index_only_windows_of_their_quotations(spark, monkeypatch):
     same_as_sql(spark, SF, "V07_finding_assessment")
     (windows,), index = [x for x in seen if "m" in x.columns], next(x for x in seen if "at" in x.columns)
     assert index.join(windows, ["doc_id", "g"], "left_anti").count() == 0
+
+
+def test_only_windows_asked_for_are_indexed(spark, monkeypatch):
+    from conftest import SF
+
+    seen = kept(monkeypatch)
+    same_as_sql(spark, SF, "V05_benchmark_in_documents")
+    (windows,), index = [x for x in seen if "m" in x.columns], next(x for x in seen if "at" in x.columns)
+    assert index.join(windows, "g", "left_anti").count() == 0
