@@ -128,3 +128,36 @@ def test_only_windows_asked_for_are_indexed(spark, monkeypatch):
     same_as_sql(spark, SF, "V05_benchmark_in_documents")
     (windows,), index = [x for x in seen if "m" in x.columns], next(x for x in seen if "at" in x.columns)
     assert index.join(windows, "g", "left_anti").count() == 0
+
+
+def test_small_files_are_read_in_batches(spark):
+    """Records of files come from one call a batch, and equal those of the table function, which is called for each file."""
+    from conftest import SF
+
+    from proofbase.sources import functions_sql
+
+    same_as_sql(spark, SF, "S14_S16_S27_records_in_sql")
+    plan = QUERIES["S14_S16_S27_records_in_sql"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDTF" not in plan and "ArrowEvalPython" in plan
+    files = [("csv", b"a;b\n1;2\n\n3\n"), ("csv", b""), ("csv", None), ("json", b'[{"x": 1}, {}, {"x": null, "y": "z"}]'), ("json", b"{"), ("xlsx", b"no archive"), ("csv", b"q,'a;b'\n\"1,2\";3\n"), ("json", b"[{}]"), (None, b"a,b\n1,2")] * 130
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(files)], "id int, kind string, content binary")
+    functions_sql.register(spark)
+    one = spark.sql("SELECT id, r.* FROM {df}, LATERAL file_records(kind, content) r", df=df).collect()
+    many = spark.sql("SELECT id, r.* FROM {df} LATERAL VIEW inline(file_rows(kind, content)) r AS sheet, row_no, cells, problem", df=df).collect()
+    assert sorted(map(repr, many)) == sorted(map(repr, one)) and len(one) == 130 * 10
+
+
+def test_dialects_of_files_of_one_shape():
+    import csv
+    import random
+
+    from proofbase.sources import formats
+
+    rng, about = random.Random(3), lambda d: (d.delimiter, d.quotechar, d.doublequote, d.skipinitialspace, d.quoting)
+    for _ in range(3000):
+        head = "".join(rng.choice(["a", "bc", "7", "é", "\r", "\n", "\n", " ", ",", ";", ";", "\t", "|"] + ["'", '"'] * (rng.random() < 0.1)) for _ in range(rng.randint(0, 60)))
+        try:
+            want = csv.Sniffer().sniff(head, ",;\t|")
+        except csv.Error:
+            want = csv.excel
+        assert about(formats.csv_dialect(head)) == about(want), head
