@@ -161,3 +161,20 @@ def test_dialects_of_files_of_one_shape():
         except csv.Error:
             want = csv.excel
         assert about(formats.csv_dialect(head)) == about(want), head
+
+
+def test_the_index_is_sorted_where_its_rows_are_read(spark, tmp_path):
+    """No posting is moved: a record's are in one file, and there are as many files as parts of the table."""
+    from conftest import SF
+    from pyspark.sql import functions as F
+
+    from proofbase.sources.snapshots import build_index
+
+    for name in ("K05_postings", "J05_L02_term_search", "F17_F18_bm25"):
+        same_as_sql(spark, SF, name)
+    rows = spark.range(0, 300, 1, 3).selectExpr("id AS rid", "concat('w', id % 7, ' v', id, ' common') AS text")
+    index = build_index(rows, str(tmp_path), "rid", F.col("text"), {}, "f" * 64, records=False)
+    files = sorted((tmp_path / ("index-" + "f" * 16) / "postings").glob("part-*"))
+    found = [[tuple(r) for r in spark.read.parquet(str(f)).select("token", "rid").collect()] for f in files]
+    assert len(found) == 3 and all(x == sorted(x) for x in found)
+    assert sorted(len({rid for _, rid in x}) for x in found) == [100, 100, 100] and index["sizes"].count() == 300
