@@ -178,3 +178,15 @@ def test_the_index_is_sorted_where_its_rows_are_read(spark, tmp_path):
     found = [[tuple(r) for r in spark.read.parquet(str(f)).select("token", "rid").collect()] for f in files]
     assert len(found) == 3 and all(x == sorted(x) for x in found)
     assert sorted(len({rid for _, rid in x}) for x in found) == [100, 100, 100] and index["sizes"].count() == 300
+
+
+def test_findings_bring_only_quoted_passages_to_the_labels(spark):
+    """Whole texts don't take part in the join with the labels."""
+    from conftest import SF
+
+    from proofbase.plans.registry import Tables
+    from proofbase.plans.relations import quoted_findings
+
+    rows, _ = quoted_findings(Tables(spark, SF))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("substring(text")
