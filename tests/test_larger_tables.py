@@ -190,3 +190,27 @@ def test_findings_bring_only_quoted_passages_to_the_labels(spark):
     rows, _ = quoted_findings(Tables(spark, SF))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("substring(text")
+
+
+def plans(monkeypatch, kind):
+    """The plans of the tables that citations stores, by their columns."""
+    from proofbase.operators import citations
+
+    seen, store = [], citations.stored
+
+    def shown(df):
+        seen.append((df.columns, getattr(df._jdf.queryExecution(), kind)().toString()))
+        return store(df)
+
+    monkeypatch.setattr(citations, "stored", shown)
+    return seen
+
+
+def test_texts_are_not_tested_before_they_meet_excerpts(spark, monkeypatch):
+    """Only pages that an excerpt names are normalised for the test."""
+    from conftest import SF
+
+    seen = plans(monkeypatch, "optimizedPlan")
+    same_as_sql(spark, SF, "V05_benchmark_in_documents")
+    (plan,) = [plan for columns, plan in seen if "pages" in columns]
+    assert not [x for x in plan[plan.index("Join") :].splitlines() if "Filter" in x and "regexp_extract_all" in x and "> 0)" in x]
