@@ -214,3 +214,27 @@ def test_texts_are_not_tested_before_they_meet_excerpts(spark, monkeypatch):
     same_as_sql(spark, SF, "V05_benchmark_in_documents")
     (plan,) = [plan for columns, plan in seen if "pages" in columns]
     assert not [x for x in plan[plan.index("Join") :].splitlines() if "Filter" in x and "regexp_extract_all" in x and "> 0)" in x]
+
+
+def test_findings_of_one_page_documents_make_no_windows(spark, monkeypatch):
+    """A quotation of a document of one page is tested on it: nothing is indexed, and nothing moved for an index."""
+    from conftest import SF
+
+    seen = kept(monkeypatch)
+    same_as_sql(spark, SF, "V07_finding_assessment")
+    (windows,), index = [x for x in seen if "m" in x.columns], next(x for x in seen if "at" in x.columns)
+    assert windows.count() == 0 and index.count() == 0
+
+
+def test_excerpts_are_found_alike_with_and_without_places(spark):
+    from proofbase.operators import citations
+
+    w = [f"word{i}" for i in range(60)]
+    said = lambda a, b: " ".join(w[a:b])
+    pages = spark.createDataFrame([("one", 1, said(0, 30)), ("two", 1, said(0, 20)), ("two", 2, said(20, 40)), ("two", 3, None), ("none", 1, None), ("empty", 4, "")], "doc_id string, page_no int, text string")
+    texts = [said(2, 20), said(2, 4), said(15, 26), "ord3 " + said(4, 9) + " wor", said(40, 50), said(3, 30) + " other words", "short", "", None, said(0, 8)[2:-1]]
+    rows = [(f"{d}{i}", d, x) for d in ("one", "two", "none", "empty", "missing") for i, x in enumerate(texts)]
+    excerpts = spark.createDataFrame(rows, "excerpt_id string, doc_id string, excerpt string")
+    found = [{r.excerpt_id: r.pages for r in citations.locate(pages, excerpts, places=p).collect()} for p in (True, False)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert [found[1][f"one{i}"] for i in range(10)] == [[1], [], [1], [1], [], [1], [], [], [], [1]] and found[1]["two2"] == [1, 2]
